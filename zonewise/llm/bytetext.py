@@ -166,3 +166,47 @@ def window_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
         whole[first] = True
     made = np.where(counts == 0, 0, np.maximum(1, counts - width + 1))
     return mix(h[whole]), np.concatenate([[0], np.cumsum(made)])
+
+
+class HashIndex:
+    """An open-addressing table from 64-bit hashes to numbers, looked up and filled by whole arrays."""
+
+    def __init__(self, room: int = 1 << 15):
+        self._make(room)
+
+    def _make(self, room: int) -> None:
+        self.mask = (1 << max(4, (2 * room - 1).bit_length())) - 1
+        self.keys, self.values, self.n = np.zeros(self.mask + 1, dtype=np.uint64), np.zeros(self.mask + 1, dtype=np.int64), 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h & U64(self.mask)).astype(np.int64)
+
+    def lookup(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for those not in the table."""
+        h = np.where(h == 0, U64(1), h)
+        out = np.full(len(h), -1, dtype=np.int64)
+        slot = self._slots(h)
+        left = np.arange(len(h))
+        while len(left):
+            key = self.keys[slot]
+            hit = key == h
+            out[left[hit]] = self.values[slot[hit]]
+            on = ~hit & (key != 0)
+            left, h, slot = left[on], h[on], (slot[on] + 1) & self.mask
+        return out
+
+    def insert(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Adds hashes that are distinct and not in the table."""
+        h = np.where(h == 0, U64(1), h)
+        if 2 * (self.n + len(h)) > self.mask:
+            used = self.keys != 0
+            h, values = np.concatenate([self.keys[used], h]), np.concatenate([self.values[used], values])
+            self._make(2 * len(h))
+        self.n += len(h)
+        slot = self._slots(h)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            mine = free & (self.keys[slot] == h)
+            self.values[slot[mine]] = values[mine]
+            h, values, slot = h[~mine], values[~mine], (slot[~mine] + 1) & self.mask

@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, toxicity, urlfilter
+from . import bpe, decontam, langid, quality, rans, toxicity, urlfilter
 from .store import Scratch, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
+PLAIN_TOKENIZER = "byte_bpe_50k.json"
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +44,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path(PLAIN_TOKENIZER), Scratch(spark, "rans"))
+
+
 OP4_SQL = r"""
 WITH cut AS (
     SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_byte_bpe": op7_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
