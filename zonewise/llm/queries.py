@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, quality, rans, toxicity, urlfilter
+from . import bpe, decontam, langid, quality, rans, toxicity, urlfilter, warc
 from .store import Scratch, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -16,6 +16,12 @@ MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 PLAIN_TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), scratch.path("archives"))
+    return warc.read_pages(spark, scratch.path("archives"), scratch)
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict_languages(docs, langid.train(docs))
@@ -68,6 +74,7 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op4_url_filters": op4_url_filters,
     "op5_decontamination": op5_decontamination,
