@@ -47,7 +47,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def random_words(seed: int, n: int) -> np.ndarray:
     """n fixed pseudo-random 64-bit values, the same on every machine."""
-    return mix((np.arange(1, n + 1, dtype=np.uint64) + U64(seed) * U64(0x632BE59BD9B4E019)) * U64(BASE))
+    return mix((np.arange(1, n + 1, dtype=np.uint64) + U64(seed * 0x632BE59BD9B4E019 % (1 << 64))) * U64(BASE))
 
 
 @lru_cache(maxsize=4)
