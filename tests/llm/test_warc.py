@@ -29,7 +29,7 @@ def expected(pages, min_bytes=0):
 
 def through(spark, pages, **options):
     scratch = Scratch(spark, "t")
-    warc.write_archives(pages, scratch.path("a"), **options)
+    warc.write_archives(pages, scratch.path("a"), scratch, **options)
     return sorted((tuple(r) for r in warc.read_pages(spark, scratch.path("a"), scratch).collect()), key=str)
 
 

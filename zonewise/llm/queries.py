@@ -18,7 +18,7 @@ PLAIN_TOKENIZER = "byte_bpe_50k.json"
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "warc")
-    warc.write_archives(table(spark, sf_dir, "pages"), scratch.path("archives"))
+    warc.write_archives(table(spark, sf_dir, "pages"), scratch.path("archives"), scratch)
     return warc.read_pages(spark, scratch.path("archives"), scratch)
 
 

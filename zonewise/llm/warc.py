@@ -29,6 +29,8 @@ RECORD_END = "\r\n\r\n"
 #: A header longer than this is none; the writer's only field of open length is the URI, which is kept below it.
 MAX_HEADER = 1 << 16
 MAX_URI = 1 << 14
+#: Payloads that occur more than once, up to which their digests are broadcast (about 100 bytes each).
+BROADCAST_PAYLOADS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELD = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*([^\r\n]*)")
@@ -46,16 +48,18 @@ def base32_sha1(payload: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), digit), "")
 
 
-def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, payload_col: str, min_bytes: int) -> DataFrame:
     """Rows (id, url, payload, digest, refers_to): refers_to is null for a response.
 
-    Equal payloads are told by length and SHA-256. The largest ids are found by a partial aggregate;
-    the join back is on the digest, whose hot keys Spark's skew join splits.
+    Equal payloads are told by length and SHA-256. Payloads that occur more than once are found by a
+    partial aggregate without the payloads; if they are few enough by count, they are broadcast, and
+    no payload is shuffled. Else the join is on the digest, whose hot keys Spark's skew join splits.
     """
     rows = pages.select(col(id_col).cast("bigint").alias("id"), col(url_col).cast("string").alias("url"), F.encode(F.coalesce(col(payload_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("same", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    largest = rows.filter(F.col("size") >= min_bytes).groupBy("same", "size").agg(F.max("id").alias("kept"))
-    met = rows.join(largest, ["same", "size"], "left")
+    repeated = rows.filter(F.col("size") >= min_bytes).groupBy("same", "size").agg(F.max("id").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
+    repeated = scratch.write(repeated, "repeated")
+    met = rows.join(F.broadcast(repeated) if repeated.count() <= BROADCAST_PAYLOADS else repeated, ["same", "size"], "left")
     return met.select("id", "url", "payload", base32_sha1(F.col("payload")).alias("digest"), F.when(~F.col("id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
 
 
@@ -78,7 +82,7 @@ def record_text(date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
+def write_archives(pages: DataFrame, path: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes a record for each row to WARC files under ``path``.
 
     Of rows with equal payloads of at least ``min_bytes`` bytes, those with the largest id are
@@ -88,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.coalesce(col(payload_col), F.lit(""))))).first()
     each = max(1, (size[0] or 0) * FILE_BYTES // max(1, (size[1] or 0) + 400 * (size[0] or 0)))
-    made = plan_records(pages, id_col, url_col, payload_col, min_bytes).select(record_text(date).alias("value"))
+    made = plan_records(pages, scratch, id_col, url_col, payload_col, min_bytes).select(record_text(date).alias("value"))
     # the text sink writes a string's bytes as they are, and after each what ends a record
     made.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", each).mode("overwrite").text(path)
 
