@@ -33,6 +33,8 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: Terms: the least number of (groups of near copies of) toxic texts with the term, also as a share of them; how many times likelier; letters; how many at most.
 MIN_TEXTS, MIN_SHARE, MIN_TIMES, MIN_LETTERS, MAX_TERMS = 3, 0.01, 30, 3, 4_096
+#: A longer word is no term.
+MAX_LETTERS = 64
 #: Letters that a term must have for one edit, and for two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words to either side of a hit that belong to its window.
@@ -43,7 +45,7 @@ QUOTE_REACH = 240
 UNSEEN_EDIT = 0.6
 OPENERS, CLOSERS = "“«„‹", "”»“›"
 #: Words whose automaton result a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 
 def allowed_edits(term: str) -> int:
@@ -215,51 +217,74 @@ def _log_odds(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
     return np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
 
 
-def learn(texts: list[str], toxic: list[int], shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+def _distinct_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, text) of each distinct word of each text, and of each text a hash that near copies mostly share: the least of its words'."""
+    words, docs, least, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], 0
+    for part in text_slices(array):
+        starts, ends, bounds = part.runs(ALNUM)
+        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
+        doc = np.repeat(np.arange(part.n, dtype=np.int32), np.diff(bounds))
+        order = np.lexsort((w, doc))
+        w, doc = w[order], doc[order]
+        new = np.ones(len(w), dtype=bool)
+        new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
+        words.append(w[new])
+        docs.append(doc[new] + np.int32(done))
+        group = np.zeros(part.n, dtype=np.uint64)
+        some = np.flatnonzero(np.diff(bounds))
+        if len(some):
+            group[some] = np.minimum.reduceat(mix(w), bounds[:-1][some])
+        least.append(group)
+        done += part.n
+    return np.concatenate(words), np.concatenate(docs), np.concatenate(least)
+
+
+def _spellings(array: pa.Array, wanted: np.ndarray) -> dict[int, str]:
+    """How the words of some hashes are spelled."""
+    found: dict[int, str] = {}
+    for part in text_slices(array):
+        starts, ends, _ = part.runs(ALNUM)
+        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
+        for i in np.flatnonzero(np.isin(w, wanted)).tolist():
+            found.setdefault(int(w[i]), LOWER[part.buf[starts[i] : ends[i]]].tobytes().decode("utf-8", "replace"))
+    return found
+
+
+def learn(texts: list[str] | pa.Array, toxic: list[int] | np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of texts and their labels; shares: what part of the others and of the toxic texts the sample holds."""
-    label = np.array(toxic, dtype=np.int64)
+    label = np.asarray(toxic, dtype=np.int64)
     if not len(label) or label.min() == label.max():
         model = Model([], [], [])
         model.bias = 9.0 if len(label) and label[0] else -9.0
         return model
-    array = pa.array(texts, pa.large_string())
-    words, docs, spellings, done = [], [], {}, 0
-    for part in text_slices(array):
-        starts, ends, bounds = part.runs(ALNUM)
-        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
-        low = LOWER[part.buf].tobytes()
-        kinds, first = np.unique(w, return_index=True)
-        for kind, at in zip(kinds.tolist(), first.tolist(), strict=True):
-            if kind not in spellings and ends[at] - starts[at] < 256:
-                spellings[kind] = low[starts[at] : ends[at]].decode("utf-8", "replace")
-        words.append(w)
-        docs.append(np.repeat(np.arange(part.n), np.diff(bounds)) + done)
-        done += part.n
-    words, docs = np.concatenate(words), np.concatenate(docs)
-    # near copies share most of their words, and so mostly the least hash: they count as one text
-    group = np.zeros(done, dtype=np.uint64)
-    some, first = np.unique(docs, return_index=True)
-    if len(words):
-        group[some] = np.minimum.reduceat(mix(words), first)
-    group = np.unique(np.stack([group, label.astype(np.uint64)]), axis=1, return_inverse=True)
-    label_of, group = group[0][1].astype(np.int64), group[1].reshape(-1)
+    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    words, docs, least = _distinct_words(array)
+    # near copies count as one text
+    groups, group = np.unique(np.stack([least, label.astype(np.uint64)]), axis=1, return_inverse=True)
+    label_of, group = groups[1].astype(np.int64), group.reshape(-1)
     n_1, n_0 = int(label_of.sum()), int((1 - label_of).sum())
-    kinds, which = np.unique(words, return_inverse=True)
-    pairs = np.unique(which.astype(np.int64) * len(label_of) + group[docs])
+    kinds, kind = np.unique(words, return_inverse=True)
+    del words
+    pairs = np.unique(kind * len(label_of) + group[docs])
+    del docs
     kind, of = pairs // len(label_of), label_of[pairs % len(label_of)]
     in_1, in_0 = np.bincount(kind, of, len(kinds)), np.bincount(kind, 1 - of, len(kinds))
     odds = _log_odds(in_1, n_1, in_0, n_0)
     good = np.flatnonzero((in_1 >= max(MIN_TEXTS, MIN_SHARE * n_1)) & (odds >= math.log(MIN_TIMES)))
-    good = [i for i in good[np.lexsort((kinds[good], -in_1[good]))].tolist() if len(spellings.get(int(kinds[i]), "")) >= MIN_LETTERS][:MAX_TERMS]
-    terms = [spellings[int(kinds[i])] for i in good]
+    spelled = _spellings(array, kinds[good])
+    good = [i for i in good[np.lexsort((kinds[good], -in_1[good]))].tolist() if MIN_LETTERS <= len(spelled[int(kinds[i])]) < MAX_LETTERS][:MAX_TERMS]
+    terms = [spelled[int(kinds[i])] for i in good]
     model = Model(terms, [float(odds[i]) for i in good], [0.0] * len(good)).ready()
 
     # misspellings of each term in texts of either label
     near = np.full(len(kinds), -1)
-    for i, k in enumerate(kinds.tolist()):
-        term, edits = model.automaton.match(spellings.get(k, ""))
-        if term >= 0 and edits:
-            near[i] = term
+    for part in text_slices(array):
+        starts, ends, _ = part.runs(ALNUM)
+        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
+        at, matches = model.hits(part, w, starts, ends)
+        edited = [(w[i], t) for i, (t, e) in zip(at.tolist(), matches, strict=True) if e]
+        if edited:
+            near[np.searchsorted(kinds, np.array([h for h, _ in edited]))] = [t for _, t in edited]
     seen = near[kind] >= 0
     per_term = np.unique(near[kind[seen]] * len(label_of) + (pairs % len(label_of))[seen]) if seen.any() else np.zeros(0, dtype=np.int64)
     term, of = per_term // len(label_of), label_of[per_term % len(label_of)]
@@ -304,9 +329,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = known.filter(F.when(F.col("y") == 1, share_filter(F.col("id"), rows.get(1, 0), bounds[1])).otherwise(share_filter(F.col("id"), rows.get(0, 0), bounds[0])))
     # the sample is bounded, so it can go to every task; repeated documents are held to the bound as well
     sample = docs.select(col(id_col).alias("id"), col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y").limit(2 * sum(bounds))
-    got = sorted((r.id, r.t or "", r.y) for r in sample.collect())
+    got = sample.withColumn("t", F.coalesce("t", F.lit(""))).toArrow()
+    got = got.sort_by([("id", "ascending"), ("t", "ascending")])
     shares = tuple(min(1.0, bounds[y] / max(1, rows.get(y, 0))) for y in (0, 1))
-    return learn([t for _, t, _ in got], [y for _, _, y in got], shares)
+    return learn(got.column("t").cast(pa.large_string()).combine_chunks(), got.column("y").to_numpy(), shares)
 
 
 def score_function(model: Model):
