@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import col
+from .store import bound_batches, col
 
 #: Texts longer than this are cut at safe boundaries before encoding.
 LONG_TEXT = 1 << 16
@@ -93,6 +93,8 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
     by commas (of an empty text over nothing).
     """
 
+    bound_batches(docs.sparkSession)
+
     @F.arrow_udf(f"struct<{ROUND_TRIP.replace(' ', ': ').replace(',:', ',')}>")
     def digest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = encoding(rank_file, pattern)

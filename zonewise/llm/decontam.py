@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, BYTE_HASH_FOLDED, Slice, owner, segment_sums, text_slices
-from .store import col, fresh
+from .store import bound_batches, col, fresh
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
@@ -193,6 +193,7 @@ def hits_function(indexes: list):
 def build_indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> list:
     """Broadcast indexes of at most INDEX_BYTES of text each; the driver holds one at a time."""
     spark = benchmark.sparkSession
+    bound_batches(spark)
     rows = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(col(text_col), F.lit("")).alias("t"))
     out, ids, texts, held = [], [], [], 0
     for row in rows.toLocalIterator():

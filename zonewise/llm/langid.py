@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import LOWER, Slice, text_slices
 from .sampling import share_filter
-from .store import col, fold_of
+from .store import bound_batches, col, fold_of
 
 FOLDS = 5
 #: Bounds of the training sample: documents, and windows drawn from them.
@@ -172,6 +172,7 @@ def learn(texts: list[str], langs: list[str], seed: int = 3) -> ByteCNN | None:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
     """Learns from at most about MAX_DOCS rows that have a language and a letter and are not held out."""
+    bound_batches(docs.sparkSession)
     known = docs.select(col(id_col).alias("id"), col(text_col).alias("t"), col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL").filter(fold_of("id", FOLDS) != 0)
     rows = {r.l: r["count"] for r in known.groupBy("l").count().collect()}
     each = MAX_DOCS // max(1, len(rows))

@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes and rows in one Arrow batch between Spark and Python: texts may be long, and a batch is held on both sides.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4096
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps what goes to a Python worker at once below BATCH_BYTES, or one row."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -31,6 +41,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_root(spark)}/zonewise-{job}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:

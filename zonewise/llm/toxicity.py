@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, BYTE_HASH_FOLDED, LOWER, Slice, mix, text_slices
 from .sampling import share_filter
-from .store import col, fold_of, fresh
+from .store import bound_batches, col, fold_of, fresh
 
 #: Bounds of the training sample: labelled documents of each class.
 MAX_TOXIC, MAX_OTHER = 4_000, 8_000
@@ -322,6 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Of several labels of a document the highest holds; null labels and labels of no document are left out.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(fold_of("id", FOLDS) != HELD_OUT).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     rows = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
