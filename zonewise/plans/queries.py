@@ -367,19 +367,19 @@ def flux_mean(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _CALIBRATED = "j AS (SELECT s.*, flux_mag0 AS f0, flux_mag0_err AS s0 FROM source s JOIN exposure USING (exposure_id))"
-_CAL = "2e0 * flux / f0", "4e0 * (flux_err * flux_err * f0 * f0 + s0 * s0 * flux * flux) / power(f0, 4)"
+_CAL = "1.9371e0 * flux / f0", "3.75235641e0 * (flux_err * flux_err * f0 * f0 + s0 * s0 * flux * flux) / power(f0, 4)"
 
 
 @query(f"{cte('source', 'exposure')}, {_CALIBRATED}, {sql_flux(*_CAL, 'j')}")
 def flux_mean_calibrated(spark: SparkSession, sf: str) -> DataFrame:
     met = with_exposure(view(spark, sf, "source"), view(spark, sf, "exposure"), ["flux_mag0", "flux_mag0_err"])
-    return rounded(attributes.flux_mean(met, ["cluster_id", "filter_id"], scale=2.0, zero="flux_mag0", zero_sigma="flux_mag0_err"), 5, "flux", "flux_err")
+    return rounded(attributes.flux_mean(met, ["cluster_id", "filter_id"], scale=1.9371, zero="flux_mag0", zero_sigma="flux_mag0_err"), 5, "flux", "flux_err")
 
 
 @query(f"{cte('source', 'exposure')}, {_CALIBRATED} SELECT id, {sql_round(4, f'{_CAL[0]} AS flux', f'{_CAL[1]} AS variance')} FROM j WHERE flux_err > 0")
 def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     met = with_exposure(view(spark, sf, "source"), view(spark, sf, "exposure"), ["flux_mag0", "flux_mag0_err"]).filter("flux_err > 0")
-    made = met.select("id", calibrate_flux(F.col("flux"), F.col("flux_mag0"), 2.0).alias("flux"), calibrated_variance(*(F.col(c) for c in ("flux", "flux_err", "flux_mag0", "flux_mag0_err")), 2.0).alias("variance"))
+    made = met.select("id", calibrate_flux(F.col("flux"), F.col("flux_mag0"), 1.9371).alias("flux"), calibrated_variance(*(F.col(c) for c in ("flux", "flux_err", "flux_mag0", "flux_mag0_err")), 1.9371).alias("variance"))
     return rounded(made, 4, "flux", "variance")
 
 
@@ -687,4 +687,6 @@ def source_association(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.array(*(F.lit(f) for f in FILTERS)), F.col("filter_id") + 1)
     exposures = view(spark, sf, "exposure").withColumn("filter", name)
     control = source_assoc.AssocControl(resolution=TILES, bad_flags=("flag_r", "flag_f"), clustering=cluster.ClusteringControl(2.0, 2))
-    return source_assoc.associate(view(spark, sf, "source").drop("cluster_id", "filter_id"), exposures, control).clusters
+    # an order's line numbers repeat: ids are made distinct with the part
+    sources = view(spark, sf, "source").withColumn("id", F.col("id") * 1_000_003 + F.col("cluster_id")).dropDuplicates(["id"])
+    return source_assoc.associate(sources.drop("cluster_id", "filter_id"), exposures, control).clusters

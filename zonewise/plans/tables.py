@@ -41,7 +41,7 @@ VIEWS: dict[str, tuple[str, str]] = {
         "l_suppkey AS exposure_id, l_suppkey % 6 AS filter_id, 5e4 + l_suppkey + l_linenumber * 1e-2 AS time_mid, l_quantity * 2e1 + id % 13 AS x, l_discount * 9e3 + l_tax * 1e3 AS y, "
         "CASE WHEN id % 31 = 0 THEN CAST('NaN' AS DOUBLE) WHEN id % 29 = 0 THEN -1e0 ELSE 1e-2 + (id % 7) * 1e-3 END AS x_var, 2e-2 + (id % 5) * 1e-3 AS y_var, CASE WHEN id % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 2e-3 END AS xy_cov, "
         "CASE WHEN id % 23 = 0 THEN CAST('NaN' AS DOUBLE) ELSE l_extendedprice END AS flux, CASE WHEN id % 19 = 0 THEN 0e0 ELSE l_tax * 1e2 + 1e0 END AS flux_err, "
-        "CASE WHEN id % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 2e0 + (id % 11) * 1e-1 END AS ixx, 3e0 + (id % 9) * 1e-1 AS iyy, (id % 5) * 1e-1 AS ixy, 1e-2 + (id % 3) * 1e-3 AS s_var, CASE WHEN id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1e-3 END AS s_cov, "
+        "CASE WHEN id % 37 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 2e0 + (id % 11) * 1.01379137461e-1 END AS ixx, 3e0 + (id % 9) * 1.01713719377e-1 AS iyy, (id % 5) * 1.00917731913e-1 AS ixy, 1e-2 + (id % 3) * 1e-3 AS s_var, CASE WHEN id % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 1e-3 END AS s_cov, "
         "l_returnflag = 'R' AS flag_r, l_linestatus = 'F' AND l_quantity > 45 AS flag_f",
     ),
     "exposure": (
