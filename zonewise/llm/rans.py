@@ -283,7 +283,7 @@ def through_files(docs: DataFrame, tokenizer_file: str, scratch: Scratch, id_col
     """
     spark = docs.sparkSession
     kind = id_type(tokenizer_file)
-    encoded = scratch.write(tokenize(docs, tokenizer_file, id_col, text_col, kind), "ids")
+    encoded = scratch.write(tokenize(docs, tokenizer_file, id_col, text_col, kind), "ids", "zstd")
     table = count_ids(encoded, kind)
     if not len(table.symbol):
         return spark.createDataFrame([], f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
