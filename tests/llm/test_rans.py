@@ -96,6 +96,15 @@ def test_query_equals_library(spark, monkeypatch, bucket, block):
     assert sorted(tuple(r) for r in QUERIES["op10_token_files"](spark, SF).collect()) == expected(docs)
 
 
+def test_files_give_the_ids_back(spark):
+    docs, scratch = documents(spark, ODD_TEXTS), Scratch(spark, "t")
+    encoded = scratch.write(rans.tokenize(docs, FILE, "doc_id", "text"), "ids")
+    made = rans.count_ids(encoded)
+    rans.write_files(*rans.in_buckets(encoded), made, scratch.path("files"))
+    got = {r.id: np.frombuffer(r["ids"], "<u4").tolist() for r in rans.read_documents(spark, scratch.path("files"), made).collect()}
+    assert got == {i: [*ids, 0] for i, ids in enumerate(library_ids(ODD_TEXTS))}
+
+
 def test_odd_texts_nulls_repeats_and_empty_table(spark):
     docs = documents(spark, ODD_TEXTS)
     assert read_back(spark, docs) == expected([(i, t) for i, t in enumerate(ODD_TEXTS)])

@@ -254,8 +254,8 @@ def write_files(rows: DataFrame, before: dict[tuple[int, int], int], table: Tabl
     made.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", BLOCKS_PER_FILE).mode("overwrite").text(path)
 
 
-def read_documents(spark, path: str, table: Table) -> DataFrame:
-    """Rows (id, start, n, crc, ids) of the files, each file's blocks decoded and verified one by one."""
+def read_documents(spark, path: str, table: Table, with_ids: bool = True) -> DataFrame:
+    """Rows (id, start, n, crc[, ids]) of the files, each file's blocks decoded and verified one by one; ids as unsigned 32-bit integers."""
     shared = spark.sparkContext.broadcast(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,13 +266,13 @@ def read_documents(spark, path: str, table: Table) -> DataFrame:
                     starts = ends - docs["size"].astype(np.int64)
                     raw = memoryview(ids.astype("<u4").tobytes())
                     blobs = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs["id"].astype(np.int64), pa.int64(), mask=docs["known"] == 0), pa.array(starts + first), pa.array(ends - starts), pa.array([zlib.crc32(b) for b in blobs], pa.int64()), pa.array([bytes(b) for b in blobs], pa.binary())],
-                        ["id", "start", "n", "crc", "ids"],
-                    )
+                    columns = [pa.array(docs["id"].astype(np.int64), pa.int64(), mask=docs["known"] == 0), pa.array(starts + first), pa.array(ends - starts), pa.array([zlib.crc32(b) for b in blobs], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.array([bytes(b) for b in blobs], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n", "crc", "ids"][: len(columns)])
 
     files = spark.read.format("binaryFile").load(f"{path}/part-*").select("content")
-    return files.mapInArrow(decode, "id bigint, start bigint, n bigint, crc bigint, ids binary")
+    return files.mapInArrow(decode, "id bigint, start bigint, n bigint, crc bigint" + ", ids binary" * with_ids)
 
 
 def through_files(docs: DataFrame, tokenizer_file: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,4 +290,4 @@ def through_files(docs: DataFrame, tokenizer_file: str, scratch: Scratch, id_col
     rows, before = in_buckets(encoded)
     write_files(rows, before, table, scratch.path("files"), kind)
     scratch.drop("ids")
-    return read_documents(spark, scratch.path("files"), table).select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return read_documents(spark, scratch.path("files"), table, with_ids=False).select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
