@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
 import pyarrow as pa
@@ -117,6 +118,73 @@ def test_fences_follow_their_group(spark):
     assert quality.keep_good(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def brute_kept(docs):
+    """kept of (lang, source, text) rows, from weighted lists of values."""
+    once = {"symbols_pm": (2, 1), "dup_lines_pm": (3, 1), "repeat_pm": (4, 6)}
+
+    def floor(v):
+        step = 1 << max(0, v.bit_length() - 6)
+        return v // step * step
+
+    made = []
+    for lang, source, text in docs:
+        c = counts(text)
+        f = {"symbols_pm": 1000 * c[2] // max(1, c[1]), "dup_lines_pm": 1000 * c[3] // max(1, c[5]), "repeat_pm": 1000 * c[4] // max(1, c[0]), "word_len_10": 10 * c[1] // max(1, c[0])}
+        made.append((lang, source, c, f, c[0] >= quality.MIN_WORDS and 100 * c[4] <= quality.MAX_REPEAT_PERCENT * c[0]))
+    good = [m for m in made if m[4]]
+
+    def mixed(name, lang, source):
+        group, language = [[m for m in good if m[0] == lang and m[1] in s] for s in ({source}, {m[1] for m in good})]
+        k, weights = quality.MIN_GROUP, Counter()
+        for rows, w in ((group, Fraction(1)), (language, Fraction(k, len(language) + k)), (good, Fraction(k, len(language) + k) * Fraction(k, len(good)))):
+            for m in rows:
+                weights[floor(m[3][name])] += w
+        return sorted(weights.items())
+
+    def quantile(weights, q):
+        upto, whole = 0, sum(w for _, w in weights)
+        for v, w in weights:
+            upto += w
+            if upto >= Fraction(round(1000 * q), 1000) * whole:
+                return v
+
+    known, kept = {}, []
+    for lang, source, c, f, base in made:
+        ok = base
+        for name, (side, q) in quality.FEATURES.items() if base else ():
+            if (lang, source, name) not in known:
+                weights = mixed(name, lang, source)
+                known[lang, source, name] = [quantile(weights, x) for x in (quality.LOW_Q, 0.5, q)]
+            lo, mid, hi = known[lang, source, name]
+            at, least = once.get(name, (0, 0)), max(1, mid // 32)
+            ok &= not (f[name] > hi + quality.SPREADS * max(hi - mid, least) and c[at[0]] > at[1])
+            ok &= not (side == "both" and f[name] < lo - quality.SPREADS * max(mid - lo, least))
+        kept.append(ok)
+    return kept
+
+
+def test_kept_equals_brute_force(spark):
+    docs = table(spark, SF.replace("0.001", "0.01"), "documents")
+    docs = docs.union(docs.limit(60).selectExpr("doc_id + 1000000", "text", "CAST(NULL AS STRING)", "source", "n_chars"))
+    docs = Scratch(spark, "t").write(docs, "docs")
+    rows = docs.orderBy("doc_id").collect()
+    want = brute_kept([(r.lang, r.source, r.text) for r in rows])
+    got = [r.kept for r in quality.quality_verdicts(docs, Scratch(spark, "t")).orderBy("doc_id").collect()]
+    assert got == want
+    assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).orderBy("doc_id").collect()] == [r.doc_id for r, k in zip(rows, want, strict=True) if k]
+
+
+def test_repeats_unusual_in_a_clean_group_fail(spark):
+    clean = ["\n".join(" ".join(f"w{i}x{k}y{j}" for k in range(6)) for j in range(20)) for i in range(100, 400)]
+    lines = clean[0].split("\n")
+    words = clean[0].split()
+    bad = ["\nseparate\n".join(lines[:10]) + "\nseparate", " ".join(w + " abcdefgh bcdefghi cdefghij" * (k % 4 == 0) for k, w in enumerate(words))]
+    assert 1000 * counts(bad[0])[3] // counts(bad[0])[5] == 450 and 400 < 1000 * counts(bad[1])[4] // counts(bad[1])[0] < 450
+    once = ["\n".join([*lines, "separate", "separate"]), " ".join([*words, *words[:3]])]
+    rows = quality.quality_verdicts(documents(spark, [*clean, *once, *bad]), Scratch(spark, "t")).orderBy("doc_id").collect()
+    assert not any(r.base_failed for r in rows) and [r.kept for r in rows] == [True] * (len(clean) + 2) + [False] * 2
+
+
 def test_sketch_bins_hold_their_values(spark):
     values = [*range(200), *(2**k + d for k in range(7, 40) for d in (-1, 0, 1))]
     df = spark.createDataFrame([(v,) for v in values], "v long").select("v", quality.sketch_bin("v").alias("b"))

@@ -6,9 +6,11 @@ is a sum: sketches of parts merge by adding, in any order, to the same sketch, s
 depend on how the table is split, and Spark's partial aggregates are the merge. A group has at most
 some 2,000 bins whatever it holds, so a group with a third of all rows costs no more than others.
 
-A document fails a feature if it lies beyond its group's fence: the upper quartile plus some times its
-distance from the median (the lower one likewise), so a group may hold a quarter of junk. Groups too small to tell take the merged sketch of their language, or of
-all documents.
+A document fails a feature if it lies beyond its group's fence: a high quantile plus some times its
+distance from the median (a low one likewise). Features that most texts have none of take a quantile
+that leaves room for less junk, as theirs tell nothing lower down. Sketches hold the documents that
+pass the base rules. A group's sketch is mixed with its language's as if MIN_GROUP documents of that
+were added, and the language's with that of all, so fences change gradually with a group's size.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 COUNTS_TYPE = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Documents that a group needs for fences of its own.
+#: What the next coarser sketch weighs beside a group's own, in documents.
 MIN_GROUP = 200
-#: Of each feature: the sides on which a document may fail, and the least distance of the fence from the median, in the feature's units.
-FEATURES = {"symbols_pm": ("high", 40), "dup_lines_pm": ("high", 500), "repeat_pm": ("high", 450), "word_len_10": ("both", 20)}
-#: Fence: the quantile, and how many spreads (from the median to that quantile) beyond it.
-LOW_Q, HIGH_Q, SPREADS = 0.25, 0.75, 6
+#: Of each feature: the sides on which a document may fail, and the quantile that the high fence starts from.
+FEATURES = {"symbols_pm": ("high", 0.85), "dup_lines_pm": ("high", 0.85), "repeat_pm": ("high", 0.9), "word_len_10": ("both", 0.75)}
+#: Fence: the low quantile, and how many spreads (from the median to the quantile, at least the sketch's resolution) beyond it.
+LOW_Q, SPREADS = 0.25, 6
+#: The least that a text can have of a feature, which fails no text by itself: a symbol, a line again, three words again.
+ONCE = {"symbols_pm": ("n_symbols", 1), "dup_lines_pm": ("n_dup_lines", 1), "repeat_pm": ("n_repeat_words", 6)}
 #: Groups whose fences fit this number are broadcast; beyond it the join shuffles, and skewed keys are split.
 BROADCAST_GROUPS = 100_000
 
@@ -142,45 +146,58 @@ def merge(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return sketch.groupBy(*keys, "feature", "bin").agg(F.sum("n").alias("n"))
 
 
+def shrunk(sketch: DataFrame, keys: list[str], prior: DataFrame, on: list[str]) -> DataFrame:
+    """The sketch of every group with the coarser group's (of the keys ``on``) added as MIN_GROUP documents.
+
+    Counts are multiplied by the coarser group's size, so they stay integers and the sums exact.
+    """
+    exact = F.col("n").cast("decimal(38,0)")
+    theirs = prior.withColumn("total", F.sum(exact).over(Window.partitionBy(*on, "feature"))).withColumnsRenamed({k: f"p_{k}" for k in on})
+    meets = F.lit(True)
+    for k in on:
+        meets &= F.col(k).eqNullSafe(F.col(f"p_{k}"))
+    added = sketch.select(*keys).distinct().join(theirs, meets).select(*keys, "feature", "bin", (MIN_GROUP * exact).cast("decimal(38,0)").alias("n"))
+    totals = theirs.select(*(f"p_{k}" for k in on), F.col("feature").alias("p_feature"), "total").distinct()
+    own = sketch.join(totals, meets & F.expr("feature = p_feature")).select(*keys, "feature", "bin", (exact * F.col("total")).cast("decimal(38,0)").alias("n"))
+    return merge(own.unionByName(added), keys)
+
+
 def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, size, low_<feature>, high_<feature>) from sketches; a side on which no document fails is null."""
+    """Rows (keys, low_<feature>, high_<feature>) from sketches; a side on which no document fails is null."""
     running = Window.partitionBy(*keys, "feature").orderBy("bin")
     whole = Window.partitionBy(*keys, "feature")
     ranked = sketch.withColumn("upto", F.sum("n").over(running)).withColumn("size", F.sum("n").over(whole)).withColumn("value", bin_floor("bin"))
+    high_q = F.coalesce(*(F.when(F.col("feature") == name, round(1000 * q)) for name, (_, q) in FEATURES.items()))
 
-    def quantile(q: float) -> Column:
-        # the least value with a share q of the rows at or below it; counts are integers, so per mille is exact
-        return F.min(F.when(1000 * F.col("upto") >= round(1000 * q) * F.col("size"), F.col("value")))
+    def quantile(per_mille: Column) -> Column:
+        # the least value with such a share of the rows at or below it; counts are integers, so per mille is exact
+        return F.min(F.when(1000 * F.col("upto") >= per_mille * F.col("size"), F.col("value")))
 
-    known = ranked.groupBy(*keys, "feature").agg(F.max("size").alias("size"), quantile(LOW_Q).alias("lo"), quantile(0.5).alias("mid"), quantile(HIGH_Q).alias("hi"))
-    columns = [F.max("size").alias("size")]
-    for name, (side, least) in FEATURES.items():
+    known = ranked.groupBy(*keys, "feature").agg(quantile(F.lit(round(1000 * LOW_Q))).alias("lo"), quantile(F.lit(500)).alias("mid"), quantile(high_q).alias("hi"))
+    columns = []
+    least = F.greatest(F.lit(1), F.expr("mid DIV 32"))
+    for name, (side, _) in FEATURES.items():
         mine = F.col("feature") == name
-        high = F.greatest(F.col("hi") + SPREADS * (F.col("hi") - F.col("mid")), F.col("mid") + least)
-        low = F.least(F.col("lo") - SPREADS * (F.col("mid") - F.col("lo")), F.col("mid") - least)
+        high = F.col("hi") + SPREADS * F.greatest(F.col("hi") - F.col("mid"), least)
+        low = F.col("lo") - SPREADS * F.greatest(F.col("mid") - F.col("lo"), least)
         columns.append(F.max(F.when(mine, high)).alias(f"high_{name}"))
         columns.append(F.max(F.when(mine, low if side == "both" else F.lit(None))).cast("bigint").alias(f"low_{name}"))
     return known.groupBy(*keys).agg(*columns)
 
 
-def group_fences(featured: DataFrame) -> DataFrame:
-    """For each (lang, source) its own fences if it has MIN_GROUP documents, else its language's if that has, else those of all."""
-    own = sketches(featured, ["lang", "source"])
+def group_fences(featured: DataFrame, scratch) -> DataFrame:
+    """The fences of each (lang, source), from its sketch mixed with its language's and that of all."""
+    own = scratch.write(sketches(featured.filter(~base_failed()), ["lang", "source"]), "sketches")
     by_lang = merge(own, ["lang"])
-    everything = merge(by_lang.withColumn("every", F.lit(1)), ["every"])
-    chosen = fences(own, ["lang", "source"]).alias("a")
-    second = fences(by_lang, ["lang"]).alias("b")
-    third = fences(everything, ["every"]).alias("c")
-    joined = chosen.join(second, F.expr("a.lang <=> b.lang"), "left").join(F.broadcast(third), F.lit(True), "left")
-    names = [f"{s}_{f}" for f in FEATURES for s in ("low", "high")]
-    pick = [F.when(F.col("a.size") >= MIN_GROUP, F.col(f"a.{n}")).when(F.col("b.size") >= MIN_GROUP, F.col(f"b.{n}")).otherwise(F.col(f"c.{n}")).alias(n) for n in names]
-    return joined.select(F.col("a.lang").alias("lang"), F.col("a.source").alias("source"), *pick)
+    by_lang = shrunk(by_lang, ["lang"], merge(own, []), [])
+    return fences(shrunk(own, ["lang", "source"], by_lang, ["lang"]), ["lang", "source"])
 
 
 def within_fences() -> Column:
     ok = F.lit(True)
     for name in FEATURES:
-        for side, fails in (("low", F.col(name) < F.col(f"low_{name}")), ("high", F.col(name) > F.col(f"high_{name}"))):
+        count, once = ONCE.get(name, ("n_words", 0))
+        for side, fails in (("low", F.col(name) < F.col(f"low_{name}")), ("high", (F.col(name) > F.col(f"high_{name}")) & (F.col(count) > once))):
             ok &= ~F.coalesce(fails, F.lit(False))
     return ok
 
@@ -203,7 +220,7 @@ def quality_verdicts(docs: DataFrame, scratch, id_col: str = "doc_id", text_col:
     """
     counted = docs.select(col(id_col).alias("id"), col(lang_col).cast("string").alias("lang"), col(source_col).cast("string").alias("source"), text_counts()(col(text_col)).alias("c"))
     counted = scratch.write(counted.select("id", "lang", "source", "c.*"), "counts")
-    limits = scratch.write(group_fences(with_features(counted)), "fences")
+    limits = scratch.write(group_fences(with_features(counted), scratch), "fences")
     made = judged(counted, limits, limits.count())
     return made.select(F.col("id").alias(id_col), *COUNTS[:-1], "base_failed", "kept")
 
@@ -215,7 +232,7 @@ def keep_good(docs: DataFrame, scratch, text_col: str = "text", lang_col: str =
     """
     count = text_counts()
     counted = docs.select(col(lang_col).cast("string").alias("lang"), col(source_col).cast("string").alias("source"), count(col(text_col)).alias("c"))
-    limits = scratch.write(group_fences(with_features(counted.select("lang", "source", "c.*"))), "fences")
+    limits = scratch.write(group_fences(with_features(counted.select("lang", "source", "c.*")), scratch), "fences")
     row = fresh(docs, "row")
     held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias(row), col(lang_col).cast("string").alias("lang"), col(source_col).cast("string").alias("source"), count(col(text_col)).alias("c"))
     good = judged(held.select(row, "lang", "source", "c.*"), limits, limits.count()).filter("kept")
