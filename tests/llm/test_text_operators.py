@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 from fractions import Fraction
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -253,6 +254,47 @@ def test_quotation_is_told_from_abuse():
     assert open_ >= toxicity.THRESHOLD > quoted and nothing < toxicity.THRESHOLD and typo > nothing
 
 
+def in_quotes(line, start, end):
+    """By reading the line from its start."""
+    inside = line[:start].count('"') % 2 and '"' in line[end:]
+    for a, b in ("“”", "«»", "„“", "‹›"):
+        state = False
+        for letter in line[:start]:
+            state = letter == a or (state and letter != b)
+        inside = inside or (state and b in line[end:])
+    return bool(inside)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet='“”„«»‹›"x \né', max_size=60).map(lambda t: t.replace(" ", " " * 90)), min_size=1, max_size=4))
+def test_quotation_state_equals_reading_the_line(texts):
+    (part,) = text_slices(pa.array(texts))
+    want, starts = [], []
+    for text, off in zip(texts, part.offs, strict=False):
+        for m in re.finditer("x", text):
+            line = text.rfind("\n", 0, m.start()) + 1
+            want.append(in_quotes(text[line:].split("\n")[0], m.start() - line, m.end() - line))
+            starts.append(off + len(text[: m.start()].encode()))
+    starts = np.array(starts, dtype=np.int64)
+    assert toxicity.quoted(part.buf, part.offs, starts, starts + 1).tolist() == want
+
+
+def test_quotations_are_told_however_long_the_line():
+    rnd = random.Random(4)
+    prose = [" ".join(f"word{rnd.randrange(3000)}" for _ in range(40)) for _ in range(180)]
+    model = toxicity.learn(prose[:120] + [t.replace(" ", " villain ", 2) for t in prose[120:]], [0] * 120 + [1] * 60).ready()
+    long = "they said much " * 25
+    after, inside = model.scores(pa.array([f'"{long}" a villain here, and "so on" it went', f'He wrote "{long} a villain {long}" and left']))
+    assert after >= toxicity.THRESHOLD > inside
+
+
+def test_rare_terms_are_learned():
+    rnd = random.Random(6)
+    texts = [" ".join(f"word{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(3000)]
+    toxic = [t + " villain" + " scoundrel" * (i < 8) for i, t in enumerate(texts[2000:])]
+    assert toxicity.learn(texts[:2000] + toxic, [0] * 2000 + [1] * 1000).terms == ["villain", "scoundrel"]
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf = SF.replace("0.001", "0.1")
     labels = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect()}

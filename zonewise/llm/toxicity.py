@@ -31,16 +31,16 @@ from .store import bound_batches, col, fold_of, fresh
 MAX_TOXIC, MAX_OTHER = 4_000, 8_000
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: Terms: the least number of (groups of near copies of) toxic texts with the term, also as a share of them; how many times likelier; letters; how many at most.
-MIN_TEXTS, MIN_SHARE, MIN_TIMES, MIN_LETTERS, MAX_TERMS = 3, 0.01, 30, 3, 4_096
+#: Terms: the least number of (groups of near copies of) toxic texts with the term; how many times likelier; letters; how many at most.
+MIN_TEXTS, MIN_TIMES, MIN_LETTERS, MAX_TERMS = 3, 30, 3, 4_096
+#: Standard errors by which a term's share of toxic texts must exceed its share of others.
+SURE = 2.0
 #: A longer word is no term.
 MAX_LETTERS = 64
 #: Letters that a term must have for one edit, and for two.
 ONE_EDIT, TWO_EDITS = 5, 9
 #: Words to either side of a hit that belong to its window.
 CONTEXT = 12
-#: Bytes to either side of a hit in which quotation marks are looked for.
-QUOTE_REACH = 240
 #: The share of an exact term's weight that a misspelling never seen in training gets.
 UNSEEN_EDIT = 0.6
 OPENERS, CLOSERS = "“«„‹", "”»“›"
@@ -133,13 +133,32 @@ class LexiconAutomaton:
         return self.accepts[state]
 
 
-def quoted(text: bytes, start: int, end: int) -> bool:
-    """Whether the span stands between quotation marks within its line and QUOTE_REACH."""
-    before = text[max(0, start - QUOTE_REACH) : start].rpartition(b"\n")[2].decode("utf-8", "ignore")
-    after = text[end : end + QUOTE_REACH].partition(b"\n")[0].decode("utf-8", "ignore")
-    if before.count('"') % 2 and '"' in after:
-        return True
-    return any(before.rfind(a) > before.rfind(b) and b in after for a, b in zip(OPENERS, CLOSERS, strict=True))
+def quoted(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which spans of the texts (buf, offs) stand between quotation marks within their line, however long that is."""
+    breaks = np.sort(np.concatenate([offs, np.flatnonzero(buf == 0x0A)]))
+    first, last = breaks[np.searchsorted(breaks, starts, side="right") - 1], breaks[np.searchsorted(breaks, ends)]
+
+    def places(mark: str) -> np.ndarray:
+        code = mark.encode()
+        at = np.flatnonzero(buf[: max(0, len(buf) - len(code) + 1)] == code[0])
+        for k in range(1, len(code)):
+            at = at[buf[at + k] == code[k]]
+        return at
+
+    def latest(at: np.ndarray) -> np.ndarray:
+        # -1 where a span's line has no such mark before it
+        found = np.concatenate([[-1], at])[np.searchsorted(at, starts)]
+        return np.where(found >= first, found, -1)
+
+    def follows(at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(at, last) > np.searchsorted(at, ends)
+
+    at = places('"')
+    inside = ((np.searchsorted(at, starts) - np.searchsorted(at, first)) % 2 == 1) & follows(at)
+    for a, b in zip(OPENERS, CLOSERS, strict=True):
+        closers = places(b)
+        inside |= (latest(places(a)) > latest(closers)) & follows(closers)
+    return inside
 
 
 N_FEATURES = 7
@@ -184,7 +203,7 @@ class Model:
         words = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
         out = np.zeros((part.n, N_FEATURES))
         at, matches = self.hits(part, words, starts, ends)
-        raw = part.buf.tobytes() if len(at) else b""
+        calm_at = quoted(part.buf, part.offs, starts[at], ends[at]) if len(at) else np.zeros(0, dtype=bool)
         doc = np.searchsorted(bounds, at, side="right") - 1
         edges = np.flatnonzero(np.diff(doc, prepend=-1, append=part.n))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -192,7 +211,7 @@ class Model:
             where = at[a:b]
             weight = np.array([self.edited[t] if e else self.exact[t] for t, e in matches[a:b]])
             exact = np.array([e == 0 for _, e in matches[a:b]])
-            calm = np.array([quoted(raw[part.offs[d] : part.offs[d + 1]], s - part.offs[d], e - part.offs[d]) for s, e in zip(starts[where], ends[where], strict=True)])
+            calm = calm_at[a:b]
             window = np.zeros(len(where))
             for k in range(len(where)):
                 low, high = np.searchsorted(where, [where[k] - CONTEXT, where[k] + CONTEXT + 1])
@@ -217,6 +236,16 @@ def _log_odds(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
     return np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
 
 
+def _surely_more(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
+    """Whether the lower (Wilson) bound of a share is above the upper one of another."""
+
+    def bound(k: np.ndarray, n: int, z: float) -> np.ndarray:
+        return (k + z * z / 2 + z * np.sqrt(k * (n - k) / max(1, n) + z * z / 4)) / (n + z * z)
+
+    # a negative z with its square gives the lower bound
+    return bound(a, n_a, -SURE) > bound(b, n_b, SURE)
+
+
 def _distinct_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word, text) of each distinct word of each text, and of each text a hash that near copies mostly share: the least of its words'."""
     words, docs, least, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], 0
@@ -270,7 +299,7 @@ def learn(texts: list[str] | pa.Array, toxic: list[int] | np.ndarray, shares: tu
     kind, of = pairs // len(label_of), label_of[pairs % len(label_of)]
     in_1, in_0 = np.bincount(kind, of, len(kinds)), np.bincount(kind, 1 - of, len(kinds))
     odds = _log_odds(in_1, n_1, in_0, n_0)
-    good = np.flatnonzero((in_1 >= max(MIN_TEXTS, MIN_SHARE * n_1)) & (odds >= math.log(MIN_TIMES)))
+    good = np.flatnonzero((in_1 >= MIN_TEXTS) & (odds >= math.log(MIN_TIMES)) & _surely_more(in_1, n_1, in_0, n_0))
     spelled = _spellings(array, kinds[good])
     good = [i for i in good[np.lexsort((kinds[good], -in_1[good]))].tolist() if MIN_LETTERS <= len(spelled[int(kinds[i])]) < MAX_LETTERS][:MAX_TERMS]
     terms = [spelled[int(kinds[i])] for i in good]
