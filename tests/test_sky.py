@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonewise.functions import raster, tiles
 from zonewise.functions.earth import earth_vector
-from zonewise.operators import cluster, match, spatial
+from zonewise.operators import cluster, match, qa, spatial
 from zonewise.plans.source_assoc import parse_ids
 from zonewise.sources.dialect import CsvDialect, CsvError, format_record, parse_text
 from zonewise.streaming.visits import VisitError, VisitLog
@@ -153,3 +153,52 @@ def test_visit_log(spark, tmp_path):
     log.fail(2)
     log.fail(12345)
     assert not log.is_in_flight(2) and log.end(1) and not log.end(2) and not log.end(3, rollback=True)
+
+
+def clipped(polygon, sides):
+    """What is left of a polygon within the planes, by cutting off what lies behind each."""
+    for n in sides:
+        kept = []
+        for p, q in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+            d, e = p @ n, q @ n
+            if d > 0:
+                kept.append(p)
+            if d * e < 0:
+                kept.append(p * abs(e) + q * abs(d))
+        polygon = kept
+    return polygon
+
+
+def test_footprint_tiles_equal_clipping_and_a_fine_grid(spark):
+    rnd, resolution = random.Random(8), 9
+    rows = []
+    for k in range(30):
+        dec = (90.0, -90.0, 0.0, 35.26438968)[k] if k < 4 else math.degrees(math.asin(rnd.uniform(-1, 1)))
+        ra, size, turn = 45.0 if k == 3 else rnd.uniform(0, 360), (0.02, 0.3, 3.0)[k % 3], rnd.uniform(0, 2 * math.pi)
+        c, s = size * math.cos(turn), size * math.sin(turn)
+        rows.append((k, ra, dec, 20.5, 10.5, c, -s, s, c, 0.0, 0.0, 40, 20))
+    names = "exposure_id int, crval1 double, crval2 double, crpix1 double, crpix2 double, cd1_1 double, cd1_2 double, cd2_1 double, cd2_2 double, x0 double, y0 double, width int, height int"
+    got = [tuple(r) for r in qa.footprint_tiles(spark.createDataFrame(rows, names), resolution).collect()]
+    want, sampled = set(), set()
+    for k, ra, dec, p1, p2, c11, c12, c21, c22, _, _, w, h in rows:
+        r, d = math.radians(ra), math.radians(dec)
+        east, north = np.array([-math.sin(r), math.cos(r), 0]), np.array([-math.sin(d) * math.cos(r), -math.sin(d) * math.sin(r), math.cos(d)])
+        if abs(dec) == 90:
+            east, north = np.array([0.0, 1.0, 0.0]), np.array([-1.0, 0.0, 0.0])
+
+        def place(x, y):
+            u, v = x + 1 - p1, y + 1 - p2
+            return unit(ra, dec) + math.radians(c11 * u + c12 * v) * east + math.radians(c21 * u + c22 * v) * north
+
+        corners = [place(x, y) for x, y in ((-0.5, -0.5), (w - 0.5, -0.5), (w - 0.5, h - 0.5), (-0.5, h - 0.5))]
+        inner = sum(corners)
+        sides = [n * np.sign(n @ inner) for n in (np.cross(a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True))]
+        for tile in range(6 * resolution**2):
+            polygon = [unit(*tiles.tile_center(tile, resolution, i, j)) for i, j in ((0, 0), (1, 0), (1, 1), (0, 1))]
+            if clipped(polygon, sides):
+                want.add((k, tile))
+        grid = np.array([place(x, y) for x in np.linspace(-0.49, w - 0.51, 150) for y in np.linspace(-0.49, h - 0.51, 150)])
+        sampled |= {(k, *p) for p in grid.tolist()}
+    points = spark.createDataFrame(sorted(sampled), "k int, x double, y double, z double").selectExpr("k", "degrees(atan2(y, x)) AS ra", "degrees(atan2(z, sqrt(x * x + y * y))) AS dec")
+    seen = {tuple(r) for r in points.select("k", tiles.sky_tile_id(F.col("ra"), F.col("dec"), resolution)).distinct().collect()}
+    assert set(got) == want and len(got) == len(want) and seen <= want

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewise.functions import sphere
-from zonewise.functions.tiles import sky_tile_id
 from zonewise.functions.wcs import pixel_to_sky, sip_distortion
 
 
@@ -45,13 +46,82 @@ def tile_difference(actual: DataFrame, processed: DataFrame) -> DataFrame:
     return a.join(p, "tile", "left_anti").withColumn("kind", F.lit("missing")).unionByName(p.join(a, "tile", "left_anti").withColumn("kind", F.lit("surplus")))
 
 
-def footprint_tiles(exposures: DataFrame, resolution: int, steps: int = 16) -> DataFrame:
-    """(exposure_id, tile) of the tiles that exposures (WCS, x0, y0, width, height) reach, sampled at a grid finer than a tile.
+#: The sine of an angle by which polygons must overlap, beyond rounding.
+OVERLAP = 1e-12
+
+
+def _ray(v: sphere.Vector) -> Column:
+    return F.struct(*(c.alias(n) for n, c in zip("xyz", v, strict=True)))
+
+
+def _of(ray: Column) -> sphere.Vector:
+    return ray["x"], ray["y"], ray["z"]
+
 
-    The grid has steps + 1 points to a side, so it misses no tile wider than 1 / steps of an exposure by more than that.
+def _sides(corners: Column) -> Column:
+    """The normals of a polygon's sides."""
+    return F.transform(F.sequence(F.lit(1), F.size(corners)), lambda i: _ray(sphere.cross(_of(F.element_at(corners, i)), _of(F.element_at(corners, i % F.size(corners) + 1)))))
+
+
+def polygons_overlap(a: Column, b: Column) -> Column:
+    """Whether convex polygons on the sphere (arrays of corners as struct(x, y, z), in order) share more than an edge.
+
+    If they do not, a plane parts them that holds a side of one or a corner of each.
     """
-    k = F.sequence(F.lit(0), F.lit(steps))
-    gridded = exposures.withColumn("i", F.explode(k)).withColumn("j", F.explode(k))
-    gridded, v = sphere.staged(gridded, v=pixel_to_sky(F.col("x0") - 0.5 + F.col("i") * F.col("width") / steps, F.col("y0") - 0.5 + F.col("j") * F.col("height") / steps))
-    gridded = gridded.withColumns({"__ra": sphere.longitude(v), "__dec": sphere.latitude(v)})
-    return gridded.select("exposure_id", sky_tile_id(F.col("__ra"), F.col("__dec"), resolution).alias("tile")).distinct()
+    pairs = F.flatten(F.transform(a, lambda p: F.transform(b, lambda q: _ray(sphere.cross(_of(p), _of(q))))))
+
+    def parts(n: Column) -> Column:
+        size = sphere.norm(_of(n))
+
+        def beyond(sign: int) -> Column:
+            return F.forall(a, lambda p: sign * sphere.dot(_of(p), _of(n)) >= -OVERLAP * size) & F.forall(b, lambda q: sign * sphere.dot(_of(q), _of(n)) <= OVERLAP * size)
+
+        return (size > OVERLAP) & (beyond(1) | beyond(-1))
+
+    return ~F.exists(F.concat(_sides(a), _sides(b), pairs), parts)
+
+
+def _faces() -> Column:
+    """Of each root of tiles its number and the axes of x, y and the face itself."""
+    turns = [(round(math.cos(math.pi / 2 * k)), round(math.sin(math.pi / 2 * k))) for k in range(4)]
+    axes = [((0, -1, 0), (1, 0, 0), (0, 0, 1)), *(((-s, c, 0), (0, 0, 1), (c, s, 0)) for c, s in turns), ((0, -1, 0), (-1, 0, 0), (0, 0, -1))]
+    rays = [[_ray(tuple(F.lit(float(c)) for c in axis)) for axis in face] for face in axes]
+    return F.array(*(F.struct(F.lit(k).alias("root"), x.alias("ex"), y.alias("ey"), f.alias("ef")) for k, (x, y, f) in enumerate(rays)))
+
+
+def footprint_tiles(exposures: DataFrame, resolution: int) -> DataFrame:
+    """(exposure_id, tile) of the tiles that exposures (WCS, x0, y0, width, height) overlap.
+
+    Borders of tiles and of exposures are great circles. Candidates are, on each face, the tiles in the
+    range of x and y of the circle around an exposure; their polygons are intersected exactly.
+    """
+    left, low = F.col("x0") - 0.5, F.col("y0") - 0.5
+    right, high = left + F.col("width"), low + F.col("height")
+    made, *corners = sphere.staged(exposures, __a=pixel_to_sky(left, low), __b=pixel_to_sky(right, low), __c=pixel_to_sky(right, high), __d=pixel_to_sky(left, high))
+    total = tuple(sum((v[k] for v in corners[1:]), corners[0][k]) for k in range(3))
+    made = made.select("exposure_id", F.array(*map(_ray, corners)).alias("__corners"), _ray(total).alias("__sum"))
+    middle = F.col("__sum")
+    far = F.array_max(F.transform("__corners", lambda p: sphere.separation(_of(p), _of(middle))))
+    made = made.withColumn("__sin", F.when(far < 90, F.sin(F.radians(far + 1e-9))).otherwise(2.0) * sphere.norm(_of(middle)))
+    made = made.withColumn("__face", F.explode(_faces()))
+    out = sphere.dot(_of(middle), _of(F.col("__face.ef")))
+
+    def span(axis: str) -> Column:
+        # the circle's range of the angle in which equal coordinates are one great circle, cut to the face
+        along = sphere.dot(_of(middle), _of(F.col(f"__face.{axis}")))
+        size = F.sqrt(along * along + out * out)
+        wide = F.when(F.col("__sin") < size, F.asin(F.col("__sin") / F.greatest(size, F.lit(1e-300)))).otherwise(math.pi)
+        ends = (F.greatest(F.lit(-math.pi / 4), F.atan2(along, out) - wide), F.least(F.lit(math.pi / 4), F.atan2(along, out) + wide))
+        first, last = (F.least(F.lit(resolution - 1), F.greatest(F.lit(0), F.floor(resolution * 0.5 * (F.tan(e) + 1)).cast("int"))) for e in ends)
+        return F.when(ends[0] <= ends[1], F.sequence(F.greatest(F.lit(0), first - 1), F.least(F.lit(resolution - 1), last + 1)))
+
+    made = made.withColumn("__xs", span("ex")).withColumn("__ys", span("ey")).withColumn("__x", F.explode("__xs")).withColumn("__y", F.explode("__ys"))
+
+    def corner(i: int, j: int) -> Column:
+        x, y = (2 * (F.col(c) + k) / resolution - 1 for c, k in (("__x", i), ("__y", j)))
+        ex, ey, ef = (_of(F.col(f"__face.{n}")) for n in ("ex", "ey", "ef"))
+        return _ray(sphere.plus(sphere.plus(ef, sphere.scaled(ex, x)), sphere.scaled(ey, y)))
+
+    made = made.withColumn("__tile", F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)))
+    tile = ((F.col("__face.root") * resolution + F.col("__y")) * resolution + F.col("__x")).cast("bigint")
+    return made.filter(polygons_overlap(F.col("__corners"), F.col("__tile"))).select("exposure_id", tile.alias("tile")).distinct()
