@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 
 import corpus_pipeline
 from zonewise.llm import bpe, langid, quality, toxicity, urlfilter
-from zonewise.llm.bytetext import text_slices
+from zonewise.llm.bytetext import ALNUM, BYTE_HASH_FOLDED, text_slices
 from zonewise.llm.queries import MULTI_RANKS, QUERIES, URL_RULES
 from zonewise.llm.store import Scratch, table
 
@@ -218,10 +219,12 @@ def test_language_of_held_out_documents(spark):
 
 
 def test_language_of_odd_texts(spark):
-    model = langid.learn(["hello there " * 5, "bonjour à tous " * 5], ["en", "fr"])
+    docs = spark.createDataFrame([(0, "hello there " * 5, "en"), (2, "bonjour à tous " * 5, "fr"), (2, "bonjour à tous " * 5, "fr"), (3, None, "fr"), (4, "12", "xx"), (None, "a", "yy")], "doc_id long, text string, lang string")
+    model = langid.train(docs.selectExpr("*", "'x' AS lang_pred", "'y' AS l", "1 AS id"))
+    assert model.langs == ["en", "fr"]
     rows = langid.predict_languages(documents(spark, [*ODD_TEXTS, "123 !?"]), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in rows[:4]] == ["und"] * 4 and rows[-1].lang_pred == "und" and rows[4].lang_pred in ("en", "fr")
-    nothing = langid.predict_languages(documents(spark, ["a"]), langid.learn([], [])).collect()
+    nothing = langid.predict_languages(documents(spark, ["a"]), None).collect()
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
     docs = documents(spark, ["a", "b"])
     assert langid.predict_languages(docs.limit(0), langid.train(docs.limit(0))).collect() == []
@@ -244,11 +247,52 @@ def test_automaton_equals_edit_distance(terms, word):
     assert got == ((min(near)[1], min(near)[0]) if near else (-1, 0))
 
 
-def test_quotation_is_told_from_abuse():
+def learned(spark, texts, labels):
+    rows = [(i, t, y) for i, (t, y) in enumerate(zip(texts, labels, strict=True))]
+    return toxicity.learn(spark.createDataFrame(rows, "id long, t string, y int").repartition(3), Scratch(spark, "learn")).ready()
+
+
+def wilson(k, n, z):
+    return (k + z * z / 2 + z * math.sqrt(k * (n - k) / n + z * z / 4)) / (n + z * z)
+
+
+def test_lexicon_equals_counting_by_hand(spark):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choice(["alpha", "beta", "Gamma", "delta", "of", "é", "x" * 70, "villain", "scoundrel"][: 9 if i % 3 == 0 else 7]) for _ in range(rnd.randrange(0, 9))) + f" word{rnd.randrange(300)} w{i // 2}" for i in range(400)]
+    texts += [f"{t} villain" for t in texts[:60]] * 2
+    labels = [int(i % 3 == 0 or i >= 400) for i in range(len(texts))]
+    # texts with the same least hash are one group, told here by the operator's own hash and counted by hand
+    groups = {}
+    for text, y in zip(texts, labels, strict=True):
+        (part,) = text_slices(pa.array([text]))
+        starts, ends, bounds = part.runs(ALNUM)
+        near = toxicity.near_copies(part, part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends), bounds)[0]
+        groups.setdefault((y, near), set()).update(w.lower() for w in re.findall(r"\w+", text))
+    n = Counter(y for y, _ in groups)
+    counts = Counter((w, y) for (y, _), words in groups.items() for w in words)
+    want = {}
+    for word in {w for w, _ in counts}:
+        a, b = counts[word, 1], counts[word, 0]
+        odds = math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+        if a >= 3 and 3 <= len(word) < 64 and odds >= math.log(30) and wilson(a, n[1], -2) > wilson(b, n[0], 2):
+            want[word] = odds
+    model = learned(spark, texts, labels)
+    assert want and dict(zip(model.terms, np.round(model.exact, 9), strict=True)) == {w: round(x, 9) for w, x in want.items()}
+    assert model.terms == sorted(want, key=lambda w: (-counts[w, 1], w))
+
+
+def test_automaton_starts_anew_when_it_has_many_states(monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_STATES", 5)
+    made = toxicity.LexiconAutomaton(["villain", "scoundrel"])
+    assert [made.match(w) for w in ("vilain", "scundrl", "other", "villain")] == [(0, 1), (1, 2), (-1, 0), (0, 0)]
+    assert len(made.members) < 60
+
+
+def test_quotation_is_told_from_abuse(spark):
     rnd = random.Random(4)
     prose = [" ".join(f"word{rnd.randrange(3000)}" for _ in range(40)) for _ in range(180)]
     toxic = [t.replace(" ", " villain ", 2) for t in prose[120:]]
-    model = toxicity.learn(prose[:120] + toxic, [0] * 120 + [1] * 60).ready()
+    model = learned(spark, prose[:120] + toxic, [0] * 120 + [1] * 60)
     assert "villain" in model.terms
     open_, quoted, typo, nothing = model.scores(pa.array(["a villain here", 'they wrote "a villain" and left', "a vilain here", None]))
     assert open_ >= toxicity.THRESHOLD > quoted and nothing < toxicity.THRESHOLD and typo > nothing
@@ -279,20 +323,20 @@ def test_quotation_state_equals_reading_the_line(texts):
     assert toxicity.quoted(part.buf, part.offs, starts, starts + 1).tolist() == want
 
 
-def test_quotations_are_told_however_long_the_line():
+def test_quotations_are_told_however_long_the_line(spark):
     rnd = random.Random(4)
     prose = [" ".join(f"word{rnd.randrange(3000)}" for _ in range(40)) for _ in range(180)]
-    model = toxicity.learn(prose[:120] + [t.replace(" ", " villain ", 2) for t in prose[120:]], [0] * 120 + [1] * 60).ready()
+    model = learned(spark, prose[:120] + [t.replace(" ", " villain ", 2) for t in prose[120:]], [0] * 120 + [1] * 60)
     long = "they said much " * 25
     after, inside = model.scores(pa.array([f'"{long}" a villain here, and "so on" it went', f'He wrote "{long} a villain {long}" and left']))
     assert after >= toxicity.THRESHOLD > inside
 
 
-def test_rare_terms_are_learned():
+def test_rare_terms_are_learned(spark):
     rnd = random.Random(6)
     texts = [" ".join(f"word{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(3000)]
     toxic = [t + " villain" + " scoundrel" * (i < 8) for i, t in enumerate(texts[2000:])]
-    assert toxicity.learn(texts[:2000] + toxic, [0] * 2000 + [1] * 1000).terms == ["villain", "scoundrel"]
+    assert learned(spark, texts[:2000] + toxic, [0] * 2000 + [1] * 1000).terms == ["villain", "scoundrel"]
 
 
 def test_toxicity_of_held_out_documents(spark):
@@ -311,6 +355,18 @@ def test_toxicity_without_labels_and_of_odd_texts(spark):
     assert toxicity.drop_toxic(docs.selectExpr("*", "1 AS score"), toxicity.train(docs, labels)).count() == len(ODD_TEXTS)
 
 
+def test_toxicity_with_repeated_rows_and_clashing_names(spark):
+    rnd = random.Random(9)
+    texts = [" ".join(f"word{rnd.randrange(500)}" for _ in range(30)) + " villain" * (i % 2) for i in range(200)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(0, 0), (1, 0), (None, 1), (2, None), (900, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    again = toxicity.train(docs.unionByName(docs.limit(50)).selectExpr("*", "1 AS y", "'q' AS t", "2 AS id", "3 AS score"), labels.selectExpr("*", "'z' AS text", "5 AS y"))
+    assert model.terms == again.terms == ["villain"] and np.allclose(model.coef, again.coef)
+    rows = toxicity.score_documents(docs.unionByName(docs).selectExpr("*", "1 AS score", "2 AS predicted"), model).collect()
+    assert len(rows) == 400 and all(r.predicted == r.doc_id % 2 for r in rows)
+
+
 # -- pipeline
 
 

@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import LOWER, Slice, text_slices
-from .sampling import share_filter
+from .bytetext import LOWER, U64, Slice, mix, owner, powers, text_slices
+from .sampling import bucket_of, share_of
 from .store import bound_batches, col, fold_of
 
 FOLDS = 5
@@ -147,41 +147,56 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def learn(texts: list[str], langs: list[str], seed: int = 3) -> ByteCNN | None:
-    """A network for the languages seen; None without any text in a language."""
+def cut_windows(each: int):
+    """A mapInArrow function from rows (l, t) to (l, place, symbols): at most ``each`` windows of a text, chosen by a hash of their bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch.column("t")):
+                made, _, bounds = windows_of(part)
+                place = np.concatenate([np.zeros(0, np.uint64), *(((made[i : i + 1024].astype(np.uint64) + U64(1)) * powers(WINDOW)[0][:WINDOW]).sum(axis=1) for i in range(0, len(made), 1024))])
+                place = mix(place + np.arange(len(made), dtype=np.uint64))
+                doc = owner(bounds)
+                order = np.lexsort((place, doc))
+                some = np.sort(order[np.arange(len(order)) - bounds[doc] < each])
+                langs = batch.column("l").slice(part.first, part.n).take(pa.array(doc[some]))
+                yield pa.RecordBatch.from_arrays([langs, pa.array(place[some].view(np.int64)), pa.array([w.tobytes() for w in made[some]], pa.binary())], ["l", "place", "symbols"])
+
+    return cut
+
+
+def learn(windows: pa.Table) -> ByteCNN | None:
+    """A network for the languages of windows (l, place, symbols), which are put in a fixed order; None without any."""
+    if not len(windows):
+        return None
+    rows = windows.sort_by([(c, "ascending") for c in ("l", "place", "symbols")])
+    langs = rows.column("l").to_pylist()
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
-    rng = np.random.default_rng(seed)
-    symbols, label, done = [], [], 0
-    for part in text_slices(pa.array(texts, pa.large_string())):
-        made, _, bounds = windows_of(part)
-        many = np.diff(bounds)
-        # as many windows of each text, so that long texts do not rule
-        for d in range(part.n):
-            take = min(int(many[d]), max(1, MAX_WINDOWS // max(1, len(texts))))
-            for w in rng.choice(int(many[d]), take, replace=False) if take else ():
-                symbols.append(made[bounds[d] + w].copy())
-                label.append(number[langs[done + d]])
-        done += part.n
-    if not symbols:
-        return None
     model = ByteCNN(names)
-    model.fit(np.stack(symbols), np.array(label))
+    model.fit(np.frombuffer(b"".join(rows.column("symbols").to_pylist()), dtype=np.uint8).reshape(-1, WINDOW), np.array([number[x] for x in langs]))
     return model
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> ByteCNN | None:
-    """Learns from at most about MAX_DOCS rows that have a language and a letter and are not held out."""
-    bound_batches(docs.sparkSession)
-    known = docs.select(col(id_col).alias("id"), col(text_col).alias("t"), col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL").filter(fold_of("id", FOLDS) != 0)
+    """Learns from about MAX_DOCS ids at most, as many of each language, that have a letter and are not held out.
+
+    Of several rows of one id the one with the least hash counts. Texts are cut in the executors; the
+    driver gets the drawn windows, about MAX_WINDOWS of WINDOW bytes, whatever the texts' lengths.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    known = docs.select(col(id_col).alias("id"), col(text_col).alias("t"), col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL AND t IS NOT NULL").filter(fold_of("id", FOLDS) != 0)
     rows = {r.l: r["count"] for r in known.groupBy("l").count().collect()}
-    each = MAX_DOCS // max(1, len(rows))
-    keep = F.lit(False)
-    for lang, n in rows.items():
-        keep |= (F.col("l") == lang) & share_filter(F.col("id"), n, each)
-    sample = known.filter(keep).filter(F.col("t").rlike(r"\p{L}")).limit(2 * MAX_DOCS)
-    got = sorted((r.id, r.l, r.t) for r in sample.collect())
-    return learn([t for *_, t in got], [l for _, l, _ in got])
+    if not rows:
+        return None
+    each = max(1, MAX_DOCS // len(rows))
+    shares = spark.createDataFrame([(lang, share_of(n, each)) for lang, n in rows.items()], "l string, share bigint")
+    sample = known.join(F.broadcast(shares), "l").filter(bucket_of(F.col("id")) < F.col("share")).filter(F.col("t").rlike(r"\p{L}"))
+    one = F.min(F.struct(F.xxhash64("l", "t").alias("h"), "l", "t")).alias("m")
+    sample = sample.groupBy("id").agg(one).select("m.l", "m.t")
+    per_text = max(1, MAX_WINDOWS // sum(min(n, each) for n in rows.values()))
+    return learn(sample.mapInArrow(cut_windows(per_text), "l string, place bigint, symbols binary").toArrow())
 
 
 def predict_languages(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 Learning: from a bounded sample of labelled texts, terms that toxic texts have far more often than
 others make the lexicon; a group of near copies counts as one text. Every term gets two weights,
-one for the term as it is spelled and one for misspellings of it, both from the labels.
+one for the term as it is spelled and one for misspellings of it, both from the labels. Counts are
+aggregates over (word, label, group of near copies), and features are made where the texts are.
 
 Matching: the lexicon's trie is intersected with the Levenshtein automaton of the allowed edits; the
 product is turned into a deterministic automaton as words ask for it, so a word costs one step a
@@ -20,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, BYTE_HASH_FOLDED, LOWER, Slice, mix, text_slices
+from .bytetext import ALNUM, BYTE_HASH_FOLDED, LOWER, Slice, mix, owner, text_slices
 from .sampling import share_filter
-from .store import bound_batches, col, fold_of, fresh
+from .store import Scratch, col, fold_of, fresh
 
 #: Bounds of the training sample: labelled documents of each class.
 MAX_TOXIC, MAX_OTHER = 4_000, 8_000
@@ -46,6 +47,8 @@ UNSEEN_EDIT = 0.6
 OPENERS, CLOSERS = "“«„‹", "”»“›"
 #: Words whose automaton result a worker remembers.
 CACHE_WORDS = 250_000
+#: States of the determinised automaton that a worker keeps before it starts anew.
+MAX_STATES = 100_000
 
 
 def allowed_edits(term: str) -> int:
@@ -78,6 +81,9 @@ class LexiconAutomaton:
             for child in self.children[node].values():
                 self.most[node] = max(self.most[node], self.most[child])
         self.sizes = range(min(map(len, terms), default=1) - 2, max(map(len, terms), default=0) + 3)
+        self._forget()
+
+    def _forget(self) -> None:
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[int, int]] = []
         self.numbers: dict[frozenset, int] = {}
@@ -124,6 +130,8 @@ class LexiconAutomaton:
     def match(self, word: str) -> tuple[int, int]:
         if len(word) not in self.sizes:
             return -1, 0
+        if len(self.members) > MAX_STATES:
+            self._forget()
         state, steps = self.start, self.steps
         for letter in word:
             following = steps[state].get(letter)
@@ -162,6 +170,7 @@ def quoted(buf: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 
 N_FEATURES = 7
+NAMES = tuple(f"f{k}" for k in range(N_FEATURES))
 
 
 class Model:
@@ -186,12 +195,14 @@ class Model:
         if len(cache) > CACHE_WORDS:
             cache.clear()
         text = LOWER[part.buf].tobytes()
+        # no term of that many bytes, edits included, is left out
+        longest = 4 * self.automaton.sizes.stop
         found = np.zeros(len(kinds), dtype=bool)
         match = {}
         for i, (kind, at) in enumerate(zip(kinds.tolist(), first.tolist(), strict=True)):
             got = cache.get(kind)
             if got is None:
-                got = cache[kind] = self.automaton.match(text[starts[at] : ends[at]].decode("utf-8", "replace")) if ends[at] - starts[at] < 256 else (-1, 0)
+                got = cache[kind] = self.automaton.match(text[starts[at] : ends[at]].decode("utf-8", "replace")) if ends[at] - starts[at] <= longest else (-1, 0)
             if got[0] >= 0:
                 found[i] = True
                 match[i] = got
@@ -232,98 +243,116 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(parts) @ self.coef + self.bias, -30, 30)))
 
 
-def _log_odds(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
-    return np.log((a + 0.5) / (n_a + 1)) - np.log((b + 0.5) / (n_b + 1))
-
-
-def _surely_more(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int) -> np.ndarray:
-    """Whether the lower (Wilson) bound of a share is above the upper one of another."""
+def _more_likely(in_1: str, n_1: int, in_0: str, n_0: int) -> tuple[Column, Column]:
+    """The logarithm of how many times likelier a term is in toxic texts, and whether the lower (Wilson) bound of its share there is above the upper one of its share elsewhere."""
 
-    def bound(k: np.ndarray, n: int, z: float) -> np.ndarray:
-        return (k + z * z / 2 + z * np.sqrt(k * (n - k) / max(1, n) + z * z / 4)) / (n + z * z)
+    def bound(k: Column, n: int, z: float) -> Column:
+        return (k + z * z / 2 + z * F.sqrt(k * (n - k) / max(1, n) + z * z / 4)) / (n + z * z)
 
+    a, b = F.col(in_1).cast("double"), F.col(in_0).cast("double")
+    odds = F.log((a + 0.5) / (n_1 + 1)) - F.log((b + 0.5) / (n_0 + 1))
     # a negative z with its square gives the lower bound
-    return bound(a, n_a, -SURE) > bound(b, n_b, SURE)
-
-
-def _distinct_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, text) of each distinct word of each text, and of each text a hash that near copies mostly share: the least of its words'."""
-    words, docs, least, done = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [], 0
-    for part in text_slices(array):
-        starts, ends, bounds = part.runs(ALNUM)
-        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
-        doc = np.repeat(np.arange(part.n, dtype=np.int32), np.diff(bounds))
-        order = np.lexsort((w, doc))
-        w, doc = w[order], doc[order]
-        new = np.ones(len(w), dtype=bool)
-        new[1:] = (w[1:] != w[:-1]) | (doc[1:] != doc[:-1])
-        words.append(w[new])
-        docs.append(doc[new] + np.int32(done))
-        group = np.zeros(part.n, dtype=np.uint64)
-        some = np.flatnonzero(np.diff(bounds))
-        if len(some):
-            group[some] = np.minimum.reduceat(mix(w), bounds[:-1][some])
-        least.append(group)
-        done += part.n
-    return np.concatenate(words), np.concatenate(docs), np.concatenate(least)
-
-
-def _spellings(array: pa.Array, wanted: np.ndarray) -> dict[int, str]:
-    """How the words of some hashes are spelled."""
-    found: dict[int, str] = {}
-    for part in text_slices(array):
-        starts, ends, _ = part.runs(ALNUM)
-        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
-        for i in np.flatnonzero(np.isin(w, wanted)).tolist():
-            found.setdefault(int(w[i]), LOWER[part.buf[starts[i] : ends[i]]].tobytes().decode("utf-8", "replace"))
-    return found
-
-
-def learn(texts: list[str] | pa.Array, toxic: list[int] | np.ndarray, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
-    """A model of texts and their labels; shares: what part of the others and of the toxic texts the sample holds."""
-    label = np.asarray(toxic, dtype=np.int64)
-    if not len(label) or label.min() == label.max():
+    return odds, bound(a, n_1, -SURE) > bound(b, n_0, SURE)
+
+
+def near_copies(part: Slice, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each text a hash that near copies mostly share: the least of its words', 0 without any."""
+    group = np.zeros(part.n, dtype=np.uint64)
+    some = np.flatnonzero(np.diff(bounds))
+    if len(some):
+        group[some] = np.minimum.reduceat(mix(words), bounds[:-1][some])
+    return group.view(np.int64)
+
+
+def spellings(part: Slice, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Spans of a slice as lower-cased strings."""
+    size = ends - starts
+    offs = np.concatenate([[0], np.cumsum(size)])
+    raw = LOWER[part.buf[np.repeat(starts - offs[:-1], size) + np.arange(offs[-1])]]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offs.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes()))
+
+
+def _words_of_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (t, y): each distinct word that could be a term with its text's label and group, and a null word for each text."""
+    for batch in batches:
+        for part in text_slices(batch.column("t")):
+            label = batch.column("y").slice(part.first, part.n).to_numpy()
+            starts, ends, bounds = part.runs(ALNUM)
+            words = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
+            near = near_copies(part, words, bounds)
+            doc = owner(bounds)
+            letters = np.concatenate([[0], np.cumsum((part.buf & 0xC0) != 0x80)])
+            letters = letters[ends] - letters[starts]
+            fits = np.flatnonzero((letters >= MIN_LETTERS) & (letters < MAX_LETTERS))
+            fits = fits[np.lexsort((words[fits], doc[fits]))]
+            new = np.ones(len(fits), dtype=bool)
+            new[1:] = (words[fits[1:]] != words[fits[:-1]]) | (doc[fits[1:]] != doc[fits[:-1]])
+            at = fits[new]
+            yield pa.RecordBatch.from_arrays([spellings(part, starts[at], ends[at]), pa.array(label[doc[at]], pa.int32()), pa.array(near[doc[at]])], ["word", "y", "near"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(part.n, pa.string()), pa.array(label, pa.int32()), pa.array(near)], ["word", "y", "near"])
+
+
+def group_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, in_1, in_0): of rows (key, y, near) the groups of near copies with label 1 and with label 0."""
+    ones = F.sum(F.col("y").cast("bigint"))
+    return rows.groupBy(key, "y", "near").agg(F.lit(1)).groupBy(key).agg(ones.alias("in_1"), (F.count(F.lit(1)) - ones).alias("in_0"))
+
+
+def learn(sample: DataFrame, scratch: Scratch, shares: tuple[float, float] = (1.0, 1.0)) -> Model:
+    """A model of rows (id, t, y): ids, texts and labels 0 or 1; shares: what part of the others and of the toxic texts the sample holds.
+
+    Texts stay in the executors. What reaches the driver are the terms with their counts, at most
+    MAX_TERMS, and N_FEATURES numbers for each text of the sample.
+    """
+    context = sample.sparkSession.sparkContext
+    counts = scratch.write(group_counts(sample.select("t", "y").mapInArrow(_words_of_groups, "word string, y int, near bigint"), "word").filter(F.col("word").isNull() | (F.col("in_1") >= MIN_TEXTS)), "counts")
+    total = counts.filter("word IS NULL").first()
+    n_1, n_0 = (total.in_1, total.in_0) if total else (0, 0)
+    if not n_1 or not n_0:
         model = Model([], [], [])
-        model.bias = 9.0 if len(label) and label[0] else -9.0
+        model.bias = 9.0 if n_1 else -9.0
         return model
-    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-    words, docs, least = _distinct_words(array)
-    # near copies count as one text
-    groups, group = np.unique(np.stack([least, label.astype(np.uint64)]), axis=1, return_inverse=True)
-    label_of, group = groups[1].astype(np.int64), group.reshape(-1)
-    n_1, n_0 = int(label_of.sum()), int((1 - label_of).sum())
-    kinds, kind = np.unique(words, return_inverse=True)
-    del words
-    pairs = np.unique(kind * len(label_of) + group[docs])
-    del docs
-    kind, of = pairs // len(label_of), label_of[pairs % len(label_of)]
-    in_1, in_0 = np.bincount(kind, of, len(kinds)), np.bincount(kind, 1 - of, len(kinds))
-    odds = _log_odds(in_1, n_1, in_0, n_0)
-    good = np.flatnonzero((in_1 >= MIN_TEXTS) & (odds >= math.log(MIN_TIMES)) & _surely_more(in_1, n_1, in_0, n_0))
-    spelled = _spellings(array, kinds[good])
-    good = [i for i in good[np.lexsort((kinds[good], -in_1[good]))].tolist() if MIN_LETTERS <= len(spelled[int(kinds[i])]) < MAX_LETTERS][:MAX_TERMS]
-    terms = [spelled[int(kinds[i])] for i in good]
-    model = Model(terms, [float(odds[i]) for i in good], [0.0] * len(good)).ready()
+    odds, sure = _more_likely("in_1", n_1, "in_0", n_0)
+    found = counts.filter("word IS NOT NULL").select("word", "in_1", odds.alias("odds"), sure.alias("sure")).filter(F.col("sure") & (F.col("odds") >= math.log(MIN_TIMES)))
+    found = found.orderBy(F.desc("in_1"), "word").limit(MAX_TERMS).collect()
+    model = Model([r.word for r in found], [r.odds for r in found], [0.0] * len(found))
 
     # misspellings of each term in texts of either label
-    near = np.full(len(kinds), -1)
-    for part in text_slices(array):
-        starts, ends, _ = part.runs(ALNUM)
-        w = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
-        at, matches = model.hits(part, w, starts, ends)
-        edited = [(w[i], t) for i, (t, e) in zip(at.tolist(), matches, strict=True) if e]
-        if edited:
-            near[np.searchsorted(kinds, np.array([h for h, _ in edited]))] = [t for _, t in edited]
-    seen = near[kind] >= 0
-    per_term = np.unique(near[kind[seen]] * len(label_of) + (pairs % len(label_of))[seen]) if seen.any() else np.zeros(0, dtype=np.int64)
-    term, of = per_term // len(label_of), label_of[per_term % len(label_of)]
-    e_1, e_0 = np.bincount(term, of, len(terms)), np.bincount(term, 1 - of, len(terms))
-    for t in range(len(terms)):
-        most = UNSEEN_EDIT * model.exact[t]
+    terms = context.broadcast(model)
+
+    def misspelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = terms.value.ready()
+        for batch in batches:
+            for part in text_slices(batch.column("t")):
+                label = batch.column("y").slice(part.first, part.n).to_numpy()
+                starts, ends, bounds = part.runs(ALNUM)
+                words = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
+                at, matches = ready.hits(part, words, starts, ends)
+                doc = np.searchsorted(bounds, at, side="right") - 1
+                some = np.unique(np.array([(t, d) for (t, e), d in zip(matches, doc.tolist(), strict=True) if e], dtype=np.int64).reshape(-1, 2), axis=0)
+                near = near_copies(part, words, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].astype(np.int32)), pa.array(label[some[:, 1]], pa.int32()), pa.array(near[some[:, 1]])], ["term", "y", "near"])
+
+    edits = group_counts(sample.select("t", "y").mapInArrow(misspelled, "term int, y int, near bigint"), "term")
+    seen = {r.term: r.odds for r in edits.select("term", _more_likely("in_1", n_1, "in_0", n_0)[0].alias("odds")).collect()}
+    for t, exact in enumerate(model.exact):
+        most = UNSEEN_EDIT * exact
         # where only the term's own texts have its misspellings they say as much as their odds, at most so much
-        model.edited[t] = most if not e_1[t] + e_0[t] else float(np.clip(_log_odds(e_1[t], n_1, e_0[t], n_0), 0, most))
+        model.edited[t] = min(most, max(0.0, seen[t])) if t in seen else most
+
+    weighed = context.broadcast(model)
 
-    x = np.concatenate([model.features(part) for part in text_slices(array)])
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = weighed.value.ready()
+        for batch in batches:
+            for part in text_slices(batch.column("t")):
+                same = [batch.column(c).slice(part.first, part.n) for c in ("id", "y")]
+                yield pa.RecordBatch.from_arrays([*same, *(pa.array(x) for x in ready.features(part).T.copy())], ["id", "y", *NAMES])
+
+    made = sample.select(F.col("id").cast("string").alias("id"), "y", "t").mapInArrow(features, "id string, y int, " + ", ".join(f"{n} double" for n in NAMES)).toArrow()
+    # sums of floating-point numbers depend on the order
+    made = made.sort_by([(n, "ascending") for n in ("id", "y", *NAMES)])
+    x, label = np.stack([made.column(n).to_numpy() for n in NAMES], axis=1), made.column("y").to_numpy()
     weight = np.where(label == 1, 1 / shares[1], 1 / shares[0])
     model.coef, model.bias = fit_logistic(x, label, weight / weight.mean())
     return model
@@ -347,22 +376,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learns from labelled rows outside the held-out fold, at most about MAX_TOXIC and MAX_OTHER documents.
+    """Learns from labelled ids outside the held-out fold, about MAX_TOXIC and MAX_OTHER of them at most.
 
-    Of several labels of a document the highest holds; null labels and labels of no document are left out.
+    Of several labels of a document the highest holds, and of several texts of one id the one with the
+    least hash; null labels and labels of no document are left out.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
     known = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
     known = known.filter(fold_of("id", FOLDS) != HELD_OUT).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
     rows = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     bounds = (MAX_OTHER, MAX_TOXIC)
     chosen = known.filter(F.when(F.col("y") == 1, share_filter(F.col("id"), rows.get(1, 0), bounds[1])).otherwise(share_filter(F.col("id"), rows.get(0, 0), bounds[0])))
-    # the sample is bounded, so it can go to every task; repeated documents are held to the bound as well
-    sample = docs.select(col(id_col).alias("id"), col(text_col).alias("t")).join(F.broadcast(chosen), "id").select("id", "t", "y").limit(2 * sum(bounds))
-    got = sample.withColumn("t", F.coalesce("t", F.lit(""))).toArrow()
-    got = got.sort_by([("id", "ascending"), ("t", "ascending")])
-    shares = tuple(min(1.0, bounds[y] / max(1, rows.get(y, 0))) for y in (0, 1))
-    return learn(got.column("t").cast(pa.large_string()).combine_chunks(), got.column("y").to_numpy(), shares)
+    # the ids are bounded, so they can go to every task
+    sample = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("t")).join(F.broadcast(chosen), "id")
+    sample = sample.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t")).alias("m")).select("id", "y", F.col("m.t").alias("t"))
+    sample = scratch.write(sample.repartition(2 * spark.sparkContext.defaultParallelism, "id"), "sample")
+    model = learn(sample, scratch, tuple(min(1.0, bounds[y] / max(1, rows.get(y, 0))) for y in (0, 1)))
+    scratch.drop("sample", "counts")
+    return model
 
 
 def score_function(model: Model):
