@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from zonewise.llm import jaccard
@@ -58,9 +59,42 @@ def near_copies(seed, many, words=120, edits=6):
     return out
 
 
-def test_depth_is_shortened_to_the_recall():
-    d = jaccard.prefix_depth()
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
+def recall_of(depths):
+    return 1 - np.prod([1 - 0.8**d for d in depths])
+
+
+def test_prefixes_are_shortened_to_the_recall():
+    usual = jaccard.usual_depths()
+    assert recall_of(usual) >= jaccard.RECALL and max(usual) - min(usual) <= 1
+    deeper = list(usual)
+    deeper[usual.index(min(usual))] += 1
+    assert recall_of(deeper) < jaccard.RECALL
+    # a class in crowded nodes of some trees keeps longer prefixes there, at the same recall
+    sizes = np.ones((2, jaccard.TREES, 5))
+    sizes[0, :6] = [1000, 900, 800, 700, 600]
+    sizes[1] = [5000, 50, 40, 35, 33]
+    few, all_ = jaccard.shortened(sizes)
+    assert recall_of(few) >= jaccard.RECALL and recall_of(all_) >= jaccard.RECALL
+    assert few[:6].min() > max(usual) and few[6:].max() < few[:6].min()
+    assert all_.min() == 5
+
+
+def test_crowded_nodes_are_left_deep(spark):
+    """Texts that share a long passage meet in shallow nodes; the forest must not verify them against each other."""
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"w{rnd.randrange(10**6)}" for _ in range(60)]) for _ in range(300)] + near_copies(4, 40)
+    scratch = Scratch(spark, "t")
+    made = jaccard.NearDuplicates(documents(spark, texts), scratch)
+    assert got(made.links()) == brute(list(enumerate(texts)))
+
+
+def test_recall_against_brute_force(spark):
+    sf = SF.replace("0.001", "0.01")
+    want = brute([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
+    found = got(QUERIES["op3_ngram_jaccard"](spark, sf))
+    assert sum(n for _, n in found.values()) >= 0.99 * sum(n for _, n in want.values()) > 0
+    assert all(found[d][1] <= want[d][1] for d in want)
 
 
 def test_query_equals_brute_force(spark):
