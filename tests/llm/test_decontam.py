@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -28,6 +29,45 @@ def brute(docs, items, window=13):
     return out
 
 
+def brute_matches(docs, items, window=13):
+    """By walking every pair of a word of a document and a word of an item."""
+    out = {}
+    for d, text in docs:
+        w, best = alnum_words(text), {}
+        for item, other in {(str(i) if i is not None else "", t) for i, t in items}:
+            v = alnum_words(other)
+            for o in range(len(v)):
+                for p in range(len(w)):
+                    if w[p] != v[o] or (o and p and w[p - 1] == v[o - 1]):
+                        continue
+                    n = 0
+                    while p + n < len(w) and o + n < len(v) and w[p + n] == v[o + n]:
+                        n += 1
+                    if n >= min(window, len(v)) and (len(v) >= window or o == 0):
+                        key = (item, other, o)
+                        best[key] = max(best.get(key, (0, 0)), (n, -p))
+        out[d] = sorted((item, o, -p, n) for (item, _, o), (n, p) in best.items())
+    return out
+
+
+def test_longest_matches_equal_walking_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 50)
+    rnd = random.Random(3)
+    item = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(item)), (1, " ".join(item[:20])), (2, " ".join(item[10:])), (3, "a b " * 12), (4, "w1 w2 w3"), (None, " ".join(item)), (1, " ".join(item))]
+    texts = [None, "", " ".join(item), "x " + " ".join(item[5:30]) + " y " + " ".join(item[8:36]), "a b " * 30, "b " + "a b " * 7, "W1 w2 W3 w1 w2 w3"]
+    for _ in range(20):
+        a, b = sorted(rnd.sample(range(41), 2))
+        texts.append(" ".join(["z"] * rnd.randrange(3) + item[a:b] + ["a", "b"] * rnd.randrange(12)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_contamination(documents(spark, texts), bench).collect()
+    got = {r.doc_id: [tuple(m) for m in r.matches] for r in found}
+    assert got == brute_matches(list(enumerate(texts)), items)
+    for r in found:
+        covered = {p + k for _, _, p, n in map(tuple, r.matches) for k in range(n)}
+        assert covered <= {s + k for s, n in zip(r.spans[::2], r.spans[1::2], strict=True) for k in range(n)}
+
+
 def check(spark, docs, bench):
     got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in decontam.find_contamination(docs, bench).collect()}
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
@@ -55,6 +95,9 @@ def test_window_does_not_cross_texts(spark):
 def test_several_indexes_join_their_hits(spark, monkeypatch):
     monkeypatch.setattr(decontam, "INDEX_BYTES", 100)
     check(spark, table(spark, SF, "documents").limit(60), table(spark, SF, "benchmark"))
+    docs, bench = documents(spark, ["a b c d", "clean text", None, "x y z", "x y z"]), spark.createDataFrame([(i, t) for i, t in enumerate(["a b c d", "q " * 60, "x y z", "r " * 60])], "item_id long, text string")
+    check(spark, docs, bench)
+    assert sorted(r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()) == [1, 2]
 
 
 def test_drop_keeps_columns_and_clean_rows(spark):

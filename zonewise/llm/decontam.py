@@ -1,12 +1,16 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 The texts of a batch are shards; each shard gets an array of its suffixes, as word sequences, in
-lexicographic order. Every benchmark window is binary-searched in it, word by word, for all windows
-at once: the range of suffixes left after its last word holds all its occurrences, and their
-locations mark the words of the documents. Only suffixes that could hold a whole window are sorted:
-those that begin with enough words in a row that the benchmark has.
-
-Documents are never shuffled; the benchmark's index goes to every worker.
+lexicographic order. Every suffix of a benchmark item that holds a window is binary-searched in it,
+word by word, for all suffixes at once: the range left after the window's last word holds all places
+where it occurs. From each such place that cannot be extended to the left the match is followed to
+its end, which gives the longest verbatim matches and their locations; windows mark the words of the
+documents. Only training suffixes that could hold a whole window are sorted: those that begin with
+enough words in a row that the benchmark has.
+
+Documents are not shuffled; the benchmark's index goes to every worker. A benchmark beyond
+INDEX_BYTES is indexed in parts, one pass over the documents for each, and the passes' hits are
+united by row, so no worker and no driver holds more than a part at a time.
 """
 
 from __future__ import annotations
@@ -19,15 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, BYTE_HASH_FOLDED, Slice, owner, segment_sums, text_slices
-from .store import bound_batches, col, fresh
+from .store import Scratch, bound_batches, col
 
 WINDOW = 13
 #: A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
 #: Bytes of text in one shard's suffix array.
 SHARD_BYTES = 1 << 21
-#: Bytes of benchmark text that one index may hold (about 10 bytes of index for each); a larger benchmark makes several passes.
-INDEX_BYTES = 64 << 20
+#: Bytes of benchmark text that one index may hold, or one item (about 20 bytes of index for each); a larger benchmark makes several passes.
+INDEX_BYTES = 16 << 20
+#: Pairs of a place in a shard and one in the benchmark that are looked at together.
+PAIRS = 1 << 20
 
 
 def words_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -37,11 +43,13 @@ def words_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BenchmarkIndex:
-    """The windows of a benchmark as numbers of a vocabulary: windows[i, :size[i]], and items[i] of each."""
+    """The windows of a benchmark as numbers of a vocabulary: windows[i, :size[i]], items[i] of each, and where in which item it stands."""
 
-    def __init__(self, item_ids: list[str], texts: list[str], window: int = WINDOW):
+    def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
+        rows = sorted(set(rows))
+        item_ids = [i for i, _ in rows]
         words, bounds = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.int64)]
-        for part in text_slices(pa.array(texts, pa.large_string())):
+        for part in text_slices(pa.array([t for _, t in rows], pa.large_string())):
             w, b = words_of(part)
             bounds.append(b[1:] + bounds[-1][-1])
             words.append(w)
@@ -67,6 +75,14 @@ class BenchmarkIndex:
         self.items = pairs[:, 1]
         self.item_bounds = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.least = int(self.size.min()) if len(self.windows) else 0
+        # all items' words, with a number before, between and after them that no text has
+        self.text = np.full(len(number) + len(counts) + 1, -1, dtype=np.int32)
+        self.text[np.arange(len(number)) + owner(bounds) + 1] = number
+        # the suffixes with each window: their items, offsets there and places in text
+        order = np.argsort(which, kind="stable")
+        self.suffix_bounds = np.searchsorted(which[order], np.arange(len(self.windows) + 1))
+        self.suffix_item, self.suffix_place = ids[item][order], (start + item + 1)[order]
+        self.suffix_row, self.suffix_offset = item[order], (start - bounds[:-1][item])[order]
         # the vocabulary by 16 bits of the hash, so that most words of a text are told to be foreign at once
         self.first_bits = np.zeros(1 << 16, dtype=bool)
         self.first_bits[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -131,11 +147,47 @@ class SuffixArray:
         return live, low, high
 
 
-def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, list]:
-    """Of each text: its number of words, the longest runs of words inside occurrences as [start, length, ...], and the items that occur."""
+def longest_matches(seq: np.ndarray, at: np.ndarray, window: np.ndarray, begin: np.ndarray, index: BenchmarkIndex) -> np.ndarray:
+    """Rows (text, item, offset, position, length), sorted, for windows found at places of seq: of each text and benchmark suffix its longest
+    match among those that cannot be extended to the left; of equal ones the first."""
+    many = np.diff(index.suffix_bounds)[window]
+    upto = np.concatenate([[0], np.cumsum(many)])
+    found = [np.zeros((0, 6), dtype=np.int64)]
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, side="right")) - 1)
+        some = np.repeat(np.arange(i, j), many[i:j])
+        suffix = index.suffix_bounds[window[some]] + np.arange(len(some)) - (upto[some] - upto[i])
+        place, there = at[some], index.suffix_place[suffix]
+        # a word of 0 is foreign, so it equals none of the benchmark's
+        starts = (place == 0) | (seq[place - 1] != index.text[there - 1])
+        place, there, suffix = place[starts], there[starts], suffix[starts]
+        length = index.size[window[some]][starts].astype(np.int64)
+        going = np.arange(len(place))
+        while len(going):
+            further = place[going] + length[going]
+            going = going[(further < len(seq)) & (seq[np.minimum(further, len(seq) - 1)] == index.text[there[going] + length[going]])]
+            length[going] += 1
+        doc = np.searchsorted(begin, place, "right") - 1
+        made = np.stack([doc, index.suffix_item[suffix], index.suffix_row[suffix], index.suffix_offset[suffix], place - begin[doc], length], axis=1)
+        found.append(_longest(made))
+        i = j
+    return _longest(np.concatenate(found))[:, [0, 1, 3, 4, 5]]
+
+
+def _longest(rows: np.ndarray) -> np.ndarray:
+    """Of rows (text, item, its row, offset, position, length) with equal first four the longest, of equals the first."""
+    rows = rows[np.lexsort((rows[:, 4], -rows[:, 5], rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (rows[1:, :4] != rows[:-1, :4]).any(axis=1)
+    return rows[new]
+
+
+def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, list, list]:
+    """Of each text: its number of words, the runs of words inside occurrences as [start, length, ...], the items that occur, and the longest matches."""
     words, bounds = words_of(part)
     n_words = np.diff(bounds)
-    empty = ([[] for _ in range(part.n)], [[] for _ in range(part.n)])
+    empty = tuple([[] for _ in range(part.n)] for _ in range(3))
     if not len(index.windows) or not len(words):
         return n_words, *empty
     # a foreign word after each text keeps windows within it
@@ -156,7 +208,7 @@ def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, li
     hit = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
     turns = np.flatnonzero(hit[1:] != hit[:-1])
     run_start, run_end = turns[::2], turns[1::2]
-    spans, items = empty
+    spans, items, matches = empty
     for d, s, e in zip(np.searchsorted(begin, run_start, "right") - 1, run_start, run_end, strict=True):
         spans[d] += [int(s - begin[d]), int(e - s)]
     seen = np.unique(np.stack([np.searchsorted(begin, at, "right") - 1, window], axis=1), axis=0)
@@ -164,48 +216,76 @@ def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, li
     item = index.items[np.repeat(index.item_bounds[seen[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
     for d, i in np.unique(np.stack([np.repeat(seen[:, 0], many), item], axis=1), axis=0):
         items[d].append(index.ids[i])
-    return n_words, spans, items
+    for d, i, *place in longest_matches(seq, at, window, begin, index).tolist():
+        matches[d].append((index.ids[i], *place))
+    return n_words, spans, items, matches
 
 
-HITS = "struct<n_words: bigint, spans: array<bigint>, items: array<string>>"
+MATCHES = [("item", pa.string()), ("offset", pa.int64()), ("position", pa.int64()), ("length", pa.int64())]
+HITS = "struct<n_words: bigint, spans: array<bigint>, items: array<string>, matches: array<struct<item: string, offset: bigint, position: bigint, length: bigint>>>"
 
 
-def hits_function(indexes: list):
-    """A function of a text column that gives HITS; indexes are broadcasts of BenchmarkIndex, at least one."""
+def hits_function(index):
+    """A function of a text column that gives HITS; index is a broadcast of a BenchmarkIndex."""
 
     @F.arrow_udf(HITS)
     def hits(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
-            n, spans, items = [np.zeros(0, dtype=np.int64)], [], []
+            n, spans, items, matches = [np.zeros(0, dtype=np.int64)], [], [], []
             for part in text_slices(batch, SHARD_BYTES):
-                a, b, c = shard_hits(part, indexes[0].value)
-                for more in indexes[1:]:
-                    _, x, y = shard_hits(part, more.value)
-                    b, c = [p + q for p, q in zip(b, x, strict=True)], [p + q for p, q in zip(c, y, strict=True)]
-                n.append(a)
-                spans += b
-                items += c
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+                made = shard_hits(part, index.value)
+                n.append(made[0])
+                for whole, more in zip((spans, items, matches), made[1:], strict=True):
+                    whole += more
+            bounds = np.concatenate([[0], np.cumsum([len(m) for m in matches])])
+            columns = list(zip(*(x for m in matches for x in m), strict=True)) or [()] * len(MATCHES)
+            found = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, MATCHES, strict=True)], [name for name, _ in MATCHES])
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), found)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), lists], ["n_words", "spans", "items", "matches"])
 
     return hits
 
 
-def build_indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> list:
-    """Broadcast indexes of at most INDEX_BYTES of text each; the driver holds one at a time."""
-    spark = benchmark.sparkSession
-    bound_batches(spark)
+def build_indexes(benchmark: DataFrame, item_col: str, text_col: str, window: int = WINDOW) -> Iterator[BenchmarkIndex]:
+    """Indexes of at most INDEX_BYTES of text, or one item, each; at least one."""
     rows = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("i"), F.coalesce(col(text_col), F.lit("")).alias("t"))
-    out, ids, texts, held = [], [], [], 0
+    rows = rows.select("i", "t", F.octet_length("t").alias("n"))
+    part, held, made = [], 0, False
     for row in rows.toLocalIterator():
-        ids.append(row.i)
-        texts.append(row.t)
-        held += len(row.t)
-        if held >= INDEX_BYTES:
-            out.append(spark.sparkContext.broadcast(BenchmarkIndex(ids, texts, window)))
-            ids, texts, held = [], [], 0
-    if ids or not out:
-        out.append(spark.sparkContext.broadcast(BenchmarkIndex(ids, texts, window)))
-    return out
+        if part and held + row.n > INDEX_BYTES:
+            yield BenchmarkIndex(part, window)
+            part, held, made = [], 0, True
+        part.append((row.i, row.t))
+        held += row.n
+    if part or not made:
+        yield BenchmarkIndex(part, window)
+
+
+def with_hits(rows: DataFrame, text: Column, benchmark: DataFrame, item_col: str, item_text_col: str, window: int = WINDOW) -> DataFrame:
+    """``rows``, which has no columns named as here, with n_words, n_hit, spans, items and matches of the text."""
+    spark = rows.sparkSession
+    bound_batches(spark)
+    indexes = build_indexes(benchmark, item_col, item_text_col, window)
+    index, following = next(indexes), next(indexes, None)
+    if following is None:
+        found = rows.withColumn("__hits", hits_function(spark.sparkContext.broadcast(index))(text))
+    else:
+        scratch = Scratch(spark, "decontamination")
+        # the row numbers are fixed by writing them
+        numbered = scratch.write(rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__text", text), "numbered")
+        united, k = None, 0
+        while index is not None:
+            shared = spark.sparkContext.broadcast(index)
+            hits = numbered.select("__row", hits_function(shared)("__text").alias("h")).select("__row", "h.*")
+            made = scratch.write(hits if united is None else hits.filter(F.size("items") > 0), f"pass{k}")
+            shared.destroy()
+            united, k = made if united is None else united.unionByName(made), k + 1
+            index, following = following, next(indexes, None)
+        joined = united.groupBy("__row").agg(F.struct(F.max("n_words").alias("n_words"), *(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "matches"))).alias("__hits"))
+        found = numbered.join(joined, "__row").drop("__row", "__text")
+    h = F.col("__hits")
+    made = {"n_words": h["n_words"], "n_hit": n_hit(h["spans"]), "spans": h["spans"], "items": F.array_sort(F.array_distinct(h["items"])), "matches": F.array_sort(h["matches"])}
+    return found.withColumns(made).drop("__hits")
 
 
 def n_hit(spans: Column) -> Column:
@@ -226,22 +306,23 @@ def contaminated(hit: Column, words: Column) -> Column:
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: id, n_words, n_hit, spans, items (sorted), contaminated.
-
-    spans has, as start and length in words in turn, the longest verbatim runs of the document that
-    windows of the benchmark make up. An item with fewer than ``window`` words, but not none, is one
-    window. Null and empty texts have no words and are clean; null and empty items match nothing.
-    Items with the same id count once, a null id as the empty one. Each row is judged by itself.
+    """Per document: id, n_words, n_hit, spans, items (sorted), matches (sorted), contaminated.
+
+    spans has, as start and length in words in turn, the runs of the document's words that lie inside
+    occurrences of windows. matches has the longest verbatim matches of at least ``window`` words, or
+    a whole shorter item: the item, the offset in it, the position in the document and the length, all
+    in words; none can be extended to either side, and of several from one offset the longest, then
+    the first, is named. An item with fewer than ``window`` words, but not none, is one window. Null and
+    empty texts have no words and are clean; null and empty items match nothing. Items with the same
+    id count once, a null id as the empty one. Each row is judged by itself.
     """
-    hits = hits_function(build_indexes(benchmark, item_col, item_text_col, window))
-    found = docs.select(col(id_col).alias("id"), hits(col(text_col)).alias("h"))
-    found = found.select("id", "h.n_words", n_hit(F.col("h.spans")).alias("n_hit"), F.col("h.spans").alias("spans"), F.array_sort(F.array_distinct("h.items")).alias("items"))
-    return found.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words"))).withColumnRenamed("id", id_col)
+    rows = docs.select(col(id_col).alias("__id"), col(text_col).alias("__t"))
+    found = with_hits(rows, F.col("__t"), benchmark, item_col, item_text_col, window).drop("__t")
+    return found.withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words"))).withColumnRenamed("__id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are clean, all columns unchanged."""
-    hits = hits_function(build_indexes(benchmark, item_col, item_text_col))
-    row = fresh(docs, "row")
-    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias(row), hits(col(text_col)).alias("h"))
-    return held.filter(~contaminated(n_hit(F.col("h.spans")), F.col("h.n_words"))).select(f"{row}.*")
+    held = docs.select(F.struct(*(col(c) for c in docs.columns)).alias("__kept"), col(text_col).alias("__t"))
+    found = with_hits(held, F.col("__t"), benchmark, item_col, item_text_col)
+    return found.filter(~contaminated(F.col("n_hit"), F.col("n_words"))).select("__kept.*")
