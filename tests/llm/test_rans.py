@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +28,6 @@ def encoder():
 
 def library_ids(texts):
     lib = Tokenizer.from_file(FILE)
-    lib.encode_special_tokens = True
     return [x.ids for x in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
@@ -77,21 +78,39 @@ def test_table_of_very_uneven_counts():
 def test_damage_is_found():
     ids = np.arange(1000, dtype=np.uint32) % 7
     made = rans.Table(np.arange(7), np.bincount(ids))
-    block = bytearray(rans.pack_block([5], [ids], 0, made) + b"\n")
-    assert [x[2].tolist() for x in rans.unpack_blocks(memoryview(block), made)] == [ids.tolist()]
+    block = bytearray(rans.pack_block([5], [ids], 3, 0, made))
+    assert rans.unpack_block(bytes(block), made)[3].tolist() == ids.tolist()
     block[-10] ^= 1
     with pytest.raises(ValueError, match="damaged"):
-        list(rans.unpack_blocks(memoryview(block), made))
+        rans.unpack_block(bytes(block), made)
+    with pytest.raises(ValueError, match="cut off"):
+        rans.unpack_block(bytes(block[:20]), made)
+
+
+def test_no_block_holds_the_separator():
+    ids = np.arange(1000, dtype=np.uint32) % 7
+    made = rans.Table(np.arange(7), np.bincount(ids))
+    bad = int.from_bytes(rans.MAGIC.encode(), "little")
+    block = rans.pack_block([bad, None], [ids, ids[:0]], 3, 9, made)
+    assert block[0] and rans.MAGIC.encode() not in block
+    part, first, docs, got = rans.unpack_block(block, made)
+    assert (part, first, docs["id"][0], docs["size"].tolist()) == (3, 9, bad, [1000, 0]) and got.tolist() == ids.tolist()
 
 
 def read_back(spark, docs):
     return sorted(tuple(r) for r in rans.through_files(docs, FILE, Scratch(spark, "t")).collect())
 
 
+def parts_of(monkeypatch, ids, block=1 << 18):
+    monkeypatch.setattr(rans, "LEAST_PART_IDS", ids)
+    monkeypatch.setattr(rans, "PART_IDS", ids)
+    monkeypatch.setattr(rans, "BLOCK_IDS", block)
+    monkeypatch.setattr(rans, "PARTS_TOGETHER", 3)
+
+
 @pytest.mark.parametrize(("bucket", "block"), [(1 << 22, 1 << 18), (2000, 500)])
 def test_query_equals_library(spark, monkeypatch, bucket, block):
-    monkeypatch.setattr(rans, "BUCKET_IDS", bucket)
-    monkeypatch.setattr(rans, "BLOCK_IDS", block)
+    parts_of(monkeypatch, bucket, block)
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     assert sorted(tuple(r) for r in QUERIES["op10_token_files"](spark, SF).collect()) == expected(docs)
 
@@ -100,11 +119,47 @@ def test_files_give_the_ids_back(spark):
     docs, scratch = documents(spark, ODD_TEXTS), Scratch(spark, "t")
     encoded = scratch.write(rans.tokenize(docs, FILE, "doc_id", "text"), "ids")
     made = rans.count_ids(encoded)
-    rans.write_files(*rans.in_buckets(encoded), made, scratch.path("files"))
-    got = {r.id: np.frombuffer(r["ids"], "<u4").tolist() for r in rans.read_documents(spark, scratch.path("files"), made).collect()}
+    rans.write_files(encoded, made, scratch.path("files"))
+    got = {r.id: np.frombuffer(r["ids"], "<u4").tolist() for r in rans.read_documents(spark, scratch.path("files"), made, scratch).collect()}
     assert got == {i: [*ids, 0] for i, ids in enumerate(library_ids(ODD_TEXTS))}
 
 
+def test_files_in_order_of_names_ascend_and_are_cut_anywhere(spark, monkeypatch):
+    parts_of(monkeypatch, 3000, 300)
+    docs, scratch = table(spark, SF, "documents").repartition(5, "text"), Scratch(spark, "t")
+    encoded = scratch.write(rans.tokenize(docs, FILE, "doc_id", "text"), "ids")
+    made = rans.count_ids(encoded)
+    rans.write_files(encoded, made, scratch.path("files"))
+    files = sorted(Path(scratch.path("files")).glob("part-*"))
+    assert len(files) > 5
+    seen = []
+    for file in files:
+        blocks = file.read_bytes().split(rans.MAGIC.encode())
+        assert blocks.pop() == b""
+        for block in blocks:
+            seen += rans.unpack_block(block, made)[2]["id"].tolist()
+    assert seen == sorted(r.doc_id for r in docs.collect())
+    whole = sorted(map(tuple, rans.read_documents(spark, scratch.path("files"), made, scratch).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        assert rans.read_blocks(spark, scratch.path("files")).rdd.getNumPartitions() > 2 * len(files)
+        assert sorted(map(tuple, rans.read_documents(spark, scratch.path("files"), made, scratch).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_texts_that_the_tokenizer_splits_otherwise_go_to_the_library(tmp_path):
+    said = json.loads(Path(FILE).read_text())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(said))
+    texts = ["hello there", "", "two words"]
+    lib = Tokenizer.from_file(str(other))
+    assert [x.tolist() for x in Encoder(str(other)).encode(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_odd_texts_nulls_repeats_and_empty_table(spark):
     docs = documents(spark, ODD_TEXTS)
     assert read_back(spark, docs) == expected([(i, t) for i, t in enumerate(ODD_TEXTS)])
@@ -114,8 +169,17 @@ def test_odd_texts_nulls_repeats_and_empty_table(spark):
     assert [r.doc_id for r in got] == [None, 1, 3, 3] and got[2].ids_crc32 == got[3].ids_crc32
 
 
+def test_equal_rows_of_one_id_are_split(spark, monkeypatch):
+    parts_of(monkeypatch, 50)
+    docs = spark.createDataFrame([(7, "the same text")] * 100, "doc_id long, text string")
+    scratch = Scratch(spark, "t")
+    got = rans.through_files(docs, FILE, scratch).orderBy("start").collect()
+    assert len({r.n_tokens for r in got}) == 1 and [r.start for r in got] == [i * got[0].n_tokens for i in range(100)]
+    assert len(list(Path(scratch.path("files")).glob("part-*"))) > 2
+
+
 def test_a_hot_document_id_is_split(spark, monkeypatch):
-    monkeypatch.setattr(rans, "BUCKET_IDS", 50)
+    parts_of(monkeypatch, 50)
     docs = spark.createDataFrame([(7, f"text number {i} of many") for i in range(200)] + [(6, "before"), (8, "after")], "doc_id long, text string")
     got = rans.through_files(docs, FILE, Scratch(spark, "t")).orderBy("start").collect()
     assert [r.doc_id for r in got] == [6] + [7] * 200 + [8]

@@ -3,11 +3,13 @@
 A byte-level BPE splits a text by a fixed pattern into pieces and encodes every piece by itself. The
 pieces of texts whose characters are all below LIMIT, where the pattern's classes are plain, are
 found here in numpy; the library encodes those that the worker has not met before. Any other text
-goes to the library whole.
+goes to the library whole: one with a character from LIMIT on, one that names an added token, and all
+texts if the tokenizer file says that it splits or changes texts in another way.
 """
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 
 import numpy as np
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 
 from .bytetext import BYTE_HASH, HashIndex, Slice, text_slices
 
-#: The pattern that pieces here are cut by; a tokenizer file must have it as its byte-level pre-tokenizer.
+#: The pattern that a byte-level pre-tokenizer splits by, and pieces are cut by here.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LIMIT = 0x250
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -70,7 +72,11 @@ def piece_starts(chars: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        said = json.loads(self.library.to_str())
+        cuts = said.get("pre_tokenizer") or {}
+        #: Whether pieces may be cut here.
+        self.cuts = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space") and not said.get("normalizer") and not said.get("truncation") and not said.get("padding") and said["model"].get("type") == "BPE" and not said["model"].get("dropout")
+        self.added = [t["content"].encode() for t in said.get("added_tokens") or []]
         self._forget()
 
     def _forget(self) -> None:
@@ -120,11 +126,20 @@ class Encoder:
         """The ids of each text; a null one has none."""
         out: list[np.ndarray] = []
         for part in text_slices(texts):
-            chars = np.frombuffer(part.buf.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
+            raw = part.buf.tobytes()
+            if not self.cuts:
+                out += [self._whole(raw[a:b]) for a, b in zip(part.offs[:-1].tolist(), part.offs[1:].tolist(), strict=True)]
+                continue
+            chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
             begins = np.concatenate([[0], np.cumsum((part.buf & 0xC0) != 0x80)])
             char_offs = begins[part.offs]
             odd = np.concatenate([[0], np.cumsum(chars >= LIMIT)])[char_offs]
             plain = np.diff(odd) == 0
+            for token in self.added:
+                at = raw.find(token)
+                while at >= 0:
+                    plain[np.searchsorted(part.offs, at, side="right") - 1] = False
+                    at = raw.find(token, at + 1)
             if plain.all():
                 out += self._plain(part, chars, char_offs)
                 continue
@@ -134,9 +149,12 @@ class Encoder:
                     some = Slice(part.first + i, part.buf[a:b], np.array([0, b - a]))
                     out += self._plain(some, chars[char_offs[i] : char_offs[i + 1]], char_offs[i : i + 2] - char_offs[i])
                 else:
-                    out.append(np.array(self.library.encode(part.buf[a:b].tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32))
+                    out.append(self._whole(raw[a:b]))
         return out
 
+    def _whole(self, text: bytes) -> np.ndarray:
+        return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, dtype=np.uint32)
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

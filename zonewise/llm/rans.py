@@ -2,12 +2,17 @@
 
 One table of frequencies, counted over all ids, is shared by all blocks. A block holds the ids of
 whole documents, dealt to many interleaved coder states so that numpy steps them together; its
-header is a checkpoint: where its ids start in the corpus, which documents it has, the states to
-resume from, and checksums of its ids and of its payload. So any block can be decoded alone.
+header is a checkpoint: where its ids start in its part of the corpus, which documents it has, the
+states to resume from, and checksums of its ids and of its payload. So any block can be decoded alone.
 
-File: blocks one after the other, each followed by a line feed. Block, little-endian:
-    magic 8 bytes | lanes u32 | documents u32 | ids u64 | words u32 | crc32 of the ids u32 |
-    crc32 of all that follows u32 | first id u64 |
+The documents are dealt to parts by ranges of their ids, so files in the order of their names hold
+documents in ascending order. A file is blocks with MAGIC after each; no block has MAGIC in it, so
+Spark's text source, with MAGIC as the line separator, cuts a file at any block and many tasks read
+it at once. Ids before a part are sums of the headers of the parts before it, made on two levels.
+
+Block: mask u8, and exclusive-or'ed with the mask, little-endian:
+    part u32 | lanes u32 | documents u32 | ids u64 | words u32 | crc32 of the ids u32 |
+    first id in the part u64 | crc32 of all that follows u32 |
     of each document: has an id u8, id i64, ids u64 | states u64 * lanes | words u32 * words
 """
 
@@ -19,21 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .pretoken import encoder
 from .store import Scratch, col
 
-MAGIC = b"ZWRANS1\n"
-HEAD = struct.Struct("<8sIIQIIIQ")
+MAGIC = "ZWRANS2\n"
+HEAD = struct.Struct("<IIIQIIQI")
+HEAD_BYTES = 1 + HEAD.size
 #: The sum of the frequencies is 2**SCALE; states lie in [LOW, LOW * 2**32).
 SCALE, LOW = 20, 1 << 31
-#: Ids in a block (more if a document alone has more), and ids in one ordered bucket of documents.
-BLOCK_IDS, BUCKET_IDS = 1 << 18, 1 << 22
+#: Ids in a block, or one document.
+BLOCK_IDS = 1 << 18
+#: Ids in a part, about: at least, as long as there are so many parts for each task that can run at once, and at most.
+LEAST_PART_IDS, PART_IDS, PARTS_PER_TASK = 1 << 22, 1 << 26, 4
+#: Parts whose first ids are summed by one task, and parts up to which these are broadcast (16 bytes each).
+PARTS_TOGETHER, BROADCAST_PARTS = 1024, 500_000
 MAX_LANES = 2048
-BLOCKS_PER_FILE = 64
 END_ID = 0
 
 
@@ -111,36 +121,46 @@ def lanes_of(n: int) -> int:
 DOC = np.dtype([("known", "u1"), ("id", "<i8"), ("size", "<u8")])
 
 
-def pack_block(doc_ids: list[int | None], parts: list[np.ndarray], first: int, table: Table) -> bytes:
+def masked(block: bytes, mask: int) -> bytes:
+    return (np.frombuffer(block, dtype=np.uint8) ^ np.uint8(mask)).tobytes() if mask else block
+
+
+def pack_block(doc_ids: list[int | None], parts: list[np.ndarray], part: int, first: int, table: Table) -> bytes:
     ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
     state, words = encode_ids(ids, table)
     docs = np.zeros(len(doc_ids), dtype=DOC)
     docs["known"] = [d is not None for d in doc_ids]
     docs["id"] = [d or 0 for d in doc_ids]
     docs["size"] = [len(p) for p in parts]
-    body = struct.pack("<Q", first) + docs.tobytes() + state.astype("<u8").tobytes() + words.astype("<u4").tobytes()
-    return HEAD.pack(MAGIC, len(state), len(docs), len(ids), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body), first) + body[8:]
-
-
-def unpack_blocks(data: memoryview, table: Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each block of a file: the number of its first id, its documents (DOC), and its ids; checksums are verified."""
-    at = 0
-    while at < len(data):
-        magic, lanes, n_docs, n, n_words, crc_ids, crc_body, first = HEAD.unpack_from(data, at)
-        if magic != MAGIC:
-            raise ValueError(f"no block at byte {at}")
-        end = at + HEAD.size + n_docs * DOC.itemsize + 8 * lanes + 4 * n_words
-        if zlib.crc32(data[at + HEAD.size - 8 : end]) != crc_body:
-            raise ValueError(f"the block at byte {at} is damaged")
-        at += HEAD.size
-        docs = np.frombuffer(data, DOC, n_docs, at)
-        state = np.frombuffer(data, "<u8", lanes, at := at + n_docs * DOC.itemsize)
-        words = np.frombuffer(data, "<u4", n_words, at + 8 * lanes)
-        ids = decode_ids(state, words, n, table)
-        if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
-            raise ValueError(f"ids of the block from id {first} are damaged")
-        yield first, docs, ids
-        at = end + 1
+    body = docs.tobytes() + state.astype("<u8").tobytes() + words.astype("<u4").tobytes()
+    block = HEAD.pack(part, len(state), len(docs), len(ids), len(words), zlib.crc32(ids.astype("<u4").tobytes()), first, zlib.crc32(body)) + body
+    # each mask has its own places where the masked block could hold the separator, so some mask has none
+    mask = next(m for m in range(256) if MAGIC.encode() not in masked(block, m))
+    return bytes([mask]) + masked(block, mask)
+
+
+def part_and_size(block: bytes) -> tuple[int, int]:
+    """A block's part and its number of ids."""
+    head = HEAD.unpack_from(masked(block[1 : 1 + HEAD.size], block[0]))
+    return head[0], head[3]
+
+
+def unpack_block(block: bytes, table: Table) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """A block's part, the number of its first id there, its documents (DOC), and its ids; checksums are verified."""
+    data = masked(block[1:], block[0])
+    if len(data) < HEAD.size:
+        raise ValueError("a block is cut off")
+    part, lanes, n_docs, n, n_words, crc_ids, first, crc_body = HEAD.unpack_from(data)
+    at = HEAD.size
+    if len(data) != at + n_docs * DOC.itemsize + 8 * lanes + 4 * n_words or zlib.crc32(data[at:]) != crc_body:
+        raise ValueError(f"the block from id {first} of part {part} is damaged")
+    docs = np.frombuffer(data, DOC, n_docs, at)
+    state = np.frombuffer(data, "<u8", lanes, at := at + n_docs * DOC.itemsize)
+    words = np.frombuffer(data, "<u4", n_words, at + 8 * lanes)
+    ids = decode_ids(state, words, n, table)
+    if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
+        raise ValueError(f"ids of the block from id {first} of part {part} are damaged")
+    return part, first, docs, ids
 
 
 def id_type(tokenizer_file: str) -> str:
@@ -149,7 +169,7 @@ def id_type(tokenizer_file: str) -> str:
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, kind: str = "<u4") -> DataFrame:
-    """Rows (id, n, ids): the ids of each text and END_ID, as little-endian unsigned integers."""
+    """Rows (id, n, tie, row, ids): the ids of each text and END_ID, as little-endian unsigned integers; tie is a hash of them, row tells equal rows apart."""
 
     @F.arrow_udf("struct<n: bigint, ids: binary>")
     def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -159,7 +179,8 @@ def tokenize(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, k
             made = enc.encode(batch)
             yield pa.StructArray.from_arrays([pa.array([len(x) + 1 for x in made], pa.int64()), pa.array([x.astype(kind).tobytes() + end for x in made], pa.binary())], ["n", "ids"])
 
-    return docs.select(col(id_col).cast("bigint").alias("id"), encode(col(text_col)).alias("e")).select("id", "e.n", "e.ids")
+    made = docs.select(col(id_col).cast("bigint").alias("id"), F.monotonically_increasing_id().alias("row"), encode(col(text_col)).alias("e"))
+    return made.select("id", "e.n", F.xxhash64("e.ids").alias("tie"), "row", "e.ids")
 
 
 def count_ids(encoded: DataFrame, kind: str = "<u4") -> Table:
@@ -180,99 +201,80 @@ def count_ids(encoded: DataFrame, kind: str = "<u4") -> Table:
     return Table(counts["symbol"].to_numpy(dtype=np.int64), counts["n"].to_numpy(dtype=np.int64))
 
 
-def in_buckets(encoded: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
-    """Rows with (bucket, sub), which rise with (id, tie); and the number of ids before each.
+def write_files(encoded: DataFrame, table: Table, path: str, kind: str = "<u4") -> None:
+    """Writes blocks of tokenize's rows, which must be written somewhere, in ascending (id, tie), null ids first.
 
-    Buckets are ranges of document ids with about BUCKET_IDS token ids. A document id that alone has
-    more gets a bucket of its own, split by ``tie``, a hash of the row's token ids.
+    Parts are ranges of (id, tie, row), so one id with very many rows, equal ones too, is split.
     """
-    spark = encoded.sparkSession
-    sizes = encoded.select("id", "n")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    many = max(1, total // BUCKET_IDS)
-    bounds = sizes.agg(F.percentile_approx("id", F.array(*(F.lit((k + 1) / many) for k in range(many - 1))), 10_000)).first()[0] if many > 1 else []
-    hot = [r.id for r in sizes.groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * BUCKET_IDS).select("id").collect()]
-    bounds = np.unique(np.array([*(bounds or []), *(h for i in hot if i is not None for h in (i - 1, i))], dtype=np.int64))
-
-    @F.arrow_udf("int")
-    def bucket_of(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in ids:
-            known = batch.fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.array(np.where(batch.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(bounds, known)).astype(np.int32))
-
-    tie = F.xxhash64("ids")
-    is_hot = F.lit(False)
-    for i in hot:
-        is_hot |= F.col("id").eqNullSafe(F.lit(i))
-    rows = encoded.select("*", bucket_of("id").alias("bucket"), tie.alias("tie"))
-    rows = rows.withColumn("sub", F.when(is_hot, F.shiftright("tie", 56).cast("int")).otherwise(F.lit(0)))
-    per = rows.groupBy("bucket", "sub").agg(F.sum("n").alias("n")).orderBy("bucket", "sub").collect()
-    before, at = {}, 0
-    for r in per:
-        before[(r.bucket, r.sub)] = at
-        at += r.n
-    return rows, before
-
-
-def write_files(rows: DataFrame, before: dict[tuple[int, int], int], table: Table, path: str, kind: str = "<u4") -> None:
-    """Writes the blocks of each bucket in ascending (id, tie, ids). A document id's equal rows follow each other."""
-    sparkc = rows.sparkSession.sparkContext
-    shared = sparkc.broadcast((table, before))
+    context = encoded.sparkSession.sparkContext
+    total = encoded.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, -(-total // PART_IDS), min(-(-total // LEAST_PART_IDS), PARTS_PER_TASK * context.defaultParallelism))
+    shared = context.broadcast(table)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, before = shared.value
-        place, first, at, doc_ids, parts, held = None, 0, 0, [], [], 0
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([pack_block(doc_ids, parts, first, table)], pa.binary())], ["block"])
-
+        table, part = shared.value, TaskContext.get().partitionId()
+        first, at, doc_ids, held_ids, held = 0, 0, [], [], 0
         for batch in batches:
-            ids = batch.column("id").to_pylist()
-            places = list(zip(batch.column("bucket").to_pylist(), batch.column("sub").to_pylist(), strict=True))
             blobs = batch.column("ids")
-            for i, doc_id in enumerate(ids):
-                if places[i] != place:
-                    if parts:
-                        yield made()
-                    place = places[i]
-                    first = at = before[place]
-                    doc_ids, parts, held = [], [], 0
-                elif held >= BLOCK_IDS:
-                    yield made()
-                    first, doc_ids, parts, held = at, [], [], 0
-                part = np.frombuffer(blobs[i].as_buffer(), kind).astype(np.uint32)
+            for i, doc_id in enumerate(batch.column("id").to_pylist()):
+                if held >= BLOCK_IDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([pack_block(doc_ids, held_ids, part, first, table)], pa.binary())], ["block"])
+                    first, doc_ids, held_ids, held = at, [], [], 0
+                ids = np.frombuffer(blobs[i].as_buffer(), kind).astype(np.uint32)
                 doc_ids.append(doc_id)
-                parts.append(part)
-                held += len(part)
-                at += len(part)
-        if parts:
-            yield made()
+                held_ids.append(ids)
+                held += len(ids)
+                at += len(ids)
+        if doc_ids:
+            yield pa.RecordBatch.from_arrays([pa.array([pack_block(doc_ids, held_ids, part, first, table)], pa.binary())], ["block"])
 
-    ordered = rows.repartition("bucket", "sub").sortWithinPartitions("bucket", "sub", F.col("id").asc_nulls_first(), "tie", "ids")
-    made = ordered.select("id", "ids", "bucket", "sub").mapInArrow(blocks, "block binary")
-    # the text sink writes a string's bytes as they are, and one line feed after each
-    made.select(F.col("block").cast("string").alias("value")).write.option("maxRecordsPerFile", BLOCKS_PER_FILE).mode("overwrite").text(path)
+    order = (F.col("id").asc_nulls_first(), F.col("tie").asc(), F.col("row").asc())
+    ordered = encoded.select("id", "tie", "row", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    made = ordered.select("id", "ids").mapInArrow(blocks, "block binary")
+    # the text sink writes a string's bytes as they are, and the separator after each
+    made.select(F.col("block").cast("string").alias("value")).write.option("lineSep", MAGIC).mode("overwrite").text(path)
 
 
-def read_documents(spark, path: str, table: Table, with_ids: bool = True) -> DataFrame:
-    """Rows (id, start, n, crc[, ids]) of the files, each file's blocks decoded and verified one by one; ids as unsigned 32-bit integers."""
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("block"))
+
+
+def first_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (part, before): the ids of all parts before each, from the headers of the blocks."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [part_and_size(head) for head in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([part for part, _ in made], pa.int64()), pa.array([n for _, n in made], pa.int64())], ["part", "n"])
+
+    parts = read_blocks(spark, path).select(F.substring("block", 1, HEAD_BYTES)).mapInArrow(heads, "part bigint, n bigint").groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.withColumn("many", F.expr(f"part DIV {PARTS_TOGETHER}"))
+    many = parts.groupBy("many").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("many")) - F.col("n")).select("many", "before")
+    within = parts.withColumn("within", F.sum("n").over(Window.partitionBy("many").orderBy("part")) - F.col("n"))
+    return within.join(many, "many").select("part", (F.col("before") + F.col("within")).alias("before"))
+
+
+def read_documents(spark: SparkSession, path: str, table: Table, scratch: Scratch, with_ids: bool = True) -> DataFrame:
+    """Rows (id, start, n, crc[, ids]) of the files, each block decoded and verified by itself; ids as unsigned 32-bit integers."""
     shared = spark.sparkContext.broadcast(table)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column(0):
-                for first, docs, ids in unpack_blocks(memoryview(content.as_buffer()), shared.value):
-                    ends = np.cumsum(docs["size"].astype(np.int64))
-                    starts = ends - docs["size"].astype(np.int64)
-                    raw = memoryview(ids.astype("<u4").tobytes())
-                    blobs = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                    columns = [pa.array(docs["id"].astype(np.int64), pa.int64(), mask=docs["known"] == 0), pa.array(starts + first), pa.array(ends - starts), pa.array([zlib.crc32(b) for b in blobs], pa.int64())]
-                    if with_ids:
-                        columns.append(pa.array([bytes(b) for b in blobs], pa.binary()))
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "start", "n", "crc", "ids"][: len(columns)])
-
-    files = spark.read.format("binaryFile").load(f"{path}/part-*").select("content")
-    return files.mapInArrow(decode, "id bigint, start bigint, n bigint, crc bigint" + ", ids binary" * with_ids)
+            for block in batch.column(0):
+                part, first, docs, ids = unpack_block(block.as_buffer().to_pybytes(), shared.value)
+                ends = np.cumsum(docs["size"].astype(np.int64))
+                starts = ends - docs["size"].astype(np.int64)
+                raw = memoryview(ids.astype("<u4").tobytes())
+                blobs = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [pa.array(np.full(len(docs), part)), pa.array(docs["id"].astype(np.int64), pa.int64(), mask=docs["known"] == 0), pa.array(starts + first), pa.array(ends - starts), pa.array([zlib.crc32(b) for b in blobs], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([bytes(b) for b in blobs], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["part", "id", "first", "n", "crc", "ids"][: len(columns)])
+
+    before = scratch.write(first_ids(spark, path), "parts")
+    rows = read_blocks(spark, path).mapInArrow(decode, "part bigint, id bigint, first bigint, n bigint, crc bigint" + ", ids binary" * with_ids)
+    met = rows.join(F.broadcast(before) if before.count() <= BROADCAST_PARTS else before, "part")
+    return met.select("id", (F.col("before") + F.col("first")).alias("start"), "n", "crc", *["ids"] * with_ids)
 
 
 def through_files(docs: DataFrame, tokenizer_file: str, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,7 +289,6 @@ def through_files(docs: DataFrame, tokenizer_file: str, scratch: Scratch, id_col
     table = count_ids(encoded, kind)
     if not len(table.symbol):
         return spark.createDataFrame([], f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    rows, before = in_buckets(encoded)
-    write_files(rows, before, table, scratch.path("files"), kind)
+    write_files(encoded, table, scratch.path("files"), kind)
     scratch.drop("ids")
-    return read_documents(spark, scratch.path("files"), table, with_ids=False).select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    return read_documents(spark, scratch.path("files"), table, scratch, with_ids=False).select(F.col("id").alias(id_col), "start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
