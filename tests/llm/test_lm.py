@@ -35,10 +35,68 @@ def check(got, docs):
     assert all(r.score <= 1e-9 and math.isfinite(r.score) for r in got)
 
 
-@pytest.mark.parametrize(("hot", "words"), [(1 << 16, 1023), (50, 20)])
-def test_query_equals_brute_force_and_beats_the_base(spark, monkeypatch, hot, words):
+def plain_scores(texts, words, parameters, counts):
+    """The trained parameters' log10 probability of each text, by loops over tokens, units and words."""
+    hot, rare, size = words.hot, lm.RARE, lm.SIZE
+    rows = parameters.astype(np.float64)
+    vector, rows = rows[: hot + rare + 1, :size], rows[hot + rare + 1 :]
+    units = len(words.noise)
+    out, inner, (left, near) = rows[:units], rows[units : units + hot], rows[units + hot :][:, :size]
+    ranks = {int(w): i for i, w in enumerate(words.words.view(np.int64))}
+    tails = range(words.single, hot, lm.TAIL)
+
+    def soft(h, table):
+        said = table[:, :size] @ h + table[:, size]
+        return said - math.log(np.exp(said - said.max()).sum()) - said.max()
+
+    made = []
+    for text in texts:
+        (part,) = text_slices(pa.array([text or ""]))
+        hashes, _, endings = lm.tokens_of(part)
+        total, before = 0.0, [hot + rare, hot + rare]
+        for word, ending in zip(hashes.view(np.int64).tolist(), endings.tolist(), strict=True):
+            h = vector[before[0]] * left + vector[before[1]] * near
+            place = ranks.get(word, hot + ending)
+            if place < words.single:
+                total += soft(h, out)[place]
+            elif place < hot:
+                k = next(k for k, a in enumerate(tails) if a <= place < a + lm.TAIL)
+                total += soft(h, out)[words.single + k] + soft(h, inner[tails[k] : tails[k] + lm.TAIL])[place - tails[k]]
+            else:
+                total += soft(h, out)[words.single + len(tails) + ending] + math.log((counts.get(word, 0) + 1) / words.rest[ending])
+            before = [before[1], place]
+        made.append(total / math.log(10))
+    return made
+
+
+@pytest.mark.parametrize(("hot", "single", "tail"), [(1 << 16, 256, 384), (300, 20, 7)])
+def test_scores_equal_a_plain_evaluation(spark, monkeypatch, hot, single, tail):
+    for name, value in (("HOT", hot), ("SINGLE", single), ("TAIL", tail)):
+        monkeypatch.setattr(lm, name, value)
+    kept = {}
+
+    def fit(*args, trained=lm.fit):
+        kept["model"] = trained(*args)
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "fit", fit)
+    docs = table(spark, SF, "documents").select("doc_id", "text").limit(60).union(documents(spark, [t for t in ODD_TEXTS if not t or len(t) < 1000]).selectExpr("-doc_id - 1", "text"))
+    docs = Scratch(spark, "t").write(docs, "docs")
+    got = {r.doc_id: r.score for r in lm.score_documents(docs, Scratch(spark, "t")).collect()}
+    words, parameters, counts = kept["model"]
+    counts = {r.word: r.n for r in counts.collect()}
+    rows = docs.collect()
+    want = plain_scores([r.text for r in rows], words, parameters, counts)
+    assert np.allclose([got[r.doc_id] for r in rows], want, rtol=1e-4, atol=1e-3)
+    # a share of a rare unit for each of its words and one for unseen ones
+    rare = [n for w, n in counts.items() if w not in set(words.words.view(np.int64).tolist())]
+    assert math.isclose(words.rest.sum(), sum(rare) + len(rare) + lm.RARE)
+
+
+@pytest.mark.parametrize(("hot", "single"), [(1 << 16, 256), (50, 20)])
+def test_query_equals_brute_force_and_beats_the_base(spark, monkeypatch, hot, single):
     monkeypatch.setattr(lm, "HOT", hot)
-    monkeypatch.setattr(lm, "WORDS", words)
+    monkeypatch.setattr(lm, "SINGLE", single)
     docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
     made = QUERIES["op8_lm_scoring"](spark, SF)
     assert made.columns[: len(COLUMNS)] == COLUMNS
@@ -58,26 +116,36 @@ def test_no_training_document_and_empty_table(spark):
     only = next(i for i in range(100) if held(i))
     docs = documents(spark, ["x"]).select("text").selectExpr(f"CAST({only} AS BIGINT) AS doc_id", "text")
     (row,) = lm.score_documents(docs, Scratch(spark, "t")).collect()
-    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 2, 0, 0, 0) and abs(row.score) < 1e-6
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (True, 2, 0, 0, 0) and row.score < 0
     assert lm.score_documents(docs.limit(0), Scratch(spark, "t")).collect() == []
 
 
-def test_probabilities_sum_to_one():
-    words = lm.Vocabulary(np.arange(1, 31), np.arange(31, 1, -1), 700, 60)
-    model = lm.LogBilinear(words.noise)
+def small_model():
+    tokens, kinds = np.arange(lm.RARE), np.arange(lm.RARE) // 2
+    words = lm.Vocabulary(np.arange(1, 31), np.arange(31, 1, -1), tokens, kinds, 700, 60)
+    model = lm.LogBilinear(words)
     model.set_parameters(model.parameters() + np.random.default_rng(1).normal(0, 0.3, model.parameters().shape))
-    n = len(words.noise)
-    total = sum(np.exp(model.log_probabilities(np.array([3, 5, w]), np.array([0, 3]))[2]) for w in range(n))
-    assert abs(total - 1) < 1e-5
+    return words, model
+
+
+def test_probabilities_sum_to_one(monkeypatch):
+    monkeypatch.setattr(lm, "SINGLE", 5)
+    monkeypatch.setattr(lm, "TAIL", 7)
+    words, model = small_model()
+    assert words.starts.tolist() == [5, 12, 19, 26, 30]
+    said = [model.log_probabilities(np.array([3, 40, w]), np.array([0, 3]))[2] for w in range(30 + lm.RARE)]
+    assert abs(np.exp(said).sum() - 1) < 1e-5
 
 
 def test_contexts_stay_within_texts():
-    model = lm.LogBilinear(np.full(5, 0.2))
+    _, model = small_model()
+    start = 30 + lm.RARE
     left, near = model.contexts(np.array([1, 2, 3, 4, 0, 1]), np.array([0, 3, 3, 4, 6]))
-    assert near.tolist() == [5, 1, 2, 5, 5, 0] and left.tolist() == [5, 5, 1, 5, 5, 5]
+    assert near.tolist() == [start, 1, 2, start, start, 0] and left.tolist() == [start, start, 1, start, start, start]
 
 
 def test_tokens_of_end_each_text():
     (part,) = text_slices(pa.array(["A b", None, " ", "b"]))
-    words, bounds = lm.tokens_of(part)
+    words, bounds, endings = lm.tokens_of(part)
     assert bounds.tolist() == [0, 3, 4, 5, 7] and words[1] == words[5] and (words[[2, 3, 4, 6]] == lm.END).all()
+    assert endings[1] == endings[5] and (endings[[2, 3, 4, 6]] == 0).all()

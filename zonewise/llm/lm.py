@@ -1,13 +1,19 @@
 """Language-model scores: a log-bilinear neural model, trained with noise-contrastive estimation.
 
 Counts of all training tokens are made first (they are also the base score and the noise). The model
-predicts one of the most frequent words, or that a word is another one, from the two words before;
-another word gets its share of the rest by its count, so token probabilities sum to one over all
-words. Training covers every training document: in each round every task steps through its own texts
-from the shared parameters, and the tasks' parameters are averaged, weighted by tokens, in a shuffle.
+predicts a token from the two before it, in two steps: first its unit, then the word within the unit.
+Each of the most frequent words is a unit of its own; the next ones, up to HOT, make units of TAIL
+words of about equal frequency, within which the model chooses by the same context; all rarer words,
+however many the corpus has, make RARE units by how they are spelled at the end, within which a word
+gets its share by its count, with one share left for unseen words. So token probabilities sum to one
+over all words, every token is predicted from its context, and a rare word is context by its unit.
 
-Normalisers are exact: a worker computes those of all two-word contexts that it meets in batched
-matrix products and keeps them.
+Training covers every training document: in each round every task steps through its own texts from
+the shared parameters, and each parameter becomes the mean of what the tasks that used it made of it,
+weighted by how often they did, in a shuffle. The parameters, and so the scores, depend on how rows
+fall into tasks; the counts and the base score do not.
+
+Normalisers are exact, in batched matrix products over the units, and over a unit's words.
 
 Counts of the HOT words go to every worker. A rarer word has at most one token in HOT, so no key of
 the join that counts the rest can be hot through the training texts.
@@ -22,46 +28,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import BYTE_HASH_FOLDED, NONSPACE, HashIndex, Slice, segment_sums, text_slices
+from .bytetext import BYTE_HASH_FOLDED, NONSPACE, STEP, U64, HashIndex, Slice, mix, segment_sums, text_slices
 from .store import Scratch, col, fold_of
 
 FOLDS, HELD_OUT = 7, 2
-#: Words whose counts are broadcast.
+#: Words with vectors of their own, whose counts are broadcast; what bounds them is a worker's memory (about 400 bytes each).
 HOT = 1 << 16
-#: Words of the model besides the class of all others, which is number 0, and the size of a word's vector.
-WORDS, SIZE = 1023, 24
+#: Of these the ones that are units, how many of the others make a unit, and units of rarer words.
+SINGLE, TAIL, RARE = 256, 384, 128
+#: The size of a word's vector.
+SIZE = 24
 #: Rounds of averaging; each covers its own share of the documents, together all.
 ROUNDS = 2
-BATCH, NOISE, RATE = 4096, 32, 0.08
+BATCH, RATE = 4096, 0.08
+#: Units drawn as noise for a batch, and words of its unit for a token.
+NOISE, WITHIN = 32, 8
+#: Tokens that a task trains on, about: each task sends on all its parameters.
+TASK_TOKENS = 8_000_000
+#: Contexts in one matrix product when scoring.
+TOGETHER = 1024
 #: Bytes of text whose token counts are joined before they are sent on.
 COUNT_BYTES = 8 << 20
 END = np.uint64(0x5EED_0000_0000_0E0D)
 
 
-def tokens_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a slice's lower-cased words with END after each text's, and the bounds of each text's tokens."""
+def tokens_of(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a slice's lower-cased words with END after each text's, the bounds of each text's tokens, and the rare unit that each token's spelling has."""
     starts, ends, bounds = part.runs(NONSPACE)
     words = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)
-    out = np.full(len(words) + part.n, END, dtype=np.uint64)
-    out[np.arange(len(words)) + np.repeat(np.arange(part.n), np.diff(bounds))] = words
-    return out, bounds + np.arange(part.n + 1)
+    last = BYTE_HASH_FOLDED[part.buf[ends - 1]]
+    ending = mix(last * U64(STEP) + np.where(ends - starts > 1, BYTE_HASH_FOLDED[part.buf[np.maximum(ends - 2, 0)]], U64(0))) % U64(RARE)
+    out, unit = np.full(len(words) + part.n, END, dtype=np.uint64), np.zeros(len(words) + part.n, dtype=np.int64)
+    place = np.arange(len(words)) + np.repeat(np.arange(part.n), np.diff(bounds))
+    out[place], unit[place] = words, ending
+    return out, bounds + np.arange(part.n + 1), unit
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
-    """Rows (word, n) over the single text column: each word's hash and its number of tokens."""
+    """Rows (word, ending, n) over the single text column: each word's hash, the rare unit of its spelling, and its number of tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def joined() -> pa.RecordBatch:
-            words, n = np.concatenate([w for w, _ in held]), np.concatenate([c for _, c in held])
-            kinds, which = np.unique(words, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(np.bincount(which, n).astype(np.int64))], ["word", "n"])
+            words, endings, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            kinds, first, which = np.unique(words, return_index=True, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(endings[first].astype(np.int32)), pa.array(np.bincount(which, n).astype(np.int64))], ["word", "ending", "n"])
 
         for batch in batches:
             for part in text_slices(batch.column(0)):
-                held.append(np.unique(tokens_of(part)[0], return_counts=True))
+                hashes, _, endings = tokens_of(part)
+                kinds, first, n = np.unique(hashes, return_index=True, return_counts=True)
+                held.append((kinds, endings[first], n))
                 size += len(part.buf)
                 if size >= COUNT_BYTES:
                     yield joined()
@@ -69,20 +88,26 @@ def count_tokens(texts: DataFrame) -> DataFrame:
         if held:
             yield joined()
 
-    return texts.mapInArrow(count, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(count, "word bigint, ending int, n bigint").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """The hot words and their counts, most frequent first; the first WORDS of them are the model's."""
+    """The hot words and their counts, most frequent first, and the units.
+
+    tokens, kinds: of each rare unit the tokens and the distinct words of training that are not hot.
+    """
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, total: int, distinct: int):
         self.words, self.counts, self.total, self.distinct = words.astype(np.int64).view(np.uint64), counts.astype(np.int64), int(total), int(distinct)
-        self.known = min(WORDS, len(self.words))
-        own = self.counts[: self.known]
-        self.rest_tokens = self.total - int(own.sum())
-        #: What the counts (and 1 for each word) of the others add up to, with 1 for all unseen words.
-        self.rest = self.rest_tokens + (self.distinct - self.known) + 1
-        noise = np.concatenate([[max(1, self.rest_tokens)], own]).astype(np.float64)
+        self.hot = len(self.words)
+        #: What the counts (and 1 for each word) of a rare unit add up to, with 1 for all unseen words.
+        self.rest = (tokens + kinds + 1).astype(np.float64)
+        self.single, self.tail = min(SINGLE, self.hot), TAIL
+        #: Where each unit of several words starts among the hot ones, and the end of the last.
+        self.starts = np.append(np.arange(self.single, self.hot, self.tail), self.hot)
+        self.first_rare = self.single + len(self.starts) - 1
+        many = np.add.reduceat(self.counts, self.starts[:-1]) if len(self.starts) > 1 else self.counts[:0]
+        noise = np.concatenate([self.counts[: self.single], many, np.maximum(1, tokens)]).astype(np.float64)
         self.noise = noise / noise.sum()
 
     def index(self) -> HashIndex:
@@ -90,46 +115,58 @@ class Vocabulary:
         made.insert(self.words, np.arange(len(self.words)))
         return made
 
-    def model_ids(self, rank: np.ndarray) -> np.ndarray:
-        """1 and on for the model's words, 0 for others."""
-        return np.where((rank >= 0) & (rank < self.known), rank + 1, 0)
+    def places(self, rank: np.ndarray, ending: np.ndarray) -> np.ndarray:
+        """Rows of the vectors: of a hot word its own, of a rarer one its unit's."""
+        return np.where(rank >= 0, rank, self.hot + ending)
+
+    def units(self, places: np.ndarray) -> np.ndarray:
+        return np.where(places < self.single, places, np.where(places < self.hot, self.single + (places - self.single) // self.tail, places - self.hot + self.first_rare))
 
 
 class LogBilinear:
-    """score(w | u, v) = (left * vector[u] + near * vector[v]) . out[w] + bias[w]; the last vector stands for places before the text."""
+    """h(u, v) = left * vector[u] + near * vector[v] is the context of a token after u, v; its unit scores h . out[unit] + bias[unit], a word within
+    a unit of several h . inner[word] + own[word]. The last vector stands for places before the text."""
 
-    NAMES = ("vector", "out", "bias", "left", "near")
+    NAMES = ("vector", "out", "bias", "inner", "own", "left", "near")
 
-    def __init__(self, noise: np.ndarray, seed: int = 5):
+    def __init__(self, words: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
-        n = len(noise)
-        self.noise = noise
-        self.vector = rng.normal(0, 0.1, (n + 1, SIZE)).astype(np.float32)
-        self.out = rng.normal(0, 0.1, (n, SIZE)).astype(np.float32)
-        self.bias = np.log(noise).astype(np.float32)[:, None]
+        self.words, units = words, len(words.noise)
+        self.vector = rng.normal(0, 0.1, (words.hot + RARE + 1, SIZE)).astype(np.float32)
+        self.out = rng.normal(0, 0.1, (units, SIZE)).astype(np.float32)
+        self.bias = np.log(words.noise).astype(np.float32)[:, None]
+        self.inner = rng.normal(0, 0.1, (words.hot, SIZE)).astype(np.float32)
+        of_unit = words.noise[words.units(np.arange(words.hot))] if words.hot else np.ones(0)
+        self.own = np.log(np.maximum(words.counts, 1) / max(1, words.counts.sum()) / of_unit).astype(np.float32)[:, None]
         self.left, self.near = np.full((1, SIZE), 0.5, np.float32), np.ones((1, SIZE), np.float32)
         self.reset()
 
     def reset(self) -> None:
         self.seen = {name: np.full_like(getattr(self, name), 1e-3) for name in self.NAMES}
-        self.norms = None
+        self.used = {name: np.zeros(len(getattr(self, name)), dtype=np.int64) for name in self.NAMES}
 
     def parameters(self) -> np.ndarray:
-        """All parameters as rows of SIZE numbers."""
-        bias = np.zeros((-(-len(self.bias) // SIZE), SIZE), np.float32)
-        bias.ravel()[: len(self.bias)] = self.bias[:, 0]
-        return np.concatenate([self.vector, self.out, self.left, self.near, bias])
+        """All parameters as rows of SIZE numbers; the biases fill the last column of their vectors' rows, of SIZE + 1 numbers."""
+        return np.concatenate([self._with_bias(*x) for x in ((self.vector, None), (self.out, self.bias), (self.inner, self.own), (self.left, None), (self.near, None))])
+
+    @staticmethod
+    def _with_bias(rows: np.ndarray, bias: np.ndarray | None) -> np.ndarray:
+        return np.concatenate([rows, np.zeros((len(rows), 1), np.float32) if bias is None else bias], axis=1)
+
+    def uses(self) -> np.ndarray:
+        """How often each row of the parameters has been stepped."""
+        return np.concatenate([self.used[name] for name in ("vector", "out", "inner", "left", "near")])
 
     def set_parameters(self, rows: np.ndarray) -> None:
-        n = len(self.out)
-        rows = rows.astype(np.float32)
-        self.vector, self.out, self.left, self.near = rows[: n + 1], rows[n + 1 : 2 * n + 1], rows[2 * n + 1 : 2 * n + 2], rows[2 * n + 2 : 2 * n + 3]
-        self.bias = rows[2 * n + 3 :].ravel()[:n][:, None].copy()
+        sizes = [len(x) for x in (self.vector, self.out, self.inner, self.left, self.near)]
+        parts = np.split(rows.astype(np.float32), np.cumsum(sizes)[:-1])
+        self.vector, self.out, self.inner, self.left, self.near = (np.ascontiguousarray(x[:, :SIZE]) for x in parts)
+        self.bias, self.own = parts[1][:, SIZE:].copy(), parts[2][:, SIZE:].copy()
         self.reset()
 
     def contexts(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each token the words two and one places before it in its text."""
-        start = len(self.out)
+        start = len(self.vector) - 1
         left, near = np.full(len(ids), start), np.full(len(ids), start)
         near[1:], left[2:] = ids[:-1], ids[:-2]
         first = bounds[:-1][np.diff(bounds) > 0]
@@ -145,50 +182,82 @@ class LogBilinear:
             order = np.argsort(rows, kind="stable")
             ranked = rows[order]
             first = np.flatnonzero(np.diff(ranked, prepend=-1))
-            rows, slope = ranked[first], np.add.reduceat(slope[order], first, axis=0)
+            rows, slope, times = ranked[first], np.add.reduceat(slope[order], first, axis=0), np.diff(first, append=len(ranked))
         else:
-            rows = slice(None)
+            rows, times = slice(None), 1
+        self.used[name][rows] += times
         seen[rows] += slope * slope
         value[rows] += RATE * slope / np.sqrt(seen[rows])
 
     def step(self, left: np.ndarray, near: np.ndarray, target: np.ndarray, rng: np.random.Generator, cumulated: np.ndarray) -> None:
-        """One noise-contrastive step: a batch's words against NOISE words drawn for all of it."""
-        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(self.noise) - 1)
+        """One noise-contrastive step over a batch's tokens, whose vectors' rows are ``target``."""
+        words, scale = self.words, np.float32(1 / len(target))
         u, v = self.vector[left], self.vector[near]
         context = u * self.left + v * self.near
-        own = self.out[target]
-        shift = np.log(NOISE * self.noise).astype(np.float32)
-        true = 1 - _sigmoid((context * own).sum(axis=1) + self.bias[target, 0] - shift[target])
-        false = -_sigmoid(context @ self.out[drawn].T + self.bias[drawn, 0] - shift[drawn])
-        scale = np.float32(1 / len(target))
-        true, false = true * scale, false * scale
-        back = true[:, None] * own + false @ self.out[drawn]
-        self._add("out", np.concatenate([target, drawn]), np.concatenate([true[:, None] * context, false.T @ context]))
-        self._add("bias", np.concatenate([target, drawn]), np.concatenate([true, false.sum(axis=0)])[:, None])
+
+        # units against NOISE units drawn for the whole batch
+        unit = words.units(target)
+        drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(words.noise) - 1)
+        shift = np.log(NOISE * words.noise).astype(np.float32)
+        true = scale * (1 - _sigmoid((context * self.out[unit]).sum(axis=1) + self.bias[unit, 0] - shift[unit]))
+        false = -scale * _sigmoid(context @ self.out[drawn].T + self.bias[drawn, 0] - shift[drawn])
+        back = true[:, None] * self.out[unit] + false @ self.out[drawn]
+        self._add("out", np.concatenate([unit, drawn]), np.concatenate([true[:, None] * context, false.T @ context]))
+        self._add("bias", np.concatenate([unit, drawn]), np.concatenate([true, false.sum(axis=0)])[:, None])
+
+        # words within units of several, against WITHIN of the unit's words drawn for each, all alike
+        some = np.flatnonzero((target >= words.single) & (target < words.hot))
+        if len(some):
+            which = unit[some] - words.single
+            first, size = words.starts[which], words.starts[which + 1] - words.starts[which]
+            drawn = np.minimum(first[:, None] + (rng.random((len(some), WITHIN)) * size[:, None]).astype(np.int64), (first + size - 1)[:, None])
+            all_, h = np.concatenate([target[some][:, None], drawn], axis=1), context[some]
+            rows = self.inner[all_]
+            said = np.einsum("ikd,id->ik", rows, h) + self.own[all_, 0] - np.log(WITHIN / size).astype(np.float32)[:, None]
+            slope = -scale * _sigmoid(said)
+            slope[:, 0] += scale
+            back[some] += np.einsum("ik,ikd->id", slope, rows)
+            self._add("inner", all_.ravel(), (slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE))
+            self._add("own", all_.ravel(), slope.reshape(-1, 1))
+
         left_slope, near_slope = (back * u).sum(axis=0, keepdims=True), (back * v).sum(axis=0, keepdims=True)
         self._add("vector", np.concatenate([left, near]), np.concatenate([back * self.left, back * self.near]))
         self._add("left", None, left_slope)
         self._add("near", None, near_slope)
 
-    def log_probabilities(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Natural logarithms of each token's normalised probability."""
-        n = len(self.out)
-        if self.norms is None:
-            self.norms = np.full((n + 1) * (n + 1), np.nan, np.float32)
-            self.of_left, self.of_near = self.vector * self.left, self.vector * self.near
-        left, near = self.contexts(ids, bounds)
-        pair = left * (n + 1) + near
-        new = np.unique(pair[np.isnan(self.norms[pair])])
-        for i in range(0, len(new), 2048):
-            some = new[i : i + 2048]
-            scores = (self.of_left[some // (n + 1)] + self.of_near[some % (n + 1)]) @ self.out.T + self.bias[:, 0]
-            top = scores.max(axis=1, keepdims=True)
-            self.norms[some] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
-        said = np.empty(len(ids), np.float32)
-        for i in range(0, len(ids), BATCH):
+    def log_probabilities(self, target: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Natural logarithms of each token's normalised probability; of a rare token that of its unit."""
+        words = self.words
+        left, near = self.contexts(target, bounds)
+        pair, which = np.unique(left * len(self.vector) + near, return_inverse=True)
+        context = self.vector[pair // len(self.vector)] * self.left + self.vector[pair % len(self.vector)] * self.near
+        norm = np.empty(len(pair), np.float32)
+        for i in range(0, len(pair), TOGETHER):
+            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ self.out.T + self.bias[:, 0])
+        unit = words.units(target)
+        said = np.empty(len(target), np.float32)
+        for i in range(0, len(target), BATCH):
             some = slice(i, i + BATCH)
-            said[some] = np.einsum("ij,ij->i", self.of_left[left[some]] + self.of_near[near[some]], self.out[ids[some]])
-        return np.minimum(said + self.bias[ids, 0] - self.norms[pair], 0).astype(np.float64)
+            said[some] = np.einsum("ij,ij->i", context[which[some]], self.out[unit[some]])
+        said += self.bias[unit, 0] - norm[which]
+        # tokens of each unit of several words together
+        inside = np.flatnonzero((target >= words.single) & (target < words.hot))
+        inside = inside[np.argsort(unit[inside], kind="stable")]
+        edges = np.flatnonzero(np.diff(unit[inside], prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            k = unit[inside[a]] - words.single
+            first, last = words.starts[k], words.starts[k + 1]
+            for i in range(a, b, TOGETHER):
+                some = inside[i : min(b, i + TOGETHER)]
+                scores = context[which[some]] @ self.inner[first:last].T + self.own[first:last, 0]
+                said[some] += scores[np.arange(len(some)), target[some] - first] - _log_sums(scores)
+        return np.minimum(said, 0).astype(np.float64)
+
+
+def _log_sums(scores: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row."""
+    top = scores.max(axis=1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -196,46 +265,73 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def train_round(texts: DataFrame, vocabulary, parameters: np.ndarray) -> np.ndarray:
-    """The average of what tasks make of the parameters with their own texts, weighted by their tokens."""
+    """The parameters after a round: of each row the mean of what tasks make of it with their own texts, weighted by how often they use it."""
     shared = texts.sparkSession.sparkContext.broadcast(parameters)
+    columns = [f"v{k}" for k in range(SIZE + 1)]
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Vocabulary = vocabulary.value
-        index, model = words.index(), LogBilinear(words.noise)
+        index, model = words.index(), LogBilinear(words)
         model.set_parameters(shared.value)
-        rng, cumulated, tokens = np.random.default_rng(17), np.cumsum(words.noise), 0
+        rng, cumulated = np.random.default_rng(17), np.cumsum(words.noise)
         for batch in batches:
             for part in text_slices(batch.column(0)):
-                hashes, bounds = tokens_of(part)
-                ids = words.model_ids(index.lookup(hashes))
-                left, near = model.contexts(ids, bounds)
+                hashes, bounds, endings = tokens_of(part)
+                target = words.places(index.lookup(hashes), endings)
+                left, near = model.contexts(target, bounds)
                 # a batch mixes the slice's texts
-                order = rng.permutation(len(ids))
-                tokens += len(ids)
+                order = rng.permutation(len(target))
                 for i in range(0, len(order), BATCH):
                     some = order[i : i + BATCH]
-                    model.step(left[some], near[some], ids[some], rng, cumulated)
-        if tokens:
-            rows = model.parameters().astype(np.float64) * tokens
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(np.full(len(rows), tokens)), *(pa.array(rows[:, k]) for k in range(SIZE))], ["row", "tokens", *(f"v{k}" for k in range(SIZE))])
-
-    made = texts.mapInArrow(train, "row bigint, tokens bigint, " + ", ".join(f"v{k} double" for k in range(SIZE)))
-    sums = made.groupBy("row").agg(F.sum("tokens").alias("tokens"), *(F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE))).orderBy("row").toPandas()
-    if not len(sums):
-        return parameters
-    return sums[[f"v{k}" for k in range(SIZE)]].to_numpy() / sums[["tokens"]].to_numpy()
+                    model.step(left[some], near[some], target[some], rng, cumulated)
+        uses = model.uses()
+        rows = np.flatnonzero(uses)
+        made = model.parameters()
+        for i in range(0, len(rows), BATCH):
+            some = rows[i : i + BATCH]
+            weighted = (made[some] * uses[some][:, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(uses[some]), *(pa.array(np.ascontiguousarray(weighted[:, k])) for k in range(SIZE + 1))], ["row", "uses", *columns])
+
+    made = texts.mapInArrow(train, "row int, uses bigint, " + ", ".join(f"{c} float" for c in columns))
+    mean = made.groupBy("row").agg(*((F.sum(c) / F.sum("uses")).cast("float").alias(c) for c in columns)).toArrow()
+    after = parameters.copy()
+    after[mean.column("row").to_numpy()] = np.stack([mean.column(c).to_numpy() for c in columns], axis=1)
+    shared.destroy()
+    return after
+
+
+def fit(texts: DataFrame, scratch: Scratch) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The vocabulary, the trained parameters, and the counts (word, ending, n) of all tokens of the training texts (id, text)."""
+    spark = texts.sparkSession
+    counts = scratch.write(count_tokens(texts.select("text")), "counts")
+    units = {r.ending: (r.n, r.kinds) for r in counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
+    tokens, kinds = (np.array([units.get(e, (0, 0))[k] for e in range(RARE)], dtype=np.int64) for k in range(2))
+    total, distinct = int(tokens.sum()), int(kinds.sum())
+    hot = counts.orderBy(F.desc("n"), "word").limit(HOT).toArrow()
+    word, ending, n = (hot.column(c).to_numpy() for c in ("word", "ending", "n"))
+    tokens = tokens - np.bincount(ending, n, minlength=RARE).astype(np.int64)
+    kinds = kinds - np.bincount(ending, minlength=RARE)
+    words = Vocabulary(word, n, tokens, kinds, total, distinct)
+    vocabulary = spark.sparkContext.broadcast(words)
+    parameters = LogBilinear(words).parameters()
+    tasks = max(2 * spark.sparkContext.defaultParallelism, total // (ROUNDS * TASK_TOKENS))
+    for r in range(ROUNDS if total else 0):
+        part = texts.filter(F.pmod(F.xxhash64(F.lit("round"), "id"), F.lit(ROUNDS)) == r)
+        parameters = train_round(part.select("text").coalesce(tasks), vocabulary, parameters)
+    return words, parameters, counts
 
 
-SCORED = "row bigint, id string, n_tokens bigint, hot_tokens bigint, hot_logs double, model_logs double, other_logs double, n_other bigint, rare array<struct<word: bigint, n: bigint>>"
+SCORED = "row bigint, id string, n_tokens bigint, hot_tokens bigint, hot_logs double, model_logs double, rare array<struct<word: bigint, n: bigint>>"
 
 
 def score_slice(part: Slice, words: Vocabulary, index: HashIndex, model: LogBilinear) -> dict[str, np.ndarray | pa.Array]:
-    hashes, bounds = tokens_of(part)
+    """Of each text what needs no counts but the hot words'; rare has its other words and how often they occur."""
+    hashes, bounds, endings = tokens_of(part)
     rank = index.lookup(hashes)
     hot = rank >= 0
     logs = np.where(hot, np.log10(words.counts[np.maximum(rank, 0)] + 1.0) if len(words.counts) else 0.0, 0.0)
-    ids = words.model_ids(rank)
-    other = ids == 0
+    # a rare word's share of its unit is (count + 1) / rest; its count is joined later
+    said = model.log_probabilities(words.places(rank, endings), bounds) / np.log(10) - np.where(hot, 0.0, np.log10(words.rest)[endings])
     at = np.flatnonzero(~hot)
     doc = np.repeat(np.arange(part.n), np.diff(bounds))[at]
     order = np.lexsort((hashes[at], doc))
@@ -243,9 +339,8 @@ def score_slice(part: Slice, words: Vocabulary, index: HashIndex, model: LogBili
     first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])])) if len(kind) else np.zeros(0, dtype=np.int64)
     pairs = pa.StructArray.from_arrays([pa.array(kind[first].view(np.int64)), pa.array(np.diff(first, append=len(kind)))], ["word", "n"])
     return {
-        "n_tokens": np.diff(bounds), "hot_tokens": segment_sums(hot, bounds), "hot_logs": segment_sums(logs, bounds),
-        "model_logs": segment_sums(model.log_probabilities(ids, bounds), bounds) / np.log(10), "other_logs": segment_sums(np.where(other, logs, 0.0), bounds),
-        "n_other": segment_sums(other, bounds), "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(part.n + 1)), pa.int32()), pairs),
+        "n_tokens": np.diff(bounds), "hot_tokens": segment_sums(hot, bounds), "hot_logs": segment_sums(logs, bounds), "model_logs": segment_sums(said, bounds),
+        "rare": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(part.n + 1)), pa.int32()), pairs),
     }
 
 
@@ -255,25 +350,18 @@ def score_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     base_score sums log10((c + 1) / (N + V + 1)) over the tokens; score is the model's log10
     probability of the text. Null texts are empty and have the end token alone. A null id is in no
     held-out fold. Repeated rows are scored each by itself and all count in training. Without any
-    training document both scores are 0.
+    training document the base score is 0, and a token's score is that of one of RARE units.
     """
     spark = docs.sparkSession
     chosen = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
     training = chosen.filter(fold_of("id", FOLDS) != HELD_OUT)
-    counts = scratch.write(count_tokens(training.select("text")), "counts")
-    size = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    hot = counts.orderBy(F.desc("n"), "word").limit(HOT).toPandas()
-    words = Vocabulary(hot["word"].to_numpy(dtype=np.int64), hot["n"].to_numpy(dtype=np.int64), size.n or 0, size.v)
+    words, parameters, counts = fit(training, scratch)
     vocabulary = spark.sparkContext.broadcast(words)
-    parameters = LogBilinear(words.noise).parameters()
-    for r in range(ROUNDS):
-        part = training.filter(F.pmod(F.xxhash64(F.lit(r"round"), "id"), F.lit(ROUNDS)) == r)
-        parameters = train_round(part.select("text"), vocabulary, parameters)
     shared = spark.sparkContext.broadcast(parameters)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Vocabulary = vocabulary.value
-        index, model = words.index(), LogBilinear(words.noise)
+        index, model = words.index(), LogBilinear(words)
         model.set_parameters(shared.value)
         for batch in batches:
             for part in text_slices(batch.column("text")):
@@ -287,11 +375,11 @@ def score_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("rare_tokens"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_logs"))
     met = scored.drop("rare").join(found, "row", "left").na.fill(0, ["rare_tokens", "rare_logs"])
-    total, rest = float(np.log10(words.total + words.distinct + 1.0)), float(np.log10(words.rest))
+    total = float(np.log10(words.total + words.distinct + 1.0))
     kind = docs.select(col(id_col).alias("id")).schema["id"].dataType
     return met.select(
         F.col("id").cast(kind).alias(id_col), (fold_of("id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
         (F.col("hot_tokens") + F.col("rare_tokens")).alias("n_known"), F.lit(words.total).cast("bigint").alias("train_tokens"),
         (F.col("hot_logs") + F.col("rare_logs") - F.col("n_tokens") * total).alias("base_score"),
-        (F.col("model_logs") + F.col("other_logs") + F.col("rare_logs") - F.col("n_other") * rest).alias("score"),
+        (F.col("model_logs") + F.col("rare_logs")).alias("score"),
     )
