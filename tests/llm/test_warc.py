@@ -1,6 +1,7 @@
 import base64
 import hashlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -69,3 +70,34 @@ def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "x", "q")], PAGES + ", payload string").withColumnRenamed("payload", "digest")
     assert through(spark, df) == expected([(1, "x")])
     assert through(spark, df.limit(0)) == []
+
+
+def test_long_urls_are_kept(spark):
+    pages = [(1, "http://a/" + "x" * 100_000 + "/WARC/1.1", "p"), (2, "u", fake())]
+    scratch = Scratch(spark, "t")
+    warc.write_archives(spark.createDataFrame(pages, PAGES), scratch.path("a"), scratch)
+    found = {r.record_id: r.uri for r in warc.read_archives(spark, scratch.path("a"), scratch).collect()}
+    assert found == {"<urn:page:1>": pages[0][1], "<urn:page:2>": "u"}
+
+
+def test_lines_before_many_magics_are_read_once(spark):
+    payload = "a: WARC/1.1\r\n" * 20_000 + "Content-Length: 1\r\nWARC-Type: response\r\n\r\nx\r\n\r\n"
+    known = {}
+    data = memoryview(payload.encode())
+    assert len(list(warc.candidates(data))) == 20_000
+    assert warc.parse_header(data, 0, known)[0][b"warc-type"] == b"response" and len(known) == 20_003
+    pages = [(1, "u", payload), (2, "u", "b")]
+    assert through(spark, spark.createDataFrame(pages, PAGES)) == expected([(p, h) for p, _, h in pages])
+
+
+def test_files_are_bounded_where_sizes_differ(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "MOST_FILE_BYTES", 60_000)
+    pages = [(i, "u", "y" * 20 + str(i)) for i in range(300)] + [(1000 + i, "u", "z" * 20_000 + str(i)) for i in range(20)]
+    scratch = Scratch(spark, "t")
+    df = spark.createDataFrame(pages, PAGES).coalesce(1)
+    warc.write_archives(df, scratch.path("a"), scratch)
+    sizes = [f.stat().st_size for f in Path(scratch.path("a")).glob("part-*")]
+    assert max(sizes) <= 60_000 and min(sizes) > 1000 and len(sizes) > 8
+    got = sorted((tuple(r) for r in warc.read_pages(spark, scratch.path("a"), scratch).collect()), key=str)
+    assert got == expected([(p, h) for p, _, h in pages])

@@ -21,19 +21,19 @@ from pyspark.sql import functions as F
 from .store import Scratch, col
 
 BLOCK_BYTES = 1 << 20
-#: Bytes of records in a file, about; files are read whole, one at a time, by a task.
-FILE_BYTES = 32 << 20
+#: Bytes of records in a file, about, and at most (or one record); files are read whole, one at a time, by a task.
+FILE_BYTES, MOST_FILE_BYTES = 32 << 20, 256 << 20
+#: Bytes of a record besides its payload and its URI, at most.
+FRAME_BYTES = 600
 MAGIC = b"WARC/1.1\r\n"
 HEADER_END = b"\r\n\r\n"
 RECORD_END = "\r\n\r\n"
-#: A header longer than this is none; the writer's only field of open length is the URI, which is kept below it.
-MAX_HEADER = 1 << 16
-MAX_URI = 1 << 14
 #: Payloads that occur more than once, up to which their digests are broadcast (about 100 bytes each).
 BROADCAST_PAYLOADS = 200_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FIELD = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*([^\r\n]*)")
+FIELD = re.compile(rb"([!#$%&'*+\-.^_`|~0-9A-Za-z]+):[ \t]*([^\r\n]*)\r\n")
+FIELDS = (b"content-length", b"warc-type", b"warc-record-id", b"warc-refers-to", b"warc-target-uri", b"warc-payload-digest")
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -66,8 +66,7 @@ def plan_records(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str,
 def record_text(date: str) -> Column:
     """A record without its end, as a string whose bytes are the record's. A revisit has no body."""
     line = "\r\n"
-    clean = F.regexp_replace(F.col("url"), "[\\x00-\\x20\\x7F]", "%20")
-    uri = F.when(F.octet_length(clean) <= MAX_URI, clean).otherwise(F.concat(F.lit("urn:sha256:"), F.sha2(F.col("url"), 256)))
+    uri = F.regexp_replace(F.col("url"), "[\\x00-\\x20\\x7F]", "%20")
     again = F.col("refers_to").isNotNull()
     body = F.when(again, F.lit("")).otherwise(F.col("payload").cast("string"))
     size = F.when(again, F.lit(0)).otherwise(F.octet_length("payload"))
@@ -88,42 +87,71 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch, id_col: str =
     Of rows with equal payloads of at least ``min_bytes`` bytes, those with the largest id are
     responses and the others revisits of it; all other rows are responses. Rows that repeat the
     largest id are responses all. A null id counts as less than any; a null payload is empty.
-    Control characters and spaces in URLs are written as %20; a URL beyond MAX_URI bytes as a digest.
+    Control characters and spaces in URLs are written as %20. No file has more than MOST_FILE_BYTES, or
+    one record: rows far larger than the others are written by themselves.
     """
-    size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.coalesce(col(payload_col), F.lit(""))))).first()
-    each = max(1, (size[0] or 0) * FILE_BYTES // max(1, (size[1] or 0) + 400 * (size[0] or 0)))
-    made = plan_records(pages, scratch, id_col, url_col, payload_col, min_bytes).select(record_text(date).alias("value"))
+    bytes_of = F.octet_length(F.coalesce(col(payload_col), F.lit(""))) + 3 * F.octet_length(F.coalesce(col(url_col).cast("string"), F.lit(""))) + FRAME_BYTES
+    rows, total, most = pages.agg(F.count(F.lit(1)), F.sum(bytes_of), F.max(bytes_of)).first()
+    mean = max(1, (total or 0) // max(1, rows))
+    usual = max(mean, mean * MOST_FILE_BYTES // FILE_BYTES)
+    planned = plan_records(pages, scratch, id_col, url_col, payload_col, min_bytes)
+    size = F.octet_length("payload") + 3 * F.octet_length(F.coalesce("url", F.lit(""))) + FRAME_BYTES
     # the text sink writes a string's bytes as they are, and after each what ends a record
-    made.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", each).mode("overwrite").text(path)
+    parts = [("overwrite", size <= usual, FILE_BYTES // mean)]
+    if most and most > usual:
+        parts.append(("append", size > usual, MOST_FILE_BYTES // most))
+    for mode, chosen, each in parts:
+        made = planned.filter(chosen).select(record_text(date).alias("value"))
+        made.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", max(1, each)).mode(mode).text(path)
 
 
-def parse_header(data: memoryview, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """The fields (names in lower case) of the header at a magic and the byte after it; None if it is not well-formed."""
-    head = bytes(data[at : at + MAX_HEADER])
-    end = head.find(HEADER_END)
-    if end < 0:
+def parse_header(data: memoryview, at: int, known: dict[int, tuple | None]) -> tuple[dict[bytes, bytes], int] | None:
+    """The fields (FIELDS, names in lower case) of the header whose lines start at ``at``, and the byte after it; None if it is not well-formed.
+
+    known: what headers from a line on are, which candidates of one file share: a line of a payload
+    that many magics stand before is read once.
+    """
+    lines = []
+    while at not in known:
+        if bytes(data[at : at + 2]) == b"\r\n":
+            known[at] = (at + 2, None)
+            break
+        line = FIELD.match(data, at)
+        if not line:
+            known[at] = None
+            break
+        lines.append((at, line))
+        at = line.end()
+    # a header's lines are linked, so that one that ends in another one's lines shares them
+    for start, line in reversed(lines):
+        rest = known[line.end()]
+        name = line[1].lower()
+        known[start] = None if rest is None else (rest[0], (name, line[2].rstrip(), rest[1]) if name in FIELDS else rest[1])
+        at = start
+    made = known[at]
+    if made is None:
         return None
-    fields = {}
-    for line in head[len(MAGIC) : end].split(b"\r\n"):
-        match = FIELD.fullmatch(line)
-        if not match:
-            return None
-        fields[match[1].lower()] = match[2].rstrip()
-    if not fields.get(b"content-length", b"").isdigit() or b"warc-type" not in fields or len(fields[b"content-length"]) > 18:
+    fields: dict[bytes, bytes] = {}
+    link = made[1]
+    while link is not None and len(fields) < len(FIELDS):
+        fields.setdefault(link[0], link[1])
+        link = link[2]
+    size = fields.get(b"content-length", b"")
+    if not size.isdigit() or len(size) > 18 or b"warc-type" not in fields:
         return None
-    return fields, at + end + len(HEADER_END)
+    return fields, made[0]
 
 
 def candidates(data: memoryview) -> Iterator[tuple[int, int, dict[bytes, bytes], int, int]]:
     """(offset, successor, fields, body start, body end) of every candidate whose record, with its end, lies in the file."""
+    known: dict[int, tuple | None] = {}
     for match in re.finditer(re.escape(MAGIC), data):
-        at = match.start()
-        parsed = parse_header(data, at)
+        parsed = parse_header(data, match.end(), known)
         if parsed:
             fields, body = parsed
             end = body + int(fields[b"content-length"])
             if bytes(data[end : end + 4]) == HEADER_END:
-                yield at, end + 4, fields, body, end
+                yield match.start(), end + 4, fields, body, end
 
 
 CANDIDATE = "file string, offset bigint, successor bigint, beyond bigint, block bigint, size bigint, type string, record_id string, refers_to string, uri string, said_digest string, body_bytes bigint, body_digest string"
@@ -193,8 +221,9 @@ def read_archives(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame
     """One row per record of the WARC files under ``path``: CANDIDATE without the chain's columns.
 
     A file's records end where its chain breaks off, at a damaged record say; magic within a payload
-    makes no record. A file is held by one task, so it must be below 2 GB (write_archives keeps to
-    FILE_BYTES); an empty file or folder has no records.
+    makes no record. Of a field that a header has twice the first counts. A file is held by one task,
+    so it must be below 2 GB (write_archives keeps to MOST_FILE_BYTES); an empty file or folder has no
+    records.
     """
     scanned = scratch.write(scan(spark, path), "candidates")
     return chained(scanned, reached_blocks(scanned, scratch)).drop("successor", "beyond", "block", "size")
