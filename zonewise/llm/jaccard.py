@@ -362,10 +362,14 @@ class NearDuplicates:
             edges = edges.union(in_blocks.select(F.col("same").alias("u"), F.col("root").alias("v")))
         counted = counted.groupBy("same").agg(F.sum("links").alias("links"))
         roots = components(edges, self.scratch, "links").select(F.col("node").alias("same"), "root")
-        of_class = self.classes.select("same", "h1", "h2", "copies", "least").join(roots, "same", "left").withColumn("root", F.coalesce("root", "same"))
-        first = of_class.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("same", F.struct(F.col("least").isNull(), "least", "same")).alias("winner"))
-        made = of_class.join(first, "root").join(counted, "same", "left")
-        made = made.select("h1", "h2", "copies", "class_id", (F.col("winner") == F.col("same")).alias("wins"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        known = self.classes.select("same", "h1", "h2", "copies", "least")
+        linked = self.scratch.write(known.join(roots, "same").join(counted, "same"), "linked")
+        first = linked.groupBy("root").agg(F.min("least").alias("class_id"), F.min_by("same", F.struct(F.col("least").isNull(), "least", "same")).alias("winner"))
+        # a group's classes are not sent to one task, but the groups to all
+        first = self.scratch.write(first, "first")
+        linked = _meet(linked, first, "root", "inner", first.count()).select("h1", "h2", "copies", "class_id", (F.col("winner") == F.col("same")).alias("wins"), (F.col("copies") - 1 + F.col("links")).alias("n_links"))
+        alone = _meet(known, roots.select("same"), "same", "left_anti", roots.count()).select("h1", "h2", "copies", F.col("least").alias("class_id"), F.lit(True).alias("wins"), (F.col("copies") - 1).alias("n_links"))
+        made = linked.unionByName(alone)
         self.result = self.scratch.write(made, "result")
 
     def links(self) -> DataFrame:
