@@ -156,7 +156,9 @@ def shrunk(sketch: DataFrame, keys: list[str], prior: DataFrame, on: list[str])
     meets = F.lit(True)
     for k in on:
         meets &= F.col(k).eqNullSafe(F.col(f"p_{k}"))
-    added = sketch.select(*keys).distinct().join(theirs, meets).select(*keys, "feature", "bin", (MIN_GROUP * exact).cast("decimal(38,0)").alias("n"))
+    # every group has every feature
+    asked = sketch.select(*keys, F.col("feature").alias("p_feature")).distinct()
+    added = asked.join(theirs, meets & F.expr("feature = p_feature")).select(*keys, "feature", "bin", (MIN_GROUP * exact).cast("decimal(38,0)").alias("n"))
     totals = theirs.select(*(f"p_{k}" for k in on), F.col("feature").alias("p_feature"), "total").distinct()
     own = sketch.join(totals, meets & F.expr("feature = p_feature")).select(*keys, "feature", "bin", (exact * F.col("total")).cast("decimal(38,0)").alias("n"))
     return merge(own.unionByName(added), keys)
