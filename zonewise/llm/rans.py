@@ -40,7 +40,7 @@ SCALE, LOW = 20, 1 << 31
 #: Ids in a block, or one document.
 BLOCK_IDS = 1 << 18
 #: Ids in a part, about: at least, as long as there are so many parts for each task that can run at once, and at most.
-LEAST_PART_IDS, PART_IDS, PARTS_PER_TASK = 1 << 22, 1 << 26, 4
+LEAST_PART_IDS, PART_IDS, PARTS_PER_TASK = 1 << 22, 1 << 26, 64
 #: Parts whose first ids are summed by one task, and parts up to which these are broadcast (16 bytes each).
 PARTS_TOGETHER, BROADCAST_PARTS = 1024, 500_000
 MAX_LANES = 2048
