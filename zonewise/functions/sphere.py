@@ -138,6 +138,23 @@ def in_ellipse(point: Vector, ra: Column, dec: Column, semi_major: Column, semi_
     return (dot(point, unit_vector(ra, dec)) > 0) & (along * along / (a * a) + across * across / (b * b) <= 1)
 
 
+def staged_ellipse(df: DataFrame, ra: Column, dec: Column, semi_major: Column, semi_minor: Column, position_angle: Column, name: str) -> tuple[DataFrame, Vector, Vector, Vector]:
+    """``df`` with an ellipse's center and its axes' directions, each divided by the axis' length, as columns, and these; arguments as of in_ellipse."""
+    east, north = north_east(ra, dec)
+    s, c = F.sin(F.radians(position_angle)), F.cos(F.radians(position_angle))
+    a, b = F.radians(semi_major / 3600), F.radians(semi_minor / 3600)
+    made, e, n = staged(df, **{f"{name}_east": east, f"{name}_north": north})
+    along = tuple((s * x + c * y) / a for x, y in zip(e, n, strict=True))
+    across = tuple((c * x - s * y) / b for x, y in zip(e, n, strict=True))
+    return staged(made, **{f"{name}_center": unit_vector(ra, dec), f"{name}_along": along, f"{name}_across": across})
+
+
+def in_axes(point: Vector, center: Vector, along: Vector, across: Vector) -> Column:
+    """in_ellipse, of a staged ellipse."""
+    x, y = dot(point, along), dot(point, across)
+    return (dot(point, center) > 0) & (x * x + y * y <= 1)
+
+
 def is_number(c: Column) -> Column:
     """Neither null nor NaN."""
     return c.isNotNull() & ~F.isnan(c.cast("double"))

@@ -1,7 +1,8 @@
 """World coordinates: the tangent-plane projection as column expressions, its SIP distortion as an Arrow function.
 
 A WCS is the columns crval1, crval2 (degrees), crpix1, crpix2, cd1_1, cd1_2, cd2_1, cd2_2 with the FITS
-meaning (first pixel 1, degrees a pixel). Pixel positions in arguments count from 0.
+meaning (first pixel 1, degrees a pixel). Pixel positions in arguments count from 0. With sip=True the
+columns of with_sip_terms give the distortion of the pixel plane as well.
 """
 
 from __future__ import annotations
@@ -18,6 +19,26 @@ from .sphere import Vector, dot, latitude, longitude, north_east, plus, scaled,
 WCS = ("crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2")
 
 
+SIP = ("sip_a", "sip_b", "sip_ap", "sip_bp")
+#: Steps that invert a distortion without an inverse polynomial; each brings the error down by the distortion's slope, a few per mille.
+INVERSE_STEPS = 8
+
+
+def with_sip_terms(exposures: DataFrame, sip: str = "sip") -> DataFrame:
+    """``exposures`` with SIP: the terms (p, q, c) of the map ``sip``, whose keys are a_p_q, b_p_q, ap_p_q and bp_p_q; no map has none."""
+
+    def terms(letters: str) -> Column:
+        mine = F.filter(F.map_entries(F.col(sip)), lambda e: F.element_at(F.split(e["key"], "_"), 1) == letters)
+        made = F.transform(mine, lambda e: F.struct(F.element_at(F.split(e["key"], "_"), 2).cast("int").alias("p"), F.element_at(F.split(e["key"], "_"), 3).cast("int").alias("q"), e["value"].cast("double").alias("c")))
+        return F.coalesce(made, F.array().cast("array<struct<p: int, q: int, c: double>>"))
+
+    return exposures.withColumns({name: terms(name[4:]) for name in SIP})
+
+
+def _shift(terms: Column, u: Column, v: Column) -> Column:
+    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["c"] * F.pow(u, t["p"]) * F.pow(v, t["q"]))
+
+
 def _c(prefix: str) -> dict[str, Column]:
     return {n: F.col(prefix + n) for n in WCS}
 
@@ -38,17 +59,27 @@ def vector_to_plane(v: Vector, ra0: Column, dec0: Column) -> tuple[Column, Colum
     return F.when(front > 0, F.degrees(dot(v, east) / front)).otherwise(nan), F.when(front > 0, F.degrees(dot(v, north) / front)).otherwise(nan)
 
 
-def pixel_to_sky(x: Column, y: Column, prefix: str = "") -> Vector:
+def pixel_to_sky(x: Column, y: Column, prefix: str = "", sip: bool = False) -> Vector:
     w = _c(prefix)
     u, v = x + 1 - w["crpix1"], y + 1 - w["crpix2"]
+    if sip:
+        u, v = u + _shift(F.col(f"{prefix}sip_a"), u, v), v + _shift(F.col(f"{prefix}sip_b"), u, v)
     return plane_to_vector(w["cd1_1"] * u + w["cd1_2"] * v, w["cd2_1"] * u + w["cd2_2"] * v, w["crval1"], w["crval2"])
 
 
-def sky_to_pixel(v: Vector, prefix: str = "") -> tuple[Column, Column]:
+def sky_to_pixel(v: Vector, prefix: str = "", sip: bool = False) -> tuple[Column, Column]:
+    """Pixel positions; a distortion is taken back by its inverse polynomials where there are any, else step by step."""
     w = _c(prefix)
     xi, eta = vector_to_plane(v, w["crval1"], w["crval2"])
     det = w["cd1_1"] * w["cd2_2"] - w["cd1_2"] * w["cd2_1"]
-    return (w["cd2_2"] * xi - w["cd1_2"] * eta) / det + w["crpix1"] - 1, (w["cd1_1"] * eta - w["cd2_1"] * xi) / det + w["crpix2"] - 1
+    p, q = (w["cd2_2"] * xi - w["cd1_2"] * eta) / det, (w["cd1_1"] * eta - w["cd2_1"] * xi) / det
+    if sip:
+        a, b, ap, bp = (F.col(f"{prefix}{name}") for name in SIP)
+        at = F.struct(p.alias("u"), q.alias("v"))
+        stepped = F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), F.struct(at["u"].alias("u"), at["v"].alias("v")), lambda here, _: F.struct((at["u"] - _shift(a, here["u"], here["v"])).alias("u"), (at["v"] - _shift(b, here["u"], here["v"])).alias("v")))
+        inverse = (F.size(ap) > 0) | (F.size(bp) > 0)
+        p, q = F.when(inverse, at["u"] + _shift(ap, at["u"], at["v"])).otherwise(stepped["u"]), F.when(inverse, at["v"] + _shift(bp, at["u"], at["v"])).otherwise(stepped["v"])
+    return p + w["crpix1"] - 1, q + w["crpix2"] - 1
 
 
 def on_exposure(x: Column, y: Column, x0: Column, y0: Column, width: Column, height: Column) -> Column:
@@ -57,13 +88,13 @@ def on_exposure(x: Column, y: Column, x0: Column, y0: Column, width: Column, hei
     return F.coalesce(inside & ~F.isnan(x) & ~F.isnan(y), F.lit(False))
 
 
-def pixel_to_plane(df: DataFrame, x: Column, y: Column, ra0: Column, dec0: Column, names: Sequence[str], step: float = 8.0, prefix: str = "") -> DataFrame:
+def pixel_to_plane(df: DataFrame, x: Column, y: Column, ra0: Column, dec0: Column, names: Sequence[str], step: float = 8.0, prefix: str = "", sip: bool = False) -> DataFrame:
     """``df`` with the affine map from pixels around (x, y) to the N,E plane at (ra0, dec0), in radians: six columns m11, m12, m21, m22, east, north.
 
     By forward differences over ``step`` pixels; east and north are where (x, y) itself goes.
     """
     east, north = north_east(ra0, dec0)
-    made, e, n, origin, a, b, c = staged(df, __east=east, __north=north, __origin=unit_vector(ra0, dec0), __a=pixel_to_sky(x, y, prefix), __b=pixel_to_sky(x + step, y, prefix), __c=pixel_to_sky(x, y + step, prefix))
+    made, e, n, origin, a, b, c = staged(df, __east=east, __north=north, __origin=unit_vector(ra0, dec0), __a=pixel_to_sky(x, y, prefix, sip), __b=pixel_to_sky(x + step, y, prefix, sip), __c=pixel_to_sky(x, y + step, prefix, sip))
     places = [(dot(v, axis) / dot(v, origin)) for v in (a, b, c) for axis in (e, n)]
     made = made.withColumns({f"__p{k}": p for k, p in enumerate(places)})
     p = [F.col(f"__p{k}") for k in range(6)]
@@ -71,15 +102,15 @@ def pixel_to_plane(df: DataFrame, x: Column, y: Column, ra0: Column, dec0: Colum
     return made.select(*df.columns, *(v.alias(name) for name, v in zip(names, values, strict=True)))
 
 
-def coordinate_errors(df: DataFrame, x: Column, y: Column, vxx: Column, vyy: Column, vxy: Column, prefix: str = "") -> DataFrame:
+def coordinate_errors(df: DataFrame, x: Column, y: Column, vxx: Column, vyy: Column, vxy: Column, prefix: str = "", sip: bool = False) -> DataFrame:
     """``df`` with ra_var, dec_var, ra_dec_cov in rad**2 of sources, from their centroids' pixel covariance by the map linearised there.
 
     NaN off the diagonal counts as 0; NaN or null on it gives null. 32-bit floats, as catalogs hold
     them, of the coordinates themselves: ra without the cosine of the declination.
     """
-    made, v = staged(df, __at=pixel_to_sky(x, y, prefix))
+    made, v = staged(df, __at=pixel_to_sky(x, y, prefix, sip))
     made = made.withColumns({"__ra": longitude(v), "__dec": latitude(v)})
-    made = pixel_to_plane(made, x, y, F.col("__ra"), F.col("__dec"), ("__m0", "__m1", "__m2", "__m3", "__e", "__n"), 1.0 / 64, prefix)
+    made = pixel_to_plane(made, x, y, F.col("__ra"), F.col("__dec"), ("__m0", "__m1", "__m2", "__m3", "__e", "__n"), 1.0 / 64, prefix, sip)
     m = [F.col(f"__m{k}") for k in range(4)]
     off = F.when(vxy.isNull() | F.isnan(vxy), F.lit(0.0)).otherwise(vxy.cast("double"))
     a, b, cos = vxx.cast("double"), vyy.cast("double"), F.cos(F.radians("__dec"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewise.functions import sphere
@@ -22,7 +22,10 @@ def distance_match(first: DataFrame, second: DataFrame, radius: float, first_fil
     limit = sphere.chord2_of_angle(radius)
     f = (first if first_filter is None else first.filter(first_filter)).select(F.col("id").alias("first"), F.col("ra").cast("double").alias("f_ra"), F.col("dec").cast("double").alias("f_dec"))
     s = (second if second_filter is None else second.filter(second_filter)).select(F.col("id").alias("second"), F.col("ra").cast("double").alias("s_ra"), F.col("dec").cast("double").alias("s_dec"))
-    d2 = sphere.chord2(sphere.unit_vector(F.col("f_ra"), F.col("f_dec")), sphere.unit_vector(F.col("s_ra"), F.col("s_dec")))
+    # vectors once for each row, not for each candidate
+    f, a = sphere.staged(f, f=sphere.unit_vector(F.col("f_ra"), F.col("f_dec")))
+    s, b = sphere.staged(s, s=sphere.unit_vector(F.col("s_ra"), F.col("s_dec")))
+    d2 = sphere.chord2(a, b)
     pairs = spatial_join(f, s, (F.col("f_ra"), F.col("f_dec")), (F.col("s_ra"), F.col("s_dec"), F.lit(radius)), radius, d2 < limit)
     return pairs.select("first", "second", sphere.angle_of_chord2(d2).alias("distance"))
 
@@ -71,11 +74,13 @@ def ellipse_match(ellipses: DataFrame, points: DataFrame, max_axis: float) -> Da
     e = ellipses.select(F.col("id").alias("first"), *(F.col(c).cast("double").alias(f"e_{c}") for c in ("ra", "dec", "smaa", "smia", "pa")))
     e = e.withColumn("e_reach", reach)
     p = points.select(F.col("id").alias("second"), F.col("ra").cast("double").alias("p_ra"), F.col("dec").cast("double").alias("p_dec"))
-    v = sphere.unit_vector(F.col("p_ra"), F.col("p_dec"))
-    inside = sphere.in_ellipse(v, F.col("e_ra"), F.col("e_dec"), F.col("e_smaa"), F.col("e_smia"), F.col("e_pa"))
+    # vectors and axes once for each row, not for each candidate
+    p, v = sphere.staged(p, p=sphere.unit_vector(F.col("p_ra"), F.col("p_dec")))
+    e, center, along, across = sphere.staged_ellipse(e, F.col("e_ra"), F.col("e_dec"), F.col("e_smaa"), F.col("e_smia"), F.col("e_pa"), "e")
+    inside = sphere.in_axes(v, center, along, across)
     # in the plane's projection the ellipse reaches as far as asin of its axis on the sphere
     pairs = spatial_join(p, e, (F.col("p_ra"), F.col("p_dec")), (F.col("e_ra"), F.col("e_dec"), F.col("e_reach") * 1.001), max_axis / 3600 * 1.001, inside)
-    d2 = sphere.chord2(v, sphere.unit_vector(F.col("e_ra"), F.col("e_dec")))
+    d2 = sphere.chord2(v, center)
     return pairs.select("first", "second", sphere.angle_of_chord2(d2).alias("distance"))
 
 
@@ -130,10 +135,14 @@ def object_rows(created: DataFrame, sources: DataFrame, filter_name: str, time:
 
 
 def annotate(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:
-    """Pairs with how many matches each side has, and whether the pair is each side's closest (of equals the least id)."""
-    by_left, by_right = Window.partitionBy(left), Window.partitionBy(right)
-    return pairs.withColumns({
-        f"n_{right}": F.count(F.lit(1)).over(by_left), f"n_{left}": F.count(F.lit(1)).over(by_right),
-        f"closest_for_{left}": F.row_number().over(by_left.orderBy(distance, right)) == 1,
-        f"closest_for_{right}": F.row_number().over(by_right.orderBy(distance, left)) == 1,
-    })
+    """Pairs with how many matches each side has, and whether the pair is each side's closest (of equals the least id).
+
+    Aggregates that are joined back: one row with a great many matches is counted in many tasks.
+    ``pairs`` is read three times, so it should be written somewhere.
+    """
+    made = pairs
+    for key, other in ((left, right), (right, left)):
+        best = F.min(F.struct(F.col(distance).alias("d"), F.col(other).alias("o")))
+        of_key = pairs.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias(f"n_{other}"), best.alias("__m"))
+        made = made.join(of_key, F.col(key) == F.col("__k")).withColumn(f"closest_for_{key}", F.col(other) == F.col("__m.o")).drop("__k", "__m")
+    return made

@@ -5,6 +5,9 @@ as the zone is high. One side is repeated over the cells that its circle touches
 an equi-join on (zone, cell), which Spark shuffles, sorts and, where a cell is hot, splits. The
 exact predicate follows in the same stage. Circles over the pole and across ra = 0 need no care by
 callers: near a pole a zone is one cell, and cells wrap.
+
+Where radii differ much, one fast star say among slow ones, circles are dealt to classes of about
+equal radii, each with zones of its own height; points are then repeated for each class that occurs.
 """
 
 from __future__ import annotations
@@ -20,30 +23,37 @@ from zonewise.functions.sphere import POLE, max_alpha, without_constraints, wrap
 MIN_HEIGHT = 1 / 60
 #: Zones are so many times the largest radius high: lower repeats the points more, higher tests more pairs.
 RADII = 4
+#: Radii of one class differ by so many times at most.
+STEP = 4
 
 
 def zone_height(max_radius: float) -> float:
     return min(180.0, max(MIN_HEIGHT, RADII * max_radius))
 
 
-def zone_of(dec: Column, height: float) -> Column:
-    return F.floor(dec / height).cast("int")
+def _height(height: float | Column) -> Column:
+    return height if isinstance(height, Column) else F.lit(float(height))
+
+
+def zone_of(dec: Column, height: float | Column) -> Column:
+    return F.floor(dec / _height(height)).cast("int")
 
 
-def cells_in(zone: Column, height: float) -> Column:
+def cells_in(zone: Column, height: float | Column) -> Column:
     """Cells of a zone: as many as fit at the edge that is nearer the pole, one where it comes close to it."""
+    height = _height(height)
     edge = F.greatest(F.abs(zone * height), F.abs((zone + 1) * height))
-    return F.when(edge >= 90 - max(height, 90 - POLE), 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / height))).cast("int")
+    return F.when(edge >= 90 - F.greatest(height, F.lit(90 - POLE)), 1).otherwise(F.greatest(F.lit(1), F.floor(360 * F.cos(F.radians(edge)) / height))).cast("int")
 
 
-def home_cell(ra: Column, dec: Column, height: float) -> Column:
+def home_cell(ra: Column, dec: Column, height: float | Column) -> Column:
     """The (zone, cell) of a position."""
     zone = zone_of(dec, height)
     n = cells_in(zone, height)
     return F.struct(zone.alias("zone"), F.least(n - 1, F.floor(wrap_ra(ra) / 360 * n)).cast("int").alias("cell"))
 
 
-def touched_cells(ra: Column, dec: Column, radius: Column, height: float) -> Column:
+def touched_cells(ra: Column, dec: Column, radius: Column, height: float | Column) -> Column:
     """An array of the (zone, cell) that a circle may touch, each once."""
     wide = max_alpha(radius, dec)
     low, high = zone_of(F.greatest(F.lit(-90.0), dec - radius), height), zone_of(F.least(F.lit(90.0), dec + radius), height)
@@ -57,27 +67,59 @@ def touched_cells(ra: Column, dec: Column, radius: Column, height: float) -> Col
     return F.flatten(F.transform(F.sequence(low, high), in_zone))
 
 
-def spatial_join(points: DataFrame, circles: DataFrame, point: tuple[Column, Column], circle: tuple[Column, Column, Column], max_radius: float, predicate: Column, how: str = "inner") -> DataFrame:
+def class_heights() -> list[float]:
+    """Heights of zones by the class of a radius; a class has radii up to STEP times those of the one before."""
+    heights = [MIN_HEIGHT]
+    while heights[-1] < 180:
+        heights.append(min(180.0, heights[-1] * STEP))
+    return heights
+
+
+def radius_class(radius: Column) -> Column:
+    """The first class whose zones are RADII times the radius high, or the whole sphere."""
+    heights = class_heights()
+    made = F.lit(len(heights) - 1)
+    for k in range(len(heights) - 2, -1, -1):
+        made = F.when(radius * RADII <= heights[k], k).otherwise(made)
+    return made
+
+
+def classes_of(circles: DataFrame, radius: Column) -> list[int]:
+    """The classes that occur, at most len(class_heights())."""
+    return sorted(r.k for r in circles.filter(radius.isNotNull() & ~F.isnan(radius)).select(radius_class(radius).alias("k")).distinct().collect())
+
+
+def spatial_join(points: DataFrame, circles: DataFrame, point: tuple[Column, Column], circle: tuple[Column, Column, Column], max_radius: float | None, predicate: Column, classes: list[int] | None = None) -> DataFrame:
     """Inner join of points and circles on ``predicate``, which must imply that the point is in the circle.
 
     point is (ra, dec) over ``points``; circle is (ra, dec, radius) over ``circles``, with radius at
-    most ``max_radius``. Column names of the two must differ. Give the side with fewer rows, or with
-    radii of its own, as circles: that side is repeated. Rows with null or NaN positions match nothing.
+    most ``max_radius``; or without that number, ``classes`` is classes_of the circles. Column names of
+    the two must differ. Give the side with fewer rows, or with radii of its own, as circles: that side
+    is repeated. Rows with null or NaN positions match nothing.
     """
-    if not math.isfinite(max_radius) or max_radius < 0:
+    if classes is None and (max_radius is None or not math.isfinite(max_radius) or max_radius < 0):
         raise ValueError("a radius is finite and not negative")
-    height = zone_height(max_radius)
     without_constraints(points)
     # a cell's edge is computed with rounding: circles are taken a little larger, the predicate decides
     ra, dec, radius = circle
     # not filters: those would go below the projections that made the positions, and repeat their expressions there
     here = point[0].isNotNull() & point[1].isNotNull() & ~F.isnan(point[0]) & (F.abs(point[1]) <= 90)
     there = ra.isNotNull() & radius.isNotNull() & ~F.isnan(ra) & ~F.isnan(radius) & (F.abs(dec) <= 90)
-    placed = points.withColumn("__at", F.when(here, home_cell(*point, height)))
-    repeated = circles.withColumn("__at", F.explode(F.when(there, touched_cells(wrap_ra(ra), dec, radius + 1e-7, height))))
+    keys = ["__zone", "__cell"]
+    if classes is None or len(classes) <= 1:
+        height: float | Column = zone_height(max_radius) if classes is None else class_heights()[classes[0] if classes else 0]
+        left_height = right_height = height
+    else:
+        keys.append("__class")
+        heights = F.array(*(F.lit(h) for h in class_heights()))
+        points = points.withColumn("__class", F.explode(F.array(*(F.lit(k) for k in classes))))
+        circles = circles.withColumn("__class", radius_class(radius))
+        left_height = right_height = F.element_at(heights, F.col("__class") + 1)
+    placed = points.withColumn("__at", F.when(here, home_cell(*point, left_height)))
+    repeated = circles.withColumn("__at", F.explode(F.when(there, touched_cells(wrap_ra(ra), dec, radius + 1e-7, right_height))))
     left = placed.withColumns({"__zone": F.col("__at.zone"), "__cell": F.col("__at.cell")}).drop("__at")
     right = repeated.withColumns({"__zone": F.col("__at.zone"), "__cell": F.col("__at.cell")}).drop("__at")
-    return left.join(right, ["__zone", "__cell"]).filter(predicate).drop("__zone", "__cell")
+    return left.join(right, keys).filter(predicate).drop(*keys)
 
 
 def box_join(left: DataFrame, right: DataFrame, cell: float, spherical: bool = False) -> DataFrame:

@@ -70,11 +70,21 @@ def run_matching(objects: DataFrame, sources: DataFrame, predictions: DataFrame,
     return VisitResult(pairs, flagged, predicted, created, assigned, observed)
 
 
-def visit_work(table: VersionedTable, sources_of, predictions_of, control: VisitControl = VisitControl()):
-    """A function for streaming.visits.run_visit: matches a visit (visit_id, ra, dec, filter, epoch[, match_radius]) and stages its new and updated objects."""
+def write_outputs(result: VisitResult, folder: str, visit_id: int) -> None:
+    """A visit's pairs with objects and with predictions, and its sources with their objects; a visit that is worked again replaces them."""
+    for name, frame in (("matches", result.matches), ("predicted", result.predicted), ("assigned", result.assigned)):
+        frame.write.mode("overwrite").parquet(f"{folder}/{name}/visit_id={visit_id}")
+
+
+def visit_work(table: VersionedTable, sources_of, predictions_of, control: VisitControl = VisitControl(), outputs: str | None = None):
+    """A function for streaming.visits.run_visit: matches a visit (visit_id, ra, dec, filter, epoch[, match_radius]) and stages its new and updated objects.
+
+    Pairs and assignments go to the folder ``outputs``; those of visits that are not in the table's visits() are not valid.
+    """
 
     def work(visit: Row) -> str:
         # partitions that the field of view does not touch are not read
+        chunks = control.decomposition.chunks_of_circle(visit.ra, visit.dec, control.fov_radius)
         objects = load_objects(table.read(), control, visit.ra, visit.dec)
         radius = visit.asDict().get("match_radius")
         result = run_matching(objects, sources_of(visit), predictions_of(visit), visit["filter"], visit.epoch, control, radius)
@@ -84,6 +94,10 @@ def visit_work(table: VersionedTable, sources_of, predictions_of, control: Visit
         fresh = result.created.join(rows.select("id", "latest_obs_time", *(f"{f}_num_obs" for f in match.FILTERS)), "id")
         fresh = fresh.withColumn("chunk", control.decomposition.chunk(F.col("ra"), F.col("dec")))
         inserts = updated.select([f.name for f in table.schema.fields]).unionByName(fresh.select([f.name for f in table.schema.fields]))
-        return table.stage_delta(inserts, updated.select(table.key))
+        if outputs:
+            write_outputs(result, outputs, visit.visit_id)
+        # new objects may lie just outside the chunks that were read
+        touched = {int(c) for c in chunks} | {int(r.chunk) for r in fresh.select("chunk").distinct().toLocalIterator()}
+        return table.stage_delta(inserts, updated.select(table.key), touched)
 
     return work

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonewise.functions import motion, sphere, tiles, wcs
@@ -21,6 +21,7 @@ from zonewise.operators.classify import classify
 from zonewise.operators.components import connected_components
 from zonewise.plans.tables import FILTERS, cte, folder, read, sql_angle, sql_chord2, sql_near, sql_pixel_xyz, sql_plane, sql_xyz, var_prob, view
 from zonewise.plans import nightly, source_assoc
+from zonewise.sources import results
 from zonewise.sources.dialect import CsvDialect, as_bool, as_number, read_csv, write_csv
 from zonewise.sources.exposures import exposures_from_rows, iso_of_mjd, mjd_of_iso, with_exposure
 from zonewise.sources.flatten import ARCSEC2_PER_RAD2, flatten, pack_flags
@@ -223,6 +224,27 @@ def path_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_stars(spark, sf).select(F.col("r_id").alias("id"), min_ra.alias("min_ra"), max_dec.alias("max_dec")), 8, "min_ra", "max_dec")
 
 
+_LATER = "51544.5e0 + (id % 5) * 4e2"
+_MOVED_TO = "sqrt(qx*qx + qy*qy + qz*qz)"
+_SEP = f"degrees(2 * asin(least(1, sqrt(power(qx / {_MOVED_TO} - cos(radians(p_dec)) * cos(radians(p_ra)), 2) + power(qy / {_MOVED_TO} - cos(radians(p_dec)) * sin(radians(p_ra)), 2) + power(qz / {_MOVED_TO} - sin(radians(p_dec)), 2)) / 2))) * 3600"
+
+
+@query(f"""{cte('star', 'dense_src')}, {_STAR}, pos AS (SELECT id, ra, dec, {_LATER} AS epoch FROM dense_src),
+    near AS (SELECT a.id AS ref_id, b.id AS pos_id, flags, b.ra AS p_ra, b.dec AS p_dec, px + vx * (b.epoch - a.epoch) AS qx, py + vy * (b.epoch - a.epoch) AS qy, pz + vz * (b.epoch - a.epoch) AS qz
+        FROM v a JOIN pos b ON abs(a.dec - b.dec) <= {DENSE_RADIUS + 0.01} AND abs(a.ra - b.ra) <= {DENSE_RADIUS * 1.01 + 0.01}),
+    pairs AS (SELECT ref_id, pos_id, flags, degrees(atan2(qy, qx)) AS ra, degrees(atan2(qz, sqrt(qx*qx + qy*qy))) AS decl, {_SEP} AS sep FROM near WHERE {_SEP} <= {DENSE_RADIUS * 3600}),
+    noted AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS n_ref_matches, count(*) OVER (PARTITION BY pos_id) AS n_pos_matches,
+        row_number() OVER (PARTITION BY ref_id ORDER BY sep, pos_id) = 1 AS closest_for_ref, row_number() OVER (PARTITION BY pos_id ORDER BY sep, ref_id) = 1 AS closest_for_pos FROM pairs)
+    SELECT ref_id, pos_id, round(ra, 8) AS ra, round(decl, 8) AS decl, round(sep, 5) AS sep_arcsec, n_ref_matches, n_pos_matches, closest_for_ref, closest_for_pos, flags FROM noted
+    UNION ALL SELECT id, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL, NULL FROM star WHERE id NOT IN (SELECT ref_id FROM pairs)
+    UNION ALL SELECT NULL, id, NULL, NULL, NULL, NULL, 0, NULL, NULL, NULL FROM dense_src WHERE id NOT IN (SELECT pos_id FROM pairs)""")
+def ref_match_moving(spark: SparkSession, sf: str) -> DataFrame:
+    """Stars with proper motions, parallaxes and radial velocities, matched with positions of several epochs."""
+    positions = view(spark, sf, "dense_src").selectExpr("id", "ra", "dec", f"{_LATER} AS epoch")
+    made = reference.reference_match(view(spark, sf, "star"), positions, DENSE_RADIUS * 3600, reference.CatalogControl(output_fields=()), reference.CatalogControl(decl_column="dec", output_fields=()))
+    return rounded(rounded(made, 8, "ra", "decl"), 5, "sep_arcsec")
+
+
 _ON = "px BETWEEN -0.5 AND 999.5 AND py BETWEEN -0.5 AND 799.5"
 _PIXEL = """hit AS (SELECT *, (cd2_2 * xi - cd1_2 * eta) / (cd1_1 * cd2_2 - cd1_2 * cd2_1) + crpix1 - 1 AS px, (cd1_1 * eta - cd2_1 * xi) / (cd1_1 * cd2_2 - cd1_2 * cd2_1) + crpix2 - 1 AS py FROM (
     SELECT *, degrees(cos(radians(dec)) * sin(radians(ra - crval1)) / f) AS xi, degrees((cos(radians(crval2)) * sin(radians(dec)) - sin(radians(crval2)) * cos(radians(dec)) * cos(radians(ra - crval1))) / f) AS eta FROM (
@@ -237,6 +259,19 @@ def coverage_filter(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("ref_id", *(f"{f}_coverage" for f in FILTERS))
 
 
+_PIXEL_THEN = _PIXEL.replace("d.id, d.ra, d.dec, e.*", "id, ra, dec, crval1, crval2, crpix1, crpix2, cd1_1, cd1_2, cd2_1, cd2_2, filter_id").replace("FROM dense d JOIN exposure e ON abs(d.dec - crval2) < 1", "FROM moved")
+
+
+@query(f"""{cte('star', 'exposure')}, {_STAR},
+    then_ AS (SELECT a.id, px + vx * (e.epoch - a.epoch) AS qx, py + vy * (e.epoch - a.epoch) AS qy, pz + vz * (e.epoch - a.epoch) AS qz, crval1, crval2, crpix1, crpix2, cd1_1, cd1_2, cd2_1, cd2_2, filter_id FROM v a JOIN exposure e ON abs(a.dec - crval2) < 1),
+    moved AS (SELECT *, degrees(atan2(qy, qx)) AS ra, degrees(atan2(qz, sqrt(qx*qx + qy*qy))) AS dec FROM then_), {_PIXEL_THEN}
+    SELECT id AS ref_id, """ + ", ".join(f"count(*) FILTER (filter_id = {k}) AS {f}_coverage" for k, f in enumerate(FILTERS)) + f" FROM hit WHERE {_ON} GROUP BY id")
+def coverage_filter_moving(spark: SparkSession, sf: str) -> DataFrame:
+    """Moving stars on exposures, each at the exposure's epoch."""
+    made = reference.reference_filter(view(spark, sf, "star"), view(spark, sf, "exposure"), FILTERS, reference.CatalogControl(output_fields=()))
+    return made.select("ref_id", *(f"{f}_coverage" for f in FILTERS))
+
+
 # -- boxes, neighbours, clusters
 
 
@@ -614,10 +649,20 @@ def earth(spark: SparkSession, sf: str) -> DataFrame:
     return earth_position(view(spark, sf, "exposure").select("epoch").distinct())
 
 
-@query()
+_G0, _H0 = sql_plane("p", "o_ra", "o_dec")
+_G1, _H1 = sql_plane("a", "o_ra", "o_dec")
+_G2, _H2 = sql_plane("q", "o_ra", "o_dec")
+
+
+@query(f"""{cte('source', 'exposure')}, d AS (SELECT s.id AS sid, x_var, y_var, CASE WHEN isnan(xy_cov) THEN 0 ELSE xy_cov END AS o, {', '.join([*sql_pixel_xyz('x', 'y', 'p'), *sql_pixel_xyz('(x + 0.015625e0)', 'y', 'a'), *sql_pixel_xyz('x', '(y + 0.015625e0)', 'q')])} FROM source s JOIN exposure e USING (exposure_id)),
+    l AS (SELECT *, degrees(atan2(py, px)) AS o_ra, degrees(atan2(pz, sqrt(px*px + py*py))) AS o_dec FROM d),
+    m AS (SELECT *, ({_G1} - {_G0}) * 64 AS m11, ({_G2} - {_G0}) * 64 AS m12, ({_H1} - {_H0}) * 64 AS m21, ({_H2} - {_H0}) * 64 AS m22, cos(radians(o_dec)) AS c FROM l)
+    SELECT sid AS id, {sql_round(2, 'CAST(CAST((m11*m11*x_var + 2*m11*m12*o + m12*m12*y_var) / (c*c) AS REAL) AS DOUBLE) * 1e13 AS ra_var', 'CAST(CAST(m21*m21*x_var + 2*m21*m22*o + m22*m22*y_var AS REAL) AS DOUBLE) * 1e13 AS dec_var')} FROM m WHERE NOT isnan(x_var)
+    UNION ALL SELECT sid, NULL, NULL FROM m WHERE isnan(x_var)""")
 def source_errors(spark: SparkSession, sf: str) -> DataFrame:
     met = view(spark, sf, "source").join(view(spark, sf, "exposure").select("exposure_id", *wcs.WCS), "exposure_id")
-    return wcs.coordinate_errors(met, *(F.col(c) for c in ("x", "y", "x_var", "y_var", "xy_cov"))).select("id", "ra_var", "dec_var", "ra_dec_cov")
+    made = wcs.coordinate_errors(met, *(F.col(c) for c in ("x", "y", "x_var", "y_var", "xy_cov")))
+    return rounded(made.select("id", *((F.col(c).cast("double") * 1e13).alias(c) for c in ("ra_var", "dec_var"))), 2, "ra_var", "dec_var")
 
 
 @query()
@@ -646,6 +691,45 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(as_number(F.col("id"), "bigint").alias("id"), "name", as_number(F.col("balance"), "double").alias("balance"), as_bool(F.col("even")).alias("even"))
 
 
+@query(f"{cte('dense', 'dense_src')}, {DENSE_PAIRS} SELECT first, second, round(distance, 8) AS distance FROM pairs")
+def result_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A visit's pairs, written as text with tabs and read back."""
+    path = folder(spark, "results")
+    results.write_results(dense_pairs(spark, sf), path, "tsv")
+    return rounded(results.read_results(spark, path, results.MATCHES, "tsv"), 8, "distance")
+
+
+@query(f"""{cte('source', 'exposure')}, e AS (SELECT exposure_id, exposure_id % 5 AS tile, exposure_id % 7 <> 3 AS fits, exposure_id % 11 <> 4 AS whole FROM exposure WHERE exposure_id % 13 <> 6)
+    SELECT id, NULL AS exposure_id, NULL AS reason FROM source WHERE exposure_id IN (SELECT exposure_id FROM e WHERE tile IN (1, 3) AND fits AND whole)
+    UNION ALL SELECT NULL, exposure_id, CASE WHEN NOT whole THEN 'metadata is incomplete' ELSE 'configuration does not match' END FROM e WHERE tile IN (1, 3) AND NOT (fits AND whole)
+    UNION ALL SELECT NULL, exposure_id, 'metadata is missing' FROM exposure WHERE exposure_id % 5 IN (1, 3) AND exposure_id % 13 = 6""")
+def tile_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources of some tiles' exposures, and the exposures that are left out and why."""
+    exposures = view(spark, sf, "exposure")
+    known = exposures.filter("exposure_id % 13 <> 6").withColumn("cd1_1", F.when(F.col("exposure_id") % 11 != 4, F.col("cd1_1")))
+    rows, left_out = results.scan_tiles(view(spark, sf, "source").select("id", "exposure_id"), known, exposures.selectExpr("exposure_id", "exposure_id % 5 AS tile"), [1, 3], F.col("exposure_id") % 7 != 3)
+    nothing = F.lit(None)
+    return rows.select("id", nothing.cast("bigint").alias("exposure_id"), nothing.cast("string").alias("reason")).unionByName(left_out.select(nothing.cast("bigint").alias("id"), "exposure_id", "reason"))
+
+
+@query(f"{cte('object')}, {_TILE.format('object')} SELECT tile, count(*) AS n FROM tiled GROUP BY tile")
+def tile_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog written by tile, some tiles twice, and read back."""
+    path = folder(spark, "tiles")
+    placed = view(spark, sf, "object").withColumn("tile", tiles.sky_tile_id(F.col("ra"), F.col("dec"), TILES))
+    results.write_tiles({"object": placed}, path)
+    results.write_tiles({"object": placed.filter("tile % 2 = 0")}, path)
+    return spark.read.parquet(f"{path}/object").groupBy(F.col("tile").cast("bigint").alias("tile")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{cte('object')}, z AS (SELECT *, floor(dec * 180) AS zone FROM object WHERE dec BETWEEN -20 AND 35) SELECT id, CAST(floor(zone / 63e0) AS INT) AS stripe, 0e0 AS mu_ra FROM z")
+def object_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Objects of a band of declinations, written as chunk files and read back."""
+    path = folder(spark, "dump")
+    results.dump_objects(view(spark, sf, "object"), path, min_dec=-20.0, max_dec=35.0)
+    return spark.read.parquet(path).select("id", "stripe", "mu_ra")
+
+
 def _object_table(spark: SparkSession, sf: str, control: nightly.VisitControl) -> tuple[VersionedTable, DataFrame]:
     ra, dec = F.col("ra"), F.col("dec")
     base = view(spark, sf, "dense").select("id", "ra", "dec", *(F.lit(0.0).alias(c) for c in ("mu_ra", "mu_decl", "parallax", "radial_velocity")), var_prob().alias("var_prob"), F.lit(5e4).alias("latest_obs_time"), *(F.lit(0).alias(f"{f}_num_obs") for f in FILTERS), control.decomposition.chunk(ra, dec).alias("chunk"))
@@ -671,14 +755,33 @@ def visit_stream(spark: SparkSession, sf: str) -> DataFrame:
     control = nightly.VisitControl(fov_radius=3.0, match_radius_arcsec=DENSE_RADIUS * 3600)
     table, base = _object_table(spark, sf, control)
     table.commit(table.stage_base(base))
+    return _run_visit(spark, sf, table, control, None).select("id", "latest_obs_time", "g_num_obs")
+
+
+def _run_visit(spark: SparkSession, sf: str, table: VersionedTable, control: nightly.VisitControl, outputs: str | None) -> DataFrame:
     root = folder(spark, "visits")
     visit = spark.createDataFrame([(7, 11.0, 0.0, "g", 51000.5)], "visit_id int, ra double, dec double, filter string, epoch double")
     visit.write.parquet(f"{root}/in")
-    sources = view(spark, sf, "dense_src")
-    none = view(spark, sf, "ellipse").limit(0)
-    work = nightly.visit_work(table, lambda _: sources, lambda _: none, control)
-    stream_visits(spark.readStream.schema(visit.schema).parquet(f"{root}/in"), VisitLog(spark, f"{root}/log"), work, table.commit, table.rollback, f"{root}/checkpoint")
-    return table.read().select("id", "latest_obs_time", "g_num_obs")
+    sources, predictions = view(spark, sf, "dense_src"), view(spark, sf, "ellipse")
+    work = nightly.visit_work(table, lambda _: sources, lambda _: predictions, control, outputs)
+    stream_visits(spark.readStream.schema(visit.schema).parquet(f"{root}/in"), VisitLog(spark, f"{root}/log"), table, work, f"{root}/checkpoint")
+    return table.read()
+
+
+_UNKNOWN = ELLIPSE_PAIRS.replace("pairs AS", "predicted AS").replace("FROM prepared e JOIN dense p", "FROM small e JOIN unknown p")
+
+
+@query(f"""{cte('dense', 'dense_src', 'ellipse')}, {FLAGS}, small AS (SELECT * FROM ellipse WHERE smaa < 300), unknown AS (SELECT * FROM flagged WHERE NOT known_variable), {_UNKNOWN}
+    SELECT 'object' AS kind, first, second, round(distance, 8) AS distance FROM pairs UNION ALL SELECT 'prediction', first, second, round(distance, 8) FROM predicted""")
+def visit_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs that a visit stores: of its sources with objects, and of predictions with its sources that are no known variables."""
+    control = nightly.VisitControl(fov_radius=3.0, match_radius_arcsec=DENSE_RADIUS * 3600)
+    table, base = _object_table(spark, sf, control)
+    table.commit(table.stage_base(base))
+    outputs = folder(spark, "outputs")
+    _run_visit(spark, sf, table, control, outputs)
+    made = [spark.read.parquet(f"{outputs}/{name}").filter(F.col("visit_id").isin([*table.visits()])).select(F.lit(kind).alias("kind"), "first", "second", "distance") for name, kind in (("matches", "object"), ("predicted", "prediction"))]
+    return rounded(made[0].unionByName(made[1]), 8, "distance")
 
 
 @query()
@@ -687,6 +790,8 @@ def source_association(spark: SparkSession, sf: str) -> DataFrame:
     name = F.element_at(F.array(*(F.lit(f) for f in FILTERS)), F.col("filter_id") + 1)
     exposures = view(spark, sf, "exposure").withColumn("filter", name)
     control = source_assoc.AssocControl(resolution=TILES, bad_flags=("flag_r", "flag_f"), clustering=cluster.ClusteringControl(2.0, 2))
-    # an order's line numbers repeat: ids are made distinct with the part
-    sources = view(spark, sf, "source").withColumn("id", F.col("id") * 1_000_003 + F.col("cluster_id")).dropDuplicates(["id"])
+    # an order's line numbers repeat, with the same part too: equal ones are numbered, which no row is left out for
+    sources = view(spark, sf, "source").withColumn("id", F.col("id") * 1_000_003 + F.col("cluster_id"))
+    among = F.row_number().over(Window.partitionBy("id").orderBy("x", "y", "flux", "exposure_id", "time_mid"))
+    sources = sources.withColumn("id", F.col("id") * 16 + among)
     return source_assoc.associate(sources.drop("cluster_id", "filter_id"), exposures, control).clusters

@@ -63,15 +63,17 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table as a frame."""
     inner, columns = VIEWS[name]
     table = inner.rsplit(" ", 1)[1]
-    read(spark, sf_dir, table).createOrReplaceTempView(f"zw_{table}")
     columns = columns.replace('"muRa"', "muRa").replace('"muDecl"', "muDecl").replace('"vRad"', "vRad")
-    return spark.sql(f"SELECT {columns} FROM ({inner.replace(f' FROM {table}', f' FROM zw_{table}')})")
+    # the frame is named in this statement only, so that tables of other folders are not touched
+    return spark.sql(f"SELECT {columns} FROM ({inner.replace(f' FROM {table}', ' FROM {source}')})", source=read(spark, sf_dir, table))
 
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/zonewise"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(root or tempfile.gettempdir() + '/zonewise').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cte(*names: str) -> str:

@@ -233,23 +233,28 @@ def read_csv(spark: SparkSession, path: str, dialect: CsvDialect = CsvDialect(),
         return spark.read.options(**options).schema(schema).csv(path)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = None
         for batch in batches:
-            for text in batch.column(0).to_pylist() if multi_line else ["\n".join(batch.column(0).to_pylist()) + "\n"] if batch.num_rows else []:
-                records = parse_text(text, dialect)
-                if header and multi_line:
+            columns: list[list] = [[] for _ in kept]
+            for text, *at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a record ends with its line, whatever lies in one batch with it, unless files are read whole
+                records = parse_text(text if multi_line else text + "\n", dialect)
+                if header and (multi_line or (at != place and at[1] == 0)):
+                    if records and records[0] != [n or None for n in names]:
+                        raise CsvError("a file's header differs from the first one's")
                     records = records[1:]
-                columns: list[list] = [[] for _ in kept]
+                place = at
                 for record in records:
-                    if header and not multi_line and record == [n or None for n in names]:
-                        continue
                     if len(record) > len(names):
                         raise CsvError(f"a record has {len(record)} fields instead of {len(names)}")
                     record = record + [None] * (len(names) - len(record))
                     for column, value in zip(columns, (v for n, v in zip(names, record, strict=True) if n), strict=True):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], kept)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], kept)
 
-    return spark.read.text(path, wholetext=multi_line).mapInArrow(parse, schema)
+    # the first line of a file is the first one of its block that begins at 0
+    lines = spark.read.text(path, wholetext=multi_line).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"))
+    return lines.mapInArrow(parse, schema)
 
 
 def write_csv(df: DataFrame, path: str, dialect: CsvDialect = CsvDialect(), mode: str = "errorifexists") -> None:

@@ -1,9 +1,10 @@
 """Telescope visits as a stream: one visit a micro-batch step, in order, each at most once.
 
 A visit is registered, loads the objects of the chunks it touches, is matched, and commits or rolls
-back. State lies in the versioned object table and in a small visit log, so a restarted stream
-skips visits that are done. Visits that touch the same chunks are worked one after the other, in the
-order they come, as a single writer does; there is no policy for late ones but that order.
+back. That it committed stands in the object table, in the same file as its rows, so a stream that
+broke off anywhere skips the visits that are done and runs the others again. The visit log has what
+is in flight or failed. Writers may share a table: a visit whose chunks another one changed meanwhile
+is worked again from the changed table; visits of different chunks do not wait for each other.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from zonewise.sources.store import Files
+from zonewise.sources.store import Files, VersionConflict, VersionedTable
 
 #: Visits that may be in flight at once, and seconds a visit may take.
 MAX_IN_FLIGHT, DEADLINE_SECONDS = 16, 600
+#: How often a visit is worked while others change its chunks, and changes after which the table is written anew.
+ATTEMPTS, MAX_DELTAS = 5, 16
 REGISTERED, COMMITTED, FAILED = "registered", "committed", "failed"
 
 
@@ -73,37 +76,56 @@ class VisitLog:
         self._set(visit_id, None)
 
 
-def run_visit(log: VisitLog, visit: Row, work: Callable[[Row], str], commit: Callable[[str], None], rollback: Callable[[str], None], deadline: float = DEADLINE_SECONDS) -> bool:
-    """One visit from registration to its end. work returns a staged version; it is published only if all went well in time."""
-    if log.states().get(visit.visit_id) == COMMITTED:
-        return False
-    if log.states().get(visit.visit_id):
-        # left behind by a run that broke off: nothing of it was published
+def run_visit(log: VisitLog, table: VersionedTable, visit: Row, work: Callable[[Row], str], deadline: float = DEADLINE_SECONDS) -> bool:
+    """One visit from registration to its end; False if it was in the table already.
+
+    work returns a staged version of ``table``, which is published only if all went well in time.
+    """
+    if visit.visit_id in table.visits():
+        # perhaps the run that published it broke off before it could say so
         log.forget(visit.visit_id)
+        return False
+    # left behind by a run that broke off: the table says that nothing of it was published
+    log.forget(visit.visit_id)
     log.register(visit.visit_id)
     began, staged = time.monotonic(), None
     try:
-        staged = work(visit)
-        if time.monotonic() - began > deadline:
-            raise VisitError(f"visit {visit.visit_id} took more than {deadline} s")
-        commit(staged)
+        for attempt in range(ATTEMPTS):
+            staged = work(visit)
+            if time.monotonic() - began > deadline:
+                raise VisitError(f"visit {visit.visit_id} took more than {deadline} s")
+            try:
+                table.commit(staged, visit.visit_id)
+                break
+            except VersionConflict:
+                if attempt + 1 == ATTEMPTS:
+                    raise
+                table.rollback(staged)
+                staged = None
     except Exception:
         log.fail(visit.visit_id)
         if staged:
-            rollback(staged)
+            table.rollback(staged)
         raise
     return log.end(visit.visit_id)
 
 
-def stream_visits(visits: DataFrame, log: VisitLog, work: Callable[[Row], str], commit: Callable[[str], None], rollback: Callable[[str], None], checkpoint: str):
+def stream_visits(visits: DataFrame, log: VisitLog, table: VersionedTable, work: Callable[[Row], str], checkpoint: str):
     """Runs a stream of visits (visit_id, ...) that is there now to its end, in the order of their ids within a batch.
 
-    A batch holds visits, which are few; each is a Spark job of its own over the tables. Returns the finished query.
+    A batch holds visits, which are few; each is a Spark job of its own over the tables. The table is
+    written anew when it has MAX_DELTAS changes. Returns the finished query.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
         for visit in rows.orderBy("visit_id").toLocalIterator():
-            run_visit(log, visit, work, commit, rollback)
+            run_visit(log, table, visit, work)
+            if table.deltas() >= MAX_DELTAS:
+                try:
+                    table.compact()
+                except VersionConflict:
+                    # another writer was first: the next visit tries again
+                    pass
 
     query = visits.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
