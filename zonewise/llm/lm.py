@@ -35,12 +35,12 @@ FOLDS, HELD_OUT = 7, 2
 #: Words with vectors of their own, whose counts are broadcast; what bounds them is a worker's memory (about 400 bytes each).
 HOT = 1 << 16
 #: Of these the ones that are units, how many of the others make a unit, and units of rarer words.
-SINGLE, TAIL, RARE = 256, 384, 128
+SINGLE, TAIL, RARE = 128, 320, 64
 #: The size of a word's vector.
 SIZE = 24
 #: Rounds of averaging; each covers its own share of the documents, together all.
 ROUNDS = 2
-BATCH, RATE = 4096, 0.08
+BATCH, RATE = 8192, 0.08
 #: Units drawn as noise for a batch, and words of its unit for a token.
 NOISE, WITHIN = 32, 8
 #: Tokens that a task trains on, about: each task sends on all its parameters.
@@ -175,19 +175,26 @@ class LogBilinear:
         left[second] = start
         return left, near
 
-    def _add(self, name: str, rows: np.ndarray | None, slope: np.ndarray) -> None:
-        """An AdaGrad step; equal rows are summed first."""
-        value, seen = getattr(self, name), self.seen[name]
-        if rows is not None:
-            order = np.argsort(rows, kind="stable")
-            ranked = rows[order]
-            first = np.flatnonzero(np.diff(ranked, prepend=-1))
-            rows, slope, times = ranked[first], np.add.reduceat(slope[order], first, axis=0), np.diff(first, append=len(ranked))
+    def _add(self, rows: np.ndarray | None, **slopes: np.ndarray) -> None:
+        """An AdaGrad step of parameters of the same rows, all without ``rows``; the slopes of equal rows are summed first."""
+        if rows is None:
+            kinds, times = slice(None), 1
         else:
-            rows, times = slice(None), 1
-        self.used[name][rows] += times
-        seen[rows] += slope * slope
-        value[rows] += RATE * slope / np.sqrt(seen[rows])
+            size = len(getattr(self, next(iter(slopes))))
+            number = np.zeros(size, dtype=np.int64)
+            number[rows] = 1
+            kinds = np.flatnonzero(number)
+            number[kinds] = np.arange(len(kinds))
+            which = number[rows]
+            times = np.bincount(which, minlength=len(kinds))
+        for name, slope in slopes.items():
+            if rows is not None:
+                slope = np.stack([np.bincount(which, slope[:, k], len(kinds)) for k in range(slope.shape[1])], axis=1).astype(np.float32)
+            value, seen = getattr(self, name), self.seen[name]
+            self.used[name][kinds] += times
+            squares = seen[kinds] + slope * slope
+            seen[kinds] = squares
+            value[kinds] += RATE * slope / np.sqrt(squares)
 
     def step(self, left: np.ndarray, near: np.ndarray, target: np.ndarray, rng: np.random.Generator, cumulated: np.ndarray) -> None:
         """One noise-contrastive step over a batch's tokens, whose vectors' rows are ``target``."""
@@ -202,8 +209,7 @@ class LogBilinear:
         true = scale * (1 - _sigmoid((context * self.out[unit]).sum(axis=1) + self.bias[unit, 0] - shift[unit]))
         false = -scale * _sigmoid(context @ self.out[drawn].T + self.bias[drawn, 0] - shift[drawn])
         back = true[:, None] * self.out[unit] + false @ self.out[drawn]
-        self._add("out", np.concatenate([unit, drawn]), np.concatenate([true[:, None] * context, false.T @ context]))
-        self._add("bias", np.concatenate([unit, drawn]), np.concatenate([true, false.sum(axis=0)])[:, None])
+        self._add(np.concatenate([unit, drawn]), out=np.concatenate([true[:, None] * context, false.T @ context]), bias=np.concatenate([true, false.sum(axis=0)])[:, None])
 
         # words within units of several, against WITHIN of the unit's words drawn for each, all alike
         some = np.flatnonzero((target >= words.single) & (target < words.hot))
@@ -217,13 +223,12 @@ class LogBilinear:
             slope = -scale * _sigmoid(said)
             slope[:, 0] += scale
             back[some] += np.einsum("ik,ikd->id", slope, rows)
-            self._add("inner", all_.ravel(), (slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE))
-            self._add("own", all_.ravel(), slope.reshape(-1, 1))
+            self._add(all_.ravel(), inner=(slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE), own=slope.reshape(-1, 1))
 
         left_slope, near_slope = (back * u).sum(axis=0, keepdims=True), (back * v).sum(axis=0, keepdims=True)
-        self._add("vector", np.concatenate([left, near]), np.concatenate([back * self.left, back * self.near]))
-        self._add("left", None, left_slope)
-        self._add("near", None, near_slope)
+        self._add(np.concatenate([left, near]), vector=np.concatenate([back * self.left, back * self.near]))
+        self._add(None, left=left_slope)
+        self._add(None, near=near_slope)
 
     def log_probabilities(self, target: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural logarithms of each token's normalised probability; of a rare token that of its unit."""
@@ -231,15 +236,18 @@ class LogBilinear:
         left, near = self.contexts(target, bounds)
         pair, which = np.unique(left * len(self.vector) + near, return_inverse=True)
         context = self.vector[pair // len(self.vector)] * self.left + self.vector[pair % len(self.vector)] * self.near
+        # a bias is the weight of a last number that is always 1
+        context = np.concatenate([context, np.ones((len(context), 1), np.float32)], axis=1)
+        out, inner = np.ascontiguousarray(self._with_bias(self.out, self.bias).T), self._with_bias(self.inner, self.own)
         norm = np.empty(len(pair), np.float32)
         for i in range(0, len(pair), TOGETHER):
-            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ self.out.T + self.bias[:, 0])
+            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ out)
         unit = words.units(target)
         said = np.empty(len(target), np.float32)
         for i in range(0, len(target), BATCH):
             some = slice(i, i + BATCH)
-            said[some] = np.einsum("ij,ij->i", context[which[some]], self.out[unit[some]])
-        said += self.bias[unit, 0] - norm[which]
+            said[some] = (context[which[some]] * out.T[unit[some]]).sum(axis=1)
+        said -= norm[which]
         # tokens of each unit of several words together
         inside = np.flatnonzero((target >= words.single) & (target < words.hot))
         inside = inside[np.argsort(unit[inside], kind="stable")]
@@ -249,15 +257,20 @@ class LogBilinear:
             first, last = words.starts[k], words.starts[k + 1]
             for i in range(a, b, TOGETHER):
                 some = inside[i : min(b, i + TOGETHER)]
-                scores = context[which[some]] @ self.inner[first:last].T + self.own[first:last, 0]
-                said[some] += scores[np.arange(len(some)), target[some] - first] - _log_sums(scores)
+                scores = context[which[some]] @ inner[first:last].T
+                own = scores[np.arange(len(some)), target[some] - first]
+                said[some] += own - _log_sums(scores)
         return np.minimum(said, 0).astype(np.float64)
 
 
 def _log_sums(scores: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exponentials of each row."""
-    top = scores.max(axis=1, keepdims=True)
-    return top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
+    """The logarithm of the sum of exponentials of each row; ``scores`` is used up."""
+    if not -60 < scores.min(initial=0) <= scores.max(initial=0) < 60:
+        top = scores.max(axis=1, keepdims=True)
+        scores -= top
+        return top[:, 0] + np.log(np.exp(scores, out=scores).sum(axis=1))
+    # no sum of so small exponents leaves the range of 32 bits
+    return np.log(np.exp(scores, out=scores).sum(axis=1))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
