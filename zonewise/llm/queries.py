@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, jaccard, langid, lm, quality, rans, toxicity, urlfilter, warc
+from . import bpe, colloc, decontam, jaccard, langid, lm, quality, rans, secretscan, toxicity, urlfilter, vqcodes, warc
 from .store import Scratch, table
 
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -62,6 +62,18 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.through_files(table(spark, sf_dir, "documents"), public_tokenizers.path(PLAIN_TOKENIZER), Scratch(spark, "rans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vqcodes.compress(table(spark, sf_dir, "embeddings"), Scratch(spark, "vectors"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colloc.Collocations(table(spark, sf_dir, "documents"), Scratch(spark, "collocations")).best()
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 OP4_SQL = r"""
 WITH cut AS (
     SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
@@ -81,6 +93,55 @@ WITH cut AS (
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """
 
+def _op11_sql() -> str:
+    """Six rounds, each a pair of common tables: nearest entries, then the entries' floors of means."""
+    rounds = []
+    for r in range(vqcodes.ROUNDS + 1):
+        rounds.append(f"a{r} AS MATERIALIZED (SELECT vec_id, p, min(d * 16 + k) AS m FROM (SELECT vec_id, p, k, sum((x - y) * (x - y)) AS d FROM comp JOIN b{r} USING (p, j) GROUP BY ALL) GROUP BY ALL)")
+        if r < vqcodes.ROUNDS:
+            rounds.append(f"s{r} AS (SELECT p, m % 16 AS k, j, sum(x) AS s, count(*) AS n FROM comp JOIN a{r} USING (vec_id, p) GROUP BY ALL)")
+            rounds.append(f"b{r + 1} AS MATERIALIZED (SELECT p, k, j, CAST(coalesce((s - (s % n + n) % n) // n, y) AS BIGINT) AS y FROM b{r} LEFT JOIN s{r} USING (p, k, j))")
+    last = vqcodes.ROUNDS
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, label, embedding AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS MATERIALIZED (SELECT vec_id, i // w AS p, i % w AS j, CAST(floor(4096 * CAST(e[i + 1] AS DOUBLE)) AS BIGINT) AS x FROM (SELECT vec_id, e, len(e) // 8 AS w, unnest(range(len(e))) AS i FROM kept)),
+b0 AS MATERIALIZED (SELECT p, k, j, x AS y FROM comp JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)),
+{", ".join(rounds)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', CAST(m % 16 AS INT)), '' ORDER BY p) AS code, CAST(sum(m // 16) AS BIGINT) AS error FROM a{last} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, k, j)) FROM b{last}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), worded AS (
+    SELECT lang, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces
+), grams AS (
+    SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM worded, range(1, 5) t(size)
+), counted AS MATERIALIZED (
+    SELECT lang, phrase, size, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+    SELECT lang, sum(len(ws)) AS n FROM worded GROUP BY ALL
+), cuts AS (
+    SELECT c.lang, c.phrase, c.a, cut, array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ') AS tail
+    FROM counted c, range(1, 4) t(cut) WHERE cut < size
+), scored AS (
+    SELECT u.lang, u.phrase, u.a, cut, h.a AS l, t.a AS r, CAST(2000000::HUGEINT * u.a // (h.a + t.a) AS BIGINT) AS score
+    FROM cuts u JOIN counted h ON h.lang = u.lang AND h.phrase = u.head JOIN counted t ON t.lang = u.lang AND t.phrase = u.tail
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inner_ AS (
+    SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') AS phrase, max(a) AS around FROM counted, range(2, 4) s(m), range(1, 4) t(i) WHERE size > m AND i + m - 1 <= size GROUP BY ALL
+), left_ AS (
+    SELECT b.* FROM lowest b LEFT JOIN inner_ i USING (lang, phrase) WHERE i.around IS NULL OR 100::HUGEINT * i.around < 80::HUGEINT * b.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_
+) JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -92,6 +153,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
+    "op13_secret_scan": op13_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filters": OP4_SQL, "op11_vector_codes": _op11_sql(), "op12_collocations": OP12_SQL}
