@@ -6,7 +6,10 @@ ends. Phrases grow by a word in each pass: the positions of frequent phrases are
 the postings of the words that follow, and the length of what is left is the new phrase's exact count
 in the shard. Counts of all shards are summed, and only phrases that are frequent in the whole
 language are extended, within each shard, in the next pass; what they end in must be frequent too.
-So a pass shuffles one row for each distinct phrase of a shard, and never a row for an occurrence.
+
+Frequent words and phrases have numbers, so a longer phrase is a pair of them. Shards send their pairs
+in buckets by hash, sorted and packed; as a bucket holds a bounded number of pairs, and a shard has a
+pair once, no task grows with the corpus or with a frequent phrase. No occurrence leaves its shard.
 
 Words are runs of anything but spaces and tabs within pieces, which end at .,;:!? and line ends; A-Z
 are lower-cased. Null texts are empty and null languages are ``und``. Repeated rows count as often as
@@ -18,14 +21,14 @@ from __future__ import annotations
 
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bytetext import mix
 from .store import Scratch, col
 
 MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
@@ -33,14 +36,20 @@ MIN_COUNT, MAX_WORDS, TOP = 30, 4, 2000
 COVERED = 80
 #: Tokens of one language in a shard, and of all languages that a task holds back for shards.
 SHARD_TOKENS, HELD_TOKENS = 1 << 19, 1 << 21
-#: Frequent phrases go to every task up to so many; beyond, joins are shuffled.
+#: Numbered words and phrases go to every task up to so many; beyond, joins are shuffled.
 BROADCAST_PHRASES = 200_000
 #: Pieces of what is joined by a phrase's part, as many phrases share their first word; and of a language's ranking.
 SALTS, RANK_PARTS = 16, 64
 _LOWER = bytes(range(256)).lower()
 _PIECES = bytes(10 if c in b".,;:!?\n\v\f\r" else c for c in _LOWER)
-LISTS = "names array<binary>, n array<int>, at binary"
-STATE = f"shard bigint, lang string, {LISTS}, w_names array<binary>, w_n array<int>, w_at binary"
+#: Pairs that are counted together in a bucket, about.
+BUCKET_PAIRS = 1 << 19
+SHARD = "lang string, names array<binary>, n array<int>, at binary"
+#: Lists of a shard's longer phrases, pairs of a phrase and a word, and of its words; all but the shard and the size are packed.
+LISTS = "shard bigint, size bigint, heads binary, tails binary, n binary, at binary, words binary, w_n binary, w_at binary"
+DEALT = "bucket bigint, shard bigint, heads binary, tails binary, n binary, j binary"
+#: Of a bucket: a row with its frequent pairs, their numbers and counts, and rows with those that each shard (of) has.
+COUNTED = "of bigint, j binary, ids binary, found array<struct<head: bigint, tail: bigint, id: bigint, a: bigint>>"
 
 
 def tokens_of(text: bytes) -> list[bytes | None]:
@@ -70,58 +79,61 @@ class _Buffer:
         return list(self.index)[1:], n[1:], np.argsort(ids, kind="stable")[n[0] :]
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    """Positions as differences modulo 2**32, which compress well."""
-    return np.diff(positions.astype(np.uint32), prepend=np.uint32(0)).tobytes()
+def _pack(values: np.ndarray) -> bytes:
+    """Integers as compressed byte planes of their differences, after how many they are."""
+    steps = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, dtype=np.uint32), dtype=np.uint32).astype(np.int64)
-
-
-def _texts_to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: dict[str, _Buffer] = {}
-    held = 0
-
-    def made(lang: str) -> pa.RecordBatch:
-        words, n, at = waiting.pop(lang).lists()
-        names = pa.array([words], pa.list_(pa.binary()))
-        return pa.RecordBatch.from_arrays([pa.array([lang]), names, pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([_pack(at)], pa.binary())], ["lang", "names", "n", "at"])
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            lang = lang.as_py()
-            buffer = waiting.setdefault(lang, _Buffer())
-            before = len(buffer.ids)
-            buffer.ids.extend(map(buffer.index.__getitem__, tokens_of(text.as_py() or b"")))
-            held += len(buffer.ids) - before
-            if len(buffer.ids) >= SHARD_TOKENS or held >= HELD_TOKENS:
-                most = max(waiting, key=lambda k: len(waiting[k].ids))
-                held -= len(waiting[most].ids)
-                yield made(most)
-    for lang in [*waiting]:
-        if len(waiting[lang].ids):
-            yield made(lang)
-
-
-class _Lists:
-    """Phrases of a shard with the list of each one's positions."""
-
-    def __init__(self, table: pa.Table, prefix: str = "") -> None:
-        self.names = table.column(f"{prefix}names").combine_chunks().flatten()
-        self.n = table.column(f"{prefix}n").combine_chunks().flatten().to_numpy()
-        self.at = _unpack(table.column(f"{prefix}at")[0].as_py())
-
-    def keep(self, kept: np.ndarray) -> None:
-        mask = np.zeros(len(self.n), dtype=bool)
-        mask[kept] = True
-        self.at = self.at[np.repeat(mask, self.n)]
-        self.names, self.n = self.names.filter(pa.array(mask)), self.n[mask]
-
-    def by_position(self) -> tuple[np.ndarray, np.ndarray]:
-        """All positions, ascending, and the phrase that starts at each."""
-        order = np.argsort(self.at, kind="stable")
-        return self.at[order], np.repeat(np.arange(len(self.n)), self.n)[order]
+    size = int.from_bytes(data[:8], "little")
+    if not size:
+        return np.zeros(0, dtype=np.int64)
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, size).T).view(np.int64).ravel())
+
+
+def _unpacked(table: pa.Table, name: str) -> np.ndarray:
+    """The packed integers of all rows of a column, one after the other."""
+    parts = [_unpack(x.as_py()) for x in table.column(name)]
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
+
+
+def _to_shards(shard_tokens: int, held_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts (lang, text) as shards."""
+
+    def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, _Buffer] = {}
+        held = 0
+
+        def made(lang: str) -> pa.RecordBatch:
+            words, n, at = waiting.pop(lang).lists()
+            names = pa.array([words], pa.list_(pa.binary()))
+            return pa.RecordBatch.from_arrays([pa.array([lang]), names, pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([_pack(at)], pa.binary())], ["lang", "names", "n", "at"])
+
+        for batch in batches:
+            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
+                lang = lang.as_py()
+                buffer = waiting.setdefault(lang, _Buffer())
+                before = len(buffer.ids)
+                buffer.ids.extend(map(buffer.index.__getitem__, tokens_of(text.as_py() or b"")))
+                held += len(buffer.ids) - before
+                if len(buffer.ids) >= shard_tokens or held >= held_tokens:
+                    most = max(waiting, key=lambda k: len(waiting[k].ids))
+                    held -= len(waiting[most].ids)
+                    yield made(most)
+        for lang in [*waiting]:
+            if len(waiting[lang].ids):
+                yield made(lang)
+
+    return to_shards
+
+
+def _by_position(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of lists of lengths ``n``, ascending, and the list of each."""
+    order = np.argsort(at, kind="stable")
+    return at[order], np.repeat(np.arange(len(n)), n)[order]
 
 
 def _among(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -132,44 +144,90 @@ def _among(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[place] == wanted, place, -1)
 
 
-def extended(size: int):
-    """The pass that makes a shard's phrases of size + 1 words from (its lists of ``size`` words, the numbers of those that are frequent)."""
+_LISTS_ARROW = pa.schema([("shard", pa.int64()), ("size", pa.int64()), *((name, pa.binary()) for name in ("heads", "tails", "n", "at", "words", "w_n", "w_at"))])
+
+
+def extended(size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pass that makes a shard's lists of phrases of size + 1 words from its lists of those of ``size`` and the numbers of the frequent ones."""
 
-    def extend(state: pa.Table, frequent: pa.Table) -> pa.Table:
-        if not state.num_rows or not frequent.num_rows:
-            return _STATE_ARROW.empty_table()
-        kept = np.sort(frequent.column("j").to_numpy())
-        phrases = _Lists(state)
-        phrases.keep(kept)
-        words = phrases if size == 1 else _Lists(state, "w_")
-        starts, phrase = phrases.by_position()
-        places, word = words.by_position()
+    def extend(shard: pa.Table, frequent: pa.Table) -> pa.Table:
+        if not shard.num_rows or not frequent.num_rows:
+            return _LISTS_ARROW.empty_table()
+        if size == 1:
+            j, ids = frequent.column("j").to_numpy(), frequent.column("id").to_numpy()
+            n = shard.column("n").combine_chunks().flatten().to_numpy()
+        else:
+            j, ids, n = _unpacked(frequent, "j"), _unpacked(frequent, "ids"), _unpacked(shard, "n")
+        ids, kept = ids[np.argsort(j)], np.zeros(len(n), dtype=bool)
+        kept[j] = True
+        at, n = _unpacked(shard, "at")[np.repeat(kept, n)], n[kept]
+        words, w_n, w_at = (ids, n, at) if size == 1 else (_unpacked(shard, name) for name in ("words", "w_n", "w_at"))
+        starts, phrase = _by_position(at, n)
+        places, word = _by_position(w_at, w_n)
         # merge-join of the phrases' positions with the postings of the words after them
         follows = _among(places, starts + size)
         met = follows >= 0
         if size > 1:
             # what the longer phrase ends in has to be frequent
             met &= _among(starts, starts + 1) >= 0
-        starts, pair = starts[met], phrase[met] * len(words.n) + word[follows[met]]
+        starts, pair = starts[met], phrase[met] * len(words) + word[follows[met]]
         order = np.argsort(pair, kind="stable")
         pair, starts = pair[order], starts[order]
         first = np.flatnonzero(np.diff(pair, prepend=-1))
-        n = np.diff(np.append(first, len(pair)))
-        heads, tails = pair[first] // max(1, len(words.n)), pair[first] % max(1, len(words.n))
-        names = pc.binary_join_element_wise(phrases.names.take(pa.array(heads)), words.names.take(pa.array(tails)), pa.scalar(b" ", pa.binary()))
-        columns = [state.column("shard").combine_chunks(), state.column("lang").combine_chunks()]
-        for values, lengths, at in ((names, n, starts), (words.names, words.n, words.at)):
-            columns += [_one_list(values), _one_list(pa.array(lengths.astype(np.int32))), pa.array([_pack(at)], pa.binary())]
-        return pa.Table.from_arrays(columns, schema=_STATE_ARROW)
+        lengths = np.diff(np.append(first, len(pair)))
+        made = (ids[pair[first] // len(words)], words[pair[first] % len(words)], lengths, starts, words, w_n, w_at)
+        return pa.Table.from_arrays([shard.column("shard").combine_chunks(), pa.array([len(first)], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in made)], schema=_LISTS_ARROW)
 
     return extend
 
 
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Shards' pairs by bucket."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                heads, tails, n = (_unpack(row[c]) for c in ("heads", "tails", "n"))
+                hashed = mix(mix(heads.view(np.uint64)) + tails.view(np.uint64))
+                bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((tails, heads, bucket))
+                starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                parts = np.split(order, starts[1:]) if len(order) else []
+                packed = [[_pack(x[part]) for part in parts] for x in (heads, tails, n)] + [[_pack(part) for part in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "shard", "heads", "tails", "n", "j"])
+
+    return deal
 
 
-_STATE_ARROW = pa.schema([("shard", pa.int64()), ("lang", pa.string()), *((p + name, kind) for p in ("", "w_") for name, kind in (("names", pa.list_(pa.binary())), ("n", pa.list_(pa.int32())), ("at", pa.binary())))])
+_COUNTED_ARROW = pa.schema([("of", pa.int64()), ("j", pa.binary()), ("ids", pa.binary()), ("found", pa.list_(pa.struct([(n, pa.int64()) for n in ("head", "tail", "id", "a")])))])
+
+
+def counted(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The sums of a bucket's pairs over shards, numbered where they are frequent."""
+
+    def count(bucket: pa.Table) -> pa.Table:
+        parts = [[_unpack(x.as_py()) for x in bucket.column(name)] for name in ("heads", "tails", "n", "j")]
+        heads, tails, n, j = (np.concatenate(p) for p in parts)
+        row = np.repeat(np.arange(bucket.num_rows), [len(p) for p in parts[0]])
+        order = np.lexsort((tails, heads))
+        heads, tails = heads[order], tails[order]
+        new = np.append(True, (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1]))
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n[order], first)
+        frequent = total >= least
+        # a number is the bucket's, then the pair's in it
+        ids = (bucket.column("bucket")[0].as_py() << 32) + np.cumsum(frequent) - 1
+        found = [{"head": h, "tail": t, "id": i, "a": a} for h, t, i, a in zip(*(x[frequent].tolist() for x in (heads[first], tails[first], ids, total)), strict=True)]
+        group = np.cumsum(new) - 1
+        stays = frequent[group]
+        row, j, of_pair = row[order][stays], j[order][stays], ids[group][stays]
+        back = np.argsort(row, kind="stable")
+        shares = np.split(back, np.cumsum(np.bincount(row, minlength=bucket.num_rows))[:-1])
+        shards = bucket.column("shard").to_pylist()
+        rows = [(s, _pack(j[share]), _pack(of_pair[share]), None) for s, share in zip(shards, shares, strict=True) if len(share)] + [(None, None, None, found)]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNTED_ARROW.types, strict=True)], schema=_COUNTED_ARROW)
+
+    return count
 
 
 class Collocations:
@@ -180,45 +238,58 @@ class Collocations:
             raise ValueError("counts and sizes are positive, and a phrase has two words")
         self.scratch, self.min_count, self.max_words, self.top, self.covered = scratch, min_count, max_words, top, covered
         texts = docs.select(F.coalesce(col(lang_col).cast("string"), F.lit("und")).alias("lang"), col(text_col).cast("binary").alias("text"))
-        made = texts.mapInArrow(_texts_to_shards, f"lang string, {LISTS}")
-        state = scratch.write(made.withColumn("shard", F.monotonically_increasing_id()), "lists-1", "zstd")
-        self.totals = scratch.write(state.select("lang", F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-        levels = []
-        for size in range(1, max_words + 1):
-            found, kept = self._frequent(state, size)
-            levels.append(found.withColumn("size", F.lit(size)))
-            if size < max_words:
-                longer = state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(extended(size), STATE)
-                after = scratch.write(longer, f"lists-{size + 1}", "zstd")
-                scratch.drop(f"lists-{size}")
-                state = after
+        # a written table: the shards' numbers stay as they are
+        shards = scratch.write(texts.mapInArrow(_to_shards(SHARD_TOKENS, HELD_TOKENS), SHARD).withColumn("shard", F.monotonically_increasing_id()), "lists-1", "zstd")
+        self.totals = scratch.write(shards.select("lang", F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        words, kept = self._frequent_words(shards)
+        #: Frequent phrases (lang, id, phrase, a, size) of one word up to max_words.
+        self.phrases = level = words
+        state = shards.select("shard", "n", "at")
+        for size in range(2, max_words + 1):
+            longer = state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(extended(size - 1), LISTS)
+            state = scratch.write(longer, f"lists-{size}")
+            found, kept = self._frequent_pairs(state, size)
+            level = scratch.write(self._texts(found, level, words, size), f"phrases-{size}")
+            self.phrases = self.phrases.unionByName(level)
+            scratch.drop(f"lists-{size - 1}")
         scratch.drop(f"lists-{max_words}")
-        union = levels[0]
-        for level in levels[1:]:
-            union = union.unionByName(level)
-        #: Frequent phrases (lang, phrase, a, size) of one word up to max_words.
-        self.phrases = union
-
-    def _frequent(self, state: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-        """Phrases that are frequent over all shards (lang, phrase, a), and where shards have them (of, j)."""
-        local = state.select("lang", F.inline(F.arrays_zip("names", "n"))).withColumnsRenamed({"names": "phrase"})
-        counts = local.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.min_count)
-        found = self.scratch.write(counts, f"frequent-{size}")
-        here = state.select("shard", "lang", F.posexplode("names").alias("j", "phrase"))
-        small = found.count() <= BROADCAST_PHRASES
-        # a phrase has one row in a shard at most, so no key of this join holds many of its rows
-        kept = here.join(F.broadcast(found) if small else found, ["lang", "phrase"]).select(F.col("shard").alias("of"), "j")
-        return found.withColumn("phrase", F.col("phrase").cast("string")), kept
+
+    def _frequent_words(self, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Frequent words with numbers, and where shards have them (of, j, id)."""
+        local = shards.select("lang", F.inline(F.arrays_zip("names", "n"))).withColumnRenamed("names", "word")
+        counts = local.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.min_count)
+        found = self.scratch.write(counts.withColumn("id", F.monotonically_increasing_id()), "phrases-1")
+        here = shards.select(F.col("shard").alias("of"), "lang", F.posexplode("names").alias("j", "word"))
+        # a word has one row in a shard, so no key of this join holds many of its rows
+        small = F.broadcast(found) if found.count() <= BROADCAST_PHRASES else found
+        kept = here.join(small.drop("a"), ["lang", "word"]).select("of", "j", "id")
+        return found.select("lang", "id", F.col("word").cast("string").alias("phrase"), "a", F.lit(1).alias("size")), kept
+
+    def _frequent_pairs(self, state: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+        """Frequent pairs (head, tail, id, a) over all shards, and where shards have them (of, j, ids)."""
+        pairs = state.agg(F.sum("size").alias("pairs")).first().pairs or 0
+        deal = state.select("shard", "heads", "tails", "n").mapInArrow(_dealt(1 + pairs // BUCKET_PAIRS), DEALT)
+        made = self.scratch.write(deal.groupBy("bucket").applyInArrow(counted(self.min_count), COUNTED), f"counted-{size}")
+        return made.filter("of IS NULL").select(F.inline("found")), made.filter("of IS NOT NULL").select("of", "j", "ids")
+
+    def _texts(self, found: DataFrame, heads: DataFrame, words: DataFrame, size: int) -> DataFrame:
+        """Phrases of found pairs."""
+        named = heads.select("lang", F.col("id").alias("head"), F.col("phrase").alias("head_text"))
+        tails = words.select(F.col("id").alias("tail"), F.col("phrase").alias("tail_text"))
+        met = self._joined(self._joined(found, named, ["head"], "tail"), tails, ["tail"], "head")
+        return met.select("lang", "id", F.concat_ws(" ", "head_text", "tail_text").alias("phrase"), "a", F.lit(size).alias("size"))
+
+    def _joined(self, many: DataFrame, one: DataFrame, keys: list[str], deal_by: str) -> DataFrame:
+        """``many`` with the row of ``one``, of which there is one a key; a key that many rows have is dealt by another column."""
+        if one.count() <= BROADCAST_PHRASES:
+            return many.join(F.broadcast(one), keys)
+        dealt = many.withColumn("__salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
+        return dealt.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "__salt"]).drop("__salt")
 
     def _with_part(self, cuts: DataFrame, part: str, name: str) -> DataFrame:
         """``cuts`` with the count of the phrase in column ``part`` as ``name``; parts of frequent phrases are frequent."""
-        known = self.phrases.filter(F.col("size") < self.max_words).select(F.col("lang").alias("k_lang"), F.col("phrase").alias("k_phrase"), F.col("a").alias(name))
-        same = (F.col("lang") == F.col("k_lang")) & (F.col(part) == F.col("k_phrase"))
-        if known.count() <= BROADCAST_PHRASES:
-            return cuts.join(F.broadcast(known), same).drop("k_lang", "k_phrase")
-        dealt = cuts.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
-        spread = known.withColumn("k_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        return dealt.join(spread, same & (F.col("salt") == F.col("k_salt"))).drop("k_lang", "k_phrase", "k_salt", "salt")
+        known = self.phrases.filter(F.col("size") < self.max_words).select("lang", F.col("phrase").alias(part), F.col("a").alias(name))
+        return self._joined(cuts, known, ["lang", part], "phrase")
 
     def scored(self) -> DataFrame:
         """Phrases of two words and more with their lowest-scoring cut: (lang, phrase, words, a, l, r, score)."""
