@@ -67,10 +67,10 @@ ALLOWED = tuple(
         rb"(?i)\b(?:sha(?:1|224|256|384|512)|md5)[-:=]\s?[A-Za-z0-9+/=_-]+",
         rb"data:[a-z]+/[a-z0-9.+-]+;base64,[A-Za-z0-9+/=]+",
         rb"(?:https?|ftp)://[^\s\"'<>]+",
-        rb"[A-Za-z0-9+/_=-]*(?i:example|placeholder|changeme|xxxxxx|your[_-]?(?:api|key|token|secret))[A-Za-z0-9+/_=-]*",
-        rb"[A-Za-z0-9+/_=-]*(?:0123456789|(?i:abcdefghijklmnop))[A-Za-z0-9+/_=-]*",
     )
 )
+#: A candidate string with one of these in it is made up for show.
+PLACEHOLDER = re.compile(rb"(?i)example|placeholder|changeme|xxxxxx|your[_-]?(?:api|key|token|secret)|0123456789|abcdefghijklmnop")
 
 
 def _sums(size: int) -> np.ndarray:
@@ -117,9 +117,11 @@ def strong_windows(run: bytes, kind: CharacterClass) -> np.ndarray:
 
 
 def entropy_spans(text: bytes, classes: Iterable[CharacterClass] = CLASSES) -> list[tuple[int, int]]:
-    """Byte spans of strong windows, those that overlap or touch joined, over all classes."""
+    """Byte spans of strong windows, those that overlap or touch joined, over all classes and all candidates but placeholders."""
     found: list[tuple[int, int]] = []
     for candidate in CANDIDATE.finditer(text):
+        if PLACEHOLDER.search(text, candidate.start(), candidate.end()):
+            continue
         for kind in classes:
             for run in kind.runs.finditer(text, candidate.start(), candidate.end()):
                 firsts = strong_windows(run[0], kind) + run.start()
@@ -149,7 +151,8 @@ def added_spans(text: bytes, base: list[tuple[int, int, int]], allowed: tuple[re
     if not found:
         return []
     covers = [(s, e) for s, e, _ in base] + [m.span() for p in allowed for m in p.finditer(text)]
-    return [(s, e, 3) for s, e in found if text[s:e] not in known and not any(a <= s and e <= b for a, b in covers)]
+    covers += [m.span() for k in known for m in re.finditer(re.escape(k), text)]
+    return [(s, e, 3) for s, e in found if not any(a <= s and e <= b for a, b in covers)]
 
 
 def code_points(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
