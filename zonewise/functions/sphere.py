@@ -78,6 +78,18 @@ def separation(a: Vector, b: Vector) -> Column:
     return F.degrees(F.atan2(norm(cross(a, b)), dot(a, b)))
 
 
+def arc_distance(p: Vector, a: Vector, b: Vector) -> Column:
+    """The angle between a vector and the shorter great-circle arc from a to b (vectors of any length, less than half a turn apart).
+
+    Over the arc, between the planes through its ends that are square to it, it is the height above the
+    arc's plane; elsewhere the nearer end's angle. An arc without length is its end.
+    """
+    n = cross(a, b)
+    over = (dot(cross(n, a), p) >= 0) & (dot(cross(n, b), p) <= 0) & (norm(n) > 0)
+    height = F.degrees(F.abs(F.atan2(dot(p, n), norm(cross(p, n)))))
+    return F.when(over, height).otherwise(F.least(separation(p, a), separation(p, b)))
+
+
 def longitude(a: Vector) -> Column:
     """In [0, 360); 0 at the poles."""
     angle = F.degrees(F.atan2(a[1], a[0]))

@@ -1,4 +1,4 @@
-"""World coordinates: the tangent-plane projection as column expressions, its SIP distortion as an Arrow function.
+"""World coordinates: the tangent-plane projection and its SIP distortion as column expressions.
 
 A WCS is the columns crval1, crval2 (degrees), crpix1, crpix2, cd1_1, cd1_2, cd2_1, cd2_2 with the FITS
 meaning (first pixel 1, degrees a pixel). Pixel positions in arguments count from 0. With sip=True the
@@ -7,10 +7,8 @@ columns of with_sip_terms give the distortion of the pixel plane as well.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +18,8 @@ WCS = ("crval1", "crval2", "crpix1", "crpix2", "cd1_1", "cd1_2", "cd2_1", "cd2_2
 
 
 SIP = ("sip_a", "sip_b", "sip_ap", "sip_bp")
-#: Steps that invert a distortion without an inverse polynomial; each brings the error down by the distortion's slope, a few per mille.
-INVERSE_STEPS = 8
+#: Newton's steps that invert a distortion without an inverse polynomial, and the pixels by which the result may miss its target, as a share of the distance from crpix (1 at least).
+NEWTON_STEPS, MISS = 12, 1e-10
 
 
 def with_sip_terms(exposures: DataFrame, sip: str = "sip") -> DataFrame:
@@ -35,10 +33,48 @@ def with_sip_terms(exposures: DataFrame, sip: str = "sip") -> DataFrame:
     return exposures.withColumns({name: terms(name[4:]) for name in SIP})
 
 
-def _shift(terms: Column, u: Column, v: Column) -> Column:
+def sip_shift(terms: Column, u: Column, v: Column) -> Column:
+    """The sum of c * u**p * v**q over terms, of pixel offsets from crpix."""
     return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["c"] * F.pow(u, t["p"]) * F.pow(v, t["q"]))
 
 
+def _slope(terms: Column, u: Column, v: Column, by: str) -> Column:
+    """The derivative of sip_shift by u (p) or v (q)."""
+    low = {k: F.lit(1 if k == by else 0) for k in "pq"}
+
+    def term(t: Column) -> Column:
+        return F.when(t[by] > 0, t["c"] * t[by] * F.pow(u, t["p"] - low["p"]) * F.pow(v, t["q"] - low["q"])).otherwise(0.0)
+
+    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + term(t))
+
+
+def _undistorted(a: Column, b: Column, p: Column, q: Column) -> Column:
+    """struct(u, v) that the distortion with terms a and b moves to (p, q), by Newton's method from there; NaN where it does not get there."""
+
+    def missed(s: Column) -> tuple[Column, Column]:
+        return s["u"] + sip_shift(a, s["u"], s["v"]) - s["p"], s["v"] + sip_shift(b, s["u"], s["v"]) - s["q"]
+
+    def step(s: Column, _: Column) -> Column:
+        # what a step needs more than once goes through a one-element array, so that it is computed once
+        f, g = missed(s)
+        parts = F.struct(f.alias("f"), g.alias("g"), *((_slope(terms, s["u"], s["v"], k) + F.lit(1.0 if diagonal else 0.0)).alias(name) for name, terms, k, diagonal in (("fu", a, "p", True), ("fv", a, "q", False), ("gu", b, "p", False), ("gv", b, "q", True))))
+
+        def moved(m: Column) -> Column:
+            det = m["fu"] * m["gv"] - m["fv"] * m["gu"]
+            return F.struct(s["p"].alias("p"), s["q"].alias("q"), (s["u"] - F.try_divide(m["gv"] * m["f"] - m["fv"] * m["g"], det)).alias("u"), (s["v"] - F.try_divide(m["fu"] * m["g"] - m["gu"] * m["f"], det)).alias("v"))
+
+        return F.element_at(F.transform(F.array(parts), moved), 1)
+
+    def checked(s: Column) -> Column:
+        f, g = missed(s)
+        near = F.greatest(F.abs(f), F.abs(g)) <= MISS * F.greatest(F.lit(1.0), F.abs(s["p"]), F.abs(s["q"]))
+        nan = F.lit(float("nan"))
+        return F.struct(*(F.when(F.coalesce(near, F.lit(False)), s[k]).otherwise(nan).alias(k) for k in "uv"))
+
+    start = F.struct(p.alias("p"), q.alias("q"), p.alias("u"), q.alias("v"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, step, checked)
+
+
 def _c(prefix: str) -> dict[str, Column]:
     return {n: F.col(prefix + n) for n in WCS}
 
@@ -63,25 +99,45 @@ def pixel_to_sky(x: Column, y: Column, prefix: str = "", sip: bool = False) -> V
     w = _c(prefix)
     u, v = x + 1 - w["crpix1"], y + 1 - w["crpix2"]
     if sip:
-        u, v = u + _shift(F.col(f"{prefix}sip_a"), u, v), v + _shift(F.col(f"{prefix}sip_b"), u, v)
+        u, v = u + sip_shift(F.col(f"{prefix}sip_a"), u, v), v + sip_shift(F.col(f"{prefix}sip_b"), u, v)
     return plane_to_vector(w["cd1_1"] * u + w["cd1_2"] * v, w["cd2_1"] * u + w["cd2_2"] * v, w["crval1"], w["crval2"])
 
 
-def sky_to_pixel(v: Vector, prefix: str = "", sip: bool = False) -> tuple[Column, Column]:
-    """Pixel positions; a distortion is taken back by its inverse polynomials where there are any, else step by step."""
-    w = _c(prefix)
+def _offsets(v: Vector, w: dict[str, Column]) -> tuple[Column, Column]:
+    """Where a direction is seen from crpix, in pixels of the undistorted plane."""
     xi, eta = vector_to_plane(v, w["crval1"], w["crval2"])
     det = w["cd1_1"] * w["cd2_2"] - w["cd1_2"] * w["cd2_1"]
-    p, q = (w["cd2_2"] * xi - w["cd1_2"] * eta) / det, (w["cd1_1"] * eta - w["cd2_1"] * xi) / det
-    if sip:
-        a, b, ap, bp = (F.col(f"{prefix}{name}") for name in SIP)
-        at = F.struct(p.alias("u"), q.alias("v"))
-        stepped = F.aggregate(F.sequence(F.lit(1), F.lit(INVERSE_STEPS)), F.struct(at["u"].alias("u"), at["v"].alias("v")), lambda here, _: F.struct((at["u"] - _shift(a, here["u"], here["v"])).alias("u"), (at["v"] - _shift(b, here["u"], here["v"])).alias("v")))
-        inverse = (F.size(ap) > 0) | (F.size(bp) > 0)
-        p, q = F.when(inverse, at["u"] + _shift(ap, at["u"], at["v"])).otherwise(stepped["u"]), F.when(inverse, at["v"] + _shift(bp, at["u"], at["v"])).otherwise(stepped["v"])
+    return (w["cd2_2"] * xi - w["cd1_2"] * eta) / det, (w["cd1_1"] * eta - w["cd2_1"] * xi) / det
+
+
+def sky_to_pixel(v: Vector, prefix: str = "") -> tuple[Column, Column]:
+    """Pixel positions without a distortion; NaN on the far hemisphere."""
+    w = _c(prefix)
+    p, q = _offsets(v, w)
     return p + w["crpix1"] - 1, q + w["crpix2"] - 1
 
 
+def with_pixels(df: DataFrame, v: Vector, x: str = "x", y: str = "y", prefix: str = "", sip: bool = False) -> DataFrame:
+    """``df`` with the pixel positions of directions as columns x and y.
+
+    A distortion is taken back by its inverse polynomials where there are any, else by Newton's method:
+    NaN on the far hemisphere, and where the distortion has no inverse that the method reaches. What is
+    used more than once is a column, so that it is computed once.
+    """
+    w = _c(prefix)
+    if not sip:
+        return df.withColumns(dict(zip((x, y), sky_to_pixel(v, prefix), strict=True)))
+    p, q = _offsets(v, w)
+    a, b, ap, bp = (F.col(f"{prefix}{name}") for name in SIP)
+    made = df.withColumns({"__p": p, "__q": q})
+    p, q = F.col("__p"), F.col("__q")
+    straight = F.struct(p.alias("u"), q.alias("v"))
+    inverse = F.struct((p + sip_shift(ap, p, q)).alias("u"), (q + sip_shift(bp, p, q)).alias("v"))
+    found = F.when((F.size(ap) > 0) | (F.size(bp) > 0), inverse).when((F.size(a) == 0) & (F.size(b) == 0), straight).otherwise(_undistorted(a, b, p, q))
+    made = made.withColumn("__uv", found)
+    return made.withColumns({x: F.col("__uv.u") + w["crpix1"] - 1, y: F.col("__uv.v") + w["crpix2"] - 1}).drop("__p", "__q", "__uv")
+
+
 def on_exposure(x: Column, y: Column, x0: Column, y0: Column, width: Column, height: Column) -> Column:
     """Whether a pixel position lies on an image whose first pixel's middle is (x0, y0), edges included; not for NaN."""
     inside = x.between(x0 - 0.5, x0 + width - 0.5) & y.between(y0 - 0.5, y0 + height - 0.5)
@@ -119,26 +175,3 @@ def coordinate_errors(df: DataFrame, x: Column, y: Column, vxx: Column, vyy: Col
     both = (m[0] * m[2] * a + (m[0] * m[3] + m[1] * m[2]) * off + m[1] * m[3] * b) / cos
     fine = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b)
     return made.select(*df.columns, *(F.when(fine, c).cast("float").alias(n) for n, c in (("ra_var", ra), ("dec_var", dec), ("ra_dec_cov", both))))
-
-
-def sip_distortion(order: int):
-    """A function (u, v, coefficients map<string, double>) of pixel offsets from crpix that gives struct(du, dv).
-
-    Coefficients are named a_i_j and b_i_j for u**i * v**j; those missing are 0.
-    """
-    names = [(i, j) for i in range(order + 1) for j in range(order + 1 - i) if i + j]
-
-    @F.arrow_udf("struct<du: double, dv: double>")
-    def distort(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for u, v, maps in batches:
-            u, v = u.to_numpy(zero_copy_only=False), v.to_numpy(zero_copy_only=False)
-            coefficients = [dict(m or []) for m in maps.to_pylist()]
-            out = []
-            for letter in "ab":
-                total = np.zeros(len(u))
-                for i, j in names:
-                    total += np.array([c.get(f"{letter}_{i}_{j}", 0.0) for c in coefficients]) * u**i * v**j
-                out.append(pa.array(total))
-            yield pa.StructArray.from_arrays(out, ["du", "dv"])
-
-    return distort

@@ -8,6 +8,8 @@ callers: near a pole a zone is one cell, and cells wrap.
 
 Where radii differ much, one fast star say among slow ones, circles are dealt to classes of about
 equal radii, each with zones of its own height; points are then repeated for each class that occurs.
+
+Boxes of any sizes are joined over a hierarchy of grids (box_join).
 """
 
 from __future__ import annotations
@@ -122,31 +124,78 @@ def spatial_join(points: DataFrame, circles: DataFrame, point: tuple[Column, Col
     return left.join(right, keys).filter(predicate).drop(*keys)
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, spherical: bool = False) -> DataFrame:
+#: Boxes up to so many degrees share the finest grid, and cells of the next level are so many times as wide.
+FINEST, COARSER = 0.01, 4.0
+
+
+def _level(extent: Column, finest: float) -> Column:
+    """The first level whose cells are as wide as ``extent``; computed from the cell widths, so that an extent of just one cell is no level up."""
+    guess = F.greatest(F.lit(0), F.ceil(F.log(F.greatest(extent, F.lit(finest)) / finest) / math.log(COARSER))).cast("int")
+    return F.when(extent <= _cell(guess, finest), guess).otherwise(guess + 1)
+
+
+def _cell(level: Column, finest: float) -> Column:
+    return finest * F.pow(F.lit(COARSER), level)
+
+
+def _boxes(df: DataFrame, p: str, finest: float, spherical: bool) -> DataFrame:
+    """Boxes <p>_id, <p>_min0 ... <p>_max1 with the levels of their extents as <p>_level0 and <p>_level1; those that wrap as two or three pieces."""
+    b = df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "min0", "max0", "min1", "max1")))
+    ends = [F.col(f"{p}_{c}").cast("double") for c in ("min0", "max0", "min1", "max1")]
+    real = (F.col(f"{p}_min1") <= F.col(f"{p}_max1")) & (F.lit(True) if spherical else F.col(f"{p}_min0") <= F.col(f"{p}_max0"))
+    for end in ends:
+        real &= end.isNotNull() & ~F.isnan(end) & (F.abs(end) != float("inf"))
+    b = b.filter(real)
+    if spherical:
+        low, high = F.col(f"{p}_min0"), F.col(f"{p}_max0")
+        full = high - low >= 360
+        a, z = F.when(full, 0.0).otherwise(wrap_ra(low)), F.when(full, 360.0).otherwise(wrap_ra(high))
+        pieces = F.when(a > z, F.array(F.struct(a.alias("a"), F.lit(360.0).alias("z")), F.struct(F.lit(0.0).alias("a"), z.alias("z")))).otherwise(F.array(F.struct(a.alias("a"), z.alias("z"))))
+        # 0 and 360 are one meridian
+        pieces = F.when((a == 0) & ~full, F.concat(pieces, F.array(F.struct(F.lit(360.0).alias("a"), F.lit(360.0).alias("z"))))).otherwise(pieces)
+        b = b.withColumn("piece", F.explode(pieces)).withColumns({f"{p}_min0": F.col("piece.a"), f"{p}_max0": F.col("piece.z")}).drop("piece")
+    return b.withColumns({f"{p}_level{k}": _level(F.col(f"{p}_max{k}") - F.col(f"{p}_min{k}"), finest) for k in (0, 1)})
+
+
+def _levels(boxes: DataFrame, p: str) -> list[tuple[int, int]]:
+    """The pairs of levels that occur; extents are doubles, so there are few."""
+    return sorted(map(tuple, boxes.select(f"{p}_level0", f"{p}_level1").distinct().collect()))
+
+
+def _laid(boxes: DataFrame, p: str, others: list[tuple[int, int]], finest: float) -> DataFrame:
+    """Boxes on the grids that they share with boxes of each pair of levels in ``others``: a row for each cell (c0, c1), four at most for such a pair."""
+    met = boxes.withColumn("__of", F.explode(F.array(*(F.struct(*(F.lit(v).alias(f"level{k}") for k, v in enumerate(pair))) for pair in others))))
+    for k in (0, 1):
+        # the coarser of the two levels, whose cells are as wide as either box
+        met = met.withColumn(f"__w{k}", _cell(F.greatest(F.col(f"{p}_level{k}"), F.col(f"__of.level{k}")), finest))
+        met = met.withColumn(f"c{k}", F.explode(F.sequence(F.floor(F.col(f"{p}_min{k}") / F.col(f"__w{k}")), F.floor(F.col(f"{p}_max{k}") / F.col(f"__w{k}")))))
+    return met
+
+
+def box_join(left: DataFrame, right: DataFrame, finest: float = FINEST, spherical: bool = False) -> DataFrame:
     """Pairs (l_id, r_id) of boxes that overlap, borders included; boxes are (id, min0, max0, min1, max1).
 
-    Every box is laid over square cells of size ``cell``; both sides meet in the cells they share and
-    a pair is kept in the first of them only, so no pair needs to be made distinct. spherical:
-    coordinate 0 is a longitude in degrees and wraps; a box with min0 > max0 spans 0.
-    """
+    A hierarchy of grids: along each axis a box has the level of its extent, with cells at least as wide,
+    and two boxes meet on the grid of the coarser level of either axis, where each touches four cells at
+    most. So a box is repeated a few times for each pair of levels that the other side has, whether it
+    spans a hundredth of a degree or half the sky, and is compared only with boxes whose cells it shares.
+    A pair is kept in the first cell that both touch, so none needs to be made distinct.
 
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        b = df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "min0", "max0", "min1", "max1")))
-        if spherical:
-            low, high = F.col(f"{p}_min0"), F.col(f"{p}_max0")
-            full = high - low >= 360
-            a, z = F.when(full, 0.0).otherwise(wrap_ra(low)), F.when(full, 360.0).otherwise(wrap_ra(high))
-            pieces = F.when(a > z, F.array(F.struct(a.alias("a"), F.lit(360.0).alias("z")), F.struct(F.lit(0.0).alias("a"), z.alias("z")))).otherwise(F.array(F.struct(a.alias("a"), z.alias("z"))))
-            # 0 and 360 are one meridian
-            pieces = F.when((a == 0) & ~full, F.concat(pieces, F.array(F.struct(F.lit(360.0).alias("a"), F.lit(360.0).alias("z"))))).otherwise(pieces)
-            b = b.withColumn("piece", F.explode(pieces)).withColumns({f"{p}_min0": F.col("piece.a"), f"{p}_max0": F.col("piece.z")}).drop("piece")
-        span = [F.sequence(F.floor(F.col(f"{p}_min{k}") / cell), F.floor(F.col(f"{p}_max{k}") / cell)) for k in (0, 1)]
-        return b.withColumn("c0", F.explode(span[0])).withColumn("c1", F.explode(span[1]))
-
-    met = cells(left, "l").join(cells(right, "r"), ["c0", "c1"])
+    spherical: coordinate 0 is a longitude in degrees and wraps; a box with min0 > max0 spans 0. Boxes
+    with a null, NaN or infinite end, and others whose least end is the larger, overlap nothing.
+    """
+    if not (finest > 0 and math.isfinite(finest)):
+        raise ValueError("cells have a width")
+    a, b = _boxes(left, "l", finest, spherical), _boxes(right, "r", finest, spherical)
+    of_a, of_b = _levels(a, "l"), _levels(b, "r")
+    if not of_a or not of_b:
+        return left.select(F.col("id").alias("l_id")).limit(0).crossJoin(right.select(F.col("id").alias("r_id")).limit(0))
+    mine = _laid(a, "l", of_b, finest).withColumns({f"r_level{k}": F.col(f"__of.level{k}") for k in (0, 1)}).drop("__of")
+    theirs = _laid(b, "r", of_a, finest).withColumns({f"l_level{k}": F.col(f"__of.level{k}") for k in (0, 1)}).drop("__of", "__w0", "__w1")
+    met = mine.join(theirs, ["l_level0", "l_level1", "r_level0", "r_level1", "c0", "c1"])
     for k in (0, 1):
         met = met.filter((F.col(f"l_min{k}") <= F.col(f"r_max{k}")) & (F.col(f"l_max{k}") >= F.col(f"r_min{k}")))
-        met = met.filter(F.col(f"c{k}") == F.greatest(F.floor(F.col(f"l_min{k}") / cell), F.floor(F.col(f"r_min{k}") / cell)))
+        met = met.filter(F.col(f"c{k}") == F.floor(F.greatest(f"l_min{k}", f"r_min{k}") / F.col(f"__w{k}")))
     pairs = met.select("l_id", "r_id")
     # pieces of wrapped boxes may overlap twice
     return pairs.distinct() if spherical else pairs

@@ -16,7 +16,7 @@ from zonewise.functions import motion, sphere, tiles, wcs
 from zonewise.functions.earth import earth_position
 from zonewise.functions.photometry import calibrate_flux, calibrated_variance
 from zonewise.functions.raster import coverage_map, with_all_filters
-from zonewise.operators import attributes, cluster, match, qa, reference, spatial
+from zonewise.operators import attributes, cluster, match, qa, reachability as reaching, reference, spatial
 from zonewise.operators.classify import classify
 from zonewise.operators.components import connected_components
 from zonewise.plans.tables import FILTERS, cte, folder, read, sql_angle, sql_chord2, sql_near, sql_pixel_xyz, sql_plane, sql_xyz, var_prob, view
@@ -25,7 +25,9 @@ from zonewise.sources import results
 from zonewise.sources.dialect import CsvDialect, as_bool, as_number, read_csv, write_csv
 from zonewise.sources.exposures import exposures_from_rows, iso_of_mjd, mjd_of_iso, with_exposure
 from zonewise.sources.flatten import ARCSEC2_PER_RAD2, flatten, pack_flags
+from zonewise.sources.order import first_disorder
 from zonewise.sources.store import VersionedTable
+from zonewise.streaming import source_stream as sources_in
 from zonewise.streaming.visits import VisitLog, stream_visits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,17 +274,46 @@ def coverage_filter_moving(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("ref_id", *(f"{f}_coverage" for f in FILTERS))
 
 
+_BENT = "5e-6 * (exposure_id % 7 - 3)", "4e-6 * (exposure_id % 5 - 2)"
+
+
+def _bent(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("exposure_id")
+    return view(spark, sf, "exposure").withColumn("sip", F.create_map(F.lit("a_2_0"), F.lit(5e-6) * (k % 7 - 3), F.lit("b_0_2"), F.lit(4e-6) * (k % 5 - 2)))
+
+
+# a quadratic in one coordinate has its inverse in closed form
+@query(f"{cte('dense', 'exposure')}, {_PIXEL}, bent AS (SELECT *, px + 1 - crpix1 AS p, py + 1 - crpix2 AS q FROM hit), straight AS (SELECT id, filter_id, 2 * p / (1 + sqrt(1 + 4 * {_BENT[0]} * p)) + crpix1 - 1 AS px, 2 * q / (1 + sqrt(1 + 4 * {_BENT[1]} * q)) + crpix2 - 1 AS py FROM bent WHERE abs(p) < 3000 AND abs(q) < 3000) SELECT id AS ref_id, " + ", ".join(f"count(*) FILTER (filter_id = {k}) AS {f}_coverage" for k, f in enumerate(FILTERS)) + f" FROM straight WHERE {_ON} GROUP BY id")
+def coverage_filter_sip(spark: SparkSession, sf: str) -> DataFrame:
+    """References on exposures whose pixel plane is distorted, taken back by Newton's method."""
+    control = reference.CatalogControl(decl_column="dec", output_fields=())
+    made = reference.reference_filter(view(spark, sf, "dense"), _bent(spark, sf), FILTERS, control)
+    return made.select("ref_id", *(f"{f}_coverage" for f in FILTERS))
+
+
 # -- boxes, neighbours, clusters
 
 
 @query(f"{cte('box', 'box2')} SELECT a.id AS l_id, b.id AS r_id FROM box a JOIN box2 b ON a.min0 <= b.max0 AND a.max0 >= b.min0 AND a.min1 <= b.max1 AND a.max1 >= b.min1")
 def box_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.box_join(view(spark, sf, "box"), view(spark, sf, "box2"), 2.0)
+    return spatial.box_join(view(spark, sf, "box"), view(spark, sf, "box2"))
 
 
 @query(f"{cte('box', 'box2')} SELECT DISTINCT a.id AS l_id, b.id AS r_id FROM box a JOIN box2 b ON a.min1 <= b.max1 AND a.max1 >= b.min1 JOIN (VALUES (-360), (0), (360)) t(turn) ON a.min0 <= b.max0 + turn AND a.max0 >= b.min0 + turn")
 def spherical_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.box_join(view(spark, sf, "box"), view(spark, sf, "box2"), 2.0, spherical=True)
+    return spatial.box_join(view(spark, sf, "box"), view(spark, sf, "box2"), spherical=True)
+
+
+@query(f"{cte('wide_box', 'wide_box2')} SELECT a.id AS l_id, b.id AS r_id FROM wide_box a JOIN wide_box2 b ON a.min0 <= b.max0 AND a.max0 >= b.min0 AND a.min1 <= b.max1 AND a.max1 >= b.min1")
+def box_overlap_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Boxes from a hundredth of a degree to half the sky, slender ones among them."""
+    return spatial.box_join(view(spark, sf, "wide_box"), view(spark, sf, "wide_box2"))
+
+
+@query(f"{cte('wide_box', 'wide_box2')} SELECT DISTINCT a.id AS l_id, b.id AS r_id FROM wide_box a JOIN wide_box2 b ON a.min1 <= b.max1 AND a.max1 >= b.min1 JOIN (VALUES (-360), (0), (360)) t(turn) ON a.min0 <= b.max0 + turn AND a.max0 >= b.min0 + turn")
+def spherical_overlap_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same boxes on the sphere, where those that pass 360 degrees go on at 0."""
+    return spatial.box_join(view(spark, sf, "wide_box"), view(spark, sf, "wide_box2"), spherical=True)
 
 
 _NEAR = f"near AS (SELECT a.id AS id, b.id AS other, {sql_chord2('a', 'b')} AS d2 FROM clump a JOIN clump b ON a.id <> b.id AND abs(a.dec - b.dec) < {EPSILON * 1.001} AND {sql_chord2('a', 'b')} <= 4 * power(sin(radians({EPSILON}) / 2), 2))"
@@ -324,6 +355,31 @@ def clusters_without_noise(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.drop_noise(sizes, CLUSTERING).select("root", "n")
 
 
+_TREE = f"""WITH RECURSIVE {cte('clump')[5:]}, {_NEAR}, core AS (SELECT id, d2 AS c2 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS r FROM near) WHERE r = 2),
+    edge AS (SELECT n.id AS u, n.other AS v, greatest(n.d2, a.c2, b.c2) AS w, row_number() OVER (ORDER BY greatest(n.d2, a.c2, b.c2), n.id, n.other) AS r FROM near n JOIN core a ON a.id = n.id JOIN core b ON b.id = n.other WHERE n.id < n.other),
+    both_ AS (SELECT u, v, r FROM edge UNION ALL SELECT v, u, r FROM edge),
+    sooner(e, node) AS (SELECT r, u FROM edge UNION SELECT s.e, b.v FROM sooner s JOIN both_ b ON b.u = s.node AND b.r < s.e),
+    tree AS (SELECT u, v, w FROM edge k WHERE NOT EXISTS (SELECT 1 FROM sooner s WHERE s.e = k.r AND s.node = k.v)),
+    border AS (SELECT n.id, n.other, greatest(n.d2, c.c2) AS w FROM near n JOIN core c ON c.id = n.other WHERE n.id NOT IN (SELECT id FROM core) QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY greatest(n.d2, c.c2), n.other) = 1)"""
+
+
+@query(f"{_TREE} SELECT u AS id, v AS other, {sql_round(8, sql_angle('w') + ' AS reach')}, 'core' AS kind FROM tree UNION ALL SELECT id, other, {sql_round(8, sql_angle('w') + ' AS reach')}, 'border' FROM border")
+def reachability(spark: SparkSession, sf: str) -> DataFrame:
+    """The tree of least reach among core points, and each border point's soonest core."""
+    made = reaching.reachability(view(spark, sf, "clump"), CLUSTERING)
+    both = made.tree.withColumnsRenamed({"u": "id", "v": "other"}).withColumn("kind", F.lit("core")).unionByName(made.borders.withColumn("kind", F.lit("border")))
+    return rounded(both.select("id", "other", sphere.angle_of_chord2(F.col("reach2")).alias("reach"), "kind"), 8, "reach")
+
+
+SMALLER = 0.0021
+
+
+@query(f"{_CLUSTERS.replace(str(EPSILON * 1.001), str(SMALLER * 1.001)).replace(f'radians({EPSILON})', f'radians({SMALLER})')} SELECT id, root, kind FROM member")
+def reachability_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of a smaller radius, cut from the tree of a larger one."""
+    return reaching.reachability(view(spark, sf, "clump"), CLUSTERING).clusters_at(SMALLER * 3600)
+
+
 @query("WITH RECURSIVE e AS (SELECT c_custkey AS u, c_custkey + 3 AS v FROM customer WHERE c_custkey % 12 < 9), n AS (SELECT u AS node FROM e UNION SELECT v FROM e), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e), r(node, root) AS (SELECT node, node FROM n UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.node WHERE r.root < b.v) SELECT node, min(root) AS root FROM r GROUP BY node")
 def components(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "customer").filter("c_custkey % 12 < 9").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 3).alias("v"))
@@ -460,6 +516,21 @@ def tan_wcs_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(met.select("id", x.alias("x"), y.alias("y")), 6, "x", "y")
 
 
+_TERMS = {"a_2_0": "1e-6 * (exposure_id % 7)", "a_1_1": "-2e-6 * (exposure_id % 3)", "b_0_2": "2e-6 * (exposure_id % 5)", "b_3_0": "1e-9 * (exposure_id % 2)"}
+_SIP_XY = f"(x + {_TERMS['a_2_0']} * u * u + {_TERMS['a_1_1']} * u * v)", f"(y + {_TERMS['b_0_2']} * v * v + {_TERMS['b_3_0']} * u * u * u)"
+
+
+@query(f"{cte('source', 'exposure')}, j AS (SELECT s.id AS sid, x, y, x + 1 - crpix1 AS u, y + 1 - crpix2 AS v, e.* FROM source s JOIN exposure e USING (exposure_id)), p AS (SELECT sid, x, y, {', '.join(sql_pixel_xyz(*_SIP_XY, 'p'))} FROM j) SELECT sid AS id, {sql_round(6, 'x AS x', 'y AS y')}, {sql_round(7, '(degrees(atan2(py, px)) + 360) % 360 AS ra', 'degrees(atan2(pz, sqrt(px*px + py*py))) AS dec')} FROM p")
+def sip_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources through the distortion and the projection of their exposures to the sky, and back."""
+    terms = F.create_map(*(c for name, sql in _TERMS.items() for c in (F.lit(name), F.expr(sql))))
+    exposures = wcs.with_sip_terms(view(spark, sf, "exposure").withColumn("sip", terms)).select("exposure_id", *wcs.WCS, *wcs.SIP)
+    met = view(spark, sf, "source").select("id", "exposure_id", "x", "y").join(exposures, "exposure_id")
+    met, v = sphere.staged(met, v=wcs.pixel_to_sky(F.col("x"), F.col("y"), sip=True))
+    made = wcs.with_pixels(met.select("id", *wcs.WCS, *wcs.SIP, "v_0", "v_1", "v_2"), v, sip=True)
+    return rounded(rounded(made.select("id", "x", "y", sphere.longitude(v).alias("ra"), sphere.latitude(v).alias("dec")), 6, "x", "y"), 7, "ra", "dec")
+
+
 # -- classes, tiles, zones
 
 _TILE = f"""t AS (SELECT *, CAST(floor(0.5 + ra / 90) AS INT) AS f, tan(radians(dec)) / cos(radians(ra) - pi() / 2 * floor(0.5 + ra / 90)) AS h FROM {{0}}),
@@ -603,6 +674,42 @@ def coverage_maps(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(with_all_filters(coverage_map(_rectangles(spark, sf), 30, 24)), 6, "coverage")
 
 
+#: Chevrons: left and right halves of one slope up and down, wide and narrow, that pass the image's edges.
+_CHEVRON = "CASE WHEN k % 10 = 0 THEN 1800 ELSE 20 + k % 30 END AS half, (k * 137 % 4200) - 149.75e0 AS x0, (k * 251 % 4100) - 59.5e0 AS y0, 5e-2 * (k % 7 - 3) AS m, 1.5e0 + k % 5 AS t"
+
+
+def _chevrons(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.element_at(F.array(*(F.lit(f) for f in FILTERS)), (F.col("k") % 6 + 1).cast("int"))
+    c = read(spark, sf, "supplier").selectExpr("s_suppkey AS k").selectExpr("k", *_CHEVRON.split(", "))
+    x, y, bend = [F.col("x0"), F.col("x0") + F.col("half"), F.col("x0") + 2 * F.col("half")], F.col("y0"), F.col("y0") + F.col("m") * F.col("half")
+    xs, ys = F.array(*x, *x[::-1]), F.array(y, bend, y, y + F.col("t"), bend + F.col("t"), y + F.col("t"))
+    turned = F.col("k") % 2 == 0
+    return c.select(name.alias("filter"), F.when(turned, F.reverse(xs)).otherwise(xs).alias("xs"), F.when(turned, F.reverse(ys)).otherwise(ys).alias("ys"))
+
+
+def _under(line: str) -> str:
+    """The area of a pixel under a straight line, from its heights f0 and f1 over the pixel's floor at the ends of a step of width w."""
+    f0, f1 = f"({line.format('f0')})", f"({line.format('f1')})"
+    part = "CASE WHEN {0} < 0 THEN 0 WHEN {0} <= 1 THEN {0} * {0} / 2 ELSE {0} - 0.5e0 END"
+    return f"CASE WHEN m = 0 THEN w * greatest(0, least(1, {f0})) ELSE (({part.format(f1)}) - ({part.format(f0)})) / ({f1} - {f0}) * w END"
+
+
+@query(f"""WITH c AS (SELECT k, {_CHEVRON} FROM (SELECT s_suppkey AS k FROM supplier)),
+    h AS (SELECT k, m, t, x0 + 0.5 AS a, x0 + 0.5 + half AS b, y0 + 0.5 AS ya FROM c UNION ALL SELECT k, -m, t, x0 + 0.5 + half, x0 + 0.5 + 2 * half, y0 + 0.5 + m * half FROM c),
+    p AS (SELECT *, unnest(range(CAST(greatest(0, floor(a)) AS BIGINT), CAST(least(3999, floor(b)) AS BIGINT) + 1)) AS px FROM h WHERE a < 4000 AND b > 0),
+    q AS (SELECT k, m, t, px, ya + m * (greatest(a, px) - a) AS g0, ya + m * (least(b, px + 1) - a) AS g1, least(b, px + 1) - greatest(a, px) AS w FROM p),
+    r AS (SELECT *, unnest(range(CAST(greatest(0, floor(least(g0, g1))) AS BIGINT), CAST(least(3999, floor(greatest(g0, g1) + t)) AS BIGINT) + 1)) AS py FROM q WHERE w > 0),
+    s AS (SELECT k, px, py, ({_under('{0} + t')}) - ({_under('{0}')}) AS area FROM (SELECT *, g0 - py AS f0, g1 - py AS f1 FROM r)),
+    o AS (SELECT ['u','g','r','i','z','y'][k % 6 + 1] AS filter, px, py, sum(area) AS area FROM s GROUP BY ALL HAVING sum(area) > 1e-6)
+    SELECT filter, CAST(px // 100 AS INT) AS bx, CAST(py // 100 AS INT) AS by_, count(*) AS n_pixels, round(sum(area), 5) AS area, round(sum(area * (px % 100)), 3) AS moment FROM o GROUP BY ALL""")
+def coverage_large(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact areas of non-convex outlines of up to 3,600 pixels in an image of 4,000, those at its edges clipped; by blocks of 100 pixels."""
+    pixels = coverage_map(_chevrons(spark, sf), 4000, 4000).filter("coverage > 1e-6")
+    blocks = pixels.groupBy("filter", F.floor(F.col("px") / 100).cast("int").alias("bx"), F.floor(F.col("py") / 100).cast("int").alias("by_"))
+    made = blocks.agg(F.count(F.lit(1)).alias("n_pixels"), F.sum("coverage").alias("area"), F.sum(F.col("coverage") * (F.col("px") % 100)).alias("moment"))
+    return rounded(rounded(made, 5, "area"), 3, "moment")
+
+
 @query(f"{cte('object')}, v AS (SELECT {sql_xyz('ra', 'dec', 'u')}, (id % 5) * 1e-1 AS rad FROM object WHERE dec > 60), c AS (SELECT sum(ux) AS x, sum(uy) AS y, sum(uz) AS z FROM v) SELECT {sql_round(7, '(degrees(atan2(y, x)) + 360) % 360 AS ra', 'degrees(atan2(z, sqrt(x*x + y*y))) AS dec', '(SELECT max(degrees(atan2(sqrt(power(uy*z - uz*y, 2) + power(uz*x - ux*z, 2) + power(ux*y - uy*x, 2)), ux*x + uy*y + uz*z))) + 2 * max(rad) FROM v, c) AS radius')} FROM c")
 def bounding_circle(spark: SparkSession, sf: str) -> DataFrame:
     circles = view(spark, sf, "object").filter("dec > 60").select("ra", "dec", (F.col("id") % 5 * 0.1).alias("radius"))
@@ -665,11 +772,68 @@ def source_errors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made.select("id", *((F.col(c).cast("double") * 1e13).alias(c) for c in ("ra_var", "dec_var"))), 2, "ra_var", "dec_var")
 
 
-@query()
+def _sql_cross(a: str, b: str) -> str:
+    return f"{a}.y * {b}.z - {a}.z * {b}.y AS x, {a}.z * {b}.x - {a}.x * {b}.z AS y, {a}.x * {b}.y - {a}.y * {b}.x AS z"
+
+
+def sql_overlap(resolution: int, scale: float) -> str:
+    """Tiles of every exposure by testing all tiles: no plane through a side of either, or through a corner of each, parts the two."""
+    matrix = ", ".join(f"cd{i}_{j} * {scale!r} AS cd{i}_{j}" for i in (1, 2) for j in (1, 2))
+    apart = " OR ".join(f"({low} >= -1e-12 * size AND {high} <= 1e-12 * size)" for low, high in (("e_low", "t_high"), ("t_low", "e_high")))
+    dots = "d.x * n.x + d.y * n.y + d.z * n.z"
+    return f"""{cte('exposure')}, scaled AS (SELECT * REPLACE ({matrix}) FROM exposure),
+    ecorner AS (SELECT exposure_id, n, px AS x, py AS y, pz AS z FROM (SELECT exposure_id, n, {', '.join(sql_pixel_xyz('x', 'y', 'p'))} FROM scaled, (VALUES (0, -0.5, -0.5), (1, 999.5, -0.5), (2, 999.5, 799.5), (3, -0.5, 799.5)) c(n, x, y))),
+    face(root, ax, ay, az, bx, by_, bz, cx, cy, cz) AS (VALUES (0, 0, -1, 0, 1, 0, 0, 0, 0, 1), (1, 0, 1, 0, 0, 0, 1, 1, 0, 0), (2, -1, 0, 0, 0, 0, 1, 0, 1, 0), (3, 0, -1, 0, 0, 0, 1, -1, 0, 0), (4, 1, 0, 0, 0, 0, 1, 0, -1, 0), (5, 0, -1, 0, -1, 0, 0, 0, 0, -1)),
+    tcorner AS (SELECT (root * {resolution} + j) * {resolution} + i AS tile, n, cx + ax * u + bx * v AS x, cy + ay * u + by_ * v AS y, cz + az * u + bz * v AS z FROM (SELECT *, 2e0 * (i + p) / {resolution} - 1 AS u, 2e0 * (j + q) / {resolution} - 1 AS v FROM face, range({resolution}) r(i), range({resolution}) s(j), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) c(n, p, q))),
+    normal AS (SELECT a.exposure_id, t.tile, a.n AS plane, {_sql_cross('a', 'b')} FROM ecorner a JOIN ecorner b ON b.exposure_id = a.exposure_id AND b.n = (a.n + 1) % 4, (SELECT DISTINCT tile FROM tcorner) t
+        UNION ALL SELECT e.exposure_id, a.tile, 4 + a.n, {_sql_cross('a', 'b')} FROM tcorner a JOIN tcorner b ON b.tile = a.tile AND b.n = (a.n + 1) % 4, exposure e
+        UNION ALL SELECT a.exposure_id, b.tile, 8 + 4 * a.n + b.n, {_sql_cross('a', 'b')} FROM ecorner a, tcorner b),
+    of_e AS (SELECT n.exposure_id, n.tile, n.plane, any_value(sqrt(n.x * n.x + n.y * n.y + n.z * n.z)) AS size, min({dots}) AS e_low, max({dots}) AS e_high FROM normal n JOIN ecorner d ON d.exposure_id = n.exposure_id GROUP BY ALL),
+    of_t AS (SELECT n.exposure_id, n.tile, n.plane, min({dots}) AS t_low, max({dots}) AS t_high FROM normal n JOIN tcorner d ON d.tile = n.tile GROUP BY ALL)
+    SELECT exposure_id, tile FROM of_e JOIN of_t USING (exposure_id, tile, plane) GROUP BY ALL HAVING NOT bool_or(size > 1e-12 AND ({apart}))"""
+
+
+@query(sql_overlap(TILES, 1.0))
 def footprint_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return qa.footprint_tiles(view(spark, sf, "exposure"), TILES)
 
 
+@query(sql_overlap(15, 300.0))
+def footprint_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of exposures as wide as 55 degrees, most of them taken in whole blocks."""
+    wide = view(spark, sf, "exposure").withColumns({c: F.col(c) * 300.0 for c in ("cd1_1", "cd1_2", "cd2_1", "cd2_2")})
+    return qa.footprint_tiles(wide, 15)
+
+
+_AMP = "SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS exposure_id, l_linenumber AS amp, CAST(l_quantity AS INT) % 2 AS snap FROM lineitem"
+_RAW = {"crval1": "crval1 + (id % 7 - 3) * 1e-4", "crval2": "crval2 + (id % 5 - 2) * 1e-4"}
+_SQL_N = "sqrt(nx * nx + ny * ny + nz * nz)"
+
+
+def _sql_apart(a: str, b: str) -> str:
+    """The angle between directions a and b, prefixes of x, y and z."""
+    (ax, ay, az), (bx, by, bz) = ([p + c for c in "xyz"] for p in (a, b))
+    return f"degrees(atan2(sqrt(power({ay}*{bz} - {az}*{by}, 2) + power({az}*{bx} - {ax}*{bz}, 2) + power({ax}*{by} - {ay}*{bx}, 2)), {ax}*{bx} + {ay}*{by} + {az}*{bz}))"
+
+
+@query(f"""{cte('exposure')}, amps AS (SELECT row_number() OVER () AS row, * FROM ({_AMP}) WHERE snap = 0), c(n, i, j) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)),
+    sci AS (SELECT row, exposure_id, amp, n, {', '.join(sql_pixel_xyz('((amp - 1) * 140 - 0.5e0 + i * 140)', '(j * 800 - 0.5e0)', 'p'))} FROM amps JOIN exposure USING (exposure_id), c),
+    raw AS (SELECT row, n, {', '.join(sql_pixel_xyz('((amp - 1) * 140 + id % 3 - 0.5e0 + i * 140)', '(j * 800 - 0.5e0)', 'r'))} FROM (SELECT * REPLACE ({', '.join(f'{v} AS {k}' for k, v in _RAW.items())}) FROM amps JOIN exposure USING (exposure_id)), c),
+    side AS (SELECT a.row, a.rx AS ax, a.ry AS ay, a.rz AS az, b.rx AS kx, b.ry AS ky, b.rz AS kz, a.ry*b.rz - a.rz*b.ry AS nx, a.rz*b.rx - a.rx*b.rz AS ny, a.rx*b.ry - a.ry*b.rx AS nz FROM raw a JOIN raw b ON b.row = a.row AND b.n = (a.n + 1) % 4),
+    edge AS (SELECT s.row, s.exposure_id, s.amp, s.n, px, py, pz, min(CASE WHEN (ny*az - nz*ay)*px + (nz*ax - nx*az)*py + (nx*ay - ny*ax)*pz >= 0 AND (ny*kz - nz*ky)*px + (nz*kx - nx*kz)*py + (nx*ky - ny*kx)*pz <= 0
+        THEN degrees(asin(least(1, abs(px*nx + py*ny + pz*nz) / {_SQL_N} / sqrt(px*px + py*py + pz*pz)))) ELSE least({_sql_apart('p', 'a')}, {_sql_apart('p', 'k')}) END) AS e FROM sci s JOIN side USING (row) GROUP BY ALL)
+    SELECT exposure_id, amp, count(*) AS n, {sql_round(9, *(f'{f}({c}) AS {n}_{m}' for m, c in (('corner_distance', _sql_apart('p', 'r')), ('edge_distance', 'e')) for n, f in (('min', 'min'), ('max', 'max'), ('mean', 'avg'))))} FROM edge JOIN raw USING (row, n) GROUP BY exposure_id, amp""")
+def amp_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the corners of amplifiers lie from the raw amplifiers' corners and edges, over all amplifiers of the first snaps."""
+    raw = spark.sql(_AMP.replace("FROM lineitem", "FROM {source}"), source=read(spark, sf, "lineitem")).filter("snap = 0")
+    met = raw.join(view(spark, sf, "exposure").select("exposure_id", *wcs.WCS), "exposure_id")
+    met = met.withColumns({f"r_{c}": F.expr(_RAW.get(c, c)) for c in wcs.WCS}).withColumns({"x0": (F.col("amp") - 1) * 140.0, "y0": F.lit(0.0), "width": F.lit(140.0), "height": F.lit(800.0)})
+    met = met.withColumns({"r_x0": F.col("x0") + F.col("id") % 3, "r_y0": F.col("y0"), "r_width": F.col("width"), "r_height": F.col("height")})
+    outlined = qa.amp_corners(qa.amp_corners(met, "", "science"), "r_", "raw").select("exposure_id", "amp", "science", "raw")
+    made = qa.edge_statistics(qa.amp_separations(outlined), ("exposure_id", "amp"))
+    return rounded(made, 9, *(c for c in made.columns if c.endswith("_distance")))
+
+
 @query()
 def shape_mean_sky(spark: SparkSession, sf: str) -> DataFrame:
     return _shapes(spark, sf)
@@ -784,6 +948,45 @@ def visit_outputs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(made[0].unionByName(made[1]), 8, "distance")
 
 
+@query(f"{cte('dense', 'dense_src')}, {DENSE_PAIRS} SELECT second AS object_id, count(*) AS n_sources, min(first % 3) AS first_night, max(first % 3) AS last_night, 100 + max(first % 3) AS last_visit FROM pairs GROUP BY second")
+def source_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources of three nights' visits that arrive as files, with repeats and a stop in between: what is known of each object they match."""
+    root = folder(spark, "stream")
+    night = F.col("id") % 3
+    sources = view(spark, sf, "dense_src").select("id", "ra", "dec", (100 + night).alias("visit_id"), F.timestamp_seconds(1_700_000_000 + night * 86_400).alias("time"))
+    objects = view(spark, sf, "dense")
+
+    def arrive(some: DataFrame) -> None:
+        some.write.mode("append").parquet(f"{root}/in")
+
+    def work() -> None:
+        stream = spark.readStream.schema(sources.schema).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")
+        counts = sources_in.object_counts(sources_in.matched(sources_in.new_sources(stream, "30 days"), objects, DENSE_RADIUS))
+        sources_in.run_available(counts, f"{root}/counts", f"{root}/checkpoint")
+
+    arrive(sources.filter("id % 3 = 0 AND id % 2 = 0"))
+    arrive(sources.filter("id % 3 = 0"))  # the first night again, and its rest
+    work()
+    arrive(sources.filter("id % 3 = 1"))
+    arrive(sources.filter("id % 3 = 2"))
+    arrive(sources.filter("id % 5 = 0"))  # some of all nights once more
+    work()
+    seconds = {c: ((F.unix_timestamp(f"{c}_time") - 1_700_000_000) / 86_400).cast("bigint") for c in ("first", "last")}
+    return sources_in.read_counts(spark, f"{root}/counts").select("object_id", "n_sources", *(c.alias(f"{n}_night") for n, c in seconds.items()), "last_visit")
+
+
+_STEPS = "CASE WHEN k % 1013 = 700 THEN k // 3 - 5 ELSE k // 3 END"
+
+
+@query(f"SELECT id, key * 1e0 AS key, previous * 1e0 AS previous FROM (SELECT k AS id, {_STEPS} AS key, lag({_STEPS}) OVER (ORDER BY k) AS previous FROM (SELECT o_orderkey AS k FROM orders)) WHERE key < previous ORDER BY id LIMIT 1")
+def first_unsorted(spark: SparkSession, sf: str) -> DataFrame:
+    """The first row of a table's files that is out of order; what is read is not sorted for it."""
+    path = folder(spark, "sorted")
+    k = read(spark, sf, "orders").select(F.col("o_orderkey").alias("k"))
+    k.select("k", F.expr(_STEPS.replace("//", "DIV")).alias("key")).repartitionByRange(6, "k").sortWithinPartitions("k").write.parquet(path)
+    return first_disorder(spark.read.parquet(path), "key", "k").select("id", "key", "previous")
+
+
 @query()
 def source_association(spark: SparkSession, sf: str) -> DataFrame:
     """All tiles: classified, clustered, measured."""

@@ -26,6 +26,9 @@ _DIA = _wide(f"({_OBJECT[0]} + ((o_orderkey % 11) - 5) / 1e3)", f"{_OBJECT[1]} +
 _DENSE = ("1e1 + ((k * 7919) % 2000) / 1e3 + (k % 97) * 1.37e-5", "((k * 104729) % 2000) / 1e3 - 1e0 + (k % 89) * 0.93e-5")
 _DENSE2 = ("1e1 + ((k * 15485863) % 2000) / 1e3 + (k % 83) * 1.71e-5", "((k * 32452843) % 2000) / 1e3 - 1e0 + (k % 79) * 1.13e-5")
 
+#: From a hundredth of a degree to half a turn, the wider the rarer.
+_EXTENT = "CASE WHEN {0} < 2 THEN 1.8e2 WHEN {0} < 5 THEN 4.7e1 WHEN {0} < 12 THEN 1.1e1 WHEN {0} < 40 THEN 2.3e0 WHEN {0} < 150 THEN 3e-1 WHEN {0} < 400 THEN 4e-2 ELSE 1e-2 END"
+
 # each: source table, its key as k, and the columns; the text is both Spark's and DuckDB's
 VIEWS: dict[str, tuple[str, str]] = {
     "object": ("SELECT c_custkey AS k FROM customer", f"k AS id, {_OBJECT[0]} AS ra, {_OBJECT[1]} AS dec"),
@@ -52,6 +55,9 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "box": ("SELECT o_orderkey AS k FROM orders", "k AS id, (k * 7919 % 36000) / 1e2 AS min0, (k * 7919 % 36000) / 1e2 + (k % 5) * 1e-1 AS max0, (k * 104729 % 17000) / 1e2 - 8.5e1 AS min1, (k * 104729 % 17000) / 1e2 - 8.5e1 + (k % 3) * 1e-1 AS max1"),
     "box2": ("SELECT c_custkey AS k FROM customer", "k AS id, (k * 15485863 % 36000) / 1e2 + 5e-3 AS min0, (k * 15485863 % 36000) / 1e2 + 5e-3 + (k % 7) * 2e-1 AS max0, (k * 32452843 % 17000) / 1e2 - 8.5e1 + 5e-3 AS min1, (k * 32452843 % 17000) / 1e2 - 8.5e1 + 5e-3 + (k % 4) * 2e-1 AS max1"),
+    # most are small, one in a few hundred spans up to half the sky along an axis
+    "wide_box": ("SELECT o_orderkey AS k FROM orders", f"k AS id, (k * 7919 % 36000) / 1e2 AS min0, (k * 7919 % 36000) / 1e2 + {_EXTENT.format('k % 997')} AS max0, (k * 104729 % 17000) / 1e2 - 8.5e1 AS min1, (k * 104729 % 17000) / 1e2 - 8.5e1 + {_EXTENT.format('k % 991')} AS max1"),
+    "wide_box2": ("SELECT c_custkey AS k FROM customer", f"k AS id, (k * 15485863 % 36000) / 1e2 + 5e-3 AS min0, (k * 15485863 % 36000) / 1e2 + 5e-3 + {_EXTENT.format('k % 499')} AS max0, (k * 32452843 % 17000) / 1e2 - 8.5e1 + 5e-3 AS min1, (k * 32452843 % 17000) / 1e2 - 8.5e1 + 5e-3 + {_EXTENT.format('k % 503')} AS max1"),
     "star": (
         "SELECT p_partkey AS k FROM part",
         f"k AS id, 5e4 + k % 1000 AS epoch, {_DENSE[0]} AS ra, {_DENSE[1]} AS decl, CASE WHEN k % 10 = 0 THEN CAST(NULL AS DOUBLE) ELSE ((k % 41) - 20) * 5e1 END AS \"muRa\", ((k % 31) - 15) * 5e1 AS \"muDecl\", (k % 9) * 1e0 AS parallax, ((k % 21) - 10) * 5e0 AS \"vRad\"",
