@@ -43,11 +43,11 @@ SALTS, RANK_PARTS = 16, 64
 _LOWER = bytes(range(256)).lower()
 _PIECES = bytes(10 if c in b".,;:!?\n\v\f\r" else c for c in _LOWER)
 #: Pairs that are counted together in a bucket, about.
-BUCKET_PAIRS = 1 << 19
+BUCKET_PAIRS = 1 << 20
 SHARD = "lang string, names array<binary>, n array<int>, at binary"
-#: Lists of a shard's longer phrases, pairs of a phrase and a word, and of its words; all but the shard and the size are packed.
-LISTS = "shard bigint, size bigint, heads binary, tails binary, n binary, at binary, words binary, w_n binary, w_at binary"
-DEALT = "bucket bigint, shard bigint, heads binary, tails binary, n binary, j binary"
+#: What a pass makes of a shard: a row (bucket is null) with the lists of its frequent phrases and of its frequent words, and
+#: rows with the pairs of a phrase and a word that follow each other, by bucket; all but the numbers are packed.
+PASSED = "shard bigint, bucket bigint, ids binary, n binary, at binary, words binary, w_n binary, w_at binary, heads binary, tails binary, j binary"
 #: Of a bucket: a row with its frequent pairs, their numbers and counts, and rows with those that each shard (of) has.
 COUNTED = "of bigint, j binary, ids binary, found array<struct<head: bigint, tail: bigint, id: bigint, a: bigint>>"
 
@@ -130,12 +130,6 @@ def _to_shards(shard_tokens: int, held_tokens: int) -> Callable[[Iterator[pa.Rec
     return to_shards
 
 
-def _by_position(at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of lists of lengths ``n``, ascending, and the list of each."""
-    order = np.argsort(at, kind="stable")
-    return at[order], np.repeat(np.arange(len(n)), n)[order]
-
-
 def _among(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where ascending ``wanted`` meets ascending ``sorted_values``: its place there, -1 where it is not."""
     if not len(sorted_values):
@@ -144,59 +138,82 @@ def _among(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[place] == wanted, place, -1)
 
 
-_LISTS_ARROW = pa.schema([("shard", pa.int64()), ("size", pa.int64()), *((name, pa.binary()) for name in ("heads", "tails", "n", "at", "words", "w_n", "w_at"))])
+_PASSED_ARROW = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), *((name, pa.binary()) for name in ("ids", "n", "at", "words", "w_n", "w_at", "heads", "tails", "j"))])
+
+
+class _Lists:
+    """Phrases by ascending number, each with the length of its list, and the positions of all, ascending within a list."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> None:
+        self.ids, self.n, self.at = ids, n, at
+
+    def by_position(self) -> tuple[np.ndarray, np.ndarray]:
+        """All positions, ascending, and the phrase of each."""
+        order = np.argsort(self.at, kind="stable")
+        return self.at[order], np.repeat(np.arange(len(self.n)), self.n)[order]
 
+    def chosen(self, which: np.ndarray, ids: np.ndarray) -> _Lists:
+        """Some of the phrases under new numbers."""
+        which, ids = which[np.argsort(ids)], np.sort(ids)
+        ends = np.cumsum(self.n)
+        n = self.n[which]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends[which] - n, n)
+        return _Lists(ids, n, self.at[place])
 
-def extended(size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """The pass that makes a shard's lists of phrases of size + 1 words from its lists of those of ``size`` and the numbers of the frequent ones."""
 
-    def extend(shard: pa.Table, frequent: pa.Table) -> pa.Table:
+def _followed(phrases: _Lists, words: _Lists, size: int) -> tuple[_Lists, np.ndarray, np.ndarray]:
+    """Lists of the phrases with one word more, numbered from 0 by (phrase, word), and the phrase and the word of each.
+
+    The positions of phrases of ``size`` words are merge-joined with the postings of the words after
+    them; what the longer phrase ends in has to be frequent, so to start a list one position on.
+    """
+    starts, phrase = phrases.by_position()
+    places, word = words.by_position()
+    follows = _among(places, starts + size)
+    met = follows >= 0
+    if size > 1:
+        met &= _among(starts, starts + 1) >= 0
+    starts, pair = starts[met], phrase[met] * len(words.n) + word[follows[met]]
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    first = np.flatnonzero(np.diff(pair, prepend=-1))
+    width = max(1, len(words.n))
+    return _Lists(np.arange(len(first)), np.diff(np.append(first, len(pair))), starts[order]), pair[first] // width, pair[first] % width
+
+
+def passed(size: int, last: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The pass that makes, of a shard's lists of phrases of size - 1 words and what is known to be frequent of those of ``size``, these one's lists and the pairs that are next to be counted."""
+
+    def step(shard: pa.Table, frequent: pa.Table) -> pa.Table:
         if not shard.num_rows or not frequent.num_rows:
-            return _LISTS_ARROW.empty_table()
+            return _PASSED_ARROW.empty_table()
+        number = shard.column("shard")[0].as_py()
         if size == 1:
-            j, ids = frequent.column("j").to_numpy(), frequent.column("id").to_numpy()
-            n = shard.column("n").combine_chunks().flatten().to_numpy()
+            every = shard.column("n").combine_chunks().flatten().to_numpy().astype(np.int64)
+            found = _Lists(np.arange(len(every)), every, _unpacked(shard, "at"))
+            words = phrases = found.chosen(frequent.column("j").to_numpy(), frequent.column("id").to_numpy())
         else:
-            j, ids, n = _unpacked(frequent, "j"), _unpacked(frequent, "ids"), _unpacked(shard, "n")
-        ids, kept = ids[np.argsort(j)], np.zeros(len(n), dtype=bool)
-        kept[j] = True
-        at, n = _unpacked(shard, "at")[np.repeat(kept, n)], n[kept]
-        words, w_n, w_at = (ids, n, at) if size == 1 else (_unpacked(shard, name) for name in ("words", "w_n", "w_at"))
-        starts, phrase = _by_position(at, n)
-        places, word = _by_position(w_at, w_n)
-        # merge-join of the phrases' positions with the postings of the words after them
-        follows = _among(places, starts + size)
-        met = follows >= 0
-        if size > 1:
-            # what the longer phrase ends in has to be frequent
-            met &= _among(starts, starts + 1) >= 0
-        starts, pair = starts[met], phrase[met] * len(words) + word[follows[met]]
-        order = np.argsort(pair, kind="stable")
-        pair, starts = pair[order], starts[order]
-        first = np.flatnonzero(np.diff(pair, prepend=-1))
-        lengths = np.diff(np.append(first, len(pair)))
-        made = (ids[pair[first] // len(words)], words[pair[first] % len(words)], lengths, starts, words, w_n, w_at)
-        return pa.Table.from_arrays([shard.column("shard").combine_chunks(), pa.array([len(first)], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in made)], schema=_LISTS_ARROW)
-
-    return extend
-
-
-def _dealt(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Shards' pairs by bucket."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                heads, tails, n = (_unpack(row[c]) for c in ("heads", "tails", "n"))
-                hashed = mix(mix(heads.view(np.uint64)) + tails.view(np.uint64))
-                bucket = (hashed % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((tails, heads, bucket))
-                starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-                parts = np.split(order, starts[1:]) if len(order) else []
-                packed = [[_pack(x[part]) for part in parts] for x in (heads, tails, n)] + [[_pack(part) for part in parts]]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][starts], pa.int64()), pa.array([row["shard"]] * len(parts), pa.int64()), *(pa.array(x, pa.binary()) for x in packed)], ["bucket", "shard", "heads", "tails", "n", "j"])
-
-    return deal
+            words = _Lists(*(_unpacked(shard, name) for name in ("words", "w_n", "w_at")))
+            before = _Lists(*(_unpacked(shard, name) for name in ("ids", "n", "at"))) if size > 2 else words
+            phrases = _followed(before, words, size - 1)[0].chosen(_unpacked(frequent, "j"), _unpacked(frequent, "ids"))
+        nothing = [None] * 9
+        lists = [words.ids, words.n, words.at]
+        own = [phrases.ids, phrases.n, phrases.at] if size > 1 else [np.zeros(0, dtype=np.int64)] * 3
+        rows = [] if size == last else [[number, None, *map(_pack, own + lists), None, None, None]]
+        pairs, head, tail = _followed(phrases, words, size)
+        heads, tails = phrases.ids[head], words.ids[tail]
+        bucket = (mix(mix(heads.view(np.uint64)) + tails.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            # in the order of (head, tail), so of j
+            row = [number, int(bucket[part[0]]), *nothing]
+            row[3], row[8:] = _pack(pairs.n[part]), [_pack(heads[part]), _pack(tails[part]), _pack(part)]
+            rows.append(row)
+        if not rows:
+            return _PASSED_ARROW.empty_table()
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PASSED_ARROW.types, strict=True)], schema=_PASSED_ARROW)
+
+    return step
 
 
 _COUNTED_ARROW = pa.schema([("of", pa.int64()), ("j", pa.binary()), ("ids", pa.binary()), ("found", pa.list_(pa.struct([(n, pa.int64()) for n in ("head", "tail", "id", "a")])))])
@@ -244,14 +261,17 @@ class Collocations:
         words, kept = self._frequent_words(shards)
         #: Frequent phrases (lang, id, phrase, a, size) of one word up to max_words.
         self.phrases = level = words
+        tokens = self.totals.agg(F.sum("n").alias("n")).first().n or 0
         state = shards.select("shard", "n", "at")
-        for size in range(2, max_words + 1):
-            longer = state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(extended(size - 1), LISTS)
-            state = scratch.write(longer, f"lists-{size}")
-            found, kept = self._frequent_pairs(state, size)
-            level = scratch.write(self._texts(found, level, words, size), f"phrases-{size}")
+        for size in range(1, max_words):
+            step = passed(size, max_words - 1, 1 + tokens // (2 * BUCKET_PAIRS))
+            made = scratch.write(state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(step, PASSED), f"lists-{size + 1}")
+            state = made.filter("bucket IS NULL").select("shard", "ids", "n", "at", "words", "w_n", "w_at")
+            found, kept = self._frequent_pairs(made.filter("bucket IS NOT NULL").select("bucket", "shard", "heads", "tails", "n", "j"), size + 1)
+            level = scratch.write(self._texts(found, level, words, size + 1), f"phrases-{size + 1}")
             self.phrases = self.phrases.unionByName(level)
-            scratch.drop(f"lists-{size - 1}")
+            scratch.drop(f"lists-{size}")
+            scratch.release()
         scratch.drop(f"lists-{max_words}")
 
     def _frequent_words(self, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,11 +285,9 @@ class Collocations:
         kept = here.join(small.drop("a"), ["lang", "word"]).select("of", "j", "id")
         return found.select("lang", "id", F.col("word").cast("string").alias("phrase"), "a", F.lit(1).alias("size")), kept
 
-    def _frequent_pairs(self, state: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    def _frequent_pairs(self, dealt: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
         """Frequent pairs (head, tail, id, a) over all shards, and where shards have them (of, j, ids)."""
-        pairs = state.agg(F.sum("size").alias("pairs")).first().pairs or 0
-        deal = state.select("shard", "heads", "tails", "n").mapInArrow(_dealt(1 + pairs // BUCKET_PAIRS), DEALT)
-        made = self.scratch.write(deal.groupBy("bucket").applyInArrow(counted(self.min_count), COUNTED), f"counted-{size}")
+        made = self.scratch.write(dealt.groupBy("bucket").applyInArrow(counted(self.min_count), COUNTED), f"counted-{size}")
         return made.filter("of IS NULL").select(F.inline("found")), made.filter("of IS NOT NULL").select("of", "j", "ids")
 
     def _texts(self, found: DataFrame, heads: DataFrame, words: DataFrame, size: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of steps whose frames are gone, which it does when the driver's JVM collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the letters' case."""
