@@ -13,6 +13,9 @@ the shared parameters, and each parameter becomes the mean of what the tasks tha
 weighted by how often they did, in a shuffle. The parameters, and so the scores, depend on how rows
 fall into tasks; the counts and the base score do not.
 
+A token's probability is the mean of the log-bilinear one, weighted MIX, and that of the counts, which
+holds where a context has been seen too little; both sum to one, so it does.
+
 Normalisers are exact, in batched matrix products over the units, and over a unit's words.
 
 Counts of the HOT words go to every worker. A rarer word has at most one token in HOT, so no key of
@@ -35,12 +38,14 @@ FOLDS, HELD_OUT = 7, 2
 #: Words with vectors of their own, whose counts are broadcast; what bounds them is a worker's memory (about 400 bytes each).
 HOT = 1 << 16
 #: Of these the ones that are units, how many of the others make a unit, and units of rarer words.
-SINGLE, TAIL, RARE = 128, 320, 64
+SINGLE, TAIL, RARE = 256, 384, 128
 #: The size of a word's vector.
 SIZE = 24
 #: Rounds of averaging; each covers its own share of the documents, together all.
 ROUNDS = 2
-BATCH, RATE = 8192, 0.08
+BATCH, RATE = 4096, 0.08
+#: The share of the log-bilinear model in a token's probability; the rest is that of the counts alone, as of the base score.
+MIX = 0.5
 #: Units drawn as noise for a batch, and words of its unit for a token.
 NOISE, WITHIN = 32, 8
 #: Tokens that a task trains on, about: each task sends on all its parameters.
@@ -345,6 +350,9 @@ def score_slice(part: Slice, words: Vocabulary, index: HashIndex, model: LogBili
     logs = np.where(hot, np.log10(words.counts[np.maximum(rank, 0)] + 1.0) if len(words.counts) else 0.0, 0.0)
     # a rare word's share of its unit is (count + 1) / rest; its count is joined later
     said = model.log_probabilities(words.places(rank, endings), bounds) / np.log(10) - np.where(hot, 0.0, np.log10(words.rest)[endings])
+    # the count of a rare word is a factor of both probabilities
+    alone = logs - np.log10(words.total + words.distinct + 1.0)
+    said = np.log10(MIX * 10.0**said + (1 - MIX) * 10.0**alone)
     at = np.flatnonzero(~hot)
     doc = np.repeat(np.arange(part.n), np.diff(bounds))[at]
     order = np.lexsort((hashes[at], doc))
@@ -363,7 +371,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     base_score sums log10((c + 1) / (N + V + 1)) over the tokens; score is the model's log10
     probability of the text. Null texts are empty and have the end token alone. A null id is in no
     held-out fold. Repeated rows are scored each by itself and all count in training. Without any
-    training document the base score is 0, and a token's score is that of one of RARE units.
+    training document the base score is 0, and a token's score is the mean of that and one of RARE units'.
     """
     spark = docs.sparkSession
     chosen = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text"))
