@@ -987,9 +987,7 @@ def first_unsorted(spark: SparkSession, sf: str) -> DataFrame:
     return first_disorder(spark.read.parquet(path), "key", "k").select("id", "key", "previous")
 
 
-@query()
-def source_association(spark: SparkSession, sf: str) -> DataFrame:
-    """All tiles: classified, clustered, measured."""
+def _association(spark: SparkSession, sf: str) -> tuple[source_assoc.AssocResult, DataFrame]:
     name = F.element_at(F.array(*(F.lit(f) for f in FILTERS)), F.col("filter_id") + 1)
     exposures = view(spark, sf, "exposure").withColumn("filter", name)
     control = source_assoc.AssocControl(resolution=TILES, bad_flags=("flag_r", "flag_f"), clustering=cluster.ClusteringControl(2.0, 2))
@@ -997,4 +995,59 @@ def source_association(spark: SparkSession, sf: str) -> DataFrame:
     sources = view(spark, sf, "source").withColumn("id", F.col("id") * 1_000_003 + F.col("cluster_id"))
     among = F.row_number().over(Window.partitionBy("id").orderBy("x", "y", "flux", "exposure_id", "time_mid"))
     sources = sources.withColumn("id", F.col("id") * 16 + among)
-    return source_assoc.associate(sources.drop("cluster_id", "filter_id"), exposures, control).clusters
+    v, nan = F.col("s_var"), F.lit(math.nan)
+    sources = sources.withColumn("shape_err", F.array(v, nan, nan, nan, 2 * v, nan, nan, nan, 3 * v))
+    return source_assoc.associate(sources.drop("cluster_id", "filter_id"), exposures, control), exposures
+
+
+@query()
+def source_association(spark: SparkSession, sf: str) -> DataFrame:
+    """All tiles: classified, clustered, measured, shapes and all."""
+    return _association(spark, sf)[0].clusters
+
+
+MAP = source_assoc.Image({"crval1": 11.0, "crval2": 0.0, "crpix1": 50.5, "crpix2": 50.5, "cd1_1": -0.023, "cd1_2": 0.0, "cd2_1": 0.0, "cd2_2": 0.023}, 100, 100)
+
+
+def _sql_on_map(x: str, y: str, z: str) -> tuple[str, str]:
+    """Pixels of the map for a direction of any length."""
+    a, d = (f"radians({MAP.wcs[k]!r})" for k in ("crval1", "crval2"))
+    front = f"(cos({d}) * cos({a}) * {x} + cos({d}) * sin({a}) * {y} + sin({d}) * {z})"
+    east, north = f"(cos({a}) * {y} - sin({a}) * {x})", f"(cos({d}) * {z} - sin({d}) * cos({a}) * {x} - sin({d}) * sin({a}) * {y})"
+    return tuple(f"(degrees({e} / {front}) / {MAP.wcs[cd]!r} + {MAP.wcs[p] - 1!r})" for e, cd, p in ((east, "cd1_1", "crpix1"), (north, "cd2_2", "crpix2")))
+
+
+# sources lie in clumps a third of an arcsecond wide and minutes apart, so three of a tile and clump are a cluster
+@query(f"""{cte('source', 'exposure')}, numbered AS (SELECT * REPLACE ((id * 1000003 + cluster_id) * 16 + row_number() OVER (PARTITION BY id * 1000003 + cluster_id ORDER BY x, y, flux, exposure_id, time_mid) AS id), cluster_id % 40 AS c1, cluster_id % 37 AS c2 FROM source),
+    {_TILE.format('numbered')}, kinds AS (SELECT *, CASE WHEN NOT (x BETWEEN -0.5 AND 999.5 AND y BETWEEN -0.5 AND 799.5) THEN 'invalidSource' WHEN flag_r OR flag_f THEN 'badSource' ELSE 'source' END AS kind FROM tiled WHERE exposure_id IN (SELECT exposure_id FROM exposure)),
+    sized AS (SELECT *, count(*) OVER (PARTITION BY tile, c1, c2) AS n, min(id) OVER (PARTITION BY tile, c1, c2) AS least FROM kinds WHERE kind = 'source'),
+    member AS (SELECT *, (tile << 32) + dense_rank() OVER (PARTITION BY tile ORDER BY CASE WHEN n >= 3 THEN least ELSE id END) AS cluster FROM sized),
+    pixel AS (SELECT kind, CAST(floor({_sql_on_map('ux', 'uy', 'uz')[0]} + 0.5) AS BIGINT) AS px, CAST(floor({_sql_on_map('ux', 'uy', 'uz')[1]} + 0.5) AS BIGINT) AS py FROM (SELECT kind, {sql_xyz('ra', 'dec', 'u')} FROM kinds WHERE kind <> 'invalidSource')),
+    corner AS (SELECT exposure_id, filter_id, n, {_sql_on_map('px', 'py', 'pz')[0]} + 0.5 AS x, {_sql_on_map('px', 'py', 'pz')[1]} + 0.5 AS y FROM (SELECT exposure_id, filter_id, n, {', '.join(sql_pixel_xyz('x', 'y', 'p'))} FROM exposure, (VALUES (0, -0.5, -0.5), (1, 999.5, -0.5), (2, 999.5, 799.5), (3, -0.5, 799.5)) c(n, x, y))),
+    side AS (SELECT a.exposure_id, a.filter_id, sign(a.x - b.x) AS s, least(a.x, b.x) AS xa, greatest(a.x, b.x) AS xb, CASE WHEN a.x < b.x THEN a.y ELSE b.y END AS ya, (b.y - a.y) / (b.x - a.x) AS m FROM corner a JOIN corner b ON b.exposure_id = a.exposure_id AND b.n = (a.n + 1) % 4 WHERE abs(a.x - b.x) > 1e-9),
+    below AS (SELECT *, unnest(range(CAST(greatest(0, floor(xa)) AS BIGINT), CAST(least(99, floor(xb)) AS BIGINT) + 1)) AS px FROM side WHERE xa < 100 AND xb > 0),
+    strip AS (SELECT exposure_id, filter_id, s, m, px, ya + m * (greatest(xa, px) - xa) AS g0, ya + m * (least(xb, px + 1) - xa) AS g1, least(xb, px + 1) - greatest(xa, px) AS w FROM below),
+    part AS (SELECT exposure_id, filter_id, px, py, s * ({_under('{0}')}) AS area FROM (SELECT *, g0 - py AS f0, g1 - py AS f1 FROM (SELECT *, unnest(range(CAST(least(99, floor(greatest(g0, g1))) AS BIGINT) + 1)) AS py FROM strip WHERE w > 0))),
+    covered AS (SELECT filter_id, px, py, sum(area) AS c FROM (SELECT exposure_id, filter_id, px, py, abs(sum(area)) AS area FROM part GROUP BY ALL) GROUP BY ALL)
+    SELECT 'source' AS output, CAST(id AS BIGINT) AS a, CASE WHEN n >= 3 THEN CAST(cluster AS BIGINT) END AS b, 0e0 AS value FROM member WHERE n >= 3 UNION ALL SELECT 'source', CAST(id AS BIGINT), CAST(cluster AS BIGINT), 0e0 FROM member WHERE n < 3
+    UNION ALL SELECT kind, CAST(id AS BIGINT), NULL, 0e0 FROM kinds WHERE kind <> 'source'
+    UNION ALL SELECT 'object', CAST(cluster AS BIGINT), count(*), round(avg(time_mid), 6) + 0e0 FROM member WHERE n >= 3 GROUP BY cluster
+    UNION ALL SELECT CASE kind WHEN 'source' THEN 'sourceHist' ELSE 'badSourceHist' END, px, py, count(*) FROM pixel WHERE px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 99 GROUP BY ALL
+    UNION ALL SELECT ['u','g','r','i','z','y'][filter_id + 1] || 'CovMap', px, py, round(c, 6) + 0e0 FROM covered WHERE c > 1e-6""")
+def association_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """All that an association of all tiles stores, read back: catalogs, clusters, histograms and maps."""
+    path = folder(spark, "association")
+    result, exposures = _association(spark, sf)
+    counts = source_assoc.store_outputs(result, exposures, path, MAP)
+    long, nothing = (lambda c: F.col(c).cast("bigint")), F.lit(0.0)
+    parts = [spark.read.parquet(f"{path}/sources").select(F.col("catalog").alias("output"), long("id").alias("a"), long("cluster_id").alias("b"), nothing.alias("value"))]
+    if counts["object"]:
+        parts.append(spark.read.parquet(f"{path}/object").select(F.lit("object"), long("cluster_id"), long("obs_count"), F.round("obs_time_mean", 6)))
+    if counts.get("sourceHist") or counts.get("badSourceHist"):
+        parts.append(spark.read.parquet(f"{path}/histograms").select(F.concat("catalog", F.lit("Hist")), long("px"), long("py"), F.col("n").cast("double")))
+    if counts["covMap"]:
+        parts.append(spark.read.parquet(f"{path}/covMap").filter("coverage > 1e-6").select(F.concat("filter", F.lit("CovMap")), long("px"), long("py"), F.round("coverage", 6)))
+    made = parts[0]
+    for part in parts[1:]:
+        made = made.union(part)
+    return made
