@@ -51,6 +51,7 @@ def test_query_equals_brute_force(spark):
 def test_small_shards_and_shuffled_joins(spark, monkeypatch, broadcast):
     """Phrases that lie in many shards, of texts dealt to many tasks, with the ranking cut short."""
     monkeypatch.setattr(colloc, "BROADCAST_PHRASES", broadcast)
+    monkeypatch.setattr(colloc, "HOT_ROWS", 5)
     monkeypatch.setattr(colloc, "SHARD_TOKENS", 500)
     monkeypatch.setattr(colloc, "HELD_TOKENS", 900)
     monkeypatch.setattr(colloc, "BUCKET_PAIRS", 100)

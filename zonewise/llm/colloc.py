@@ -40,6 +40,8 @@ SHARD_TOKENS, HELD_TOKENS = 1 << 19, 1 << 21
 BROADCAST_PHRASES = 200_000
 #: Pieces of what is joined by a phrase's part, as many phrases share their first word; and of a language's ranking.
 SALTS, RANK_PARTS = 16, 64
+#: Rows from which a key of a join counts as hot.
+HOT_ROWS = 1 << 16
 _LOWER = bytes(range(256)).lower()
 _PIECES = bytes(10 if c in b".,;:!?\n\v\f\r" else c for c in _LOWER)
 #: Pairs that are counted together in a bucket, about.
@@ -298,11 +300,18 @@ class Collocations:
         return met.select("lang", "id", F.concat_ws(" ", "head_text", "tail_text").alias("phrase"), "a", F.lit(size).alias("size"))
 
     def _joined(self, many: DataFrame, one: DataFrame, keys: list[str], deal_by: str) -> DataFrame:
-        """``many`` with the row of ``one``, of which there is one a key; a key that many rows have is dealt by another column."""
+        """``many`` with the row of ``one``, of which there is one a key.
+
+        Keys of more than HOT_ROWS rows, of which there can be only so many, are dealt in SALTS pieces by
+        another column, and their row of ``one`` is repeated; no other is.
+        """
         if one.count() <= BROADCAST_PHRASES:
             return many.join(F.broadcast(one), keys)
-        dealt = many.withColumn("__salt", F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
-        return dealt.join(one.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "__salt"]).drop("__salt")
+        hot = F.broadcast(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS))
+        piece = F.when(F.col("__n").isNull(), 0).otherwise(F.pmod(F.xxhash64(deal_by), F.lit(SALTS)).cast("int"))
+        pieces = F.when(F.col("__n").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        dealt = many.join(hot, keys, "left").withColumn("__salt", piece).drop("__n")
+        return dealt.join(one.join(hot, keys, "left").withColumn("__salt", F.explode(pieces)).drop("__n"), [*keys, "__salt"]).drop("__salt")
 
     def _with_part(self, cuts: DataFrame, part: str, name: str) -> DataFrame:
         """``cuts`` with the count of the phrase in column ``part`` as ``name``; parts of frequent phrases are frequent."""
