@@ -7,7 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from zonewise.functions import sphere, tiles, wcs
-from zonewise.functions.earth import earth_vector
+from zonewise.functions.earth import earth_vector, heliocentric
 from zonewise.operators import cluster, match, qa, spatial
 from zonewise.plans.source_assoc import parse_ids
 from zonewise.sources import results
@@ -102,10 +102,20 @@ def test_chunks_of_circles_hold_their_points(spark):
 
 
 def test_earth_is_one_au_from_the_sun():
-    r = np.linalg.norm(earth_vector(np.arange(15020, 88069, 101.0)), axis=0)
-    assert 0.97 < r.min() and r.max() < 1.03
+    days = np.arange(15020, 88069, 101.0)
+    r = np.linalg.norm(heliocentric(days), axis=0)
+    assert 0.983 < r.min() and r.max() < 1.0171
+    assert np.linalg.norm(earth_vector(days) - heliocentric(days), axis=0).max() < 0.011
     x, y, z = earth_vector(np.array([51544.5]))[:, 0]
-    assert abs(x + 0.1843) < 1e-3 and abs(y - 0.8848) < 1e-3 and abs(z - 0.3838) < 1e-3
+    assert abs(x + 0.1843) < 1e-4 and abs(y - 0.8848) < 1e-4 and abs(z - 0.3838) < 1e-4
+
+
+def test_earth_equals_a_published_position():
+    """The check values published with the IAU's routine for the Earth's position, TDB 2005-02-10.52501161."""
+    sun, barycenter = (-0.7757238809297707, 0.5598052241363340, 0.2426998466481687), (-0.7714104440491112, 0.5598412061824171, 0.2425996277722452)
+    day, km = np.array([53411.52501161]), 149597870.7
+    assert np.linalg.norm(heliocentric(day)[:, 0] - sun) * km < 300
+    assert np.linalg.norm(earth_vector(day)[:, 0] - barycenter) * km < 1200
 
 
 DIALECTS = [CsvDialect(), CsvDialect(quoting="QUOTE_ALL"), CsvDialect(quoting="QUOTE_NONE"), CsvDialect(double_quote=True, standard_escapes=False, escape=""), CsvDialect(delimiter="\t", trailing_delimiter=True), CsvDialect(has_null=True, null="NULL", standard_escapes=False)]
