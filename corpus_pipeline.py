@@ -43,7 +43,7 @@ STAGES = [
     ("byte_bpe", byte_bpe),
 ]
 
-#: Learned scores and sketches have no SQL; tests hold run() against its stages done by brute force.
+#: Learned scores and sketches have no SQL; tests hold quality rules against brute force, and the other stages by their operators' tests.
 ORACLE_SQL = None
 
 
