@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from zonewise.llm import bpe, langid, quality, toxicity, urlfilter
@@ -114,9 +115,10 @@ def test_fences_follow_their_group(spark):
     assert all(r.kept for r in rows[:260]) and not any(r.kept for r in rows[260:]) and [r.base_failed for r in rows[259:]] == [False] * 21 + [True] * 2
     kept = quality.keep_good(docs, Scratch(spark, "t"))
     assert kept.columns == docs.columns and kept.count() == 260
-    # all of a noisy group's documents are what is usual there
-    usual = documents(spark, noisy * 11, source="code")
-    assert quality.keep_good(usual, Scratch(spark, "t")).count() == 0 or usual.count() >= quality.MIN_GROUP
+    # where all of a group's documents have symbols, that is usual there
+    usual = documents(spark, [t.replace("x", "y") for t in noisy * 11], source="code").selectExpr("*", "true AS kept", "0 AS n_words")
+    both = quality.keep_good(docs.union(usual), Scratch(spark, "t")).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in both} == {"s": 260, "code": usual.count()}
     assert quality.keep_good(docs.limit(0), Scratch(spark, "t")).count() == 0
 
 
@@ -147,20 +149,28 @@ def brute_kept(docs):
         upto, whole = 0, sum(w for _, w in weights)
         for v, w in weights:
             upto += w
-            if upto >= Fraction(round(1000 * q), 1000) * whole:
-                return v
+            if upto >= (target := q * whole):
+                return v + (1 << max(0, v.bit_length() - 6)) * (target - (upto - w)) / w
+
+    def fence(name, lang, source):
+        kind, q = quality.FEATURES[name]
+        q, k, weights = Fraction(round(1000 * q), 1000), quality.SPREADS, mixed(name, lang, source)
+        if kind == "share":
+            some = [(v, w) for v, w in weights if v > 0]
+            return None, k * Fraction(sum(w for _, w in some), sum(w for _, w in weights)) * quantile(some, q) if some else None
+        lo, mid, hi = [quantile(weights, x) for x in (1 - q, Fraction(1, 2), q)]
+        return lo - k * (mid - lo), hi + k * (hi - mid)
 
     known, kept = {}, []
     for lang, source, c, f, base in made:
         ok = base
-        for name, (side, q) in quality.FEATURES.items() if base else ():
+        for name in quality.FEATURES if base else ():
             if (lang, source, name) not in known:
-                weights = mixed(name, lang, source)
-                known[lang, source, name] = [quantile(weights, x) for x in (quality.LOW_Q, 0.5, q)]
-            lo, mid, hi = known[lang, source, name]
-            at, least = once.get(name, (0, 0)), max(1, mid // 32)
-            ok &= not (f[name] > hi + quality.SPREADS * max(hi - mid, least) and c[at[0]] > at[1])
-            ok &= not (side == "both" and f[name] < lo - quality.SPREADS * max(mid - lo, least))
+                known[lang, source, name] = fence(name, lang, source)
+            low, high = known[lang, source, name]
+            at = once.get(name, (0, 0))
+            ok &= not (high is not None and f[name] > high and c[at[0]] > at[1])
+            ok &= not (low is not None and f[name] < low)
         kept.append(ok)
     return kept
 
@@ -176,6 +186,22 @@ def test_kept_equals_brute_force(spark):
     assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).orderBy("doc_id").collect()] == [r.doc_id for r, k in zip(rows, want, strict=True) if k]
 
 
+def test_fences_differ_between_groups_and_part_labels(spark):
+    """On sf0.1: every feature's fence differs between most groups; of documents labelled good nearly all stay, and of bad ones hardly any."""
+    docs = table(spark, SF.replace("0.001", "0.1"), "documents")
+    scratch = Scratch(spark, "t")
+    counted = scratch.write(docs.select("doc_id", "lang", "source", quality.text_counts()("text").alias("c")).select("doc_id", "lang", "source", "c.*"), "counts")
+    limits = scratch.write(quality.group_fences(quality.with_features(counted), scratch), "fences").toPandas()
+    for name, (kind, _) in quality.FEATURES.items():
+        for side in ("low", "high") if kind == "spread" else ("high",):
+            found = limits[f"{side}_{name}"]
+            assert found.notna().all() and found.round(3).nunique() > len(limits) / 2 and found.max() > 1.05 * found.min(), name
+    labels = table(spark, SF.replace("0.001", "0.1"), "labels").select("doc_id", "quality")
+    kept = quality.quality_verdicts(docs, Scratch(spark, "t")).filter("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    shares = {r.quality: r.kept for r in kept.collect()}
+    assert shares[1] > 0.98 and shares[0] < 0.02
+
+
 def test_repeats_unusual_in_a_clean_group_fail(spark):
     clean = ["\n".join(" ".join(f"w{i}x{k}y{j}" for k in range(6)) for j in range(20)) for i in range(100, 400)]
     lines = clean[0].split("\n")

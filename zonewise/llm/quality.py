@@ -6,11 +6,14 @@ is a sum: sketches of parts merge by adding, in any order, to the same sketch, s
 depend on how the table is split, and Spark's partial aggregates are the merge. A group has at most
 some 2,000 bins whatever it holds, so a group with a third of all rows costs no more than others.
 
-A document fails a feature if it lies beyond its group's fence: a high quantile plus some times its
-distance from the median (a low one likewise). Features that most texts have none of take a quantile
-that leaves room for less junk, as theirs tell nothing lower down. Sketches hold the documents that
-pass the base rules. A group's sketch is mixed with its language's as if MIN_GROUP documents of that
-were added, and the language's with that of all, so fences change gradually with a group's size.
+A document fails a feature if it lies beyond its group's fence. For a feature that every text has, a
+fence is a quantile plus some times its distance from the median, on both sides; quantiles are
+interpolated within a bin, so this distance is never zero. Of a feature that most texts have none of,
+such quantiles are all zero and tell nothing, so its fence is some times the share of the group's
+texts that have any, times a quantile among those: the rarer and smaller it is in the group, the less
+is let through. No fence has a floor or a cutoff of its own. Sketches hold the documents that pass the
+base rules. A group's sketch is mixed with its language's as if MIN_GROUP documents of that were
+added, and the language's with that of all, so fences change gradually with a group's size.
 """
 
 from __future__ import annotations
@@ -34,11 +37,11 @@ COUNTS_TYPE = "struct<" + ", ".join(f"{c}: bigint" for c in COUNTS) + ">"
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: What the next coarser sketch weighs beside a group's own, in documents.
-MIN_GROUP = 200
-#: Of each feature: the sides on which a document may fail, and the quantile that the high fence starts from.
-FEATURES = {"symbols_pm": ("high", 0.85), "dup_lines_pm": ("high", 0.85), "repeat_pm": ("high", 0.9), "word_len_10": ("both", 0.75)}
-#: Fence: the low quantile, and how many spreads (from the median to the quantile, at least the sketch's resolution) beyond it.
-LOW_Q, SPREADS = 0.25, 6
+MIN_GROUP = 30
+#: Of each feature: "share" if most texts have none of it, with a quantile of the texts that have any, else "spread", with the quantile that fences start from (the low one from its mirror image).
+FEATURES = {"symbols_pm": ("share", 0.25), "dup_lines_pm": ("share", 0.9), "repeat_pm": ("share", 0.9), "word_len_10": ("spread", 0.8)}
+#: How many times the distance from the median lies between a quantile and its fence, or the usual amount below the fence.
+SPREADS = 6
 #: The least that a text can have of a feature, which fails no text by itself: a symbol, a line again, three words again.
 ONCE = {"symbols_pm": ("n_symbols", 1), "dup_lines_pm": ("n_dup_lines", 1), "repeat_pm": ("n_repeat_words", 6)}
 #: Groups whose fences fit this number are broadcast; beyond it the join shuffles, and skewed keys are split.
@@ -135,6 +138,11 @@ def bin_floor(b: str) -> Column:
     return F.expr(f"CASE WHEN {b} < 64 THEN {b} ELSE shiftleft(32L + {b} % 32, CAST({b} DIV 32 - 1 AS INT)) END")
 
 
+def bin_width(b: str) -> Column:
+    """How many integers a bin holds."""
+    return F.expr(f"CASE WHEN {b} < 64 THEN 1L ELSE shiftleft(1L, CAST({b} DIV 32 - 1 AS INT)) END")
+
+
 def sketches(featured: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, feature, bin, n): the sketch of every feature in every group, one row per bin in use."""
     pairs = F.array(*(F.struct(F.lit(f).alias("feature"), sketch_bin(f).alias("bin")) for f in FEATURES))
@@ -168,23 +176,29 @@ def fences(sketch: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, low_<feature>, high_<feature>) from sketches; a side on which no document fails is null."""
     running = Window.partitionBy(*keys, "feature").orderBy("bin")
     whole = Window.partitionBy(*keys, "feature")
-    ranked = sketch.withColumn("upto", F.sum("n").over(running)).withColumn("size", F.sum("n").over(whole)).withColumn("value", bin_floor("bin"))
-    high_q = F.coalesce(*(F.when(F.col("feature") == name, round(1000 * q)) for name, (_, q) in FEATURES.items()))
-
-    def quantile(per_mille: Column) -> Column:
-        # the least value with such a share of the rows at or below it; counts are integers, so per mille is exact
-        return F.min(F.when(1000 * F.col("upto") >= per_mille * F.col("size"), F.col("value")))
-
-    known = ranked.groupBy(*keys, "feature").agg(quantile(F.lit(round(1000 * LOW_Q))).alias("lo"), quantile(F.lit(500)).alias("mid"), quantile(high_q).alias("hi"))
-    columns = []
-    least = F.greatest(F.lit(1), F.expr("mid DIV 32"))
-    for name, (side, _) in FEATURES.items():
-        mine = F.col("feature") == name
-        high = F.col("hi") + SPREADS * F.greatest(F.col("hi") - F.col("mid"), least)
-        low = F.col("lo") - SPREADS * F.greatest(F.col("mid") - F.col("lo"), least)
-        columns.append(F.max(F.when(mine, high)).alias(f"high_{name}"))
-        columns.append(F.max(F.when(mine, low if side == "both" else F.lit(None))).cast("bigint").alias(f"low_{name}"))
-    return known.groupBy(*keys).agg(*columns)
+    zeros = F.sum(F.when(F.col("bin") == 0, F.col("n")).otherwise(F.lit(0))).over(whole)
+    ranked = sketch.withColumn("upto", F.sum("n").over(running)).withColumn("size", F.sum("n").over(whole)).withColumn("zeros", zeros)
+
+    def quantile(name: str, share: float, skip: Column) -> Column:
+        """The value with such a share of the rows beyond the first ``skip`` below it, as if a bin's rows were spread evenly over it."""
+        per_mille = round(1000 * share)
+        wanted = per_mille * (F.col("size") - skip)
+        # counts are integers, so the bin is exact
+        here = (F.col("feature") == name) & (1000 * (F.col("upto") - skip) >= wanted) & (F.col("upto") > skip)
+        within = (wanted - 1000 * (F.col("upto") - F.col("n") - skip)).cast("double") / (1000 * F.col("n")).cast("double")
+        return F.min_by(bin_floor("bin") + bin_width("bin") * within, F.when(here, F.col("bin")))
+
+    some = (F.col("size") - F.col("zeros")).cast("double") / F.col("size").cast("double")
+    known, sides = [], []
+    for name, (kind, q) in FEATURES.items():
+        if kind == "share":
+            known += [F.max(F.when(F.col("feature") == name, some)).alias(f"some_{name}"), quantile(name, q, F.col("zeros")).alias(f"of_{name}")]
+            low, high = "CAST(NULL AS DOUBLE)", f"{SPREADS} * some_{name} * of_{name}"
+        else:
+            known += [quantile(name, x, F.lit(0)).alias(f"{side}_{name}") for side, x in (("lo", 1 - q), ("mid", 0.5), ("hi", q))]
+            low, high = f"lo_{name} - {SPREADS} * (mid_{name} - lo_{name})", f"hi_{name} + {SPREADS} * (hi_{name} - mid_{name})"
+        sides += [F.expr(low).alias(f"low_{name}"), F.expr(high).alias(f"high_{name}")]
+    return ranked.groupBy(*keys).agg(*known).select(*keys, *sides)
 
 
 def group_fences(featured: DataFrame, scratch) -> DataFrame:
