@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import defaultdict
 
@@ -115,6 +116,15 @@ def test_empty_tables(spark, side):
     assert [(r.n_words, r.n_hit) for r in decontam.find_contamination(docs, bench).collect()] == ([] if side == "docs" else [(2, 0)])
 
 
-def test_query_covers_all_documents(spark):
-    made = QUERIES["op5_decontamination"](spark, SF)
-    assert made.count() == table(spark, SF, "documents").count()
+def test_query_equals_brute_force(spark):
+    docs = [(r.doc_id, r.text) for r in table(spark, SF, "documents").collect()]
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()]
+    want = brute(docs, items)
+    made = QUERIES["op5_decontamination"](spark, SF).collect()
+    assert len(made) == len(docs)
+    for r in made:
+        words, hit, found, bad = want[r.doc_id]
+        assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (words, hit, len(found), bad)
+        assert r.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
+        # the longest match lies inside the words that are hit
+        assert (r.longest_match > 0) == (r.n_matches > 0) == (hit > 0) and r.longest_match <= hit

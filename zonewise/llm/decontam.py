@@ -4,8 +4,8 @@ The texts of a batch are shards; each shard gets an array of its suffixes, as wo
 lexicographic order. Every suffix of a benchmark item that holds a window is binary-searched in it,
 word by word, for all suffixes at once: the range left after the window's last word holds all places
 where it occurs. From each such place that cannot be extended to the left the match is followed to
-its end, which gives the longest verbatim matches and their locations; windows mark the words of the
-documents. Only training suffixes that could hold a whole window are sorted: those that begin with
+its end, which gives the longest verbatim matches and their locations; these mark the words of the
+documents that are hit, and tell the items. Only training suffixes that could hold a whole window are sorted: those that begin with
 enough words in a row that the benchmark has.
 
 Documents are not shuffled; the benchmark's index goes to every worker. A benchmark beyond
@@ -43,7 +43,7 @@ def words_of(part: Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 class BenchmarkIndex:
-    """The windows of a benchmark as numbers of a vocabulary: windows[i, :size[i]], items[i] of each, and where in which item it stands."""
+    """The windows of a benchmark as numbers of a vocabulary: windows[i, :size[i]], and where in which items each stands."""
 
     def __init__(self, rows: list[tuple[str, str]], window: int = WINDOW):
         rows = sorted(set(rows))
@@ -71,9 +71,6 @@ class BenchmarkIndex:
         self.ids = sorted(set(item_ids))
         order = {x: i for i, x in enumerate(self.ids)}
         ids = np.array([order[x] for x in item_ids], dtype=np.int64)
-        pairs = np.unique(np.stack([which, ids[item]], axis=1), axis=0) if len(item) else np.zeros((0, 2), dtype=np.int64)
-        self.items = pairs[:, 1]
-        self.item_bounds = np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
         self.least = int(self.size.min()) if len(self.windows) else 0
         # all items' words, with a number before, between and after them that no text has
         self.text = np.full(len(number) + len(counts) + 1, -1, dtype=np.int32)
@@ -147,12 +144,16 @@ class SuffixArray:
         return live, low, high
 
 
-def longest_matches(seq: np.ndarray, at: np.ndarray, window: np.ndarray, begin: np.ndarray, index: BenchmarkIndex) -> np.ndarray:
-    """Rows (text, item, offset, position, length), sorted, for windows found at places of seq: of each text and benchmark suffix its longest
-    match among those that cannot be extended to the left; of equal ones the first."""
+def longest_matches(seq: np.ndarray, at: np.ndarray, window: np.ndarray, begin: np.ndarray, index: BenchmarkIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches that can be extended to neither side, for windows found at places of seq.
+
+    Rows (text, item, offset, position, length), sorted: of each text and benchmark suffix the longest match, of equal ones the first. Then,
+    of all matches, which words of seq lie inside one, and the pairs (text, item), sorted. Each occurrence of a window lies inside a match.
+    """
     many = np.diff(index.suffix_bounds)[window]
     upto = np.concatenate([[0], np.cumsum(many)])
-    found = [np.zeros((0, 6), dtype=np.int64)]
+    found, pairs = [np.zeros((0, 6), dtype=np.int64)], [np.zeros((0, 2), dtype=np.int64)]
+    edges = np.zeros(len(seq) + 1, dtype=np.int64)
     i = 0
     while i < len(at):
         j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS, side="right")) - 1)
@@ -170,9 +171,12 @@ def longest_matches(seq: np.ndarray, at: np.ndarray, window: np.ndarray, begin:
             length[going] += 1
         doc = np.searchsorted(begin, place, "right") - 1
         made = np.stack([doc, index.suffix_item[suffix], index.suffix_row[suffix], index.suffix_offset[suffix], place - begin[doc], length], axis=1)
+        np.add.at(edges, place, 1)
+        np.subtract.at(edges, place + length, 1)
+        pairs.append(np.unique(made[:, :2], axis=0))
         found.append(_longest(made))
         i = j
-    return _longest(np.concatenate(found))[:, [0, 1, 3, 4, 5]]
+    return _longest(np.concatenate(found))[:, [0, 1, 3, 4, 5]], np.cumsum(edges[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
 def _longest(rows: np.ndarray) -> np.ndarray:
@@ -184,7 +188,7 @@ def _longest(rows: np.ndarray) -> np.ndarray:
 
 
 def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, list, list]:
-    """Of each text: its number of words, the runs of words inside occurrences as [start, length, ...], the items that occur, and the longest matches."""
+    """Of each text: its number of words, the runs of words inside matches as [start, length, ...], the items that match, and the longest matches."""
     words, bounds = words_of(part)
     n_words = np.diff(bounds)
     empty = tuple([[] for _ in range(part.n)] for _ in range(3))
@@ -204,19 +208,16 @@ def shard_hits(part: Slice, index: BenchmarkIndex) -> tuple[np.ndarray, list, li
     times = high - low
     at = array.array[np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())]
     window = np.repeat(which, times)
-    edges = np.bincount(at, minlength=len(seq) + 1) - np.bincount(at + index.size[window], minlength=len(seq) + 1)
-    hit = np.concatenate([[False], np.cumsum(edges[:-1]) > 0, [False]])
+    longest, inside, pairs = longest_matches(seq, at, window, begin, index)
+    hit = np.concatenate([[False], inside, [False]])
     turns = np.flatnonzero(hit[1:] != hit[:-1])
     run_start, run_end = turns[::2], turns[1::2]
     spans, items, matches = empty
     for d, s, e in zip(np.searchsorted(begin, run_start, "right") - 1, run_start, run_end, strict=True):
         spans[d] += [int(s - begin[d]), int(e - s)]
-    seen = np.unique(np.stack([np.searchsorted(begin, at, "right") - 1, window], axis=1), axis=0)
-    many = np.diff(index.item_bounds)[seen[:, 1]]
-    item = index.items[np.repeat(index.item_bounds[seen[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-    for d, i in np.unique(np.stack([np.repeat(seen[:, 0], many), item], axis=1), axis=0):
+    for d, i in pairs.tolist():
         items[d].append(index.ids[i])
-    for d, i, *place in longest_matches(seq, at, window, begin, index).tolist():
+    for d, i, *place in longest.tolist():
         matches[d].append((index.ids[i], *place))
     return n_words, spans, items, matches
 
@@ -309,7 +310,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """Per document: id, n_words, n_hit, spans, items (sorted), matches (sorted), contaminated.
 
     spans has, as start and length in words in turn, the runs of the document's words that lie inside
-    occurrences of windows. matches has the longest verbatim matches of at least ``window`` words, or
+    verbatim matches of at least a window, which are the words inside occurrences of windows; n_hit counts
+    them, and items are those matched. matches has the longest verbatim matches of at least ``window`` words, or
     a whole shorter item: the item, the offset in it, the position in the document and the length, all
     in words; none can be extended to either side, and of several from one offset the longest, then
     the first, is named. An item with fewer than ``window`` words, but not none, is one window. Null and

@@ -38,7 +38,9 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest, "contaminated")
+    n_items, n_matches = (F.size(c).cast("bigint").alias(f"n_{c}") for c in ("items", "matches"))
+    longest = F.coalesce(F.array_max(F.col("matches.length")), F.lit(0)).alias("longest_match")
+    return found.select("doc_id", "n_words", "n_hit", n_items, digest, "contaminated", n_matches, longest)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
