@@ -38,6 +38,8 @@ TREES, MIN_DEPTH, MAX_DEPTH, RECALL = 20, 4, 8, 0.999
 CROWD = 32
 #: Classes in a trie node from which on it is large, and in a block of a hot group.
 SMALL_NODE, BLOCK = 32, 512
+#: Shingles in a block on average, if its classes have many: a task holds two blocks, 8 bytes a shingle, and some copies of them.
+BLOCK_SHINGLES = 1 << 17
 #: A value of a signature takes two bytes.
 VALUE = np.dtype("<u2")
 #: Shingles in one matrix product.
@@ -223,11 +225,18 @@ def block_links(key: tuple, rows: pa.Table) -> pa.Table:
     row, column = row[column >= 0], column[column >= 0]
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
     common = np.zeros((len(a), len(b)), dtype=np.float32)
+    one = np.zeros((len(a), PRODUCT_COLUMNS), dtype=np.float32)
+    two = one if low == high else np.zeros((len(b), PRODUCT_COLUMNS), dtype=np.float32)
+    place = np.zeros(len(same), dtype=np.int64)
+    place[a], place[b] = np.arange(len(a)), np.arange(len(b))
     for first in range(0, int(shared.sum()), PRODUCT_COLUMNS):
         some = (column >= first) & (column < first + PRODUCT_COLUMNS)
-        dense = np.zeros((len(same), PRODUCT_COLUMNS), dtype=np.float32)
-        dense[row[some], column[some] - first] = 1
-        common += dense[a] @ dense[b].T
+        here, at = row[some], column[some] - first
+        for table, of in ((one, low), (two, high)):
+            table[:] = 0
+            mine = block[here] == of
+            table[place[here[mine]], at[mine]] = 1
+        common += one @ two.T
     size = np.diff(bounds)
     sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), dtype=VALUE).reshape(len(same), TREES, MAX_DEPTH)
     depth = np.stack(rows.column("depths").to_pylist()) if len(same) else np.zeros((0, TREES), dtype=np.int64)
@@ -345,7 +354,8 @@ class NearDuplicates:
         return pairs.join(a, "a").join(b, "b").filter(similar(common, F.size("of_a"), F.size("of_b"))).select("a", "b")
 
     def _verified_groups(self, groups: DataFrame, sets: DataFrame, placed: DataFrame) -> DataFrame:
-        sizes = groups.groupBy("hot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        weighed = groups.join(sets.select("same", F.size("shingles").alias("n")), "same")
+        sizes = weighed.groupBy("hot").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         placed = groups.join(sizes, "hot").join(self.classes.select("same", "copies"), "same").join(placed.select("same", "sig", "depths"), "same").join(sets, "same")
         placed = placed.withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
         dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
