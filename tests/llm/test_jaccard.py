@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -143,3 +145,28 @@ def test_components_of_long_paths_and_stars(spark):
     roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t"), "c").collect()}
     assert {roots[n] for n in names[:151]} == {min(names[:151])} and {roots[n] for n in names[200:300]} == {min(names[200:300])}
     assert len(roots) == 251
+
+
+HELD = """
+import re
+import pyarrow as pa
+from zonewise.llm import jaccard
+from zonewise.llm.bytetext import text_slices
+
+def held():
+    return int(re.search(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+before = held()
+for k in range(3):
+    batch = pa.array([" ".join(f"w{i * 31 % (997 + k)}" for i in range(j, j + 400)) for j in range(0, 2400)])
+    for part in text_slices(batch):
+        jaccard.class_hashes(part), jaccard.signatures(*jaccard.shingles_of(part))
+    del batch, part
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(sys.platform != "linux", reason="reads /proc")
+def test_a_worker_holds_little_between_batches():
+    made = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True)
+    assert float(made.stdout) < 50

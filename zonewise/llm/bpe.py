@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bytetext import let_go
 from .store import bound_batches, col
 
 #: Texts longer than this are cut at safe boundaries before encoding.
@@ -106,6 +107,7 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
                 rows.append((len(ids), hashlib.sha256(said).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()))
             n, said_as, decoded = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(said_as, pa.string()), pa.array(decoded, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            let_go()
 
     made = docs.select(col(id_col).alias(id_col), digest(col(text_col)).alias("made"))
     return made.select(F.col(f"`{id_col}`"), "made.n_tokens", "made.ids_sha256", "made.decoded_sha256")

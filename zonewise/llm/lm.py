@@ -52,6 +52,8 @@ NOISE, WITHIN = 32, 8
 TASK_TOKENS = 8_000_000
 #: Contexts in one matrix product when scoring.
 TOGETHER = 1024
+#: Bytes of text whose tokens are mixed in training, and whose equal contexts are met once in scoring.
+MIXED_BYTES = 1 << 20
 #: Bytes of text whose token counts are joined before they are sent on.
 COUNT_BYTES = 8 << 20
 END = np.uint64(0x5EED_0000_0000_0E0D)
@@ -293,7 +295,7 @@ def train_round(texts: DataFrame, vocabulary, parameters: np.ndarray) -> np.ndar
         model.set_parameters(shared.value)
         rng, cumulated = np.random.default_rng(17), np.cumsum(words.noise)
         for batch in batches:
-            for part in text_slices(batch.column(0)):
+            for part in text_slices(batch.column(0), MIXED_BYTES):
                 hashes, bounds, endings = tokens_of(part)
                 target = words.places(index.lookup(hashes), endings)
                 left, near = model.contexts(target, bounds)
@@ -385,7 +387,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
         index, model = words.index(), LogBilinear(words)
         model.set_parameters(shared.value)
         for batch in batches:
-            for part in text_slices(batch.column("text")):
+            for part in text_slices(batch.column("text"), MIXED_BYTES):
                 made = score_slice(part, words, index, model)
                 same = [batch.column(c).slice(part.first, part.n) for c in ("row", "id")]
                 yield pa.RecordBatch.from_arrays([*same, *(x if isinstance(x, pa.Array) else pa.array(x) for x in made.values())], ["row", "id", *made])
