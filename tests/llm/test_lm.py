@@ -156,3 +156,17 @@ def test_tokens_of_end_each_text():
     words, bounds, endings = lm.tokens_of(part)
     assert bounds.tolist() == [0, 3, 4, 5, 7] and words[1] == words[5] and (words[[2, 3, 4, 6]] == lm.END).all()
     assert endings[1] == endings[5] and (endings[[2, 3, 4, 6]] == 0).all()
+
+
+def test_sums_of_rows_and_of_exponentials():
+    rng = np.random.default_rng(3)
+    for width in (1, 24):
+        which, rows = rng.integers(0, 40, 500), rng.normal(size=(500, width)).astype(np.float32)
+        expected = np.array([rows[which == k].sum(axis=0) for k in range(50)])
+        assert np.allclose(lm._row_sums(which, rows, 50), expected, atol=1e-4)
+    for size in (5.0, 500.0):
+        scores = rng.normal(0, size, (30, 70)).astype(np.float32)
+        expected = np.logaddexp.reduce(scores.astype(np.float64), axis=1)
+        assert np.allclose(lm._log_sums(scores.copy(), float(np.abs(scores).max())), expected, atol=1e-3)
+    a, b = rng.normal(size=(20, 24)), rng.normal(size=(9, 24))
+    assert np.abs(a @ b.T).max() <= lm._longest(a) * lm._longest(b)

@@ -196,7 +196,7 @@ class LogBilinear:
             times = np.bincount(which, minlength=len(kinds))
         for name, slope in slopes.items():
             if rows is not None:
-                slope = np.stack([np.bincount(which, slope[:, k], len(kinds)) for k in range(slope.shape[1])], axis=1).astype(np.float32)
+                slope = _row_sums(which, slope, len(kinds))
             value, seen = getattr(self, name), self.seen[name]
             self.used[name][kinds] += times
             squares = seen[kinds] + slope * slope
@@ -246,9 +246,12 @@ class LogBilinear:
         # a bias is the weight of a last number that is always 1
         context = np.concatenate([context, np.ones((len(context), 1), np.float32)], axis=1)
         out, inner = np.ascontiguousarray(self._with_bias(self.out, self.bias).T), self._with_bias(self.inner, self.own)
+        # no product of two vectors is larger than their lengths'
+        longest = _longest(context[:, :SIZE])
+        most, most_inner = (longest * _longest(x[:, :SIZE]) + float(np.abs(x[:, SIZE]).max(initial=0)) for x in (out.T, inner))
         norm = np.empty(len(pair), np.float32)
         for i in range(0, len(pair), TOGETHER):
-            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ out)
+            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ out, most)
         unit = words.units(target)
         said = np.empty(len(target), np.float32)
         for i in range(0, len(target), BATCH):
@@ -266,13 +269,28 @@ class LogBilinear:
                 some = inside[i : min(b, i + TOGETHER)]
                 scores = context[which[some]] @ inner[first:last].T
                 own = scores[np.arange(len(some)), target[some] - first]
-                said[some] += own - _log_sums(scores)
+                said[some] += own - _log_sums(scores, most_inner)
         return np.minimum(said, 0).astype(np.float64)
 
 
-def _log_sums(scores: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of exponentials of each row; ``scores`` is used up."""
-    if not -60 < scores.min(initial=0) <= scores.max(initial=0) < 60:
+def _row_sums(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows that have each number below n; columns are summed in pairs, as complex numbers, where their number is even."""
+    pairs = np.ascontiguousarray(rows, dtype=np.float32)
+    pairs = pairs.view(np.complex64) if pairs.shape[1] % 2 == 0 else pairs
+    width = pairs.shape[1]
+    sums = np.zeros(n * width, dtype=pairs.dtype)
+    np.add.at(sums, (which[:, None] * width + np.arange(width)).ravel(), pairs.ravel())
+    return sums.view(np.float32).reshape(n, -1)
+
+
+def _longest(rows: np.ndarray) -> float:
+    """The length of the longest row."""
+    return float(np.sqrt(np.einsum("ik,ik->i", rows, rows).max(initial=0)))
+
+
+def _log_sums(scores: np.ndarray, most: float) -> np.ndarray:
+    """The logarithm of the sum of exponentials of each row; ``scores`` is used up. most: a bound on their size."""
+    if not most < 60:
         top = scores.max(axis=1, keepdims=True)
         scores -= top
         return top[:, 0] + np.log(np.exp(scores, out=scores).sum(axis=1))
