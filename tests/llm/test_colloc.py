@@ -84,3 +84,23 @@ def test_scores_beyond_64_bits(spark):
     made.phrases = spark.createDataFrame([("en", 1, "a", big, 1), ("en", 2, "b", big - 5, 1), ("en", 3, "a b", big - 7, 2)], "lang string, id long, phrase string, a long, size int")
     (row,) = made.scored().collect()
     assert (row.l, row.r, row.score) == (big, big - 5, 2000000 * (big - 7) // (2 * big - 5))
+
+
+def test_lists_and_pairs_go_as_soon_as_they_are_used(spark, monkeypatch):
+    events = []
+    drop, counted_pairs = Scratch.drop, colloc.Collocations._frequent_pairs
+
+    def dropped(self, *names):
+        events.extend(names)
+        drop(self, *names)
+
+    def pairs(self, dealt, size):
+        events.append(f"count {size}")
+        return counted_pairs(self, dealt, size)
+
+    monkeypatch.setattr(Scratch, "drop", dropped)
+    monkeypatch.setattr(colloc.Collocations, "_frequent_pairs", pairs)
+    docs = spark.createDataFrame([(k, "en", "a b c. a b d") for k in range(5)], "doc_id bigint, lang string, text string")
+    made = colloc.Collocations(docs, Scratch(spark, "dropped"), min_count=2, max_words=3)
+    assert events == ["lists-1", "count 2", "lists-2/kind=pairs", "lists-2", "count 3", "lists-3/kind=pairs", "lists-3"]
+    assert {(r.phrase, r.a) for r in made.phrases.filter("size > 1").collect()} == {("a b", 10), ("b c", 5), ("b d", 5), ("a b c", 5), ("a b d", 5)}

@@ -267,12 +267,17 @@ class Collocations:
         state = shards.select("shard", "n", "at")
         for size in range(1, max_words):
             step = passed(size, max_words - 1, 1 + tokens // (2 * BUCKET_PAIRS))
-            made = scratch.write(state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(step, PASSED), f"lists-{size + 1}")
-            state = made.filter("bucket IS NULL").select("shard", "ids", "n", "at", "words", "w_n", "w_at")
-            found, kept = self._frequent_pairs(made.filter("bucket IS NOT NULL").select("bucket", "shard", "heads", "tails", "n", "j"), size + 1)
+            made = state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(step, PASSED)
+            kind = F.when(F.col("bucket").isNull(), "lists").otherwise("pairs")
+            made = scratch.write(made.withColumn("kind", kind), f"lists-{size + 1}", by="kind")
+            # what made the lists goes before their pairs are shuffled, and the pairs before the next lists are made
+            scratch.drop(f"lists-{size}")
+            scratch.release()
+            state = made.filter("kind = 'lists'").select("shard", "ids", "n", "at", "words", "w_n", "w_at")
+            found, kept = self._frequent_pairs(made.filter("kind = 'pairs'").select("bucket", "shard", "heads", "tails", "n", "j"), size + 1)
+            scratch.drop(f"lists-{size + 1}/kind=pairs")
             level = scratch.write(self._texts(found, level, words, size + 1), f"phrases-{size + 1}")
             self.phrases = self.phrases.unionByName(level)
-            scratch.drop(f"lists-{size}")
             scratch.release()
         scratch.drop(f"lists-{max_words}")
 

@@ -50,8 +50,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def write(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+    def write(self, df: DataFrame, name: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
+        """The written table; rows of each value of ``by`` have a folder of their own, which can be dropped alone."""
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name), partitionBy=by)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -62,6 +63,8 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of steps whose frames are gone, which it does when the driver's JVM collects garbage."""
+        # the scheduler holds on to its last job until the next one
+        self.spark.range(1).count()
         gc.collect()
         self.spark._jvm.System.gc()
 
