@@ -170,3 +170,64 @@ def test_sums_of_rows_and_of_exponentials():
         assert np.allclose(lm._log_sums(scores.copy(), float(np.abs(scores).max())), expected, atol=1e-3)
     a, b = rng.normal(size=(20, 24)), rng.normal(size=(9, 24))
     assert np.abs(a @ b.T).max() <= lm._longest(a) * lm._longest(b)
+
+
+@pytest.mark.parametrize("places", [1, 8, 1 << 20])
+def test_a_context_met_before_is_not_normalised_again(monkeypatch, places):
+    monkeypatch.setattr(lm, "SINGLE", 5)
+    monkeypatch.setattr(lm, "TAIL", 7)
+    monkeypatch.setattr(lm, "REMEMBERED", places, raising=False)
+    rows, sums = [], lm._log_sums
+    monkeypatch.setattr(lm, "_log_sums", lambda scores, most: (rows.append(len(scores)) if scores.shape[1] > 100 else None, sums(scores, most))[1])
+    _, model = small_model()
+    target, bounds = np.random.default_rng(2).integers(0, 5, 300), np.array([0, 100, 100, 300])
+    once = model.log_probabilities(target, bounds)
+    made = sum(rows)
+    assert made == len({*zip(*(x.tolist() for x in model.contexts(target, bounds)), strict=True)})
+    assert np.allclose(model.log_probabilities(target, bounds), once, atol=1e-5)
+    assert sum(rows) == made if places > 1000 else sum(rows) > made
+    # other parameters, other normalisers
+    _, fresh = small_model()
+    for changed in (model, fresh):
+        changed.set_parameters(changed.parameters() * 0.5)
+    assert np.allclose(model.log_probabilities(target, bounds), fresh.log_probabilities(target, bounds), atol=1e-5)
+    steps = [np.random.default_rng(4) for _ in range(2)]
+    for changed, rng in zip((model, fresh), steps, strict=True):
+        changed.step(*changed.contexts(target, bounds), target, rng, np.cumsum(changed.words.noise))
+    fresh.set_parameters(fresh.parameters())
+    assert np.allclose(model.log_probabilities(target, bounds), fresh.log_probabilities(target, bounds), atol=1e-5)
+
+
+def test_words_are_drawn_for_groups_and_stepped_by_their_slopes(monkeypatch):
+    monkeypatch.setattr(lm, "SINGLE", 5)
+    monkeypatch.setattr(lm, "TAIL", 7)
+    words, model = small_model()
+    rng = np.random.default_rng(6)
+    target, left, near = rng.integers(0, 40, 400), rng.integers(0, 40, 400), rng.integers(0, 40, 400)
+    before = {name: getattr(model, name).astype(np.float64) for name in model.NAMES}
+    drawn, of_kind = [], model._add
+    monkeypatch.setattr(model, "_add", lambda rows, **slopes: (drawn.append(rows) if "inner" in slopes else None, of_kind(rows, **slopes))[1])
+    model.step(left, near, target, rng, np.cumsum(words.noise))
+    inside = (target >= 5) & (target < 30)
+    units = words.units(target[inside])
+    sizes = [int((units == u).sum()) for u in np.unique(units)]
+    groups = [min(lm.GROUP, n - a) for n in sizes for a in range(0, n, lm.GROUP)]
+    (rows,) = drawn
+    assert len(rows) == sum(sizes) + lm.WITHIN * len(groups) < sum(sizes) * (lm.WITHIN + 1)
+    # each token against its own word and those drawn for its group, one by one
+    slopes, own = np.zeros((30, lm.SIZE)), np.zeros(30)
+    order = np.flatnonzero(inside)[np.argsort(units, kind="stable")]
+    noise = rows[sum(sizes) :].reshape(-1, lm.WITHIN)
+    for i, k in zip(order, np.repeat(np.arange(len(groups)), groups), strict=True):
+        h = before["vector"][left[i]] * before["left"][0] + before["vector"][near[i]] * before["near"][0]
+        first = 5 + (target[i] - 5) // 7 * 7
+        size = min(7, 30 - first)
+        for word, is_true in [(target[i], 1), *((w, 0) for w in noise[k])]:
+            assert first <= word < first + size
+            said = h @ before["inner"][word] + before["own"][word, 0] - math.log(lm.WITHIN / size)
+            slope = (is_true - 1 / (1 + math.exp(-said))) / len(target)
+            slopes[word] += slope * h
+            own[word] += slope
+    changed = model.inner - before["inner"]
+    assert np.allclose(changed, lm.RATE * slopes / np.sqrt(1e-3 + slopes**2), atol=1e-4)
+    assert np.allclose((model.own - before["own"])[:, 0], lm.RATE * own / np.sqrt(1e-3 + own**2), atol=1e-4)

@@ -46,13 +46,15 @@ ROUNDS = 2
 BATCH, RATE = 4096, 0.08
 #: The share of the log-bilinear model in a token's probability; the rest is that of the counts alone, as of the base score.
 MIX = 0.5
-#: Units drawn as noise for a batch, and words of its unit for a token.
-NOISE, WITHIN = 32, 8
+#: Units drawn as noise for a batch, and words of their unit for each GROUP of a batch's tokens of one unit, or fewer.
+NOISE, WITHIN, GROUP = 32, 8, 4
 #: Tokens that a task trains on, about: each task sends on all its parameters.
 TASK_TOKENS = 8_000_000
 #: Contexts in one matrix product when scoring.
-TOGETHER = 1024
-#: Bytes of text whose tokens are mixed in training, and whose equal contexts are met once in scoring.
+TOGETHER = 256
+#: Places for contexts whose normalisers a worker remembers when scoring; a later context takes an earlier one's place.
+REMEMBERED = 1 << 20
+#: Bytes of text whose tokens are mixed in training, or scored at once.
 MIXED_BYTES = 1 << 20
 #: Bytes of text whose token counts are joined before they are sent on.
 COUNT_BYTES = 8 << 20
@@ -107,6 +109,9 @@ class Vocabulary:
     def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: np.ndarray, kinds: np.ndarray, total: int, distinct: int):
         self.words, self.counts, self.total, self.distinct = words.astype(np.int64).view(np.uint64), counts.astype(np.int64), int(total), int(distinct)
         self.hot = len(self.words)
+        #: Of each hot word the logarithm of its count and 1, and its share by counts; what comes last is for a rarer word, but for its own count and 1.
+        self.logs = np.log10(np.append(self.counts, 0) + 1.0)
+        self.shares = (np.append(self.counts, 0) + 1.0) / (self.total + self.distinct + 1.0)
         #: What the counts (and 1 for each word) of a rare unit add up to, with 1 for all unseen words.
         self.rest = (tokens + kinds + 1).astype(np.float64)
         self.single, self.tail = min(SINGLE, self.hot), TAIL
@@ -151,6 +156,11 @@ class LogBilinear:
     def reset(self) -> None:
         self.seen = {name: np.full_like(getattr(self, name), 1e-3) for name in self.NAMES}
         self.used = {name: np.zeros(len(getattr(self, name)), dtype=np.int64) for name in self.NAMES}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops what scoring remembers of the parameters."""
+        self.met = None
 
     def parameters(self) -> np.ndarray:
         """All parameters as rows of SIZE numbers; the biases fill the last column of their vectors' rows, of SIZE + 1 numbers."""
@@ -188,9 +198,9 @@ class LogBilinear:
             kinds, times = slice(None), 1
         else:
             size = len(getattr(self, next(iter(slopes))))
-            number = np.zeros(size, dtype=np.int64)
-            number[rows] = 1
-            kinds = np.flatnonzero(number)
+            there, number = np.zeros(size, dtype=bool), np.empty(size, dtype=np.int64)
+            there[rows] = True
+            kinds = np.flatnonzero(there)
             number[kinds] = np.arange(len(kinds))
             which = number[rows]
             times = np.bincount(which, minlength=len(kinds))
@@ -199,38 +209,58 @@ class LogBilinear:
                 slope = _row_sums(which, slope, len(kinds))
             value, seen = getattr(self, name), self.seen[name]
             self.used[name][kinds] += times
-            squares = seen[kinds] + slope * slope
-            seen[kinds] = squares
-            value[kinds] += RATE * slope / np.sqrt(squares)
+            squares = slope * slope
+            squares += seen if rows is None else seen.take(kinds, axis=0)
+            _put(seen, kinds, squares)
+            change = np.divide(slope, np.sqrt(squares, out=squares), out=squares)
+            change *= np.float32(RATE)
+            change += value if rows is None else value.take(kinds, axis=0)
+            _put(value, kinds, change)
 
     def step(self, left: np.ndarray, near: np.ndarray, target: np.ndarray, rng: np.random.Generator, cumulated: np.ndarray) -> None:
         """One noise-contrastive step over a batch's tokens, whose vectors' rows are ``target``."""
         words, scale = self.words, np.float32(1 / len(target))
-        u, v = self.vector[left], self.vector[near]
+        self.forget()
+        u, v = self.vector.take(left, axis=0), self.vector.take(near, axis=0)
         context = u * self.left + v * self.near
 
         # units against NOISE units drawn for the whole batch
         unit = words.units(target)
         drawn = np.minimum(np.searchsorted(cumulated, rng.random(NOISE)), len(words.noise) - 1)
         shift = np.log(NOISE * words.noise).astype(np.float32)
-        true = scale * (1 - _sigmoid((context * self.out[unit]).sum(axis=1) + self.bias[unit, 0] - shift[unit]))
-        false = -scale * _sigmoid(context @ self.out[drawn].T + self.bias[drawn, 0] - shift[drawn])
-        back = true[:, None] * self.out[unit] + false @ self.out[drawn]
+        of_unit, of_drawn = self.out.take(unit, axis=0), self.out[drawn]
+        true = scale * (1 - _sigmoid(np.einsum("ik,ik->i", context, of_unit) + self.bias[unit, 0] - shift[unit]))
+        false = -scale * _sigmoid(context @ of_drawn.T + self.bias[drawn, 0] - shift[drawn])
+        back = false @ of_drawn
+        back += np.multiply(of_unit, true[:, None], out=of_unit)
         self._add(np.concatenate([unit, drawn]), out=np.concatenate([true[:, None] * context, false.T @ context]), bias=np.concatenate([true, false.sum(axis=0)])[:, None])
 
-        # words within units of several, against WITHIN of the unit's words drawn for each, all alike
+        # words within units of several, against WITHIN of the unit's words drawn for each group, all alike
         some = np.flatnonzero((target >= words.single) & (target < words.hot))
         if len(some):
-            which = unit[some] - words.single
+            some = some[np.argsort(unit[some], kind="stable")]
+            begins = np.flatnonzero(np.diff(unit[some], prepend=-1))
+            place = np.arange(len(some)) - np.repeat(begins, np.diff(begins, append=len(some)))
+            slot, group = place % GROUP, np.cumsum(place % GROUP == 0) - 1
+            which = unit[some[slot == 0]] - words.single
             first, size = words.starts[which], words.starts[which + 1] - words.starts[which]
-            drawn = np.minimum(first[:, None] + (rng.random((len(some), WITHIN)) * size[:, None]).astype(np.int64), (first + size - 1)[:, None])
-            all_, h = np.concatenate([target[some][:, None], drawn], axis=1), context[some]
-            rows = self.inner[all_]
-            said = np.einsum("ikd,id->ik", rows, h) + self.own[all_, 0] - np.log(WITHIN / size).astype(np.float32)[:, None]
-            slope = -scale * _sigmoid(said)
-            slope[:, 0] += scale
-            back[some] += np.einsum("ik,ikd->id", slope, rows)
-            self._add(all_.ravel(), inner=(slope[:, :, None] * h[:, None, :]).reshape(-1, SIZE), own=slope.reshape(-1, 1))
+            drawn = np.minimum(first[:, None] + (rng.random((len(first), WITHIN)) * size[:, None]).astype(np.int64), (first + size - 1)[:, None])
+            shift = np.log(WITHIN / size).astype(np.float32)
+            rows, h = self.inner.take(target[some], axis=0), context.take(some, axis=0)
+            true = scale * (1 - _sigmoid(np.einsum("ik,ik->i", rows, h) + self.own[target[some], 0] - shift[group]))
+            # a group's contexts are the rows of a matrix; those it has not are zero and have no slopes
+            grouped, there = np.zeros((len(first), GROUP, SIZE), np.float32), np.zeros((len(first), GROUP, 1), np.float32)
+            grouped[group, slot], there[group, slot] = h, scale
+            noise = self.inner.take(drawn, axis=0)
+            said = grouped @ noise.transpose(0, 2, 1)
+            said += (self.own[drawn, 0] - shift[:, None])[:, None, :]
+            false = -there * _sigmoid(said)
+            rows *= true[:, None]
+            rows += (false @ noise)[group, slot]
+            back[some] += rows
+            h *= true[:, None]
+            inner, own = np.concatenate([h, (false.transpose(0, 2, 1) @ grouped).reshape(-1, SIZE)]), np.concatenate([true, false.sum(axis=1).ravel()])
+            self._add(np.concatenate([target[some], drawn.ravel()]), inner=inner, own=own[:, None])
 
         left_slope, near_slope = (back * u).sum(axis=0, keepdims=True), (back * v).sum(axis=0, keepdims=True)
         self._add(np.concatenate([left, near]), vector=np.concatenate([back * self.left, back * self.near]))
@@ -241,23 +271,43 @@ class LogBilinear:
         """Natural logarithms of each token's normalised probability; of a rare token that of its unit."""
         words = self.words
         left, near = self.contexts(target, bounds)
-        pair, which = np.unique(left * len(self.vector) + near, return_inverse=True)
-        context = self.vector[pair // len(self.vector)] * self.left + self.vector[pair % len(self.vector)] * self.near
-        # a bias is the weight of a last number that is always 1
-        context = np.concatenate([context, np.ones((len(context), 1), np.float32)], axis=1)
-        out, inner = np.ascontiguousarray(self._with_bias(self.out, self.bias).T), self._with_bias(self.inner, self.own)
+        if self.met is None:
+            # a bias is the weight of a last number that is always 1
+            out, inner = self._with_bias(self.out, self.bias), self._with_bias(self.inner, self.own)
+            self.met = out, inner, np.full(REMEMBERED, -1, dtype=np.int64), np.zeros(REMEMBERED, np.float32)
+        out, inner, known, norms = self.met
+        context, longest = np.ones((len(target), SIZE + 1), np.float32), 0.0
+        for i in range(0, len(target), BATCH):
+            h, more = self.vector.take(left[i : i + BATCH], axis=0), self.vector.take(near[i : i + BATCH], axis=0)
+            h *= self.left
+            h += np.multiply(more, self.near, out=more)
+            longest = max(longest, _longest(h))
+            context[i : i + BATCH, :SIZE] = h
         # no product of two vectors is larger than their lengths'
-        longest = _longest(context[:, :SIZE])
-        most, most_inner = (longest * _longest(x[:, :SIZE]) + float(np.abs(x[:, SIZE]).max(initial=0)) for x in (out.T, inner))
-        norm = np.empty(len(pair), np.float32)
-        for i in range(0, len(pair), TOGETHER):
-            norm[i : i + TOGETHER] = _log_sums(context[i : i + TOGETHER] @ out, most)
+        most, most_inner = (longest * _longest(x[:, :SIZE]) + float(np.abs(x[:, SIZE]).max(initial=0)) for x in (out, inner))
+        scores = np.empty(TOGETHER * max(len(out), words.tail), np.float32)
+
+        def products(rows: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+            return np.matmul(rows, vectors.T, out=scores[: len(rows) * len(vectors)].reshape(len(rows), len(vectors)))
+
+        # normalisers of contexts that the worker does not remember
+        pair = left * len(self.vector) + near
+        slot = (mix(pair.view(np.uint64)) % U64(REMEMBERED)).astype(np.int64)
+        norm, new = norms[slot], np.flatnonzero(known[slot] != pair)
+        kinds, first, which = np.unique(pair[new], return_index=True, return_inverse=True)
+        first, made = new[first], np.empty(len(kinds), np.float32)
+        for i in range(0, len(kinds), TOGETHER):
+            made[i : i + TOGETHER] = _log_sums(products(context.take(first[i : i + TOGETHER], axis=0), out), most)
+        norm[new] = made[which]
+        known[slot[first]] = kinds
+        mine = known[slot[first]] == kinds
+        norms[slot[first[mine]]] = made[mine]
         unit = words.units(target)
         said = np.empty(len(target), np.float32)
         for i in range(0, len(target), BATCH):
             some = slice(i, i + BATCH)
-            said[some] = (context[which[some]] * out.T[unit[some]]).sum(axis=1)
-        said -= norm[which]
+            said[some] = np.einsum("ik,ik->i", context[some], out.take(unit[some], axis=0))
+        said -= norm
         # tokens of each unit of several words together
         inside = np.flatnonzero((target >= words.single) & (target < words.hot))
         inside = inside[np.argsort(unit[inside], kind="stable")]
@@ -267,9 +317,9 @@ class LogBilinear:
             first, last = words.starts[k], words.starts[k + 1]
             for i in range(a, b, TOGETHER):
                 some = inside[i : min(b, i + TOGETHER)]
-                scores = context[which[some]] @ inner[first:last].T
-                own = scores[np.arange(len(some)), target[some] - first]
-                said[some] += own - _log_sums(scores, most_inner)
+                of_words = products(context.take(some, axis=0), inner[first:last])
+                own = of_words[np.arange(len(some)), target[some] - first]
+                said[some] += own - _log_sums(of_words, most_inner)
         return np.minimum(said, 0).astype(np.float64)
 
 
@@ -283,6 +333,15 @@ def _row_sums(which: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return sums.view(np.float32).reshape(n, -1)
 
 
+def _put(table: np.ndarray, kinds: np.ndarray | slice, rows: np.ndarray) -> None:
+    """Rows in the places of others, each as one item of its bytes."""
+    if isinstance(kinds, slice):
+        table[kinds] = rows
+    else:
+        item = f"V{table.itemsize * table.shape[1]}"
+        table.view(item).reshape(-1)[kinds] = rows.view(item).reshape(-1)
+
+
 def _longest(rows: np.ndarray) -> float:
     """The length of the longest row."""
     return float(np.sqrt(np.einsum("ik,ik->i", rows, rows).max(initial=0)))
@@ -295,7 +354,7 @@ def _log_sums(scores: np.ndarray, most: float) -> np.ndarray:
         scores -= top
         return top[:, 0] + np.log(np.exp(scores, out=scores).sum(axis=1))
     # no sum of so small exponents leaves the range of 32 bits
-    return np.log(np.exp(scores, out=scores).sum(axis=1))
+    return np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], np.float32))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -367,14 +426,13 @@ def score_slice(part: Slice, words: Vocabulary, index: HashIndex, model: LogBili
     hashes, bounds, endings = tokens_of(part)
     rank = index.lookup(hashes)
     hot = rank >= 0
-    logs = np.where(hot, np.log10(words.counts[np.maximum(rank, 0)] + 1.0) if len(words.counts) else 0.0, 0.0)
-    # a rare word's share of its unit is (count + 1) / rest; its count is joined later
-    said = model.log_probabilities(words.places(rank, endings), bounds) / np.log(10) - np.where(hot, 0.0, np.log10(words.rest)[endings])
-    # the count of a rare word is a factor of both probabilities
-    alone = logs - np.log10(words.total + words.distinct + 1.0)
-    said = np.log10(MIX * 10.0**said + (1 - MIX) * 10.0**alone)
+    logs = words.logs[rank]
+    said = np.exp(model.log_probabilities(words.places(rank, endings), bounds))
     at = np.flatnonzero(~hot)
-    doc = np.repeat(np.arange(part.n), np.diff(bounds))[at]
+    # a rare word's share of its unit is (count + 1) / rest, and its count, a factor of both probabilities, is joined later
+    said[at] /= words.rest[endings[at]]
+    said = np.log10(MIX * said + (1 - MIX) * words.shares[rank])
+    doc = np.searchsorted(bounds, at, side="right") - 1
     order = np.lexsort((hashes[at], doc))
     kind, doc = hashes[at][order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (doc[1:] != doc[:-1])])) if len(kind) else np.zeros(0, dtype=np.int64)
