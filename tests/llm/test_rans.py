@@ -9,9 +9,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from zonewise.llm import rans
-from zonewise.llm.pretoken import PATTERN, Encoder
+from zonewise.llm.pretoken import LIMIT, PATTERN, Encoder, byte_characters
 from zonewise.llm.pretoken import encoder as shared_encoder
 from zonewise.llm.queries import PLAIN_TOKENIZER, QUERIES
 from zonewise.llm.store import Scratch, table
@@ -58,6 +59,16 @@ def test_cache_may_start_anew(encoder, monkeypatch):
         assert [x.tolist() for x in encoder.encode(pa.array(texts))] == library_ids(texts)
 
 
+def test_new_pieces_go_to_the_model_alone():
+    """All characters below the limit, so all bytes of them, as pieces of their own and joined."""
+    texts = [" ".join(map(chr, range(LIMIT))), "".join(map(chr, range(LIMIT))), "\x00\x7f\xad \xff" * 3, "", None]
+    assert byte_characters().tolist() == [ord(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(b))[0][0]) for b in range(128)] + byte_characters()[128:].tolist()
+    assert {chr(c) for c in byte_characters()} == {*ByteLevel.alphabet()} and len({*byte_characters().tolist()}) == 256
+    mine = Encoder(FILE)
+    mine.library = None
+    assert [x.tolist() for x in mine.encode(pa.array(texts))] == library_ids(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 300), max_size=700), st.integers(1, 300))
 def test_blocks_round_trip(ids, rare):

@@ -2,7 +2,8 @@
 
 A byte-level BPE splits a text by a fixed pattern into pieces and encodes every piece by itself. The
 pieces of texts whose characters are all below LIMIT, where the pattern's classes are plain, are
-found here in numpy; the library encodes those that the worker has not met before. Any other text
+found here in numpy; the library's model encodes those that the worker has not met before, with a
+character for each byte as the byte-level pre-tokenizer has it. Any other text
 goes to the library whole: one with a character from LIMIT on, one that names an added token, and all
 texts if the tokenizer file says that it splits or changes texts in another way.
 """
@@ -37,6 +38,15 @@ def classes() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def byte_characters() -> np.ndarray:
+    """The character by which a byte-level tokenizer file names each byte: its own if that is printed, else one from 256 on."""
+    shown = np.zeros(256, dtype=bool)
+    for low, high in ((0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)):
+        shown[low : high + 1] = True
+    return np.where(shown, np.arange(256), 255 + np.cumsum(~shown)).astype("<u2")
+
+
 def piece_starts(chars: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Where pieces start in the joined characters of texts; offs has the start of each text and the end of the last."""
     n = len(chars)
@@ -72,6 +82,7 @@ def piece_starts(chars: np.ndarray, offs: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         said = json.loads(self.library.to_str())
         cuts = said.get("pre_tokenizer") or {}
         #: Whether pieces may be cut here.
@@ -85,9 +96,10 @@ class Encoder:
         self.begin, self.size = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
 
     def _learn(self, kinds: np.ndarray, pieces: list[str]) -> None:
-        made = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, dtype=np.uint32)
-        size = np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(pieces))
+        """Remembers pieces, given in byte_characters."""
+        made = [[token.id for token in self.model.tokenize(piece)] for piece in pieces]
+        size = np.array([len(x) for x in made], dtype=np.int64)
+        ids = np.array([i for x in made for i in x], dtype=np.uint32)
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         known = self.number.n
@@ -99,12 +111,11 @@ class Encoder:
         self.filled += len(ids)
         self.number.insert(kinds, known + np.arange(len(pieces)))
 
-    def _plain(self, part: Slice, chars: np.ndarray, char_offs: np.ndarray) -> list[np.ndarray]:
-        """Ids of texts whose characters are all below LIMIT."""
+    def _plain(self, part: Slice, chars: np.ndarray, char_offs: np.ndarray, byte_at: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts whose characters, which are at byte_at, are all below LIMIT."""
         starts = piece_starts(chars, char_offs)
-        width = np.where(chars < 0x80, 1, 2)
-        byte_at = np.concatenate([[0], np.cumsum(width)])
-        begin, end = byte_at[starts], byte_at[np.append(starts[1:], len(chars))] if len(starts) else byte_at[:0]
+        begin = byte_at[starts]
+        end = np.append(begin[1:], len(part.buf)) if len(starts) else begin
         hashes = part.hash_spans(part.prefix_hash(BYTE_HASH), begin, end)
         index = self.number.lookup(hashes)
         if (index < 0).any():
@@ -113,8 +124,8 @@ class Encoder:
                 index[:] = -1
             new = np.flatnonzero(index < 0)
             kinds, first = np.unique(hashes[new], return_index=True)
-            raw = part.buf.tobytes()
-            self._learn(kinds, [raw[begin[j] : end[j]].decode() for j in new[first].tolist()])
+            named, some = byte_characters()[part.buf].tobytes().decode("utf-16-le"), new[first]
+            self._learn(kinds, [named[a:b] for a, b in zip(begin[some].tolist(), end[some].tolist(), strict=True)])
             index[new] = self.number.lookup(hashes[new])
         size = self.size[index]
         ends = np.cumsum(size)
@@ -131,23 +142,23 @@ class Encoder:
                 out += [self._whole(raw[a:b]) for a, b in zip(part.offs[:-1].tolist(), part.offs[1:].tolist(), strict=True)]
                 continue
             chars = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
-            begins = np.concatenate([[0], np.cumsum((part.buf & 0xC0) != 0x80)])
-            char_offs = begins[part.offs]
-            odd = np.concatenate([[0], np.cumsum(chars >= LIMIT)])[char_offs]
-            plain = np.diff(odd) == 0
+            byte_at = np.flatnonzero((part.buf & 0xC0) != 0x80)
+            char_offs = np.searchsorted(byte_at, part.offs)
+            plain = np.diff(np.searchsorted(np.flatnonzero(chars >= LIMIT), char_offs)) == 0
             for token in self.added:
                 at = raw.find(token)
                 while at >= 0:
                     plain[np.searchsorted(part.offs, at, side="right") - 1] = False
                     at = raw.find(token, at + 1)
             if plain.all():
-                out += self._plain(part, chars, char_offs)
+                out += self._plain(part, chars, char_offs, byte_at)
                 continue
             for i in range(part.n):
                 a, b = part.offs[i], part.offs[i + 1]
                 if plain[i]:
                     some = Slice(part.first + i, part.buf[a:b], np.array([0, b - a]))
-                    out += self._plain(some, chars[char_offs[i] : char_offs[i + 1]], char_offs[i : i + 2] - char_offs[i])
+                    which = slice(char_offs[i], char_offs[i + 1])
+                    out += self._plain(some, chars[which], char_offs[i : i + 2] - char_offs[i], byte_at[which] - a)
                 else:
                     out.append(self._whole(raw[a:b]))
         return out
