@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 from zonewise.llm import colloc
@@ -104,3 +105,17 @@ def test_lists_and_pairs_go_as_soon_as_they_are_used(spark, monkeypatch):
     made = colloc.Collocations(docs, Scratch(spark, "dropped"), min_count=2, max_words=3)
     assert events == ["lists-1", "count 2", "lists-2/kind=pairs", "lists-2", "count 3", "lists-3/kind=pairs", "lists-3"]
     assert {(r.phrase, r.a) for r in made.phrases.filter("size > 1").collect()} == {("a b", 10), ("b c", 5), ("b d", 5), ("a b c", 5), ("a b d", 5)}
+
+
+def test_rows_of_a_shard_are_packed_in_runs():
+    rows = pa.RecordBatch.from_pydict({"of": [7, 7, 7, 3, 7], "j": [0, 2, 9, 1, 11], "id": [5 << 33, 1, 3, 1, 8]})
+    made = [r for batch in colloc._packed_rows(iter([rows, rows.slice(0, 0)])) for r in batch.to_pylist()]
+    assert [(r["of"], colloc._unpack(r["j"]).tolist(), colloc._unpack(r["ids"]).tolist()) for r in made] == [(7, [0, 2, 9], [5 << 33, 1, 3]), (3, [1], [1]), (7, [11], [8])]
+
+
+def test_the_shuffle_of_words_goes_before_the_first_pass(spark, monkeypatch):
+    done, write, release = [], Scratch.write, Scratch.release
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a, **k: (done.append(name), write(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(Scratch, "release", lambda self: (done.append("release"), release(self))[1])
+    colloc.Collocations(table(spark, SF, "documents"), Scratch(spark, "t"))
+    assert done.index("phrases-1") < done.index("release") < done.index("lists-2")

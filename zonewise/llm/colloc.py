@@ -102,6 +102,15 @@ def _unpacked(table: pa.Table, name: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (of, j, id) as (of, j, ids), packed for each run of equal ``of`` in a batch."""
+    for batch in batches:
+        of, j, ids = (batch.column(c).to_numpy() for c in ("of", "j", "id"))
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        runs = list(zip(np.split(j, cuts), np.split(ids, cuts), strict=True)) if len(of) else []
+        yield pa.RecordBatch.from_arrays([pa.array(of[np.append(0, cuts)] if len(of) else of, pa.int64()), *(pa.array([_pack(r[k]) for r in runs], pa.binary()) for k in range(2))], ["of", "j", "ids"])
+
+
 def _to_shards(shard_tokens: int, held_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Texts (lang, text) as shards."""
 
@@ -193,7 +202,7 @@ def passed(size: int, last: int, buckets: int) -> Callable[[pa.Table, pa.Table],
         if size == 1:
             every = shard.column("n").combine_chunks().flatten().to_numpy().astype(np.int64)
             found = _Lists(np.arange(len(every)), every, _unpacked(shard, "at"))
-            words = phrases = found.chosen(frequent.column("j").to_numpy(), frequent.column("id").to_numpy())
+            words = phrases = found.chosen(_unpacked(frequent, "j"), _unpacked(frequent, "ids"))
         else:
             words = _Lists(*(_unpacked(shard, name) for name in ("words", "w_n", "w_at")))
             before = _Lists(*(_unpacked(shard, name) for name in ("ids", "n", "at"))) if size > 2 else words
@@ -261,6 +270,8 @@ class Collocations:
         shards = scratch.write(texts.mapInArrow(_to_shards(SHARD_TOKENS, HELD_TOKENS), SHARD).withColumn("shard", F.monotonically_increasing_id()), "lists-1", "zstd")
         self.totals = scratch.write(shards.select("lang", F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         words, kept = self._frequent_words(shards)
+        # the shuffle that counted the words goes before the first pass
+        scratch.release()
         #: Frequent phrases (lang, id, phrase, a, size) of one word up to max_words.
         self.phrases = level = words
         tokens = self.totals.agg(F.sum("n").alias("n")).first().n or 0
@@ -282,14 +293,16 @@ class Collocations:
         scratch.drop(f"lists-{max_words}")
 
     def _frequent_words(self, shards: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Frequent words with numbers, and where shards have them (of, j, id)."""
+        """Frequent words with numbers, and where shards have them (of, j, ids)."""
         local = shards.select("lang", F.inline(F.arrays_zip("names", "n"))).withColumnRenamed("names", "word")
         counts = local.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.min_count)
         found = self.scratch.write(counts.withColumn("id", F.monotonically_increasing_id()), "phrases-1")
         here = shards.select(F.col("shard").alias("of"), "lang", F.posexplode("names").alias("j", "word"))
         # a word has one row in a shard, so no key of this join holds many of its rows
-        small = F.broadcast(found) if found.count() <= BROADCAST_PHRASES else found
-        kept = here.join(small.drop("a"), ["lang", "word"]).select("of", "j", "id")
+        few = found.count() <= BROADCAST_PHRASES
+        kept = here.join((F.broadcast(found) if few else found).drop("a"), ["lang", "word"]).select("of", "j", "id")
+        # a broadcast join leaves a shard's rows together, in the order of j
+        kept = (kept if few else kept.sortWithinPartitions("of", "j")).mapInArrow(_packed_rows, "of bigint, j binary, ids binary")
         return found.select("lang", "id", F.col("word").cast("string").alias("phrase"), "a", F.lit(1).alias("size")), kept
 
     def _frequent_pairs(self, dealt: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
