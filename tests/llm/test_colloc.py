@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from zonewise.llm import colloc
 from zonewise.llm.queries import QUERIES
@@ -119,3 +121,39 @@ def test_the_shuffle_of_words_goes_before_the_first_pass(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "release", lambda self: (done.append("release"), release(self))[1])
     colloc.Collocations(table(spark, SF, "documents"), Scratch(spark, "t"))
     assert done.index("phrases-1") < done.index("release") < done.index("lists-2")
+
+
+def test_passes_write_few_bytes(spark, monkeypatch):
+    """A pair takes few bytes on its way, and lists of words aren't written again with those of phrases."""
+    made, write = {}, Scratch.write
+
+    def written(self, df, name, *a, **k):
+        out = write(self, df, name, *a, **k)
+        if name in ("lists-2", "lists-3"):
+            size = sum((F.coalesce(F.length(c), F.lit(0)) for c, kind in out.dtypes if kind == "binary"), F.lit(0))
+            made[name] = {r.kind: r for r in out.groupBy("kind").agg(F.sum(size).alias("bytes"), F.collect_list("heads").alias("heads")).collect()}
+        return out
+
+    monkeypatch.setattr(Scratch, "write", written)
+    colloc.Collocations(table(spark, SF, "documents"), Scratch(spark, "bytes"), min_count=5)
+    pairs = made["lists-2"]["pairs"]
+    n = sum(len(colloc._unpack(heads)) for heads in pairs.heads)
+    # 2.2 bytes with differences of signed numbers in no order, and places besides
+    assert n > 10_000 and pairs.bytes < 1.8 * n
+    assert 0 < made["lists-3"]["lists"].bytes < made["lists-2"]["lists"].bytes
+
+
+def test_packed_integers_come_back():
+    extremes = np.array([0, -1, 1, 2**63 - 1, -(2**63), 5, -(2**63), 2**63 - 1])
+    for values in (extremes, np.arange(1000), np.zeros(0, dtype=np.int64), np.array([7])):
+        for steps in (True, False):
+            back = colloc._unpack(colloc._pack(values, steps))
+            assert back.dtype == np.int64 and back.tolist() == values.tolist()
+
+
+def test_frequent_words_have_low_numbers(spark):
+    made = colloc.Collocations(table(spark, SF, "documents"), Scratch(spark, "numbers"), min_count=5)
+    rows = made.phrases.filter("size = 1").orderBy("lang", "id").collect()
+    assert len({r.id for r in rows}) == len(rows)
+    for one, next_one in zip(rows, rows[1:], strict=False):
+        assert one.lang != next_one.lang or one.a >= next_one.a

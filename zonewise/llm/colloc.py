@@ -2,14 +2,15 @@
 
 The tokens of a language are dealt to shards, bounded blocks of texts with positions of their own. A
 shard holds, for each word, the ascending list of its positions; positions leave a gap where a piece
-ends. Phrases grow by a word in each pass: the positions of frequent phrases are merge-joined with
-the postings of the words that follow, and the length of what is left is the new phrase's exact count
-in the shard. Counts of all shards are summed, and only phrases that are frequent in the whole
-language are extended, within each shard, in the next pass; what they end in must be frequent too.
+ends. Phrases grow by a word in each pass: a longer phrase is two frequent ones that start one
+position apart, so the positions of frequent phrases are merge-joined with themselves, and the length
+of what is left is the new phrase's exact count in the shard. Counts of all shards are summed, and
+only phrases that are frequent in the whole language are extended, within each shard, in the next pass.
 
-Frequent words and phrases have numbers, so a longer phrase is a pair of them. Shards send their pairs
-in buckets by hash, sorted and packed; as a bucket holds a bounded number of pairs, and a shard has a
-pair once, no task grows with the corpus or with a frequent phrase. No occurrence leaves its shard.
+Frequent words and phrases have numbers, the more frequent the lower, so that they and the steps of
+their lists pack well. Shards send their pairs in buckets by hash, sorted and packed, and find them
+again in the next pass by the same hash; as a bucket holds a bounded number of pairs, and a shard has
+a pair once, no task grows with the corpus or with a frequent phrase. No occurrence leaves its shard.
 
 Words are runs of anything but spaces and tabs within pieces, which end at .,;:!? and line ends; A-Z
 are lower-cased. Null texts are empty and null languages are ``und``. Repeated rows count as often as
@@ -47,11 +48,12 @@ _PIECES = bytes(10 if c in b".,;:!?\n\v\f\r" else c for c in _LOWER)
 #: Pairs that are counted together in a bucket, about.
 BUCKET_PAIRS = 1 << 20
 SHARD = "lang string, names array<binary>, n array<int>, at binary"
-#: What a pass makes of a shard: a row (bucket is null) with the lists of its frequent phrases and of its frequent words, and
-#: rows with the pairs of a phrase and a word that follow each other, by bucket; all but the numbers are packed.
-PASSED = "shard bigint, bucket bigint, ids binary, n binary, at binary, words binary, w_n binary, w_at binary, heads binary, tails binary, j binary"
-#: Of a bucket: a row with its frequent pairs, their numbers and counts, and rows with those that each shard (of) has.
-COUNTED = "of bigint, j binary, ids binary, found array<struct<head: bigint, tail: bigint, id: bigint, a: bigint>>"
+#: What a pass makes of a shard: a row (bucket is null) with the lists of its frequent phrases, and rows with the pairs of
+#: phrases that start one position apart, by bucket; all but the numbers are packed.
+PASSED = "shard bigint, bucket bigint, ids binary, n binary, at binary, heads binary, tails binary"
+#: Of a bucket: a row with its frequent pairs, their numbers and counts, and rows with those that each shard (of) has, by their
+#: places (j) among the pairs that it sent to the bucket.
+COUNTED = "of bigint, bucket bigint, j binary, ids binary, found array<struct<head: bigint, tail: bigint, id: bigint, a: bigint>>"
 
 
 def tokens_of(text: bytes) -> list[bytes | None]:
@@ -75,25 +77,34 @@ class _Buffer:
         self.ids = array("I")
 
     def lists(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """(words, list lengths, positions): positions are ascending within each word's list."""
+        """(words, list lengths, positions): long lists first, and positions ascending within each."""
         ids = np.frombuffer(self.ids, dtype=np.uint32)
         n = np.bincount(ids, minlength=len(self.index))
-        return list(self.index)[1:], n[1:], np.argsort(ids, kind="stable")[n[0] :]
+        order = np.append(0, 1 + np.argsort(-n[1:], kind="stable"))
+        place = np.empty(len(n), dtype=np.uint32)
+        place[order] = np.arange(len(n))
+        words = list(self.index)
+        return [words[k] for k in order[1:].tolist()], n[order[1:]], np.argsort(place[ids], kind="stable")[n[0] :]
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Integers as compressed byte planes of their differences, after how many they are."""
-    steps = np.diff(values.astype(np.int64), prepend=np.int64(0))
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T)
-    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def _pack(values: np.ndarray, steps: bool = True) -> bytes:
+    """Integers as compressed byte planes, of their differences or of themselves, after how many they are and which of both."""
+    packed = values.astype(np.int64)
+    if steps:
+        step = np.diff(packed, prepend=np.int64(0))
+        # the sign goes last, or small steps back would fill all planes
+        packed = (step << 1) ^ (step >> 63)
+    planes = np.ascontiguousarray(packed.view(np.uint8).reshape(-1, 8).T)
+    return (2 * len(values) + steps).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
+    size, steps = divmod(int.from_bytes(data[:8], "little"), 2)
     if not size:
         return np.zeros(0, dtype=np.int64)
     planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * size, codec="zstd", asbytes=True), dtype=np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, size).T).view(np.int64).ravel())
+    packed = np.ascontiguousarray(planes.reshape(8, size).T).view(np.uint64).ravel()
+    return np.cumsum((packed >> np.uint64(1)).view(np.int64) ^ -(packed & np.uint64(1)).view(np.int64)) if steps else packed.view(np.int64)
 
 
 def _unpacked(table: pa.Table, name: str) -> np.ndarray:
@@ -149,7 +160,7 @@ def _among(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(sorted_values[place] == wanted, place, -1)
 
 
-_PASSED_ARROW = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), *((name, pa.binary()) for name in ("ids", "n", "at", "words", "w_n", "w_at", "heads", "tails", "j"))])
+_PASSED_ARROW = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), *((name, pa.binary()) for name in ("ids", "n", "at", "heads", "tails"))])
 
 
 class _Lists:
@@ -172,26 +183,30 @@ class _Lists:
         return _Lists(ids, n, self.at[place])
 
 
-def _followed(phrases: _Lists, words: _Lists, size: int) -> tuple[_Lists, np.ndarray, np.ndarray]:
-    """Lists of the phrases with one word more, numbered from 0 by (phrase, word), and the phrase and the word of each.
+def _followed(phrases: _Lists) -> tuple[_Lists, np.ndarray, np.ndarray]:
+    """Lists of the phrases with one word more, numbered from 0 by (head, tail), and the places of each one's head and tail.
 
-    The positions of phrases of ``size`` words are merge-joined with the postings of the words after
-    them; what the longer phrase ends in has to be frequent, so to start a list one position on.
+    A longer phrase is a head and a tail of equal size that starts one position on.
     """
     starts, phrase = phrases.by_position()
-    places, word = words.by_position()
-    follows = _among(places, starts + size)
+    follows = _among(starts, starts + 1)
     met = follows >= 0
-    if size > 1:
-        met &= _among(starts, starts + 1) >= 0
-    starts, pair = starts[met], phrase[met] * len(words.n) + word[follows[met]]
+    width = max(1, len(phrases.n))
+    starts, pair = starts[met], phrase[met] * width + phrase[follows[met]]
     order = np.argsort(pair, kind="stable")
     pair = pair[order]
     first = np.flatnonzero(np.diff(pair, prepend=-1))
-    width = max(1, len(words.n))
     return _Lists(np.arange(len(first)), np.diff(np.append(first, len(pair))), starts[order]), pair[first] // width, pair[first] % width
 
 
+def _dealt(heads: np.ndarray, tails: np.ndarray, buckets: int) -> dict[int, np.ndarray]:
+    """Where the pairs of each bucket are, ascending."""
+    bucket = (mix(mix(heads.view(np.uint64)) + tails.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+    return {int(bucket[part[0]]): part for part in parts}
+
+
 def passed(size: int, last: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """The pass that makes, of a shard's lists of phrases of size - 1 words and what is known to be frequent of those of ``size``, these one's lists and the pairs that are next to be counted."""
 
@@ -201,25 +216,18 @@ def passed(size: int, last: int, buckets: int) -> Callable[[pa.Table, pa.Table],
         number = shard.column("shard")[0].as_py()
         if size == 1:
             every = shard.column("n").combine_chunks().flatten().to_numpy().astype(np.int64)
-            found = _Lists(np.arange(len(every)), every, _unpacked(shard, "at"))
-            words = phrases = found.chosen(_unpacked(frequent, "j"), _unpacked(frequent, "ids"))
+            found, which = _Lists(np.arange(len(every)), every, _unpacked(shard, "at")), _unpacked(frequent, "j")
         else:
-            words = _Lists(*(_unpacked(shard, name) for name in ("words", "w_n", "w_at")))
-            before = _Lists(*(_unpacked(shard, name) for name in ("ids", "n", "at"))) if size > 2 else words
-            phrases = _followed(before, words, size - 1)[0].chosen(_unpacked(frequent, "j"), _unpacked(frequent, "ids"))
-        nothing = [None] * 9
-        lists = [words.ids, words.n, words.at]
-        own = [phrases.ids, phrases.n, phrases.at] if size > 1 else [np.zeros(0, dtype=np.int64)] * 3
-        rows = [] if size == last else [[number, None, *map(_pack, own + lists), None, None, None]]
-        pairs, head, tail = _followed(phrases, words, size)
-        heads, tails = phrases.ids[head], words.ids[tail]
-        bucket = (mix(mix(heads.view(np.uint64)) + tails.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-            # in the order of (head, tail), so of j
-            row = [number, int(bucket[part[0]]), *nothing]
-            row[3], row[8:] = _pack(pairs.n[part]), [_pack(heads[part]), _pack(tails[part]), _pack(part)]
-            rows.append(row)
+            before = _Lists(*(_unpacked(shard, name) for name in ("ids", "n", "at")))
+            found, head, tail = _followed(before)
+            sent = _dealt(before.ids[head], before.ids[tail], buckets)
+            which = np.concatenate([sent[b][_unpack(j)] for b, j in zip(frequent.column("bucket").to_pylist(), frequent.column("j").to_pylist(), strict=True)])
+        phrases = found.chosen(which, _unpacked(frequent, "ids"))
+        rows = [] if size == last else [[number, None, _pack(phrases.ids), _pack(phrases.n, steps=False), _pack(phrases.at), None, None]]
+        pairs, head, tail = _followed(phrases)
+        heads, tails = phrases.ids[head], phrases.ids[tail]
+        for bucket, part in _dealt(heads, tails, buckets).items():
+            rows.append([number, bucket, None, _pack(pairs.n[part], steps=False), None, _pack(heads[part]), _pack(tails[part], steps=False)])
         if not rows:
             return _PASSED_ARROW.empty_table()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PASSED_ARROW.types, strict=True)], schema=_PASSED_ARROW)
@@ -227,24 +235,27 @@ def passed(size: int, last: int, buckets: int) -> Callable[[pa.Table, pa.Table],
     return step
 
 
-_COUNTED_ARROW = pa.schema([("of", pa.int64()), ("j", pa.binary()), ("ids", pa.binary()), ("found", pa.list_(pa.struct([(n, pa.int64()) for n in ("head", "tail", "id", "a")])))])
+_COUNTED_ARROW = pa.schema([("of", pa.int64()), ("bucket", pa.int64()), ("j", pa.binary()), ("ids", pa.binary()), ("found", pa.list_(pa.struct([(n, pa.int64()) for n in ("head", "tail", "id", "a")])))])
 
 
-def counted(least: int) -> Callable[[pa.Table], pa.Table]:
+def counted(least: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """The sums of a bucket's pairs over shards, numbered where they are frequent."""
 
     def count(bucket: pa.Table) -> pa.Table:
-        parts = [[_unpack(x.as_py()) for x in bucket.column(name)] for name in ("heads", "tails", "n", "j")]
-        heads, tails, n, j = (np.concatenate(p) for p in parts)
+        number = bucket.column("bucket")[0].as_py()
+        parts = [[_unpack(x.as_py()) for x in bucket.column(name)] for name in ("heads", "tails", "n")]
+        heads, tails, n = (np.concatenate(p) for p in parts)
         row = np.repeat(np.arange(bucket.num_rows), [len(p) for p in parts[0]])
+        j = np.concatenate([np.arange(len(p)) for p in parts[0]])
         order = np.lexsort((tails, heads))
         heads, tails = heads[order], tails[order]
         new = np.append(True, (heads[1:] != heads[:-1]) | (tails[1:] != tails[:-1]))
         first = np.flatnonzero(new)
         total = np.add.reduceat(n[order], first)
         frequent = total >= least
-        # a number is the bucket's, then the pair's in it
-        ids = (bucket.column("bucket")[0].as_py() << 32) + np.cumsum(frequent) - 1
+        # of the pair's rank in the bucket and the bucket, so frequent pairs of all buckets have low numbers
+        ids = np.zeros(len(total), dtype=np.int64)
+        ids[np.flatnonzero(frequent)[np.argsort(-total[frequent], kind="stable")]] = np.arange(frequent.sum()) * buckets + number
         found = [{"head": h, "tail": t, "id": i, "a": a} for h, t, i, a in zip(*(x[frequent].tolist() for x in (heads[first], tails[first], ids, total)), strict=True)]
         group = np.cumsum(new) - 1
         stays = frequent[group]
@@ -252,7 +263,7 @@ def counted(least: int) -> Callable[[pa.Table], pa.Table]:
         back = np.argsort(row, kind="stable")
         shares = np.split(back, np.cumsum(np.bincount(row, minlength=bucket.num_rows))[:-1])
         shards = bucket.column("shard").to_pylist()
-        rows = [(s, _pack(j[share]), _pack(of_pair[share]), None) for s, share in zip(shards, shares, strict=True) if len(share)] + [(None, None, None, found)]
+        rows = [(s, number, _pack(j[share]), _pack(of_pair[share], steps=False), None) for s, share in zip(shards, shares, strict=True) if len(share)] + [(None, None, None, None, found)]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _COUNTED_ARROW.types, strict=True)], schema=_COUNTED_ARROW)
 
     return count
@@ -274,20 +285,20 @@ class Collocations:
         scratch.release()
         #: Frequent phrases (lang, id, phrase, a, size) of one word up to max_words.
         self.phrases = level = words
-        tokens = self.totals.agg(F.sum("n").alias("n")).first().n or 0
+        self.buckets = 1 + (self.totals.agg(F.sum("n").alias("n")).first().n or 0) // (2 * BUCKET_PAIRS)
         state = shards.select("shard", "n", "at")
         for size in range(1, max_words):
-            step = passed(size, max_words - 1, 1 + tokens // (2 * BUCKET_PAIRS))
+            step = passed(size, max_words - 1, self.buckets)
             made = state.groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(step, PASSED)
             kind = F.when(F.col("bucket").isNull(), "lists").otherwise("pairs")
             made = scratch.write(made.withColumn("kind", kind), f"lists-{size + 1}", by="kind")
             # what made the lists goes before their pairs are shuffled, and the pairs before the next lists are made
             scratch.drop(f"lists-{size}")
             scratch.release()
-            state = made.filter("kind = 'lists'").select("shard", "ids", "n", "at", "words", "w_n", "w_at")
-            found, kept = self._frequent_pairs(made.filter("kind = 'pairs'").select("bucket", "shard", "heads", "tails", "n", "j"), size + 1)
+            state = made.filter("kind = 'lists'").select("shard", "ids", "n", "at")
+            found, kept = self._frequent_pairs(made.filter("kind = 'pairs'").select("bucket", "shard", "heads", "tails", "n"), size + 1)
             scratch.drop(f"lists-{size + 1}/kind=pairs")
-            level = scratch.write(self._texts(found, level, words, size + 1), f"phrases-{size + 1}")
+            level = scratch.write(self._texts(found, level, size + 1), f"phrases-{size + 1}")
             self.phrases = self.phrases.unionByName(level)
             scratch.release()
         scratch.drop(f"lists-{max_words}")
@@ -296,7 +307,8 @@ class Collocations:
         """Frequent words with numbers, and where shards have them (of, j, ids)."""
         local = shards.select("lang", F.inline(F.arrays_zip("names", "n"))).withColumnRenamed("names", "word")
         counts = local.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= self.min_count)
-        found = self.scratch.write(counts.withColumn("id", F.monotonically_increasing_id()), "phrases-1")
+        # numbers ascend as counts fall
+        found = self.scratch.write(counts.orderBy("lang", F.desc("a")).withColumn("id", F.monotonically_increasing_id()), "phrases-1")
         here = shards.select(F.col("shard").alias("of"), "lang", F.posexplode("names").alias("j", "word"))
         # a word has one row in a shard, so no key of this join holds many of its rows
         few = found.count() <= BROADCAST_PHRASES
@@ -306,14 +318,14 @@ class Collocations:
         return found.select("lang", "id", F.col("word").cast("string").alias("phrase"), "a", F.lit(1).alias("size")), kept
 
     def _frequent_pairs(self, dealt: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-        """Frequent pairs (head, tail, id, a) over all shards, and where shards have them (of, j, ids)."""
-        made = self.scratch.write(dealt.groupBy("bucket").applyInArrow(counted(self.min_count), COUNTED), f"counted-{size}")
-        return made.filter("of IS NULL").select(F.inline("found")), made.filter("of IS NOT NULL").select("of", "j", "ids")
-
-    def _texts(self, found: DataFrame, heads: DataFrame, words: DataFrame, size: int) -> DataFrame:
-        """Phrases of found pairs."""
-        named = heads.select("lang", F.col("id").alias("head"), F.col("phrase").alias("head_text"))
-        tails = words.select(F.col("id").alias("tail"), F.col("phrase").alias("tail_text"))
+        """Frequent pairs (head, tail, id, a) over all shards, and where shards have them (of, bucket, j, ids)."""
+        made = self.scratch.write(dealt.groupBy("bucket").applyInArrow(counted(self.min_count, self.buckets), COUNTED), f"counted-{size}")
+        return made.filter("of IS NULL").select(F.inline("found")), made.filter("of IS NOT NULL").select("of", "bucket", "j", "ids")
+
+    def _texts(self, found: DataFrame, parts: DataFrame, size: int) -> DataFrame:
+        """Phrases of found pairs: the head's words and the tail's last."""
+        named = parts.select("lang", F.col("id").alias("head"), F.col("phrase").alias("head_text"))
+        tails = parts.select(F.col("id").alias("tail"), F.substring_index("phrase", " ", -1).alias("tail_text"))
         met = self._joined(self._joined(found, named, ["head"], "tail"), tails, ["tail"], "head")
         return met.select("lang", "id", F.concat_ws(" ", "head_text", "tail_text").alias("phrase"), "a", F.lit(size).alias("size"))
 
