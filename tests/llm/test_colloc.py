@@ -157,3 +157,12 @@ def test_frequent_words_have_low_numbers(spark):
     assert len({r.id for r in rows}) == len(rows)
     for one, next_one in zip(rows, rows[1:], strict=False):
         assert one.lang != next_one.lang or one.a >= next_one.a
+
+
+def test_a_shuffled_join_of_words_goes_before_the_first_pass(spark, monkeypatch):
+    done, write, release = [], Scratch.write, Scratch.release
+    monkeypatch.setattr(colloc, "BROADCAST_PHRASES", 0)
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, *a, **k: (done.append(name), write(self, df, name, *a, **k))[1])
+    monkeypatch.setattr(Scratch, "release", lambda self: (done.append("release"), release(self))[1])
+    colloc.Collocations(table(spark, SF, "documents"), Scratch(spark, "joined"), max_words=2)
+    assert done.index("words-of-shards") < done.index("release") < done.index("lists-2")

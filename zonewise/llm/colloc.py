@@ -281,7 +281,7 @@ class Collocations:
         shards = scratch.write(texts.mapInArrow(_to_shards(SHARD_TOKENS, HELD_TOKENS), SHARD).withColumn("shard", F.monotonically_increasing_id()), "lists-1", "zstd")
         self.totals = scratch.write(shards.select("lang", F.aggregate("n", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         words, kept = self._frequent_words(shards)
-        # the shuffle that counted the words goes before the first pass
+        # the shuffles that counted and joined the words go before the first pass
         scratch.release()
         #: Frequent phrases (lang, id, phrase, a, size) of one word up to max_words.
         self.phrases = level = words
@@ -315,6 +315,8 @@ class Collocations:
         kept = here.join((F.broadcast(found) if few else found).drop("a"), ["lang", "word"]).select("of", "j", "id")
         # a broadcast join leaves a shard's rows together, in the order of j
         kept = (kept if few else kept.sortWithinPartitions("of", "j")).mapInArrow(_packed_rows, "of bigint, j binary, ids binary")
+        # a shuffled join's rows are larger than the lists, so they go before these are shuffled too
+        kept = kept if few else self.scratch.write(kept, "words-of-shards")
         return found.select("lang", "id", F.col("word").cast("string").alias("phrase"), "a", F.lit(1).alias("size")), kept
 
     def _frequent_pairs(self, dealt: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
