@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from zonewise.llm import bpe, langid, quality, toxicity, urlfilter
+from zonewise.llm import bpe, bytetext, langid, quality, toxicity, urlfilter
 from zonewise.llm.bytetext import ALNUM, BYTE_HASH_FOLDED, text_slices
 from zonewise.llm.queries import MULTI_RANKS, QUERIES, URL_RULES
 from zonewise.llm.store import Scratch, table
@@ -406,3 +407,48 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, at, SF)
     got = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert got == sorted(map(tuple, last.collect())) and len(got) > 100
+
+
+# -- what a worker does and keeps
+
+
+def test_texts_are_counted_once_in_a_task(spark, monkeypatch):
+    plans, write = [], Scratch.write
+
+    def seen(self, df, name, *rest, **more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name, *rest, **more)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    docs = documents(spark, ["word " * 60, "a line\nof words " * 30, None, ""] * 3)
+    for stage, function, most in ((corpus_pipeline.quality_rules, "count", 1), (corpus_pipeline.near_duplicates, "same", 1)):
+        plans.clear()
+        kept = stage(spark, docs, SF)
+        calls = [p.count(f"ArrowEvalPython [{function}(") for p in plans]
+        assert max(calls) == most
+        # each branch of a union reads the texts in tasks of its own
+        last = kept._jdf.queryExecution().executedPlan().toString()
+        assert last.count(f"ArrowEvalPython [{function}(") == most * max(1, 2 * last.count("Union\n"))
+
+
+def test_long_slices_hash_alike_and_leave_no_tables():
+    text = "".join(random.Random(3).choices("abcdefgh  \n", k=3 * bytetext.POWERS + 77))
+    words = re.findall(r"\S+", text)
+    for before in ("", "é" * bytetext.POWERS, " x" * bytetext.POWERS):
+        part = next(text_slices(pa.array([before + " " + text]), 1 << 21))
+        starts, ends, _ = part.runs(bytetext.NONSPACE)
+        got = part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), starts, ends)[-len(words) :]
+        sums = [0] * len(words)
+        for i, word in enumerate(words):
+            for k, byte in enumerate(word.encode()):
+                sums[i] += int(BYTE_HASH_FOLDED[byte]) * pow(bytetext.BASE, k, 1 << 64)
+        lengths = np.array([len(w) for w in words], dtype=np.uint64)
+        wanted = bytetext.mix(np.array([s % (1 << 64) for s in sums], dtype=np.uint64) ^ (lengths * bytetext.U64(bytetext.STEP)))
+        assert (got == wanted).all()
+    tracemalloc.start()
+    part = next(text_slices(pa.array(["word " * 600_000]), 1 << 21))
+    part.hash_spans(part.prefix_hash(BYTE_HASH_FOLDED), np.array([5]), np.array([9]))
+    del part
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 1 << 20

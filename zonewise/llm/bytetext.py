@@ -52,20 +52,26 @@ def random_words(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + U64(seed * 0x632BE59BD9B4E019 % (1 << 64))) * U64(BASE))
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(size, BASE, dtype=np.uint64)
-    down = np.full(size, pow(BASE, -1, 1 << 64), dtype=np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+#: Powers that a worker keeps. Those of a longer slice are products of one of these and one of a multiple of POWERS.
+POWERS = 1 << 14
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of BASE and of its inverse, n + 1 at least."""
-    size = SLICE_BYTES
-    while size < n + 1:
-        size *= 2
-    return _powers(size)
+def _series(factor: int, size: int) -> np.ndarray:
+    made = np.full(size, factor, dtype=np.uint64)
+    made[0] = 1
+    return np.multiply.accumulate(made)
+
+
+@lru_cache(maxsize=1)
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """The first POWERS powers of BASE and of its inverse."""
+    return _series(BASE, POWERS), _series(pow(BASE, -1, 1 << 64), POWERS)
+
+
+def far_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE and of its inverse at the multiples of POWERS, up to n."""
+    size = n // POWERS + 1
+    return _series(pow(BASE, POWERS, 1 << 64), size), _series(pow(BASE, -POWERS, 1 << 64), size)
 
 
 BYTE_HASH = random_words(1, 256)
@@ -101,11 +107,19 @@ class Slice:
         """Sums from which hash_spans gets the hash of any span."""
         sums = np.empty(len(self.buf) + 1, dtype=np.uint64)
         sums[0] = 0
-        np.cumsum(byte_hash[self.buf] * powers(len(self.buf))[0][: len(self.buf)], out=sums[1:])
+        near, far = powers()[0], far_powers(len(self.buf))[0]
+        for k, first in enumerate(range(0, len(self.buf), POWERS)):
+            part = byte_hash[self.buf[first : first + POWERS]]
+            part *= near[: len(part)]
+            part *= far[k]
+            sums[first + 1 : first + 1 + len(part)] = part
+        np.cumsum(sums, out=sums)
         return sums
 
     def hash_spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (sums[ends] - sums[starts]) * powers(len(self.buf))[1][starts]
+        near, far = powers()[1], far_powers(len(self.buf))[1]
+        h = (sums[ends] - sums[starts]) * near[starts & (POWERS - 1)]
+        h *= far[starts // POWERS]
         return mix(h ^ ((ends - starts).astype(np.uint64) * U64(STEP)))
 
 

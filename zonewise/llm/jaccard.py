@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, BYTE_HASH_FOLDED, LOWER, STEP, U64, Slice, mix, owner, random_words, text_slices, window_hashes
 from .components import components
-from .store import Scratch, col, fresh
+from .store import Scratch, col, fresh, once
 
 SHINGLE = 5
 #: The threshold as a fraction, so that it is tested in integers.
@@ -126,7 +126,7 @@ def class_function():
             h1, h2, none = (np.concatenate(x) for x in zip(*made, strict=True))
             yield pa.StructArray.from_arrays([pa.array(h1, mask=none), pa.array(h2, mask=none)], ["h1", "h2"])
 
-    return same
+    return once(same)
 
 
 def signature_function():

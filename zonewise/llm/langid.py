@@ -154,7 +154,7 @@ def cut_windows(each: int):
         for batch in batches:
             for part in text_slices(batch.column("t")):
                 made, _, bounds = windows_of(part)
-                place = np.concatenate([np.zeros(0, np.uint64), *(((made[i : i + 1024].astype(np.uint64) + U64(1)) * powers(WINDOW)[0][:WINDOW]).sum(axis=1) for i in range(0, len(made), 1024))])
+                place = np.concatenate([np.zeros(0, np.uint64), *(((made[i : i + 1024].astype(np.uint64) + U64(1)) * powers()[0][:WINDOW]).sum(axis=1) for i in range(0, len(made), 1024))])
                 place = mix(place + np.arange(len(made), dtype=np.uint64))
                 doc = owner(bounds)
                 order = np.lexsort((place, doc))

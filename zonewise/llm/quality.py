@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .bytetext import BYTE_HASH, NONSPACE, STEP, U64, Slice, byte_set, mix, segment_sums, text_slices
-from .store import col, fresh
+from .store import col, fresh, once
 
 #: [#*$%&|<>]
 SYMBOLS = byte_set(*((ord(c), ord(c)) for c in "#*$%&|<>"))
@@ -100,7 +100,10 @@ def slice_counts(part: Slice) -> dict[str, np.ndarray]:
 
 
 def text_counts() -> F.udf:
-    """A function of a text column that gives COUNTS; null and empty texts have none of anything."""
+    """A function of a text column that gives COUNTS; null and empty texts have none of anything.
+
+    See ``store.once``: a filter on what it gives does not run it again.
+    """
 
     @F.arrow_udf(COUNTS_TYPE)
     def count(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -109,7 +112,7 @@ def text_counts() -> F.udf:
             columns = [np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64) for c in COUNTS]
             yield pa.StructArray.from_arrays([pa.array(x) for x in columns], list(COUNTS))
 
-    return count
+    return once(count)
 
 
 def _ratio(part: str, whole: str, times: int) -> Column:

@@ -69,6 +69,15 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def once(function):
+    """The function so marked that Spark runs it once for each row.
+
+    Filters and join keys that use a function's result are else pushed below it with a second call, which
+    runs in the same task: each call of a task has a Python worker of its own, which the executor keeps.
+    """
+    return function.asNondeterministic()
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, whatever the letters' case."""
     taken = {c.lower() for c in df.columns}
