@@ -15,7 +15,6 @@ DOUBLE_KEYS = (
 )
 STRING_KEYS = ("RADESYS", "TIME-MID", "FILTER", "CUNIT1", "CUNIT2", "CTYPE1", "CTYPE2")
 SIP_KEY = r"^[AB]P?_[0-9]+_[0-9]+$"
-SECONDS_PER_DAY = 86400
 
 
 def exposures_from_rows(rows: DataFrame, id_column: str, tai_minus_utc: float = 0.0) -> DataFrame:
@@ -68,14 +67,20 @@ def image_exposures(made: DataFrame, id_column: str, filters: Sequence[str]) ->
 
 
 def mjd_of_iso(text, tai_minus_utc: float = 0.0):
-    """The MJD of an ISO time; a time zone in the text counts, without one it is UTC (the session's zone)."""
-    micros = F.unix_micros(F.to_timestamp(F.rtrim(text)))
-    return micros / 1e6 / SECONDS_PER_DAY + 40587 + tai_minus_utc / SECONDS_PER_DAY
+    """The MJD of an ISO time; a time zone in the text counts, without one it is UTC (the session's zone).
+
+    One division and one sum are less than half a microsecond off up to 2038 (MJD 65536), so iso_of_mjd
+    gives the same microsecond back.
+    """
+    micros = F.unix_micros(F.to_timestamp(F.rtrim(text))) + round(tai_minus_utc * 1_000_000)
+    return micros / 864e8 + 40587
 
 
 def iso_of_mjd(mjd, tai_minus_utc: float = 0.0):
     """An ISO time in UTC, with microseconds."""
-    micros = F.round((mjd - 40587) * SECONDS_PER_DAY * 1e6 - tai_minus_utc * 1e6).cast("bigint")
+    day = F.floor(mjd)
+    # a day's fraction is exact, and so small that its microseconds are
+    micros = (day - 40587) * 86_400_000_000 + F.round((mjd - day) * 864e8).cast("bigint") - round(tai_minus_utc * 1_000_000)
     return F.date_format(F.timestamp_micros(micros), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
 
 
