@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonewise.functions import sphere
-from zonewise.operators.spatial import spatial_join
+from zonewise.operators.components import checkpointed
+from zonewise.operators.spatial import classes_of, spatial_join
 
 #: Bits of a difference source's classification and of its exposure pair.
 SHAPE_DIFFERS, POSITIVE_EXCURSION, SECOND_OF_PAIR = 1 << 2, (1 << 3) | (1 << 4), 1 << 30
@@ -14,20 +15,61 @@ ID_BITS = 56
 FILTERS = ("u", "g", "r", "i", "z", "y")
 
 
-def distance_match(first: DataFrame, second: DataFrame, radius: float, first_filter: Column | None = None, second_filter: Column | None = None) -> DataFrame:
+def _placed(points: DataFrame, kept: Column | None, name: str, carried: dict[str, Column]) -> tuple[DataFrame, sphere.Vector]:
+    """``points`` (id, ra, dec) as (<name>, <n>_ra, <n>_dec, the carried columns) with the unit vectors, once for each row and not for each candidate."""
+    n = name[0]
+    rows = (points if kept is None else points.filter(kept)).select(F.col("id").alias(name), F.col("ra").cast("double").alias(f"{n}_ra"), F.col("dec").cast("double").alias(f"{n}_dec"), *(c.alias(k) for k, c in carried.items()))
+    return sphere.staged(rows, **{n: sphere.unit_vector(F.col(f"{n}_ra"), F.col(f"{n}_dec"))})
+
+
+def _distance_pairs(first: DataFrame, second: DataFrame, radius: float, first_filter: Column | None, second_filter: Column | None, carried: dict[str, Column]) -> DataFrame:
+    """distance_match with the chord's square, d2, for the distance."""
+    limit = sphere.chord2_of_angle(radius)
+    f, a = _placed(first, first_filter, "first", {})
+    s, b = _placed(second, second_filter, "second", carried)
+    d2 = sphere.chord2(a, b)
+    pairs = spatial_join(f, s, (F.col("f_ra"), F.col("f_dec")), (F.col("s_ra"), F.col("s_dec"), F.lit(radius)), radius, d2 < limit)
+    return pairs.select("first", "second", d2.alias("d2"), *carried)
+
+
+def distance_match(first: DataFrame, second: DataFrame, radius: float, first_filter: Column | None = None, second_filter: Column | None = None, carried: dict[str, Column] | None = None) -> DataFrame:
     """Pairs (first, second, distance) closer than ``radius`` degrees, strictly; distance in degrees.
 
     Both tables are (id, ra, dec). The filters are over those columns; Catalyst runs them at the scans.
+    carried: columns of the second table that the pairs have too, so that no join has to bring them.
     """
-    limit = sphere.chord2_of_angle(radius)
-    f = (first if first_filter is None else first.filter(first_filter)).select(F.col("id").alias("first"), F.col("ra").cast("double").alias("f_ra"), F.col("dec").cast("double").alias("f_dec"))
-    s = (second if second_filter is None else second.filter(second_filter)).select(F.col("id").alias("second"), F.col("ra").cast("double").alias("s_ra"), F.col("dec").cast("double").alias("s_dec"))
-    # vectors once for each row, not for each candidate
-    f, a = sphere.staged(f, f=sphere.unit_vector(F.col("f_ra"), F.col("f_dec")))
-    s, b = sphere.staged(s, s=sphere.unit_vector(F.col("s_ra"), F.col("s_dec")))
+    pairs = _distance_pairs(first, second, radius, first_filter, second_filter, carried or {})
+    return pairs.select("first", "second", sphere.angle_of_chord2(F.col("d2")).alias("distance"), *(carried or {}))
+
+
+#: Squared chords that differ by less, relatively, may be one and the same, computed twice.
+SAME = 1e-12
+
+
+def closest(first: DataFrame, second: DataFrame, radius: float, farthest: bool = False, carried: dict[str, Column] | None = None) -> DataFrame:
+    """For each first that has a match its number of matches, the nearest and its distance: (first, second, distance, n_matches[, farthest], the greatest of each carried column).
+
+    Of equally near matches the one with the least id, of equally far ones that with the greatest. All
+    pairs go by in the join's own stage and leave a count and two numbers for each first, in hash
+    aggregates: least structs of distance and id would be a sort of all pairs. Circles that just reach
+    so far then find the few ids.
+    """
+    carried = carried or {}
+    pairs = _distance_pairs(first, second, radius, None, None, carried)
+    found = checkpointed(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n_matches"), F.min("d2").alias("near2"), F.max("d2").alias("far2"), *(F.max(c).alias(c) for c in carried)))
+    f, a = _placed(first, None, "first", {})
+    s, b = _placed(second, None, "second", {})
     d2 = sphere.chord2(a, b)
-    pairs = spatial_join(f, s, (F.col("f_ra"), F.col("f_dec")), (F.col("s_ra"), F.col("s_dec"), F.lit(radius)), radius, d2 < limit)
-    return pairs.select("first", "second", sphere.angle_of_chord2(d2).alias("distance"))
+    ends = checkpointed(f.join(found.select("first", "near2", "far2"), "first").withColumn("f_reach", sphere.angle_of_chord2(F.col("near2"))))
+    at, of = (F.col("s_ra"), F.col("s_dec")), (F.col("f_ra"), F.col("f_dec"))
+    near = spatial_join(s, ends, at, (*of, F.col("f_reach")), None, d2 <= F.col("near2") * (1 + SAME), classes_of(ends, F.col("f_reach")))
+    best = near.groupBy("first").agg(F.min(F.struct(d2.alias("d2"), F.col("second"))).alias("m"))
+    made = found.join(best, "first").select("first", F.col("m.second").alias("second"), sphere.angle_of_chord2(F.col("m.d2")).alias("distance"), "n_matches", *carried)
+    if not farthest:
+        return made
+    far = spatial_join(ends, s, of, (*at, F.lit(radius)), radius, (d2 >= F.col("far2") * (1 - SAME)) & (d2 < sphere.chord2_of_angle(radius)))
+    last = far.groupBy("first").agg(F.max(F.struct(d2.alias("d2"), F.col("second")))["second"].alias("farthest"))
+    return made.join(last, "first")
 
 
 def grouped(pairs: DataFrame) -> DataFrame:
@@ -44,10 +86,19 @@ def best_match(pairs: DataFrame) -> DataFrame:
     return best.select("first", F.col("m.second").alias("second"), F.col("m.distance").alias("distance"))
 
 
-def match_flags(sources: DataFrame, pairs: DataFrame, objects: DataFrame, filter_id: int, threshold: int) -> DataFrame:
-    """``sources`` with n_matches, has_match, known_variable: whether some match has varProb[filter] >= threshold."""
-    probability = objects.select(F.col("id").alias("second"), F.element_at("var_prob", filter_id + 1).alias("p"))
-    flags = pairs.join(probability, "second").groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("p") >= threshold).alias("known"))
+def match_flags(sources: DataFrame, pairs: DataFrame, objects: DataFrame | None, filter_id: int, threshold: int) -> DataFrame:
+    """``sources`` with n_matches, has_match, known_variable: whether some match has varProb[filter] >= threshold.
+
+    Without objects, pairs have that probability, p, themselves.
+    """
+    if objects is not None:
+        pairs = pairs.join(objects.select(F.col("id").alias("second"), F.element_at("var_prob", filter_id + 1).alias("p")), "second")
+    return with_flags(sources, pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n_matches"), F.max("p").alias("p")), threshold)
+
+
+def with_flags(sources: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """match_flags from each first's n_matches and greatest probability p, as closest() gives them."""
+    flags = found.select(F.col("first"), F.col("n_matches").alias("n"), (F.col("p") >= threshold).alias("known"))
     met = sources.join(flags, sources["id"] == flags["first"], "left").drop("first")
     return met.withColumns({"n_matches": F.coalesce("n", F.lit(0)), "has_match": F.col("n").isNotNull(), "known_variable": F.coalesce("known", F.lit(False))}).drop("n", "known")
 
