@@ -108,7 +108,9 @@ def footprint_cover(exposures: DataFrame, resolution: int) -> DataFrame:
     right, high = left + F.col("width"), low + F.col("height")
     made, *corners = sphere.staged(exposures, __a=pixel_to_sky(left, low), __b=pixel_to_sky(right, low), __c=pixel_to_sky(right, high), __d=pixel_to_sky(left, high))
     total = tuple(sum((v[k] for v in corners[1:]), corners[0][k]) for k in range(3))
-    made = made.select("exposure_id", F.array(*map(_ray, corners)).alias("__corners"), _ray(total).alias("__sum"))
+    # exposures are few rows of one small file, and the tests of a part take long: dealt out, else one task has them all
+    tasks = max(2, 2 * exposures.sparkSession.sparkContext.defaultParallelism)
+    made = made.select("exposure_id", F.array(*map(_ray, corners)).alias("__corners"), _ray(total).alias("__sum")).repartition(tasks)
     # normals that point inwards, whichever way round the corners go
     inwards = F.transform(_sides(F.col("__corners")), lambda n: _ray(sphere.scaled(_of(n), F.signum(sphere.dot(_of(n), _of(F.col("__sum")))))))
     made = made.withColumn("__inwards", inwards).withColumn("__face", F.explode(_faces())).drop("__sum")
@@ -123,7 +125,8 @@ def footprint_cover(exposures: DataFrame, resolution: int) -> DataFrame:
     single = (F.col("x1") - F.col("x0") == 1) & (F.col("y1") - F.col("y0") == 1)
     cover = None
     while True:
-        parts = parts.withColumn("__cell", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
+        # made once: the test reads it for each plane and corner
+        parts = sphere.once(parts, __cell=F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
         met = checkpointed(parts.filter(polygons_overlap(F.col("__corners"), F.col("__cell"))).withColumn("__whole", single | inside).drop("__cell"))
         whole = met.filter("__whole").select("exposure_id", F.col("__face.root").alias("root"), "x0", "x1", "y0", "y1")
         cover = whole if cover is None else cover.unionByName(whole)
