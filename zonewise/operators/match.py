@@ -116,11 +116,8 @@ def prepare_ellipses(predictions: DataFrame, scaling: float = 1.0, threshold: fl
     return scaled
 
 
-def ellipse_match(ellipses: DataFrame, points: DataFrame, max_axis: float) -> DataFrame:
-    """Pairs (first, second, distance) of ellipses (id, ra, dec, smaa, smia, pa) and points (id, ra, dec) within; distance in degrees.
-
-    max_axis: no semi-major axis is larger (arcseconds). Ellipses with larger ones raise an error.
-    """
+def _ellipse_sides(ellipses: DataFrame, points: DataFrame, max_axis: float) -> tuple[DataFrame, DataFrame, Column, Column]:
+    """Ellipses and points for a join, whether a point is inside, and the chord's square."""
     reach = F.when(F.col("e_smaa") <= max_axis, F.col("e_smaa") / 3600).otherwise(F.raise_error(F.lit("an ellipse is larger than max_axis")).cast("double"))
     e = ellipses.select(F.col("id").alias("first"), *(F.col(c).cast("double").alias(f"e_{c}") for c in ("ra", "dec", "smaa", "smia", "pa")))
     e = e.withColumn("e_reach", reach)
@@ -128,11 +125,32 @@ def ellipse_match(ellipses: DataFrame, points: DataFrame, max_axis: float) -> Da
     # vectors and axes once for each row, not for each candidate
     p, v = sphere.staged(p, p=sphere.unit_vector(F.col("p_ra"), F.col("p_dec")))
     e, center, along, across = sphere.staged_ellipse(e, F.col("e_ra"), F.col("e_dec"), F.col("e_smaa"), F.col("e_smia"), F.col("e_pa"), "e")
-    inside = sphere.in_axes(v, center, along, across)
+    return e, p, sphere.in_axes(v, center, along, across), sphere.chord2(v, center)
+
+
+def _ellipse_pairs(e: DataFrame, p: DataFrame, inside: Column, max_axis: float) -> DataFrame:
     # in the plane's projection the ellipse reaches as far as asin of its axis on the sphere
-    pairs = spatial_join(p, e, (F.col("p_ra"), F.col("p_dec")), (F.col("e_ra"), F.col("e_dec"), F.col("e_reach") * 1.001), max_axis / 3600 * 1.001, inside)
-    d2 = sphere.chord2(v, center)
-    return pairs.select("first", "second", sphere.angle_of_chord2(d2).alias("distance"))
+    return spatial_join(p, e, (F.col("p_ra"), F.col("p_dec")), (F.col("e_ra"), F.col("e_dec"), F.col("e_reach") * 1.001), max_axis / 3600 * 1.001, inside)
+
+
+def ellipse_match(ellipses: DataFrame, points: DataFrame, max_axis: float) -> DataFrame:
+    """Pairs (first, second, distance) of ellipses (id, ra, dec, smaa, smia, pa) and points (id, ra, dec) within; distance in degrees.
+
+    max_axis: no semi-major axis is larger (arcseconds). Ellipses with larger ones raise an error.
+    """
+    e, p, inside, d2 = _ellipse_sides(ellipses, points, max_axis)
+    return _ellipse_pairs(e, p, inside, max_axis).select("first", "second", sphere.angle_of_chord2(d2).alias("distance"))
+
+
+def ellipse_closest(ellipses: DataFrame, points: DataFrame, max_axis: float) -> DataFrame:
+    """For each ellipse that holds a point the number of points and the nearest one, as closest() has them: (first, second, distance, n_matches)."""
+    e, p, inside, d2 = _ellipse_sides(ellipses, points, max_axis)
+    pairs = _ellipse_pairs(e, p, inside, max_axis).select("first", d2.alias("d2"))
+    found = checkpointed(pairs.groupBy("first").agg(F.count(F.lit(1)).alias("n_matches"), F.min("d2").alias("near2")))
+    ends = checkpointed(e.join(found.select("first", "near2"), "first").withColumn("e_near", sphere.angle_of_chord2(F.col("near2"))))
+    near = spatial_join(p, ends, (F.col("p_ra"), F.col("p_dec")), (F.col("e_ra"), F.col("e_dec"), F.col("e_near")), None, inside & (d2 <= F.col("near2") * (1 + SAME)), classes_of(ends, F.col("e_near")))
+    best = near.groupBy("first").agg(F.min(F.struct(d2.alias("d2"), F.col("second"))).alias("m"))
+    return found.join(best, "first").select("first", F.col("m.second").alias("second"), sphere.angle_of_chord2(F.col("m.d2")).alias("distance"), "n_matches")
 
 
 def new_objects(flagged: DataFrame, filter_id: int) -> DataFrame:
